@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, WordTable, chunks, gram_hashes, mixed, settled, tables, word_hash
@@ -201,5 +201,19 @@ def _across_blocks(large: DataFrame, links: DataFrame, n: int, percent: int, blo
     return settled(dealt.groupBy("unit").applyInPandas(_linker(n, percent), "a long, b long"), "links-across")
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, without those whose group has a smaller doc_id; of rows that repeat a
+    doc_id one stays (the one whose text is smallest)."""
+    gone = near_duplicates(docs, n, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = settled(gone, "gone")
+    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    again = settled(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "again")
+    if not again.limit(1).count():
+        return left
+    several = left.join(again, F.col("doc_id") == F.col("again"), "left_semi")
+    place = several.select(F.struct("*").alias("row")).withColumn("k", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
+    return left.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(place.filter("k = 1").select("row.*"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tables(spark, sf_dir, "documents"), n=3, percent=85)

@@ -210,4 +210,4 @@ def read_documents(index: DataFrame, folder: str) -> DataFrame:
 
 def op6_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
-    return read_documents(write_tokens(tables(spark, sf_dir, "documents"), folder), folder)
+    return read_documents(write_tokens(tables(spark, sf_dir, "documents"), folder), folder).drop("file")
