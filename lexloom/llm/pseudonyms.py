@@ -2,7 +2,7 @@
 
 What is found, and what it has to be:
   email   an address; gets a keyed pseudonym of the same form (letters and digits of the md5), not reversible
-  ip      an IPv4 address whose first number is 1 to 223, all up to 255
+  ip      an IPv4 address: four numbers up to 255, the first not 0
   card    13 to 19 digits, also in groups, with a valid Luhn sum; the new number's is valid too
   phone   a North American number, areas and exchanges from 200 on, with or without +1
   ssn     ddd-dd-dddd with valid area, group and serial
@@ -83,8 +83,8 @@ def phone(m: str, key: str) -> str:
 
 def ip(m: str, key: str) -> str:
     number = "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3] - 16777216"
-    new = _with(feistel(number, 223 * 256, 65536, _key(key, "ip")) + " + 16777216", "q", "concat_ws('.', q div 16777216, (q div 65536) % 256, (q div 256) % 256, q % 256)")
-    return _with(f"transform(split({m}, '[.]'), x -> cast(x as bigint))", "o", f"if(array_max(o) <= 255 and o[0] between 1 and 223, {new}, {m})")
+    new = _with(feistel(number, 255 * 256, 65536, _key(key, "ip")) + " + 16777216", "q", "concat_ws('.', q div 16777216, (q div 65536) % 256, (q div 256) % 256, q % 256)")
+    return _with(f"transform(split({m}, '[.]'), x -> cast(x as bigint))", "o", f"if(array_max(o) <= 255 and o[0] >= 1, {new}, {m})")
 
 
 def ssn(m: str, key: str) -> str:

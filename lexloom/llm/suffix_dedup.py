@@ -146,7 +146,8 @@ def repeated_passages(docs: DataFrame, passage: int = 50, prefix: int = 25) -> D
     asked = one.groupBy("doc_id").agg(F.collect_list("s").alias("suffixes"))
     texts = docs.join(asked.withColumnRenamed("doc_id", "asked"), F.col("doc_id") == F.col("asked")).select("doc_id", "text", "suffixes")
     windows = settled(texts.mapInArrow(_windows(passage), "doc_id long, at long, key long, around long, early long, window long"), "windows")
-    matched = windows.groupBy("window").agg(F.count_distinct("key", "around").alias("n"), F.min(F.struct("doc_id", (F.col("at") - F.col("early")).alias("begin"))).alias("first")).filter("n > 1").drop("n")
+    place = F.struct("doc_id", (F.col("at") - F.col("early")).alias("begin"))  # one window may hold several suffixes
+    matched = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
     begin = F.col("at") - F.col("early")
     part = windows.join(matched, "window").select(
         "doc_id", begin.cast("int").alias("a"), (begin + passage).cast("int").alias("b"), F.col("first.doc_id").alias("first_doc"),
