@@ -4,7 +4,7 @@ What is found, and what it has to be:
   email   an address; gets a keyed pseudonym of the same form (letters and digits of the md5), not reversible
   ip      an IPv4 address: four numbers up to 255, the first not 0
   card    13 to 19 digits, also in groups, with a valid Luhn sum; the new number's is valid too
-  phone   a North American number, areas and exchanges from 200 on, with or without +1
+  phone   a North American number, areas and exchanges from 100 on, with or without +1
   ssn     ddd-dd-dddd with valid area, group and serial
   date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy, a day of 1900 to 2099
 
@@ -75,9 +75,9 @@ def card(m: str, key: str) -> str:
 
 def phone(m: str, key: str) -> str:
     part = lambda a, n: f"cast(substring(d, {a}, {n}) as bigint)"
-    number = f"(({part(1, 3)} - 200) * 800 + ({part(4, 3)} - 200)) * 10000 + {part(7, 4)}"
-    new = _with(feistel(number, 80000, 80000, _key(key, "phone")), "q", "concat(cast(q div 8000000 + 200 as string), cast((q div 10000) % 800 + 200 as string), lpad(cast(q % 10000 as string), 4, '0'))")
-    valid = "length(d) = 10 and substring(d, 1, 1) >= '2' and substring(d, 4, 1) >= '2'"
+    number = f"(({part(1, 3)} - 100) * 900 + ({part(4, 3)} - 100)) * 10000 + {part(7, 4)}"
+    new = _with(feistel(number, 90000, 90000, _key(key, "phone")), "q", "concat(cast(q div 9000000 + 100 as string), cast((q div 10000) % 900 + 100 as string), lpad(cast(q % 10000 as string), 4, '0'))")
+    valid = "length(d) = 10 and substring(d, 1, 1) >= '1' and substring(d, 4, 1) >= '1'"
     return _with(f"regexp_replace({m}, '[^0-9]', '')", "e", _with("right(e, 10)", "d", f"if({valid}, {_with(f'concat(left(e, length(e) - 10), {new})', 'z', refill(m, 'z'))}, {m})"))
 
 

