@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2,
     units = total.filter("n_blocks = 1").agg(F.ceil(F.coalesce(F.sum("shingles"), F.lit(0)) / block).alias("k")).first()["k"] or 1
     placed = clusters.join(total, "cluster").withColumn("block", F.when(F.col("n_blocks") > 1, F.pmod(F.xxhash64("node"), "n_blocks")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(units))))
     member = settled(
-        placed.join(texts.filter("text is not null").withColumnRenamed("doc_id", "node"), "node").withColumn("component", F.col("node")).select("node", "cluster", "component", "size", "n_blocks", "block", "text"), "members"
+        texts.filter("text is not null").withColumnRenamed("doc_id", "node").join(placed.hint("merge"), "node").withColumn("component", F.col("node")).select("node", "cluster", "component", "size", "n_blocks", "block", "text"), "members"
     )
     large = member.filter("n_blocks > 1")
     centres = near.join(clusters.select(F.col("node").alias("centre"), "cluster"), "centre").groupBy("cluster", "centre").agg(F.count("*").alias("n"))
