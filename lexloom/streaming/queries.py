@@ -106,7 +106,7 @@ def stream_job_monitor(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def stream_metrics(log: DataFrame, late: str = "10 minutes", every: str = "1 minute") -> DataFrame:
     """Counters by minute; rows later than the watermark are dropped."""
-    return R.fetch_metrics(log.withWatermark("ts", late), every)
+    return R.fetch_metrics(log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), every)
 
 
 def stream_dedupe_urls(requests: DataFrame, window: str = "12 hours") -> DataFrame:
