@@ -59,7 +59,7 @@ def chunk_table(path: str) -> WordTable:
             table.flat_size += len(flat)
             return {"size": size, "at": at}
 
-        table = WordTable(describe)
+        table = WordTable(describe, 1_000_000)
         table.flat, table.flat_size = [], 0
         _TABLES[path] = (model, table)
     return _TABLES[path][1]
