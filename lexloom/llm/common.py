@@ -67,7 +67,7 @@ class WordTable(dict):
     """Numbers the words it meets and keeps arrays of what `describe` says of each, so that work on a word is done
     once a task and not once an occurrence. It forgets everything beyond `limit` words, between two chunks."""
 
-    def __init__(self, describe: Callable[[list[bytes]], dict[str, np.ndarray]], limit: int = 400_000):
+    def __init__(self, describe: Callable[[list[bytes]], dict[str, np.ndarray]], limit: int = 150_000):
         super().__init__()
         self.describe, self.limit, self.fresh, self.arrays, self.known = describe, limit, [], {}, 0
 
@@ -103,6 +103,17 @@ class WordTable(dict):
             raise AttributeError(name) from None
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one operator's table, so that stages that share workers do not add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def word_hash(words: list[bytes]) -> dict[str, np.ndarray]:
     return {"hash": np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))}
 

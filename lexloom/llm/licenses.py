@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordTable, chunks, tables
+from .common import LETTERS, WordTable, chunks, held, tables
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -62,14 +62,10 @@ def _vocabulary(ids: dict[str, int]) -> WordTable:
     return WordTable(lambda words: {"term": np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))})
 
 
-_TABLES: list[WordTable] = []
-
-
 def _terms(texts: list[bytes | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    if not _TABLES:
-        _TABLES.append(_vocabulary(ids))
-    numbers, starts = _TABLES[0].numbers([t.translate(LETTERS).split() if t else [] for t in texts])
-    return (_TABLES[0].term[numbers] if len(numbers) else np.zeros(0, np.int32)), starts
+    table = held("licences", lambda: _vocabulary(ids))
+    numbers, starts = table.numbers([t.translate(LETTERS).split() if t else [] for t in texts])
+    return (table.term[numbers] if len(numbers) else np.zeros(0, np.int32)), starts
 
 
 def _counter(ids: dict[str, int]) -> Callable:

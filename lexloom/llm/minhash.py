@@ -30,19 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordTable, chunks, gram_hashes, mixed, settled, tables, word_hash
+from .common import LOWER, WordTable, chunks, gram_hashes, held, mixed, settled, tables, word_hash
 from .components import components
 
-_WORDS: list[WordTable] = []
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>"
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and where each text begins."""
-    if not _WORDS:
-        _WORDS.append(WordTable(word_hash))
-    numbers, starts = _WORDS[0].numbers([t.translate(LOWER).split() if t else [] for t in texts])
-    return (_WORDS[0].hash[numbers] if len(numbers) else np.zeros(0, np.uint64)), starts
+    table = held("minhash", lambda: WordTable(word_hash))
+    numbers, starts = table.numbers([t.translate(LOWER).split() if t else [] for t in texts])
+    return (table.hash[numbers] if len(numbers) else np.zeros(0, np.uint64)), starts
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -153,7 +151,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = settled(texts.mapInArrow(_sketcher(n, r, m), SKETCH), "sketch")
     classes = settled(sketch.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v")).filter("node is not null"), "classes")
-    keys = classes.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
+    dealt = classes.select("node", "u", "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
+    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
     stars = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
     near = settled(keys.join(stars, "key").filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("meets")), "stars")
     clusters = settled(components(near.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("node", F.col("component").alias("cluster")).join(classes.select("node", "size"), "node"), "clusters")

@@ -24,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, crc_mod3, mixed, sums, tables
+from .common import WordTable, chunks, crc_mod3, held, mixed, sums, tables
 
 PARTS = 4
 SCALE = 16.0
-_TABLES: list[WordTable] = []
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -48,9 +47,7 @@ def _describe(words: list[bytes]) -> dict[str, np.ndarray]:
 
 def gram_slots(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The weights' numbers of all n-grams of the texts, text by text, and where each text's begin."""
-    if not _TABLES:
-        _TABLES.append(WordTable(_describe))
-    table = _TABLES[0]
+    table = held("quality", lambda: WordTable(_describe))
     numbers, starts = table.numbers([t.split() if t else [] for t in texts])
     if not len(numbers):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)

@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, mixed, settled, tables, word_hash
+from .common import WordTable, chunks, gram_hashes, held, mixed, settled, tables, word_hash
 
 K = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLES: list[WordTable] = []
 _POWERS: dict[str, np.ndarray] = {}
 SUFFIXES = "doc_id long, at int, before int, after int, key long, around long"
 
@@ -80,10 +79,9 @@ def minimisers(hashes: np.ndarray, width: int, prefix: int) -> np.ndarray:
 
 
 def _texts(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    if not _TABLES:
-        _TABLES.append(WordTable(word_hash))
-    numbers, starts = _TABLES[0].numbers([t.split() if t else [] for t in texts])
-    hashes = _TABLES[0].hash[numbers] if len(numbers) else np.zeros(0, np.uint64)
+    table = held("suffixes", lambda: WordTable(word_hash))
+    numbers, starts = table.numbers([t.split() if t else [] for t in texts])
+    hashes = table.hash[numbers] if len(numbers) else np.zeros(0, np.uint64)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         yield hashes[a:b]
 

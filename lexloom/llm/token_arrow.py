@@ -27,9 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, new_folder, tables
+from .common import WordTable, chunks, held, new_folder, tables
 
-_TABLES: dict[str, tuple[object, WordTable]] = {}
 INDEX = "doc_id long, file string, shard int, place long, start_in_shard long, n_tokens long"
 
 
@@ -42,27 +41,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def chunk_table(path: str) -> WordTable:
     """The ids of pieces between white space, each encoded once. It holds for tokenizers that drop white space and
     never join pieces over it: then the ids of a text are the ids of its pieces in a row."""
-    if path not in _TABLES:
-        import os
+    return held(f"pieces {path}", lambda: _new_table(path))
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+def _new_table(path: str) -> WordTable:
+    import os
 
-        def describe(words: list[bytes]) -> dict[str, np.ndarray]:
-            ids = [x.ids for x in model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-            at = table.flat_size + np.cumsum(size) - size
-            table.flat.append(flat)
-            table.flat_size += len(flat)
-            return {"size": size, "at": at}
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        table = WordTable(describe, 1_000_000)
-        table.flat, table.flat_size = [], 0
-        _TABLES[path] = (model, table)
-    return _TABLES[path][1]
+    model = Tokenizer.from_file(path)
+
+    def describe(words: list[bytes]) -> dict[str, np.ndarray]:
+        ids = [x.ids for x in model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        at = table.flat_size + np.cumsum(size) - size
+        table.flat.append(flat)
+        table.flat_size += len(flat)
+        return {"size": size, "at": at}
+
+    table = WordTable(describe, 1_000_000)
+    table.flat, table.flat_size = [], 0
+    return table
 
 
 def numbered(table: WordTable, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
