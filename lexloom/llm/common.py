@@ -49,7 +49,7 @@ def crc_mod3(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches that hold about `max_bytes` of text, each with its texts as bytes. A text is never cut."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()

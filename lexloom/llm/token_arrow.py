@@ -61,7 +61,7 @@ def _new_table(path: str) -> WordTable:
         table.flat_size += len(flat)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 1_000_000)
+    table = WordTable(describe, 400_000)
     table.flat, table.flat_size = [], 0
     return table
 
