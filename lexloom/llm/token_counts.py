@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, sums, tables
+from .common import chunks, settled, sums, tables
 from .token_arrow import chunk_table, numbered, tokenizer_path
 
 
@@ -73,4 +73,4 @@ def truncated_total(limits: DataFrame, limit: int) -> Column | DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limit_table(length_histogram(tables(spark, sf_dir, "documents")))
+    return limit_table(settled(length_histogram(tables(spark, sf_dir, "documents")), "lengths"))  # read twice, encoded once
