@@ -17,9 +17,11 @@ come first; an empty table writes no shard; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +53,21 @@ def _new_table(path: str) -> WordTable:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    closes = _closing_ids(model, path)
 
     def describe(words: list[bytes]) -> dict[str, np.ndarray]:
-        ids = [x.ids for x in model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        at = table.flat_size + np.cumsum(size) - size
-        table.flat.append(flat)
-        table.flat_size += len(flat)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        parts = np.fromiter(map(_n_parts, texts), np.int64, len(texts)) if closes is not None else np.zeros(len(texts), np.int64)
+        size, at = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        plain = np.flatnonzero(parts)
+        together = _encode_together(model, [texts[i] for i in plain], parts[plain], closes)
+        if together is None:
+            plain, together = plain[:0], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        alone = np.setdiff1d(np.arange(len(texts)), plain)
+        for which, (flat, n) in ((plain, together), (alone, _encode_alone(model, [texts[i] for i in alone]))):
+            size[which], at[which] = n, table.flat_size + np.cumsum(n) - n
+            table.flat.append(flat)
+            table.flat_size += len(flat)
         return {"size": size, "at": at}
 
     table = WordTable(describe, 400_000)
@@ -66,6 +75,49 @@ def _new_table(path: str) -> WordTable:
     return table
 
 
+def _closing_ids(model: object, path: str) -> np.ndarray | None:
+    """Which ids close a part of a piece, for tokenizers that part letters from signs and mark the end of each part."""
+    import json
+
+    with open(path) as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    if not suffix or [len(x.ids) for x in model.encode_batch_fast(["a", ".", "a."], add_special_tokens=False)] != [1, 1, 2]:
+        return None
+    closes = np.zeros(model.get_vocab_size(), bool)
+    closes[[i for token, i in model.get_vocab().items() if token.endswith(suffix)]] = True
+    return closes
+
+
+def _n_parts(piece: str) -> int:
+    """1 for letters alone, 2 for letters and one sign behind them, 0 for all else (also for what becomes more than letters
+    once composed and lower-cased)."""
+    letters = piece[:-1] if piece[-1] in ".,;:!?" else piece
+    if not letters.isalpha() or not (letters.isascii() or unicodedata.normalize("NFC", letters).lower().isalpha()):
+        return 0
+    return 1 + (len(letters) < len(piece))
+
+
+def _flat(encodings: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(x.ids for x in encodings), np.uint32)
+
+
+def _encode_together(model: object, pieces: list[str], parts: np.ndarray, closes: np.ndarray | None, row: int = 50) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of all pieces, and how many each has, from calls on many pieces at once; None if the closing ids are not as
+    many as the parts, so that it cannot be told where a piece ends."""
+    if not pieces:
+        return None
+    flat = _flat(model.encode_batch_fast([" ".join(pieces[i : i + row]) for i in range(0, len(pieces), row)], add_special_tokens=False))
+    ends = np.flatnonzero(closes[flat])
+    if len(ends) != parts.sum() or ends[-1] != len(flat) - 1:
+        return None
+    return flat, np.diff(ends[np.cumsum(parts) - 1], prepend=-1)
+
+
+def _encode_alone(model: object, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = model.encode_batch_fast(pieces, add_special_tokens=False)
+    return _flat(found), np.fromiter(map(len, found), np.int64, len(found))
+
+
 def numbered(table: WordTable, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(table) > table.limit:
         table.flat, table.flat_size = [], 0

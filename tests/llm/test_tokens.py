@@ -36,6 +36,17 @@ def test_ids_equal_the_library_on_whole_texts(model):
         assert part.tolist() == model.encode(t, add_special_tokens=False).ids
 
 
+def test_joined_pieces_equal_single_ones(model):
+    texts = ["İstanbul, K ﬁn! ª ʰa Ǆ ǅ. क़ a\u0301b A\u030a: Å; 한국어 각 ĳ ß ẞ. ﬀ? ١٢ Ⅻ ㎏ a.b a.. .a . ,, </w> a</w> x\u200by \ufffd \u0345a", "Wort, wort Wort. " * 60 + "é! É? " * 60, "a" * 3000 + ". " + "é" * 3000]
+    table = token_arrow._new_table(token_arrow.tokenizer_path())
+    ids, n = token_arrow.encoded(table, [t.encode() for t in texts], None)
+    for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == model.encode(t, add_special_tokens=False).ids
+    closes = token_arrow._closing_ids(model, token_arrow.tokenizer_path())
+    assert closes is not None
+    assert token_arrow._encode_together(model, ["a", "b.c"], np.array([1, 1]), closes) is None  # more parts than said: encoded one by one
+
+
 def test_files_read_back(spark, model):
     rows = [r for r in awkward() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
