@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WordTable, chunks, held, new_folder, tables
 
+SIGNS = ".,;:!?$#%&*"
 INDEX = "doc_id long, file string, shard int, place long, start_in_shard long, n_tokens long"
 
 
@@ -63,7 +64,9 @@ def _new_table(path: str) -> WordTable:
         together = _encode_together(model, [texts[i] for i in plain], parts[plain], closes)
         if together is None:
             plain, together = plain[:0], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        alone = np.setdiff1d(np.arange(len(texts)), plain)
+        rest = np.ones(len(texts), bool)
+        rest[plain] = False
+        alone = np.flatnonzero(rest)
         for which, (flat, n) in ((plain, together), (alone, _encode_alone(model, [texts[i] for i in alone]))):
             size[which], at[which] = n, table.flat_size + np.cumsum(n) - n
             table.flat.append(flat)
@@ -81,17 +84,18 @@ def _closing_ids(model: object, path: str) -> np.ndarray | None:
 
     with open(path) as f:
         suffix = json.load(f)["model"].get("end_of_word_suffix")
-    if not suffix or [len(x.ids) for x in model.encode_batch_fast(["a", ".", "a."], add_special_tokens=False)] != [1, 1, 2]:
+    if not suffix:
         return None
     closes = np.zeros(model.get_vocab_size(), bool)
     closes[[i for token, i in model.get_vocab().items() if token.endswith(suffix)]] = True
-    return closes
+    parts = [closes[x.ids].sum() for x in model.encode_batch_fast(["a", SIGNS, f"a{SIGNS}", f"a{SIGNS[::-1]}"], add_special_tokens=False)]
+    return closes if parts == [1, 1, 2, 2] else None
 
 
 def _n_parts(piece: str) -> int:
-    """1 for letters alone, 2 for letters and one sign behind them, 0 for all else (also for what becomes more than letters
+    """1 for letters alone, 2 for letters and signs behind them, 0 for all else (also for what becomes more than letters
     once composed and lower-cased)."""
-    letters = piece[:-1] if piece[-1] in ".,;:!?" else piece
+    letters = piece.rstrip(SIGNS)
     if not letters.isalpha() or not (letters.isascii() or unicodedata.normalize("NFC", letters).lower().isalpha()):
         return 0
     return 1 + (len(letters) < len(piece))

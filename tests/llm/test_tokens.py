@@ -37,7 +37,7 @@ def test_ids_equal_the_library_on_whole_texts(model):
 
 
 def test_joined_pieces_equal_single_ones(model):
-    texts = ["İstanbul, K ﬁn! ª ʰa Ǆ ǅ. क़ a\u0301b A\u030a: Å; 한국어 각 ĳ ß ẞ. ﬀ? ١٢ Ⅻ ㎏ a.b a.. .a . ,, </w> a</w> x\u200by \ufffd \u0345a", "Wort, wort Wort. " * 60 + "é! É? " * 60, "a" * 3000 + ". " + "é" * 3000]
+    texts = ["İstanbul, K ﬁn! ª ʰa Ǆ ǅ. क़ a\u0301b A\u030a: Å; 한국어 각 ĳ ß ẞ. ﬀ? ١٢ Ⅻ ㎏ a.b a.. .a . ,, </w> a</w> x\u200by \ufffd \u0345a", "Wort, wort Wort. " * 60 + "é! É? " * 60, "a" * 3000 + ". " + "é" * 3000, "ONND!! ätz&&& zubebe,*** $$$ a$b$ a'! a!' a!…  it's.. #1# a<|endoftext|>! A%%%<|endoftext|> <|ENDOFTEXT|>"]
     table = token_arrow._new_table(token_arrow.tokenizer_path())
     ids, n = token_arrow.encoded(table, [t.encode() for t in texts], None)
     for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
