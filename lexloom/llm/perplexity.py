@@ -12,8 +12,9 @@ model needs no counts of word pairs, whose shuffle would by itself exceed the di
 3. The driver gets these bounded tables, computes the discounts (Chen and Goodman's D1, D2, D3+ from counts of counts)
    and keeps sorted slot arrays with probabilities and back-off weights, which are broadcast.
 4. Tasks look words up by binary search. A document's perplexity is exp of the mean negative log probability per unit.
-5. Per language, the lower and upper band are quantiles of the perplexity of documents that pass the base rules, from
-   a histogram of log perplexity in fixed bins, widened by a factor; documents outside the band are rejected.
+5. Per language, the band is the median of the log perplexity of documents that pass the base rules, and `spreads`
+   standard deviations on both sides, taken from the median absolute deviation, so that junk moves neither as long as
+   it is the smaller part. Both come from a histogram in fixed bins; documents outside the band are rejected.
 
 Edge cases: null texts have no words; word-less texts fail the base rules and have no perplexity; a null language is a
 language of its own; repeated rows count as often as they stand; an empty table gives an empty result; other columns
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, chunks, gram_hashes, held, mixed, settled, sums, tables, word_hash
 
 SYMBOLS = b"#*$%&|<>"
-STEP = 0.01  # of the histogram of log perplexity
+STEP = 0.001  # of the histogram of log perplexity
 
 
 # ---- words and their counts
@@ -272,35 +273,42 @@ def _scorer(shared) -> Callable:
     return score
 
 
-def bands(scored: DataFrame, lower: float = 0.01, upper: float = 0.99, widen: float = 1.25) -> list[tuple]:
-    """(lang, low, high): quantiles of log perplexity among documents that pass the base rules, widened by a factor on
-    both sides. Tasks add up a histogram with bins of STEP, so the driver gets some hundred rows a language."""
+def _middle(rows: list[tuple[int, int]]) -> int:
+    """The median of sorted values with their counts."""
+    total, run = sum(n for _, n in rows), 0
+    for v, n in rows:
+        run += n
+        if 2 * run >= total:
+            return v
+    raise ValueError("no rows")
+
+
+def bands(scored: DataFrame, spreads: float = 3.0) -> list[tuple]:
+    """(lang, low, high): the median log perplexity of documents that pass the base rules, and `spreads` standard
+    deviations on both sides, each 1.4826 median absolute deviations as in a normal distribution (1.2533 mean ones where
+    the median one is 0, as with many copies). Tasks add up a histogram with bins of STEP, so the driver gets some
+    thousand rows a language."""
     bins = scored.filter("not base_failed and perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") / STEP).alias("bin")).agg(F.count("*").alias("n"))
     by: dict[str | None, list[tuple[int, int]]] = {}
     for r in bins.collect():
         by.setdefault(r["lang"], []).append((r["bin"], r["n"]))
     out = []
     for lang, rows in by.items():
-        rows.sort()
-        total, run, low, high = sum(n for _, n in rows), 0, None, None
-        for b, n in rows:
-            run += n
-            if low is None and run > lower * total:
-                low = b * STEP
-            if high is None and run >= upper * total:
-                high = (b + 1) * STEP
-        out.append((lang, float(np.exp(low) / widen), float(np.exp(high) * widen)))
+        middle = _middle(sorted(rows))
+        away = sorted((abs(b - middle), n) for b, n in rows)
+        spread = 1.4826 * _middle(away) or 1.2533 * sum(d * n for d, n in away) / sum(n for _, n in away)
+        out.append((lang, float(np.exp((middle - spreads * spread) * STEP)), float(np.exp((middle + 1 + spreads * spread) * STEP))))
     return out
 
 
-def quality_rules(docs: DataFrame, order: int = 5, bits: int = 20, lower: float = 0.01, upper: float = 0.99, widen: float = 1.25) -> DataFrame:
+def quality_rules(docs: DataFrame, order: int = 5, bits: int = 20, spreads: float = 3.0) -> DataFrame:
     """doc_id, the base counts, base_failed, lang, perplexity, the band of its language, and kept, for each row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     model = spark.sparkContext.broadcast(fit(docs, order, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = settled(docs.mapInArrow(_scorer(model), f"doc_id {kind}, {SCORED}"), "scored")
-    limits = spark.createDataFrame(bands(scored, lower, upper, widen), "l string, band_low double, band_high double")
+    limits = spark.createDataFrame(bands(scored, spreads), "l string, band_low double, band_high double")
     out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False)))
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -96,6 +97,30 @@ def test_model_equals_plain_kneser_ney(spark):
     assert np.isnan(model.log_probs([b"x"], "fr")[0][0])
 
 
+def test_junk_does_not_move_the_band(spark):
+    rng = random.Random(3)
+    parts = ["ba", "lo", "ren", "ti", "sum", "ka", "del", "vo"]
+    clean = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(120)) for _ in range(150)]
+    junk = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz#$%&", k=rng.randint(3, 9))) for _ in range(120)) for _ in range(60)]
+    for n in (10, 60):
+        rows = [(i, t, "en") for i, t in enumerate(clean + junk[:n])]
+        kept = {r["doc_id"] for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("kept").collect()}
+        assert not [i for i in kept if i >= len(clean)] and len(kept) >= 0.9 * len(clean)
+
+
+def test_band_rejects_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    found = perplexity.op3_perplexity(spark, sf).filter("not base_failed and lang = 'en'").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("kept", "quality").collect()
+    good, bad = (np.mean([r["kept"] for r in found if r["quality"] == q]) for q in (1, 0))
+    assert good > 0.9 and bad < 0.7
+
+
+def test_band_of_equal_documents_keeps_them(spark):
+    rows = [(i, "all of these ten words are the same in each", "en") for i in range(20)] + [(20, "xq zkj vvw qpx jjz wqx kzz pqj xxv zwq", "en")]
+    found = perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r["doc_id"] for r in found.filter("kept").collect()} == set(range(20))
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     found = quality.op2_quality(spark, sf)
