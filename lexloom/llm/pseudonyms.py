@@ -4,14 +4,15 @@ What is found, and what it has to be:
   email   an address; gets a keyed pseudonym of the same form (letters and digits of the md5), not reversible
   ip      an IPv4 address: four numbers up to 255, the first not 0
   card    13 to 19 digits, also in groups, with a valid Luhn sum; the new number's is valid too
-  phone   a North American number, areas and exchanges from 100 on, with or without +1
+  phone   a number of North American form: any area and exchange after 1 or +1, areas from 100 on without it
   ssn     ddd-dd-dddd with valid area, group and serial
   date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy, a day of 1900 to 2099
 
 The valid values of a format are numbered 0 to a*b - 1, written as two digits x*b + y, and permuted by a Feistel network:
 eight rounds add a keyed hash of one digit to the other, modulo a or b in turn. That is a bijection on the valid values,
 so equal values stay equal in all documents, different ones stay different, and the result is valid again. Dates are
-permuted within their century, which has 36,524 = 92 * 397 (1900s) or 36,525 = 75 * 487 (2000s) days. Separators stay.
+permuted within their century, which has 36,524 = 92 * 397 (1900s) or 36,525 = 75 * 487 (2000s) days. Phones are permuted
+within three sets: areas and exchanges from 100 on, exchanges below 100, and areas below 100. Separators stay.
 
 Edge cases: null texts stay null; texts without such data stay as they are; invalid numbers and dates stay; repeated
 rows give a row each; an empty table gives an empty result; other columns are ignored.
@@ -74,10 +75,19 @@ def card(m: str, key: str) -> str:
 
 
 def phone(m: str, key: str) -> str:
+    """A number with an area below 100 needs the 1 or +1 before it to be one."""
     part = lambda a, n: f"cast(substring(d, {a}, {n}) as bigint)"
-    number = f"(({part(1, 3)} - 100) * 900 + ({part(4, 3)} - 100)) * 10000 + {part(7, 4)}"
-    new = _with(feistel(number, 90000, 90000, _key(key, "phone")), "q", "concat(cast(q div 9000000 + 100 as string), cast((q div 10000) % 900 + 100 as string), lpad(cast(q % 10000 as string), 4, '0'))")
-    valid = "length(d) = 10 and substring(d, 1, 1) >= '1' and substring(d, 4, 1) >= '1'"
+
+    def permuted(area: int, exchange: int, exchanges: int, a: int, b: int, kind: str) -> str:
+        number = f"(({part(1, 3)} - {area}) * {exchanges} + ({part(4, 3)} - {exchange})) * 10000 + {part(7, 4)}"
+        digits = f"concat(lpad(cast(q div {exchanges * 10000} + {area} as string), 3, '0'), lpad(cast((q div 10000) % {exchanges} + {exchange} as string), 3, '0'), lpad(cast(q % 10000 as string), 4, '0'))"
+        return _with(feistel(number, a, b, _key(key, kind)), "q", digits)
+
+    new = (
+        f"case when substring(d, 1, 1) = '0' then {permuted(0, 0, 1000, 40000, 25000, 'phone0')} "
+        f"when substring(d, 4, 1) = '0' then {permuted(100, 0, 100, 30000, 30000, 'phone1')} else {permuted(100, 100, 900, 90000, 90000, 'phone')} end"
+    )
+    valid = "length(d) = 10 and (length(e) = 11 or substring(d, 1, 1) >= '1')"
     return _with(f"regexp_replace({m}, '[^0-9]', '')", "e", _with("right(e, 10)", "d", f"if({valid}, {_with(f'concat(left(e, length(e) - 10), {new})', 'z', refill(m, 'z'))}, {m})"))
 
 

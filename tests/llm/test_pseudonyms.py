@@ -74,3 +74,26 @@ def test_awkward_rows_and_planted_data(spark):
         assert not [v for v in values if v in r["text"]]
         assert r["n_found"] or r["text"] == old[r["doc_id"]]
     assert n > 10
+
+
+def test_phones_with_any_area_and_exchange(spark):
+    numbers = [f"+1 ({a:03d}) {x:03d}-{i:04d}" for i, (a, x) in enumerate((a, x) for a in (0, 17, 99, 100, 984) for x in (0, 17, 99, 100, 555))]
+    got = run(spark, [f"{n} and {n[3:]}" for n in numbers])
+    new = []
+    for i, n in enumerate(numbers):
+        a, b = got[i]["text"].split(" and ")
+        assert a != n and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and (a[4] == "0") == (n[4] == "0") and (n[4] == "0" or (a[9] == "0") == (n[9] == "0"))
+        assert b == (n[3:] if n[4] == "0" else a[3:])
+        new.append(a)
+    assert len(set(new)) == len(new)
+
+
+def test_planted_phones_of_a_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(r"text rlike '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'").select("doc_id", "text")
+    old, n = {r["doc_id"]: r["text"] for r in docs.collect()}, 0
+    for r in pseudonyms.pseudonymise(docs).collect():
+        phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", old[r["doc_id"]])
+        n += len(phones)
+        assert not [x for x in phones if x in r["text"]]
+    assert n > 100
