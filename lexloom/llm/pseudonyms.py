@@ -3,7 +3,8 @@
 What is found, and what it has to be:
   email   an address; gets a keyed pseudonym of the same form (letters and digits of the md5), not reversible
   ip      an IPv4 address: four numbers up to 255, the first not 0
-  card    13 to 19 digits, also in groups, with a valid Luhn sum; the new number's is valid too
+  card    13 to 19 digits with a valid Luhn sum; the new number's is valid too. In a stretch of groups of digits the usual
+          forms (unbroken, 4-4-4-4, 4-4-4-4-3, 4-6-4, 4-6-5) come first, then groups of 3 digits on, then the whole stretch
   phone   a number of North American form: any area and exchange after 1 or +1, areas from 100 on without it
   ssn     ddd-dd-dddd with valid area, group and serial
   date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy, a day of 1900 to 2099
@@ -25,16 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import tables
 
-PATTERN = (
+OTHERS = (
     r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     r"|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
     r"|(?<![\d.-])\d{4}[-/]\d{1,2}[-/]\d{1,2}(?![\d-])"
     r"|(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?![\d]|\.\d)"
     r"|(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
     r"|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-    r"|(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)"
     r"|(?<![\d+-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
 )
+# Last, a stretch of groups of digits that may hold cards; it ends where another format begins.
+PATTERN = OTHERS + rf"|(?<![\d-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?=\d)(?!{OTHERS})\d++)*+"
+USUAL = "^([0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}([ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 ROUNDS = 8
 
 
@@ -74,6 +77,27 @@ def card(m: str, key: str) -> str:
     return _with(f"regexp_replace({m}, '[^0-9]', '')", "d", f"if(length(d) between 13 and 19 and {luhn_sum('d', 0)} % 10 = 0, {_with(_with(head, 'h', checked), 'z', refill(m, 'z'))}, {m})")
 
 
+def pieces(m: str, key: str) -> str:
+    """SQL for the stretch `m` as (old, new) pieces in turn. Candidates begin and end with a group; those of the usual
+    forms are taken first, then the leftmost and longest, and none overlaps another."""
+    c = f"substring({m}, p, l)"
+    digits = f"regexp_replace({c}, '[^0-9]', '')"
+    whole = f"p = 1 and l = length({m})"
+    fits = f"substring({m}, p + l - 1, 1) rlike '[0-9]' and not substring({m}, p + l, 1) rlike '[0-9]' and length({digits}) between 13 and 19"
+    form = f"{c} rlike '{USUAL}' or not {c} rlike '(^|[ -])[0-9]{{1,2}}([ -]|$)' or ({whole})"
+    valid = _with(digits, "d", f"{luhn_sum('d', 0)} % 10 = 0")
+    starts = f"filter(sequence(1, length({m})), p -> substring({m}, p, 1) rlike '[0-9]' and (p = 1 or not substring({m}, p - 1, 1) rlike '[0-9]'))"
+    lengths = f"filter(sequence(13, 37), l -> p + l - 1 <= length({m}) and {fits} and ({form}) and {valid})"
+    found = f"array_sort(flatten(transform({starts}, p -> transform({lengths}, l -> named_struct('rank', if({c} rlike '{USUAL}', 0, 1), 'p', p, 'less', -l, 'l', l)))))"
+    none = "cast(array() as array<struct<p: int, l: int>>)"
+    chosen = f"array_sort(aggregate({found}, {none}, (t, x) -> if(exists(t, y -> y.p < x.p + x.l and x.p < y.p + y.l), t, concat(t, array(named_struct('p', x.p, 'l', x.l))))))"
+    start = "named_struct('at', 1, 'out', cast(array() as array<struct<old: string, new: string>>))"
+    gap, one = f"substring({m}, s.at, x.p - s.at)", f"substring({m}, x.p, x.l)"
+    step = f"named_struct('at', x.p + x.l, 'out', concat(s.out, array(named_struct('old', {gap}, 'new', {gap}), {_with(one, 'w', f"named_struct('old', w, 'new', {card('w', key)})")})))"
+    rest = f"substring({m}, s.at)"
+    return f"aggregate({chosen}, {start}, (s, x) -> {step}, s -> concat(s.out, array(named_struct('old', {rest}, 'new', {rest}))))"
+
+
 def phone(m: str, key: str) -> str:
     """A number with an area below 100 needs the 1 or +1 before it to be one."""
     part = lambda a, n: f"cast(substring(d, {a}, {n}) as bigint)"
@@ -129,7 +153,7 @@ def pseudonym(m: str, key: str) -> str:
         f"when {m} rlike '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$' then {date(m, key, 'dd.MM.yyyy', (3, 2, 1))} "
         f"when {slash} = 2 then {date(m, key, 'MM/dd/yyyy', (3, 1, 2))} "
         f"when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {ssn(m, key)} "
-        f"when length(regexp_replace({m}, '[^0-9]', '')) >= 13 then {card(m, key)} else {phone(m, key)} end"
+        f"else {phone(m, key)} end"
     )
 
 
@@ -138,13 +162,15 @@ def pseudonymise(docs: DataFrame, key: str = "lexloom") -> DataFrame:
 
     `key` is the secret: give each corpus its own."""
     rows = docs.select("doc_id", "text")
-    may = F.col("text").rlike("[0-9]{2}|@")
+    may = F.col("text").rlike("[0-9]{2}|@|[0-9][.][0-9]")
     quoted = PATTERN.replace("\\", "\\\\")
     rows = rows.withColumn("found", F.when(may, F.expr(f"regexp_extract_all(text, '{quoted}', 0)")))
     rows = rows.withColumn("parts", F.when(F.size("found") > 0, F.expr(f"split(text, '{quoted}', -1)")))
-    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.expr(f"transform(found, m -> {pseudonym('m', key)})")))
-    text = F.when(F.size("found") > 0, F.expr("concat(array_join(zip_with(slice(parts, 1, size(found)), new, (p, m) -> concat(p, m)), ''), element_at(parts, -1))")).otherwise(F.col("text"))
-    changed = F.expr("filter(zip_with(found, new, (a, b) -> if(a <> b, b, null)), x -> x is not null)")
+    one = f"if(m rlike '^[0-9]+([ -][0-9]+)*$' and length(regexp_replace(m, '[^0-9]', '')) >= 13, {pieces('m', key)}, array(named_struct('old', m, 'new', {pseudonym('m', key)})))"
+    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.expr(f"transform(found, m -> {one})")))
+    joined = "zip_with(slice(parts, 1, size(found)), new, (p, m) -> concat(p, array_join(transform(m, x -> x.new), '')))"
+    text = F.when(F.size("found") > 0, F.expr(f"concat(array_join({joined}, ''), element_at(parts, -1))")).otherwise(F.col("text"))
+    changed = F.expr("transform(filter(flatten(new), x -> x.old <> x.new), x -> x.new)")
     return rows.select("doc_id", text.alias("text"), F.coalesce(F.size(changed), F.lit(0)).cast("long").alias("n_found"), F.coalesce(changed, F.array().cast("array<string>")).alias("pseudonyms"))
 
 

@@ -97,3 +97,26 @@ def test_planted_phones_of_a_larger_table(spark):
         n += len(phones)
         assert not [x for x in phones if x in r["text"]]
     assert n > 100
+
+
+def test_neighbours_do_not_hide_values(spark):
+    one, two, odd = "4111111111111111", "4111 1111 1111 1111", with_check("37828224631000")
+    cases = [(f"{one} 25 items", [one]), (f"12 {one}", [one]), (f"{one} {one}", [one]), (f"no 7 {two} 25", [two]), (f"{two} 2021 and", [two]), (f"{odd[:4]} {odd[4:10]} {odd[10:]} 12", [odd[4:10]])]
+    cases += [("41111 11111 111111 25", ["41111 11111 111111"]), ("555-123-4567 2021", ["555-123-4567"]), ("1 555-123-4567 20215", ["555-123-4567"]), (f"{one} 555.123.4567", [one, "555.123.4567"])]
+    cases += [(f"{one} 8.8.4.4", [one, "8.8.4.4"]), (f"{one} 2020-01-05", [one, "2020-01-05"]), (f"{one} 123-45-6789", [one, "123-45-6789"]), (f"{one} 12ab@x.com", [one, "12ab@x.com"]), ("see 8.8.8.8", ["8.8.8.8"])]
+    cases += [(f"{one} 1 (555) 123-4567", [one, "(555) 123-4567"]), (f"{two}-{one}", [two, one])]
+    got = run(spark, [x for x, _ in cases] + [f"{one}"])
+    for i, (x, values) in enumerate(cases):
+        assert not [v for v in values if v in got[i]["text"]], (x, got[i]["text"])
+        assert got[i]["n_found"] == len(got[i]["pseudonyms"]) >= len(values) and all(p in got[i]["text"] for p in got[i]["pseudonyms"])
+    new = got[len(cases)]["text"]
+    assert got[0]["text"] == f"{new} 25 items" and got[1]["text"] == f"12 {new}" and got[2]["text"] == f"{new} {new}" and got[2]["n_found"] == 2
+
+
+def test_all_planted_data_of_a_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    personal = re.compile(r"[\w.]+@mail\d\.example\.com|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d+\.\d+\.\d+\.\d+")
+    for r in pseudonyms.op7_pseudonyms(spark, sf).collect():
+        values = [v for v in set(personal.findall(old[r["doc_id"]] or "")) if not re.fullmatch(r"\d{16}", v) or luhn(v)]
+        assert not [v for v in values if v in r["text"]], r["doc_id"]
