@@ -133,7 +133,7 @@ def _per_page(make: Callable[[int, str | None], dict[str, list]], schema: pa.Sch
 _MAP = pa.map_(pa.string(), pa.string())
 
 
-def html_to_nodes(pages: DataFrame, longest: int = 1_240_000) -> DataFrame:
+def html_to_nodes(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("pre", pa.int32()), ("subtree_end", pa.int32()), ("tag", pa.string()), ("depth", pa.int32()), ("attrs", _MAP), ("parent_tag", pa.string()), ("parent_attrs", _MAP), ("text", pa.string())])
 
     def make(page: int, html: str | None) -> dict[str, list]:
@@ -141,17 +141,17 @@ def html_to_nodes(pages: DataFrame, longest: int = 1_240_000) -> DataFrame:
         flat = lambda d: list(d.items()) if d is not None else None
         return {"page_id": [page] * len(rows), "pre": [r[0] for r in rows], "subtree_end": [r[1] for r in rows], "tag": [r[2] for r in rows], "depth": [r[3] for r in rows], "attrs": [flat(r[4]) for r in rows], "parent_tag": [r[5] for r in rows], "parent_attrs": [flat(r[6]) for r in rows], "text": [r[7] for r in rows]}
 
-    return pages.select("page_id", F.substring("html", 1, longest).alias("html")).mapInArrow(_per_page(make, schema), NODES)
+    return pages.select("page_id", "html").mapInArrow(_per_page(make, schema), NODES)
 
 
-def segment_paragraphs(pages: DataFrame, longest: int = 1_240_000) -> DataFrame:
+def segment_paragraphs(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("para_seq", pa.int32()), ("text", pa.string()), ("chars_in_links", pa.int32()), ("is_heading", pa.bool_()), ("tag_path", pa.string())])
 
     def make(page: int, html: str | None) -> dict[str, list]:
         rows = paragraphs_of(walked(html))
         return {"page_id": [page] * len(rows), "para_seq": list(range(1, len(rows) + 1)), "text": [r[0] for r in rows], "chars_in_links": [r[1] for r in rows], "is_heading": [r[2] for r in rows], "tag_path": [r[3] for r in rows]}
 
-    return pages.select("page_id", F.substring("html", 1, longest).alias("html")).mapInArrow(_per_page(make, schema), PARAGRAPHS)
+    return pages.select("page_id", "html").mapInArrow(_per_page(make, schema), PARAGRAPHS)
 
 
 def prune_subtrees(nodes: DataFrame, bad: Column) -> DataFrame:

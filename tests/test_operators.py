@@ -67,6 +67,17 @@ def test_nodes_and_pruning(spark):
     assert nodes.filter("tag = 'p' and parent_attrs['id'] = 'a'").count() == 2
 
 
+def test_long_pages_are_walked_to_their_end(spark):
+    n = 1_300_000 // 27
+    html = "<html><body>" + "".join(f"<p>paragraph {i:09d}</p>" for i in range(n)) + "<p>the end</p></body><link rel='canonical' href='/last'></html>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert len(html) > 1_240_000
+    last = H.segment_paragraphs(pages).orderBy(F.desc("para_seq")).first()
+    assert (last["para_seq"], last["text"]) == (n + 1, "the end")
+    nodes = H.html_to_nodes(pages)
+    assert nodes.filter("tag = 'p'").count() == n + 1 and nodes.filter("tag = 'link' and attrs['href'] = '/last'").count() == 1
+
+
 def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column).first()[0]
 
