@@ -1,20 +1,22 @@
 """Operator 3: quality rules and n-gram perplexity under a modified Kneser-Ney model per language.
 
-The units are characters and the n-grams (orders 1 to `order`) run within a word, with marks for its begin and end. The
-probability of a word then depends on the word alone, so each task scores a word once however often it occurs, and the
-model needs no counts of word pairs, whose shuffle would by itself exceed the disk that this operator may use.
-
-1. Tasks count their words by language; Spark adds the counts up, over all documents.
-2. Tasks turn counted words into character n-grams; Spark adds up n-gram counts by language, order and slot. A slot is
-   the n-gram's hash cut to `bits` bits, so an order has at most 2^bits rows and the model has a proven bound. Spark also
-   counts the distinct left extensions of each n-gram, the Kneser-Ney counts of lower orders, and what follows each
-   context.
-3. The driver gets these bounded tables, computes the discounts (Chen and Goodman's D1, D2, D3+ from counts of counts)
-   and keeps sorted slot arrays with probabilities and back-off weights, which are broadcast.
-4. Tasks look words up by binary search. A document's perplexity is exp of the mean negative log probability per unit.
-5. Per language, the band is the median of the log perplexity of documents that pass the base rules, and `spreads`
-   standard deviations on both sides, taken from the median absolute deviation, so that junk moves neither as long as
-   it is the smaller part. Both come from a histogram in fixed bins; documents outside the band are rejected.
+The units are characters and the mark between words (a space), in n-grams of orders 1 to `order` that run over the bounds
+of words, back to the begin of the word before. Each place of a text thus has one longest n-gram: `order` units, or
+fewer where a text begins or the word before is short. The probability of a place depends on that n-gram alone.
+
+1. Tasks count their words, and the pairs of ends and beginnings of neighbouring words, by language, and turn both into
+   counts of longest n-grams. Spark adds them up over all documents, by the n-grams themselves; nothing is cut or merged.
+2. Spark derives each lower order from the next higher one: the Kneser-Ney count of an n-gram is the number of distinct
+   units before it, or how often it stands where a text or word pair begins.
+3. Counts of counts give the discounts D1, D2, D3+ of each language and order (Chen and Goodman). Windows over what
+   follows a context give its total and its back-off weight, and interpolated probabilities are built up order by order.
+4. The model is a table in the shared folder, sorted by language, order and 64-bit hash. A worker reads the languages that
+   it meets as sorted arrays (16 bytes an n-gram) and looks n-grams up by binary search; unknown n-grams back off.
+   Nothing of it goes through the driver. The number of n-grams of characters grows far slower than the corpus.
+5. A document's perplexity is exp of the mean negative log probability per unit. Per language, the band is the median of
+   the log perplexity of documents that pass the base rules, and `spreads` standard deviations on both sides, taken from
+   the median absolute deviation, so that junk moves neither as long as it is the smaller part. Both come from a
+   histogram in fixed bins; documents outside the band are rejected.
 
 Edge cases: null texts have no words; word-less texts fail the base rules and have no perplexity; a null language is a
 language of its own; repeated rows count as often as they stand; an empty table gives an empty result; other columns
@@ -23,21 +25,25 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, held, mixed, settled, sums, tables, word_hash
+from .common import WordTable, chunks, gram_hashes, held, mixed, new_folder, settled, sums, tables, word_hash
 
 SYMBOLS = b"#*$%&|<>"
 STEP = 0.001  # of the histogram of log perplexity
+MARK = 32  # the unit between words, before the first and after the last
+COUNTED = "lang string, gram string, n long"
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-# ---- words and their counts
+# ---- units
 
 
 def _rule_words(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -53,159 +59,271 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         yield batch, texts, batch.column(batch.schema.get_field_index("lang")).to_pylist()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of language, word and count, for each million words or so."""
-    counts: dict[str | None, dict[bytes, int]] = {}
-    held = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, seen in counts.items():
-            words, n = list(seen), list(seen.values())
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "word", "n"])
-        counts.clear()
-
-    for _, texts, langs in _by_language(batches):
-        for lang in set(langs):
-            table = WordTable(lambda words: {"none": np.zeros(len(words), np.int8)})
-            numbers, _ = table.numbers([t.split() for t, x in zip(texts, langs, strict=True) if t and x == lang])
-            n = np.bincount(numbers, minlength=len(table)).tolist()
-            seen = counts.setdefault(lang, {})
-            for w, i in table.items():
-                seen[w] = seen.get(w, 0) + n[i]
-        held = sum(map(len, counts.values()))
-        if held > 400_000:
-            yield from rows()
-    yield from rows()
-
-
-# ---- n-grams
-
-
-def units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of all words as numbers, each word between the marks 2 and 3, and where each word begins."""
-    texts = [f"\x02{w.decode('utf-8', 'replace')}\x03" for w in words]
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    starts = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
-    return mixed(flat + np.uint64(0x51ED)), starts
-
-
-def grams(flat: np.ndarray, starts: np.ndarray, order: int, salt: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of the n-grams of one order, and the place of each one's last unit; none runs over a word's bounds."""
-    if len(flat) < order:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    last = np.arange(order - 1, len(flat))
-    begin = starts[np.searchsorted(starts, last, "right") - 1]
-    inside = last - (order - 1) >= begin
-    hashes = gram_hashes(flat, order)[inside]
-    return (mixed(hashes + np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.int64), last[inside]
-
-
-def salt_of(lang: str | None, order: int) -> int:
-    return zlib.crc32(f"{lang!r}/{order}".encode()) + (order << 40)
-
-
-def _explode(order: int, bits: int) -> Callable:
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per order: slot, slot of its context, slot of it without its first unit, and how often it occurs."""
-        for batch in batches:
-            langs, words, n = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
-            for lang in dict.fromkeys(langs):
-                chosen = [i for i, x in enumerate(langs) if x == lang]
-                flat, starts = units([words[i] for i in chosen])
-                weight = np.repeat(np.array([n[i] for i in chosen], np.int64), np.diff(starts))
-                slots = {k: dict(zip(("slot", "last"), grams(flat, starts, k, salt_of(lang, k), bits), strict=True)) for k in range(1, order + 1)}
-                at = {k: np.full(len(flat), -1) for k in slots}
-                for k, x in slots.items():
-                    at[k][x["last"]] = x["slot"]
-                for k, x in slots.items():
-                    context = at[k - 1][x["last"] - 1] if k > 1 else np.full(len(x["last"]), -1)
-                    shorter = at[k - 1][x["last"]] if k > 1 else np.full(len(x["last"]), -1)
-                    key, first, inverse = np.unique(x["slot"], return_index=True, return_inverse=True)
-                    total = np.bincount(inverse, weights=weight[x["last"]], minlength=len(key)).astype(np.int64)
-                    out.append((lang, k, key, context[first], shorter[first], total))
-            for lang, k, key, context, shorter, total in out:
-                yield pa.record_batch([pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(context), pa.array(shorter), pa.array(total)], names=["lang", "k", "slot", "context", "shorter", "n"])
-
-    return explode
-
-
-def count_grams(docs: DataFrame, order: int = 5, bits: int = 20) -> DataFrame:
-    """lang, k, slot, context, n, where n is the count for the highest order and for n-grams that begin a word, and the
-    number of distinct units before it for all others (Kneser-Ney counts)."""
-    words = docs.select("lang", "text").filter("text is not null").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = words.mapInArrow(_explode(order, bits), "lang string, k int, slot long, context long, shorter long, n long")
-    full = settled(rows.groupBy("lang", "k", "slot").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n")), "grams")
-    before = full.filter("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("shorter").alias("slot")).agg(F.count("*").alias("extensions"))
-    same = ["k", "slot"]
-    joined = full.alias("f").join(before.alias("e"), [F.col("f.lang").eqNullSafe(F.col("e.lang")), *(F.col(f"f.{c}") == F.col(f"e.{c}") for c in same)], "left")
-    return joined.select("f.lang", "f.k", "f.slot", "f.context", F.when(F.col("f.k") < order, F.coalesce("e.extensions", "f.n")).otherwise(F.col("f.n")).alias("n"))
+def codes(texts: list[str]) -> np.ndarray:
+    """The code points of all texts in a row; NUL, which stands for no unit, becomes U+FFFD."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    flat[flat == 0] = 0xFFFD
+    return flat
+
+
+def gram_keys(grams: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of a matrix of units."""
+    out = np.full(len(grams), grams.shape[1] + 1, np.uint64)
+    for k in range(grams.shape[1]):
+        out = (out ^ (out >> np.uint64(29))) * ODD + grams[:, k].astype(np.uint64)
+    return mixed(out)
+
+
+class Words:
+    """What the model needs to know of words: the n-grams within each, and its first and last `order - 2` units."""
+
+    def __init__(self, words: list[bytes], order: int):
+        m = order - 2
+        texts = [f" {w.decode('utf-8', 'replace')} " for w in words]
+        flat, size = codes(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.cumsum(size) - size
+        self.units = size - 1  # without the mark before
+        self.first, self.last = np.zeros((len(words), m), np.uint32), np.zeros((len(words), m), np.uint32)
+        for i in range(m):
+            there = size - 1 > i
+            self.first[there, i] = flat[start[there] + 1 + i]
+            self.last[there, m - 1 - i] = flat[start[there] + size[there] - 2 - i]
+        self.owner = np.repeat(np.arange(len(words)), np.maximum(0, size - order + 1))
+        inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(np.maximum(0, size - order + 1)) - np.maximum(0, size - order + 1), np.maximum(0, size - order + 1))
+        begin = start[self.owner] + inside
+        self.grams = flat[begin[:, None] + np.arange(order)] if len(begin) else np.zeros((0, order), np.uint32)
+
+
+def pair_grams(last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-gram of each unit in `first`, after the units in `last` and a mark, and the row it is of. Units that
+    are not there are 0, before the others in `last` and after them in `first`."""
+    m = first.shape[1]
+    row = np.concatenate([last, np.full((len(last), 1), MARK, np.uint32), first], 1)
+    there = [np.flatnonzero(first[:, i]) for i in range(m)]
+    return np.concatenate([row[at, i : i + m + 2] for i, at in enumerate(there)]), np.concatenate(there)
+
+
+def neighbours(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: the number of the word before it in its text (-1 for none), and its own."""
+    before = np.r_[-1, numbers[:-1]] if len(numbers) else numbers
+    before[starts[:-1][np.diff(starts) > 0]] = -1
+    return before, numbers
+
+
+# ---- counts
+
+
+class Counter:
+    """Counts of longest n-grams of one language. Words and pairs are counted first, as there are far fewer of them."""
+
+    def __init__(self, order: int):
+        self.order, self.grams, self.n, self.size = order, [], [], 0
+
+    def add(self, lists: list[list[bytes]]) -> None:
+        table = WordTable(lambda words: {"none": np.zeros(len(words), np.int8)})
+        numbers, starts = table.numbers(lists)
+        words = Words(list(table), self.order)
+        before, own = neighbours(numbers, starts)
+        pair, times = np.unique((before + 1) * len(table) + own, return_counts=True)
+        last = np.concatenate([np.zeros((1, self.order - 2), np.uint32), words.last])[pair // len(table)]
+        across, row = pair_grams(last, words.first[pair % len(table)])
+        self.put(np.concatenate([words.grams, across]), np.concatenate([np.bincount(numbers, minlength=len(table))[words.owner], times[row]]))
+
+    def put(self, grams: np.ndarray, n: np.ndarray) -> None:
+        _, first, inverse = np.unique(gram_keys(grams), return_index=True, return_inverse=True)
+        self.grams.append(grams[first])
+        self.n.append(np.bincount(inverse, n, len(first)).astype(np.int64))
+        self.size += len(first)
+        if self.size > 600_000 and len(self.n) > 1:
+            grams, n = np.concatenate(self.grams), np.concatenate(self.n)
+            self.grams, self.n, self.size = [], [], 0
+            self.put(grams, n)
+
+    def rows(self, lang: str | None) -> Iterator[pa.RecordBatch]:
+        grams, n = np.concatenate(self.grams), np.concatenate(self.n)
+        self.grams, self.n, self.size = [], [], 0
+        self.put(grams, n)
+        grams, n = self.grams[0], self.n[0]
+        size = (grams != 0).sum(1)
+        for k in np.unique(size).tolist():
+            of = np.flatnonzero(size == k)
+            for at in np.array_split(of, max(1, len(of) // 50_000)):
+                texts = np.ascontiguousarray(grams[at, grams.shape[1] - k :]).view(f"<U{k}").ravel().tolist()
+                yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(texts, pa.string()), pa.array(n[at])], names=["lang", "gram", "n"])
+
+
+def _count(order: int, most: int = 1_500_000) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str | None, Counter] = {}
+        for _, texts, langs in _by_language(batches):
+            for lang in set(langs):
+                lists = [t.split() for t, x in zip(texts, langs, strict=True) if t and x == lang]
+                if any(lists):
+                    counters.setdefault(lang, Counter(order)).add(lists)
+            if sum(c.size for c in counters.values()) > most:
+                for lang, c in counters.items():
+                    yield from c.rows(lang)
+                counters.clear()
+        for lang, c in counters.items():
+            yield from c.rows(lang)
+
+    return count
+
+
+def count_grams(docs: DataFrame, order: int = 5) -> DataFrame:
+    """lang, gram, n: how often each n-gram is the longest one of a place. '' is no language, '=x' is language x."""
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang")
+    rows = docs.filter("text is not null").select(lang, "text").mapInArrow(_count(order), COUNTED)
+    return settled(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def kneser_ney_counts(longest: DataFrame, order: int) -> list[DataFrame]:
+    """lang, gram, n for orders 1 to `order`; n is the count for the highest order, else the Kneser-Ney count."""
+    of = lambda k: longest.filter(F.length("gram") == k).select("lang", "gram", F.col("n").alias("raw"), F.lit(0).cast("long").alias("before"))
+    levels = [of(order).select("lang", "gram", F.col("raw").alias("n"))]
+    for k in range(order - 1, 0, -1):
+        shorter = levels[0].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(0).cast("long").alias("raw"), F.lit(1).cast("long").alias("before"))
+        rows = shorter.unionByName(of(k)).groupBy("lang", "gram").agg(F.sum("raw").alias("raw"), F.sum("before").alias("before"))
+        levels.insert(0, settled(rows.select("lang", "gram", F.when(F.col("before") > 0, F.col("before")).otherwise(F.col("raw")).alias("n")), f"order-{k}"))
+    return levels
 
 
 # ---- the model
 
 
+def _discount(n: Column, d: Column) -> Column:
+    return F.element_at(d, F.least(n, F.lit(3)).cast("int"))
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """lang, d: the discounts of n-grams that occur once, twice and more often; size: the number of n-grams."""
+    ones = [F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in range(1, 5)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    cut = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.0)), F.lit(top)) for i, top in ((1, 0.95), (2, 1.9), (3, 2.8))]
+    return level.groupBy("lang").agg(*ones, F.count("*").alias("size")).select("lang", F.array(*cut).alias("d"), "size")
+
+
+def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.zeros(len(texts), np.uint64)
+        for k in np.unique(size).tolist():
+            of = np.flatnonzero(size == k)
+            out[of] = gram_keys(codes([texts[i] for i in of]).reshape(len(of), k)) if k else gram_keys(np.zeros((len(of), 0), np.uint32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), batch.column(2), pa.array(out.view(np.int64)), batch.column(3)], names=["lang", "k", "kind", "hash", "value"])
+
+
+def build_model(docs: DataFrame, order: int = 5) -> str:
+    """Writes the model of all documents, by language, and returns its folder. Rows: lang; k, the units; kind, 'p' for the
+    probability of an n-gram after its context and 'rest' for the back-off weight of a context; hash; value."""
+    parts, below = [], None
+    for k, level in enumerate(kneser_ney_counts(count_grams(docs, order), order), 1):
+        rows = level.join(discounts(level), "lang").withColumn("context", F.expr(f"left(gram, {k - 1})"))
+        cut, after = _discount(F.col("n"), F.col("d")), Window.partitionBy("lang", "context")
+        rows = rows.select("lang", "gram", "context", "size", (F.col("n") - cut).alias("own"), F.sum("n").over(after).alias("total"), F.sum(cut).over(after).alias("left"))
+        rows = rows.select("lang", "gram", "context", F.expr("substring(gram, 2)").alias("shorter"), "size", (F.col("own") / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("rest"))
+        if below is None:
+            rows = rows.withColumn("p", F.col("own") + F.col("rest") / (F.col("size") + 1))
+            parts.append(rows.groupBy("lang").agg((1 / (F.max("size") + 1)).alias("value")).select("lang", F.lit("").alias("gram"), F.lit("p").alias("kind"), "value"))
+        else:
+            rows = rows.join(below, ["lang", "shorter"]).withColumn("p", F.col("own") + F.col("rest") * F.col("shorter_p"))
+        rows = settled(rows.select("lang", "gram", "context", "rest", "p"), f"model-{k}")
+        below = rows.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("shorter_p"))
+        parts += [rows.select("lang", "gram", F.lit("p").alias("kind"), F.col("p").alias("value")), rows.groupBy("lang", F.col("context").alias("gram")).agg(F.first("rest").alias("value")).select("lang", "gram", F.lit("rest").alias("kind"), "value")]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    folder = new_folder(docs.sparkSession, "kneser-ney")
+    by = ["lang", "k", "kind", "hash"]
+    every.mapInArrow(_hash_grams, "lang string, k int, kind string, hash long, value double").repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(folder)
+    return folder
+
+
 class Model:
-    """Sorted slot arrays by language and order: log-linear parts of interpolated modified Kneser-Ney."""
-
-    def __init__(self, rows: dict[str, np.ndarray], order: int, bits: int):
-        self.order, self.bits, self.tables = order, bits, {}
-        langs = rows["lang"]
-        for lang in dict.fromkeys(langs.tolist()):
-            of = np.array([x == lang for x in langs.tolist()]) if lang is not None else np.array([x is None for x in langs.tolist()])
-            levels = []
-            for k in range(1, order + 1):
-                here = of & (rows["k"] == k)
-                by = np.argsort(rows["slot"][here])
-                slot, context, n = (rows[c][here][by] for c in ("slot", "context", "n"))
-                ones = [max(1, int((n == i).sum())) for i in range(1, 5)]
-                y = ones[0] / (ones[0] + 2 * ones[1])
-                d = np.clip(np.array([0, *(i - (i + 1) * y * ones[i] / ones[i - 1] for i in (1, 2, 3))]), 0, [0, 0.95, 1.9, 2.8])
-                cut = d[np.minimum(n, 3)]
-                groups, inverse = np.unique(context, return_inverse=True)
-                total = np.bincount(inverse, weights=n, minlength=len(groups)) if len(n) else np.zeros(0)
-                left = np.bincount(inverse, weights=cut, minlength=len(groups)) if len(n) else np.zeros(0)
-                levels.append({"slot": slot, "p": (n - cut) / np.maximum(1, total[inverse]) if len(n) else np.zeros(0), "context": groups, "rest": left / np.maximum(1, total)})
-            self.tables[lang] = (levels, len(levels[0]["slot"]))
-
-    def log_probs(self, words: list[bytes], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The log probability of each word and its number of units (characters and the end mark)."""
-        flat, starts = units(words)
-        if lang not in self.tables:
-            return np.full(len(words), np.nan), np.diff(starts) - 1
-        levels, size = self.tables[lang]
-        p = np.full(len(flat), 1 / (size + 1))
-        slots: list[np.ndarray] = [np.full(len(flat), -1)]
-        for k, level in enumerate(levels, 1):
-            slot, last = grams(flat, starts, k, salt_of(lang, k), self.bits)
-            now = np.full(len(flat), -1)
-            now[last] = slot
-            context = slots[-1][last - 1] if k > 1 else np.full(len(last), -1)
-            held, known = _look(level["slot"], slot)
-            own = np.where(known, level["p"][held], 0) if len(level["p"]) else np.zeros(len(slot))
-            at, seen = _look(level["context"], context)
-            rest = np.where(seen, level["rest"][at], 1.0) if len(level["rest"]) else np.ones(len(slot))
-            p[last] = own + rest * p[last]
-            slots.append(now)
-        logs = np.log(np.maximum(p, 1e-12))
-        logs[starts[:-1]] = 0  # the begin mark is given
-        return np.add.reduceat(logs, starts[:-1]) if len(words) else np.zeros(0), np.diff(starts) - 1
-
-
-def _look(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def fit(docs: DataFrame, order: int = 5, bits: int = 20) -> Model:
-    """The model of all documents by language. What reaches the driver has at most `order` * 2^bits rows a language."""
-    got = count_grams(docs, order, bits).toArrow()
-    rows = {c: got.column(c).to_numpy() for c in ("k", "slot", "context", "n")} | {"lang": np.array(got.column("lang").to_pylist(), object)}
-    return Model(rows, order, bits)
+    """Sorted hash arrays of one language, by kind and order, from the files of build_model."""
+
+    def __init__(self, folder: str, lang: str | None, order: int):
+        store, root = fs.FileSystem.from_uri(folder)
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet") and x.size)
+        name = "" if lang is None else f"={lang}"
+        rows = ds.dataset(files, filesystem=store, format="parquet").to_table(columns=["k", "kind", "hash", "value"], filter=ds.field("lang") == name)
+        k, kind, hashes, values = rows["k"].to_numpy(), rows["kind"].to_numpy() == "p", rows["hash"].to_numpy(), rows["value"].to_numpy()
+        self.order, self.levels = order, {}
+        for i in range(order + 1):
+            for p in (True, False):
+                of = np.flatnonzero((k == i) & (kind == p))
+                by = of[np.argsort(hashes[of], kind="stable")]
+                self.levels[p, i] = hashes[by], values[by]
+
+    def _look(self, p: bool, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, values = self.levels[p, grams.shape[1]]
+        keys = gram_keys(grams).view(np.int64)
+        if not len(hashes):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+        return values[at], hashes[at] == keys
+
+    def log_p(self, grams: np.ndarray) -> np.ndarray:
+        """The log probability of the last unit of each row after the others; zeros at the left are no units."""
+        out, weight, open_ = np.full(len(grams), np.nan), np.ones(len(grams)), np.arange(len(grams))
+        for k in range(self.order, -1, -1):
+            if k:
+                open_now = open_[grams[open_, self.order - k] != 0]
+            else:
+                open_now = open_
+            part = grams[open_now, self.order - k :]
+            value, known = self._look(True, part)
+            out[open_now[known]] = np.log(np.maximum(weight[open_now[known]] * value[known], 1e-12))
+            if k:
+                rest, seen = self._look(False, part[~known][:, :-1])
+                weight[open_now[~known][seen]] *= rest[seen]
+                open_ = open_[np.isnan(out[open_])]
+        return out
+
+
+class Scorer:
+    """Log probabilities of texts of one language. Words and pairs of words are looked up once, as long as they are kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.keys, self.logs = model, np.zeros(0, np.uint64), np.zeros(0)
+        self.table = WordTable(self.describe, 200_000)
+
+    def describe(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        x = Words(words, self.model.order)
+        keys, first, inverse = np.unique(gram_keys(x.grams), return_index=True, return_inverse=True)
+        inner = np.bincount(x.owner, self.model.log_p(x.grams[first])[inverse], len(words)) if len(keys) else np.zeros(len(words))
+        return {"inner": inner, "units": x.units, "first": x.first, "last": x.last, "first_key": gram_keys(x.first), "last_key": gram_keys(x.last)}
+
+    def pairs(self, keys: np.ndarray, last: Callable, first: Callable, limit: int = 1_000_000) -> np.ndarray:
+        """The log probabilities of the beginnings of words after the ends of others, by sorted distinct keys."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        fresh = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        out = self.logs[at] if len(self.keys) else np.zeros(len(keys))
+        if len(fresh):
+            grams, row = pair_grams(last(fresh), first(fresh))
+            _, one, inverse = np.unique(gram_keys(grams), return_index=True, return_inverse=True)
+            out[fresh] = np.bincount(row, self.model.log_p(grams[one])[inverse], len(fresh))
+            if len(self.keys) > limit:
+                self.keys, self.logs = keys[fresh], out[fresh]
+            else:
+                place = np.searchsorted(self.keys, keys[fresh])
+                self.keys, self.logs = np.insert(self.keys, place, keys[fresh]), np.insert(self.logs, place, out[fresh])
+        return out
+
+    def score(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability and the number of units of each text."""
+        t = self.table
+        numbers, starts = t.numbers(lists)
+        if not len(numbers):
+            return np.zeros(len(lists)), np.zeros(len(lists), np.int64)
+        before, own = neighbours(numbers, starts)
+        none = gram_keys(np.zeros((1, t.last.shape[1]), np.uint32))
+        key = mixed(np.where(before < 0, none[0], t.last_key[before]) * ODD + t.first_key[own])
+        keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        last = lambda i: np.where((before[one[i]] < 0)[:, None], 0, t.last[before[one[i]]]).astype(np.uint32)
+        logs = t.inner[own] + self.pairs(keys, last, lambda i: t.first[own[one[i]]])[inverse]
+        return sums(logs, starts), sums(t.units[own], starts)
 
 
 # ---- scoring
@@ -238,15 +356,9 @@ def repeated_words(hashes: np.ndarray, starts: np.ndarray, n: int = 5) -> np.nda
 SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, perplexity double"
 
 
-def _scorer(shared) -> Callable:
+def _scorer(folder: str, order: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        rules = held("rules", lambda: WordTable(_rule_words))
-        scored: dict[str | None, WordTable] = {}
-
-        def describe(lang: str | None) -> Callable:
-            return lambda words: dict(zip(("log", "units"), model.log_probs(words, lang), strict=True))
-
+        rules, scorers = held(f"perplexity {folder}", lambda: (WordTable(_rule_words), {}))
         for batch, texts, langs in _by_language(batches):
             lists = [t.split() if t else [] for t in texts]
             numbers, starts = rules.numbers(lists)
@@ -258,9 +370,9 @@ def _scorer(shared) -> Callable:
             for lang in set(langs):
                 chosen = [i for i, x in enumerate(langs) if x == lang and lists[i]]
                 if chosen:
-                    table = scored.setdefault(lang, WordTable(describe(lang), 200_000))
-                    at, begin = table.numbers([lists[i] for i in chosen])
-                    logs[chosen], unit[chosen] = sums(table.log[at], begin), sums(table.units[at], begin)
+                    if lang not in scorers:
+                        scorers[lang] = Scorer(Model(folder, lang, order))
+                    logs[chosen], unit[chosen] = scorers[lang].score([lists[i] for i in chosen])
             failed = (n < 10) | (100 * repeats > 20 * n)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -301,13 +413,13 @@ def bands(scored: DataFrame, spreads: float = 3.0) -> list[tuple]:
     return out
 
 
-def quality_rules(docs: DataFrame, order: int = 5, bits: int = 20, spreads: float = 3.0) -> DataFrame:
+def quality_rules(docs: DataFrame, order: int = 5, spreads: float = 3.0) -> DataFrame:
     """doc_id, the base counts, base_failed, lang, perplexity, the band of its language, and kept, for each row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    model = spark.sparkContext.broadcast(fit(docs, order, bits))
+    model = build_model(docs, order)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = settled(docs.mapInArrow(_scorer(model), f"doc_id {kind}, {SCORED}"), "scored")
+    scored = settled(docs.mapInArrow(_scorer(model, order), f"doc_id {kind}, {SCORED}"), "scored")
     limits = spark.createDataFrame(bands(scored, spreads), "l string, band_low double, band_high double")
     out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False)))

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from lexloom.llm import perplexity, quality
 
@@ -41,60 +43,100 @@ def test_base_rules_equal_brute_force(spark, sf):
     assert perplexity.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def plain_kneser_ney(words, order):
+def places(text, order):
+    """The longest n-gram of each unit of a text: at most `order` units, and not beyond the begin of the word before."""
+    out, bound, mark = [], 0, 0
+    units = " " + "".join(w + " " for w in words_of(text, lower=False))
+    for i in range(1, len(units)):
+        if i > 1 and units[i - 1] == " ":
+            bound, mark = mark, i - 1
+        out.append(units[max(bound, i - order + 1) : i + 1])
+    return out
+
+
+def plain_kneser_ney(texts, order):
     """Probabilities by dictionaries, straight from the definition."""
-    counts = [{} for _ in range(order + 1)]
-    for w, n in words.items():
-        u = ("<", *w, ">")
-        for k in range(1, order + 1):
-            for i in range(len(u) - k + 1):
-                g = u[i : i + k]
-                counts[k][g] = counts[k].get(g, 0) + n
-    adjusted = [None] * (order + 1)
-    adjusted[order] = counts[order]
-    for k in range(order - 1, 0, -1):
-        left = {}
-        for g in counts[k + 1]:
-            left[g[1:]] = left.get(g[1:], 0) + 1
-        adjusted[k] = {g: left.get(g, counts[k][g]) for g in counts[k]}
-    discounts = [None] * (order + 1)
+    raw, left = [{} for _ in range(order + 1)], [{} for _ in range(order + 1)]
+    for text in texts:
+        for g in places(text, order):
+            for k in range(1, len(g) + 1):
+                raw[k][g[-k:]] = raw[k].get(g[-k:], 0) + 1
+                if k < len(g):
+                    left[k].setdefault(g[-k:], set()).add(g[-k - 1])
+    adjusted = [{g: len(left[k][g]) if g in left[k] else n for g, n in raw[k].items()} for k in range(order + 1)]
+    discounts, after = [None] * (order + 1), [{} for _ in range(order + 1)]
     for k in range(1, order + 1):
         n = [max(1, sum(1 for v in adjusted[k].values() if v == i)) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1])
         discounts[k] = [0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), top) for i, top in ((1, 0.95), (2, 1.9), (3, 2.8))]
+        for g, v in adjusted[k].items():
+            after[k].setdefault(g[:-1], []).append(v)
 
     def p(g):
         if not g:
             return 1 / (len(adjusted[1]) + 1)
         k = len(g)
-        same = [(h, v) for h, v in adjusted[k].items() if h[:-1] == g[:-1]]
-        total = sum(v for _, v in same)
-        if not total:
+        same = after[k].get(g[:-1])
+        if not same:
             return p(g[1:])
-        cut = discounts[k]
-        own = adjusted[k].get(g, 0)
-        return max(0, own - cut[min(own, 3)]) / total + sum(cut[min(v, 3)] for _, v in same) / total * p(g[1:])
+        cut, own = discounts[k], adjusted[k].get(g, 0)
+        return (own - cut[min(own, 3)]) / sum(same) + sum(cut[min(v, 3)] for v in same) / sum(same) * p(g[1:])
 
     return p
 
 
-def test_model_equals_plain_kneser_ney(spark):
-    text = "the cat sat on the mat and then that hat sat there on that cat " * 2 + "the rat ate oats at ten"
-    words = {}
-    for w in text.split():
-        words[w] = words.get(w, 0) + 1
-    docs = spark.createDataFrame([(1, text[:60], "en"), (2, text[60:], "en"), (3, "ein hut", "de")], "doc_id long, text string, lang string")
-    cut = {}
-    for part in (text[:60], text[60:]):
-        for w in part.split():
-            cut[w] = cut.get(w, 0) + 1
-    model, p = perplexity.fit(docs, order=3, bits=30), plain_kneser_ney(cut, 3)
-    for w in ("the", "cat", "tat", "zebra", "a"):
-        u = ("<", *w, ">")
-        expected = sum(np.log(max(1e-12, p(u[max(0, i - 2) : i + 1]))) for i in range(1, len(u)))
-        got, n = model.log_probs([w.encode()], "en")
-        assert n[0] == len(w) + 1 and abs(got[0] - expected) < 1e-9
-    assert np.isnan(model.log_probs([b"x"], "fr")[0][0])
+def scored_by(scorer, text):
+    logs, units = scorer.score([text.encode().split()])
+    return float(logs[0]), int(units[0])
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_model_equals_plain_kneser_ney(spark, order):
+    text = "the cat sat on the mat and then that hat sat there on that cat a b  c " * 2 + "the rat ate oats at ten"
+    rows = [(1, text[:60], "en"), (2, text[60:], "en"), (3, "ein hut", "de"), (4, "é\x00 中文 \U0001d518 x", "en"), (5, None, "en"), (6, " ", "en"), (7, "nul is no language", None)]
+    folder = perplexity.build_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order)
+    for lang in ("en", "de", None):
+        p = plain_kneser_ney([(t or "").replace("\x00", "\ufffd") for _, t, x in rows if x == lang], order)
+        scorer = perplexity.Scorer(perplexity.Model(folder, lang, order))
+        for probe in (text, text[:60], "zebra cat", "the", "tac eht", "ein hut", "nul is", "cat the on sat", "é 中 x"):
+            expected = [np.log(max(1e-12, p(g))) for g in places(probe, order)]
+            got, n = scored_by(scorer, probe)
+            assert n == len(expected) and abs(got - sum(expected)) < 1e-8
+    assert np.isnan(scored_by(perplexity.Scorer(perplexity.Model(folder, "fr", order)), "x")[0])
+
+
+def test_perplexity_bands_and_kept_equal_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    found = {r["doc_id"]: r for r in perplexity.op3_perplexity(spark, sf).collect()}
+    assert len(found) == len(docs)
+    for lang in {x for _, _, x in docs}:
+        own = [(i, t) for i, t, x in docs if x == lang]
+        p, cache = plain_kneser_ney([t or "" for _, t in own], 5), {}
+        value = {}
+        for i, t in own:
+            at = places(t or "", 5)
+            for g in set(at) - cache.keys():
+                cache[g] = np.log(max(1e-12, p(g)))
+            value[i] = float(np.exp(-sum(cache[g] for g in at) / len(at))) if at else None
+            assert value[i] is None and found[i]["perplexity"] is None or abs(found[i]["perplexity"] / value[i] - 1) < 1e-9
+        passed = sorted(math.floor(math.log(value[i]) / perplexity.STEP) for i, _ in own if not found[i]["base_failed"])
+        if not passed:
+            continue
+        middle = lambda x: sorted(x)[(len(x) + 1) // 2 - 1]
+        spread = 1.4826 * middle([abs(b - middle(passed)) for b in passed])
+        low, high = math.exp((middle(passed) - 3 * spread) * perplexity.STEP), math.exp((middle(passed) + 1 + 3 * spread) * perplexity.STEP)
+        for i, _ in own:
+            assert found[i]["kept"] == (not found[i]["base_failed"] and low <= value[i] <= high)
+
+
+def test_shuffled_words_score_worse(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("red fox ran far and saw ten old men sit".split()[(i + k) % 10] for k in range(60)), "en") for i in range(30)]
+    folder = perplexity.build_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = perplexity.Scorer(perplexity.Model(folder, "en", 5))
+    words = rows[0][1].split()
+    rng.shuffle(words)
+    assert scored_by(scorer, " ".join(words))[0] < 2 * scored_by(scorer, rows[0][1])[0]
 
 
 def test_junk_does_not_move_the_band(spark):
