@@ -211,12 +211,13 @@ def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.unique(size).tolist():
             of = np.flatnonzero(size == k)
             out[of] = gram_keys(codes([texts[i] for i in of]).reshape(len(of), k)) if k else gram_keys(np.zeros((len(of), 0), np.uint32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), batch.column(2), pa.array(out.view(np.int64)), batch.column(3)], names=["lang", "k", "kind", "hash", "value"])
+        level = 2 * size.astype(np.int32) + batch.column(2).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level), pa.array(out.view(np.int64)), batch.column(3)], names=["lang", "level", "hash", "value"])
 
 
 def build_model(docs: DataFrame, order: int = 5) -> str:
-    """Writes the model of all documents, by language, and returns its folder. Rows: lang; k, the units; kind, 'p' for the
-    probability of an n-gram after its context and 'rest' for the back-off weight of a context; hash; value."""
+    """Writes the model of all documents, by language, and returns its folder. Rows: lang; level, which is 2k for the back-off
+    weight of a context of k units and 2k + 1 for the probability of an n-gram of k units; hash; value."""
     parts, below = [], None
     for k, level in enumerate(kneser_ney_counts(count_grams(docs, order), order), 1):
         rows = level.join(discounts(level), "lang").withColumn("context", F.expr(f"left(gram, {k - 1})"))
@@ -225,18 +226,18 @@ def build_model(docs: DataFrame, order: int = 5) -> str:
         rows = rows.select("lang", "gram", "context", F.expr("substring(gram, 2)").alias("shorter"), "size", (F.col("own") / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("rest"))
         if below is None:
             rows = rows.withColumn("p", F.col("own") + F.col("rest") / (F.col("size") + 1))
-            parts.append(rows.groupBy("lang").agg((1 / (F.max("size") + 1)).alias("value")).select("lang", F.lit("").alias("gram"), F.lit("p").alias("kind"), "value"))
+            parts.append(rows.groupBy("lang").agg((1 / (F.max("size") + 1)).alias("value")).select("lang", F.lit("").alias("gram"), F.lit(True).alias("is_p"), "value"))
         else:
             rows = rows.join(below, ["lang", "shorter"]).withColumn("p", F.col("own") + F.col("rest") * F.col("shorter_p"))
         rows = settled(rows.select("lang", "gram", "context", "rest", "p"), f"model-{k}")
         below = rows.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("shorter_p"))
-        parts += [rows.select("lang", "gram", F.lit("p").alias("kind"), F.col("p").alias("value")), rows.groupBy("lang", F.col("context").alias("gram")).agg(F.first("rest").alias("value")).select("lang", "gram", F.lit("rest").alias("kind"), "value")]
+        parts += [rows.select("lang", "gram", F.lit(True).alias("is_p"), F.col("p").alias("value")), rows.groupBy("lang", F.col("context").alias("gram")).agg(F.first("rest").alias("value")).select("lang", "gram", F.lit(False).alias("is_p"), "value")]
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
     folder = new_folder(docs.sparkSession, "kneser-ney")
-    by = ["lang", "k", "kind", "hash"]
-    every.mapInArrow(_hash_grams, "lang string, k int, kind string, hash long, value double").repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(folder)
+    by = ["lang", "level", "hash"]
+    every.mapInArrow(_hash_grams, "lang string, level int, hash long, value double").repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(folder)
     return folder
 
 
@@ -247,17 +248,22 @@ class Model:
         store, root = fs.FileSystem.from_uri(folder)
         files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet") and x.size)
         name = "" if lang is None else f"={lang}"
-        rows = ds.dataset(files, filesystem=store, format="parquet").to_table(columns=["k", "kind", "hash", "value"], filter=ds.field("lang") == name)
-        k, kind, hashes, values = rows["k"].to_numpy(), rows["kind"].to_numpy() == "p", rows["hash"].to_numpy(), rows["value"].to_numpy()
+        rows = ds.dataset(files, filesystem=store, format="parquet")
+        parts = {i: [(np.zeros(0, np.int64), np.zeros(0))] for i in range(2 * order + 2)}
+        few = {"use_threads": False, "batch_readahead": 1, "fragment_readahead": 1}  # a worker has little memory
+        for batch in rows.to_batches(columns=["level", "hash", "value"], filter=ds.field("lang") == name, **few) if files else ():
+            level, hashes, values = (batch.column(i).to_numpy() for i in range(3))
+            for i in np.unique(level).tolist():
+                of = level == i
+                parts[i].append((hashes[of], values[of]))
         self.order, self.levels = order, {}
-        for i in range(order + 1):
-            for p in (True, False):
-                of = np.flatnonzero((k == i) & (kind == p))
-                by = of[np.argsort(hashes[of], kind="stable")]
-                self.levels[p, i] = hashes[by], values[by]
+        for i in list(parts):
+            hashes, values = (np.concatenate(x) for x in zip(*parts.pop(i), strict=True))
+            by = np.argsort(hashes, kind="stable")  # files are sorted already
+            self.levels[i] = hashes[by], values[by]
 
     def _look(self, p: bool, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, values = self.levels[p, grams.shape[1]]
+        hashes, values = self.levels[2 * grams.shape[1] + p]
         keys = gram_keys(grams).view(np.int64)
         if not len(hashes):
             return np.zeros(len(keys)), np.zeros(len(keys), bool)
@@ -287,13 +293,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.keys, self.logs = model, np.zeros(0, np.uint64), np.zeros(0)
-        self.table = WordTable(self.describe, 200_000)
+        self.table = WordTable(self.describe, 100_000)
 
     def describe(self, words: list[bytes]) -> dict[str, np.ndarray]:
         x = Words(words, self.model.order)
         keys, first, inverse = np.unique(gram_keys(x.grams), return_index=True, return_inverse=True)
         inner = np.bincount(x.owner, self.model.log_p(x.grams[first])[inverse], len(words)) if len(keys) else np.zeros(len(words))
-        return {"inner": inner, "units": x.units, "first": x.first, "last": x.last, "first_key": gram_keys(x.first), "last_key": gram_keys(x.last)}
+        return _rule_words(words) | {"inner": inner, "units": x.units, "first": x.first, "last": x.last, "first_key": gram_keys(x.first), "last_key": gram_keys(x.last)}
 
     def pairs(self, keys: np.ndarray, last: Callable, first: Callable, limit: int = 1_000_000) -> np.ndarray:
         """The log probabilities of the beginnings of words after the ends of others, by sorted distinct keys."""
@@ -311,19 +317,22 @@ class Scorer:
                 self.keys, self.logs = np.insert(self.keys, place, keys[fresh]), np.insert(self.logs, place, out[fresh])
         return out
 
-    def score(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The log probability and the number of units of each text."""
+    def score(self, lists: list[list[bytes]]) -> dict[str, np.ndarray]:
+        """For each text: log probability and units, words, their characters and symbols, and words that repeat."""
         t = self.table
         numbers, starts = t.numbers(lists)
         if not len(numbers):
-            return np.zeros(len(lists)), np.zeros(len(lists), np.int64)
+            none = np.zeros(len(lists), np.int64)
+            return {"log": np.full(len(lists), np.nan), **dict.fromkeys(("units", "n_words", "word_chars", "n_symbols", "n_repeat_words"), none)}
         before, own = neighbours(numbers, starts)
-        none = gram_keys(np.zeros((1, t.last.shape[1]), np.uint32))
-        key = mixed(np.where(before < 0, none[0], t.last_key[before]) * ODD + t.first_key[own])
+        no_word = gram_keys(np.zeros((1, t.last.shape[1]), np.uint32))
+        key = mixed(np.where(before < 0, no_word[0], t.last_key[before]) * ODD + t.first_key[own])
         keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         last = lambda i: np.where((before[one[i]] < 0)[:, None], 0, t.last[before[one[i]]]).astype(np.uint32)
         logs = t.inner[own] + self.pairs(keys, last, lambda i: t.first[own[one[i]]])[inverse]
-        return sums(logs, starts), sums(t.units[own], starts)
+        out = {name: sums(x[own], starts) for name, x in (("units", t.units), ("word_chars", t.chars), ("n_symbols", t.symbols))}
+        n = np.diff(starts)
+        return out | {"log": np.where(n > 0, sums(logs, starts), np.nan), "n_words": n, "n_repeat_words": repeated_words(t.hash[own], starts)}
 
 
 # ---- scoring
@@ -358,29 +367,24 @@ SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def _scorer(folder: str, order: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, scorers = held(f"perplexity {folder}", lambda: (WordTable(_rule_words), {}))
+        scorers: dict[str | None, Scorer] = held(f"perplexity {folder}", dict)
         for batch, texts, langs in _by_language(batches):
             lists = [t.split() if t else [] for t in texts]
-            numbers, starts = rules.numbers(lists)
-            empty = np.zeros(0, np.int64)
-            pick = lambda a: a[numbers] if len(numbers) else empty
-            repeats = repeated_words(pick(rules.hash).astype(np.uint64) if len(numbers) else np.zeros(0, np.uint64), starts)
-            n = np.diff(starts)
-            logs, unit = np.full(len(texts), np.nan), np.ones(len(texts))
+            out = {c: np.zeros(len(texts), np.int64) for c in ("units", "n_words", "word_chars", "n_symbols", "n_repeat_words")} | {"log": np.full(len(texts), np.nan)}
             for lang in set(langs):
-                chosen = [i for i, x in enumerate(langs) if x == lang and lists[i]]
-                if chosen:
-                    if lang not in scorers:
-                        scorers[lang] = Scorer(Model(folder, lang, order))
-                    logs[chosen], unit[chosen] = scorers[lang].score([lists[i] for i in chosen])
-            failed = (n < 10) | (100 * repeats > 20 * n)
+                chosen = [i for i, x in enumerate(langs) if x == lang]
+                if lang not in scorers:
+                    scorers[lang] = Scorer(Model(folder, lang, order))
+                for c, x in scorers[lang].score([lists[i] for i in chosen]).items():
+                    out[c][chosen] = x
+            failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
+            perplexity = np.exp(-out["log"] / np.maximum(1, out["units"]))
+            dup = [duplicate_lines(t) if t else 0 for t in texts]
+            rules = [pa.array(out[c]) for c in ("n_words", "word_chars", "n_symbols")] + [pa.array(dup, pa.int64()), pa.array(out["n_repeat_words"])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(batch.schema.get_field_index("lang")), pa.array(n), pa.array(sums(pick(rules.chars) if len(numbers) else empty, starts)), pa.array(sums(pick(rules.symbols) if len(numbers) else empty, starts)),
-                    pa.array([duplicate_lines(t) if t else 0 for t in texts], pa.int64()), pa.array(repeats), pa.array(failed), pa.array(np.exp(-logs / unit), from_pandas=True),
-                ],
+                [batch.column(0), batch.column(batch.schema.get_field_index("lang")), *rules, pa.array(failed), pa.array(perplexity, from_pandas=True)],
                 names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "perplexity"],
-            )
+            )
 
     return score
 

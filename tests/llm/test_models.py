@@ -86,8 +86,8 @@ def plain_kneser_ney(texts, order):
 
 
 def scored_by(scorer, text):
-    logs, units = scorer.score([text.encode().split()])
-    return float(logs[0]), int(units[0])
+    found = scorer.score([text.encode().split()])
+    return float(found["log"][0]), int(found["units"][0])
 
 
 @pytest.mark.parametrize("order", [3, 5])
