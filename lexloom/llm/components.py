@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
+SALTS = 16
+
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """Every node hangs its larger (large) or its other smaller neighbours (small) on its smallest neighbour or itself."""
     both = links if not large else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    # A node with many neighbours falls in SALTS parts, and its smallest neighbour goes to each of them.
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
     out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -21,7 +25,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """`links` has longs a and b; returns (node, component), the component being its smallest node, for linked nodes.
 
     The number of rounds grows with the logarithm of the longest path. Hot nodes do not gather their neighbours: each
-    round is a partial aggregate (the smallest neighbour) and a join on the node, which adaptive execution may split.
+    round is a partial aggregate (the smallest neighbour) and a join on the node and one of SALTS parts of its neighbours.
     Nulls and self-links are left out; without links the result is empty."""
     now = settled(links.filter("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), name)
     while True:

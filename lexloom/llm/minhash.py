@@ -4,9 +4,13 @@
    functions. Each r of them form a half key: m half keys u and m half keys v. The keys of the m*m tables are all
    pairs (u_i, v_j), so m*m tables cost 2*m*r minima. Two sets of similarity s meet in some table with probability
    (1 - (1 - s^r)^m)^2; m is chosen so that at the threshold less than 1 in 10,000 pairs are missed.
-2. Documents with equal sets form a class at once; only one document of a class goes on.
-3. Per key, a partial aggregate finds the smallest class, and each other class is linked to it. The components of
-   these stars are clusters: any two classes that share a key are in one cluster.
+2. Documents with equal sets form a class at once; only one document of a class goes on. Classes have numbers of their
+   own, so rows that repeat a doc_id with other texts stay apart.
+3. Candidates come from the keys. Classes of one key are candidates if `agreeing` or more of their 2*m*r minima have the
+   same last byte, which again misses less than 1 in 10,000 pairs at the threshold and leaves out nearly all of half of it.
+   Per key, a partial aggregate finds the smallest class, and all others are held against it. Where some of them are not
+   alike it, the whole group of the key is compared by those bytes, in blocks of bounded size; a task returns no more
+   candidates than join its classes. Components of the candidates are clusters.
 4. Within a cluster all pairs are compared on full sets, in blocks of bounded size, through an inverted index of the
    block's shingles; a task returns only the links that join two components. Small clusters share blocks. For large
    ones the first round compares within blocks and against the classes that are the centre of most stars; the second
@@ -15,25 +19,26 @@
 5. Components of the confirmed links give each document's component, its smallest doc_id.
 
 Edge cases: texts with fewer than n words, but not none, are one shingle; texts without words (or null) have no set and
-are linked with nothing; rows that repeat a doc_id count as one document; rows without doc_id are kept and have no
-component; an empty table gives an empty result; other columns are ignored.
+are linked with nothing; rows that repeat a doc_id are documents of their own with one id; rows without doc_id are kept
+and have no component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, WordTable, chunks, gram_hashes, held, mixed, settled, tables, word_hash
 from .components import components
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>, traces array<tinyint>"
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +60,19 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def tables_for(percent: int, r: int = 2, miss: float = 1e-4) -> int:
+def tables_for(percent: int, r: int = 3, miss: float = 1e-4) -> int:
     """The number m of half keys of each kind that keeps misses at the threshold below `miss`."""
     return max(1, math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** r)))
 
 
+def agreeing(percent: int, minima: int, miss: float = 1e-4) -> int:
+    """How many of the minima are equal in all but `miss` of the pairs at the threshold; one at least."""
+    p, below, k = percent / 100, 0.0, 0
+    while below + (here := math.comb(minima, k) * p**k * (1 - p) ** (minima - k)) < miss:
+        below, k = below + here, k + 1
+    return max(1, k)
+
+
 def _sketcher(n: int, r: int, m: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(8).integers(1, 1 << 63, 2 * m * r, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,6 +81,7 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(size)
             d1, d2, half = (np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), 2 * m), np.uint64))
+            trace = np.zeros((len(sets), 2 * m * r), np.int8)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.cumsum(size[full]) - size[full]
@@ -78,9 +92,10 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
                 part = np.zeros((len(full), 2 * m), np.uint64)
                 for k in range(r):
                     part = mixed(part + least[:, k * 2 * m : (k + 1) * 2 * m])
-                half[full] = part
+                half[full], trace[full] = part, (mixed(least) & np.uint64(255)).astype(np.uint8).view(np.int8)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).ravel()), m).cast(pa.list_(pa.int64())) for x in (half[:, :m], half[:, m:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "n_shingles", "d1", "d2", "u", "v"])
+            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(trace.ravel()), 2 * m * r).cast(pa.list_(pa.int8())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "u", "v", "traces"])
 
     return sketch
 
@@ -143,29 +158,73 @@ def _linker(n: int, percent: int) -> Callable:
     return link
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: int = 150_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row; links are sets with 100 * common >= percent * union.
+def _alike(a: str, b: str, least: int) -> Column:
+    return F.expr(f"size(filter(zip_with({a}, {b}, (i, j) -> i = j), same -> same))") >= least
+
+
+def _grouper(least: int) -> Callable:
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of alike classes of one group that join all that are alike; rows of either block are held against all."""
+        pdf = pdf.drop_duplicates("node")
+        node, traces = pdf["node"].to_numpy(), np.array(pdf["traces"].tolist(), np.int8).reshape(len(pdf), -1)
+        root, found = np.arange(len(pdf)), []
+        for i in range(len(pdf)):
+            close = np.flatnonzero((traces[i] == traces[i + 1 :]).sum(1) >= least) + i + 1
+            for j in close[root[close] != root[i]].tolist():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    found.append((i, j))
+        return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]}, dtype="int64")
+
+    return group
+
+
+def candidates(classes: DataFrame, least: int, block: int = 2000) -> DataFrame:
+    """Links (a, b) that join all classes which share a key and at least `least` minima. `classes` has node, u, v, traces."""
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
+    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
+    stars = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
+    met = settled(keys.join(stars, "key").filter("node != centre"), "met")
+    traces = lambda name: classes.select(F.col("node").alias(name), F.col("traces").alias(f"{name}_traces"))
+    pairs = met.groupBy("node", "centre").agg(F.count("*").alias("meets")).join(traces("node").hint("merge"), "node").join(traces("centre").hint("merge"), "centre")
+    pairs = settled(pairs.select("node", "centre", "meets", _alike("node_traces", "centre_traces", least).alias("alike")), "stars")
+    links = pairs.filter("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+    # Groups with a class that is not alike their centre; of groups with the same classes one will do.
+    open_ = met.join(pairs.filter("not alike").select("node", "centre"), ["node", "centre"]).groupBy("key").agg(F.first("centre").alias("centre"))
+    rows = met.join(open_.drop("centre"), "key").select("key", "node").unionByName(open_.select("key", F.col("centre").alias("node")))
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("low")).filter("n > 2")
+    once = same.groupBy("n", "s", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).alias("k"))
+    rows = rows.join(once, "key").withColumn("p", F.pmod(F.xxhash64("node"), "k"))
+    # Each block meets each other once: the unit of blocks p and q, the smaller first; alone, block 0 meets itself.
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("k = 1 or p != q")
+    rows = rows.select(F.struct("key", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "node").join(classes.select("node", "traces"), "node")
+    return links.unionByName(settled(rows.groupBy("unit").applyInPandas(_grouper(least), "a long, b long"), "alike"))
+
+
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 150_000) -> DataFrame:
+    """doc_id, text_hash, n_shingles and first for each row; first is the doc_id and text_hash of the first row of its
+    group, null where there is no set or no doc_id. Links are sets with 100 * common >= percent * union.
 
     `block` bounds the shingles that one comparison task holds (a single longer text may exceed it)."""
     m = tables_for(percent, r)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sketch = settled(texts.mapInArrow(_sketcher(n, r, m), SKETCH), "sketch")
-    classes = settled(sketch.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v")).filter("node is not null"), "classes")
-    dealt = classes.select("node", "u", "v").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
-    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
-    stars = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-    near = settled(keys.join(stars, "key").filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("meets")), "stars")
-    clusters = settled(components(near.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("node", F.col("component").alias("cluster")).join(classes.select("node", "size"), "node"), "clusters")
+    sets = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
+    sets = sets.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v"), F.any_value("traces").alias("traces"))
+    classes = settled(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
+    near = candidates(classes.select("node", "u", "v", "traces"), agreeing(percent, 2 * m * r))
+    clusters = settled(components(near).select("node", F.col("component").alias("cluster")).join(classes.select("node", "size", "rep"), "node"), "clusters")
 
     # The number of blocks of each cluster; those of one block share units of about a block.
     total = clusters.groupBy("cluster").agg(F.sum("size").alias("shingles")).withColumn("n_blocks", F.ceil(F.col("shingles") / block))
     units = total.filter("n_blocks = 1").agg(F.ceil(F.coalesce(F.sum("shingles"), F.lit(0)) / block).alias("k")).first()["k"] or 1
     placed = clusters.join(total, "cluster").withColumn("block", F.when(F.col("n_blocks") > 1, F.pmod(F.xxhash64("node"), "n_blocks")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(units))))
-    member = settled(
-        texts.filter("text is not null").withColumnRenamed("doc_id", "node").join(placed.hint("merge"), "node").withColumn("component", F.col("node")).select("node", "cluster", "component", "size", "n_blocks", "block", "text"), "members"
-    )
+    placed = placed.select("node", "cluster", F.col("node").alias("component"), "size", "n_blocks", "block", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
+    member = texts.filter("text is not null").join(placed.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["node"])  # rows repeated word for word
+    member = settled(member.select("node", "cluster", "component", "size", "n_blocks", "block", "text"), "members")
     large = member.filter("n_blocks > 1")
-    centres = near.join(clusters.select(F.col("node").alias("centre"), "cluster"), "centre").groupBy("cluster", "centre").agg(F.count("*").alias("n"))
+    centres = near.select(F.col("b").alias("centre")).join(clusters.select(F.col("node").alias("centre"), "cluster"), "centre").groupBy("cluster", "centre").agg(F.count("*").alias("n"))
     pivots = centres.groupBy("cluster", F.pmod(F.xxhash64("centre"), F.lit(16)).alias("s")).agg(F.max_by("centre", F.struct("n", "centre")).alias("node")).select("cluster", "node")
     spread = large.drop("block").join(pivots, ["cluster", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     unit = F.when(F.col("n_blocks") > 1, F.col("cluster")).otherwise(-1).alias("owner")
@@ -173,12 +232,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2,
     links = settled(first.groupBy("unit").applyInPandas(_linker(n, percent), "a long, b long"), "links")
     if large.limit(1).count():
         links = links.unionByName(_across_blocks(large, links, n, percent, block))
-    found = components(links, "groups")
-    node_of = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(node_of, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    joined = classes.join(components(links, "groups"), "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("component"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("first"))
+    node_of = joined.join(least, "component").select("d1", "d2", "first")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")
+    return sketch.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(node_of, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", own)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 150_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; see groups()."""
+    found = groups(docs, n, percent, r, block).withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _across_blocks(large: DataFrame, links: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -201,17 +265,21 @@ def _across_blocks(large: DataFrame, links: DataFrame, n: int, percent: int, blo
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, without those whose group has a smaller doc_id; of rows that repeat a
-    doc_id one stays (the one whose text is smallest)."""
-    gone = near_duplicates(docs, n, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    gone = settled(gone, "gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    again = settled(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "again")
+    """The rows of `docs`, with all their columns, of which each group keeps one: the one with the smallest doc_id, of
+    those the one with the smallest hash of its text, and one of rows that agree in both. Rows without words or without
+    doc_id stay. Columns of any names pass through."""
+    found = groups(docs, n, percent).filter("first is not null")
+    i, h, row, k = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "hash", "row", "place"))
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    seen = settled(found.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.count("*").alias("rows"), F.max(same).alias("first")), "seen")
+    mine = [F.col("doc_id").cast("long") == F.col(i), F.xxhash64(F.col("text").cast("string")) == F.col(h)]
+    left = docs.join(seen.filter("not first").select(i, h), mine, "left_anti")
+    again = seen.filter("first and rows > 1").select(i, h)
     if not again.limit(1).count():
         return left
-    several = left.join(again, F.col("doc_id") == F.col("again"), "left_semi")
-    place = several.select(F.struct("*").alias("row")).withColumn("k", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
-    return left.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(place.filter("k = 1").select("row.*"))
+    several = docs.join(again, mine, "left_semi").select(F.struct("*").alias(row))
+    one = several.withColumn(k, F.row_number().over(Window.partitionBy(f"{row}.doc_id", F.xxhash64(f"{row}.text")).orderBy(F.xxhash64(row))))
+    return left.join(again, mine, "left_anti").unionByName(one.filter(F.col(k) == 1).select(f"{row}.*"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,34 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     assert sorted(i for i in ids if i is not None) == sorted(smallest) and ids.count(None) == 2
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 100, 9999) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (9, b + " tail"), (4, c), (4, c), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, 1, True, "x") for i, t in rows], "doc_id long, text string, gone long, first boolean, again string")
+    found = [tuple(r) for r in minhash.near_duplicates(docs, 3, 85).select("doc_id", "component_id", "kept").collect()]
+    assert sorted(found) == [(4, 4, True)] * 4 + [(5, 5, True)] * 2 + [(7, 5, False)] + [(9, 5, False)] * 2
+    kept = minhash.keep_one_of_each(docs, 3, 85)
+    assert kept.schema == docs.schema
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(5, a), (5, b), (4, c), (4, ""), (4, "")])
+
+
+def test_texts_of_a_template_are_no_cluster(spark):
+    """Thousands of texts of similarity 0.3 share keys, but are not compared with each other; links among them are found."""
+    rng = random.Random(4)
+    template = prose(rng, 46, 99999).split()
+    texts = [" ".join(template + prose(rng, 54, 99999).split()) for _ in range(3000)]
+    texts += [t + " tail" for t in texts[:50]]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert found == {i: i - 3000 if i >= 3000 else i for i, _ in rows}
+    sketch = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    m = minhash.tables_for(85)
+    classes = sketch.mapInArrow(minhash._sketcher(3, 3, m), minhash.SKETCH).selectExpr("doc_id as node", "u", "v", "traces")
+    links = minhash.candidates(classes, minhash.agreeing(85, 6 * m), block=40).collect()
+    assert {(max(r), min(r)) for r in links} >= {(i + 3000, i) for i in range(50)} and len({(max(r), min(r)) for r in links}) == 50
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
