@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rules as U
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SKIPPED = {"head", "meta", "script", "style", "iframe", "footer", "aside"}
 # The tags that begin a paragraph.
@@ -20,8 +22,9 @@ BLOCKS = {
     "body", "blockquote", "caption", "center", "col", "colgroup", "dd", "div", "dl", "dt", "fieldset", "form", "legend", "optgroup", "option", "p", "pre",
     "table", "td", "textarea", "tfoot", "th", "thead", "tr", "ul", "li", "h1", "h2", "h3", "h4", "h5", "h6",
 }
-NODES = "page_id long, pre int, subtree_end int, tag string, depth int, attrs map<string,string>, parent_tag string, parent_attrs map<string,string>, text string"
-PARAGRAPHS = "page_id long, para_seq int, text string, chars_in_links int, is_heading boolean, tag_path string"
+NODES = "page_id long, pre int, subtree_end int, tag string, depth int, attrs map<string,string>, parent_tag string, parent_attrs map<string,string>, gp_attrs map<string,string>, text string, render_text string"
+PARAGRAPHS = "page_id long, para_seq int, text string, chars_in_links int, is_heading boolean, tag_path string, doc_start boolean"
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Walk(HTMLParser):
@@ -34,7 +37,8 @@ class _Walk(HTMLParser):
 
     def _add(self, tag: str, attrs: dict[str, str], text: str | None) -> int:
         up = self.nodes[self.open[-1]] if self.open else None
-        self.nodes.append([len(self.nodes), len(self.nodes), tag, len(self.open), attrs, up and up[2], up and up[4], text])
+        above = self.nodes[self.open[-2]] if len(self.open) > 1 else None
+        self.nodes.append([len(self.nodes), len(self.nodes), tag, len(self.open), attrs, up and up[2], up and up[4], text, above and above[4]])
         return len(self.nodes) - 1
 
     def handle_starttag(self, tag, attrs):
@@ -72,27 +76,56 @@ def walked(html: str | None) -> list[list]:
     return walk.done()
 
 
-def paragraphs_of(nodes: list[list]) -> list[tuple[str, int, bool, str]]:
-    """(text, characters in links, heading, path) of each paragraph.
+def rendered(nodes: list[list], row: list) -> str:
+    """All text below a node."""
+    return "".join(r[7] for r in nodes[row[0] : row[1] + 1] if r[2] == "#text" and r[7])
+
+
+def as_node(nodes: list[list], row: list) -> dict:
+    """A node as the rules see it."""
+    return {"tag": row[2], "attrs": row[4], "parent_tag": row[5], "parent_attrs": row[6], "gp_attrs": row[8], "text": lambda: rendered(nodes, row)}
+
+
+def render_text(nodes: list[list], row: list) -> str | None:
+    """The text below nodes that may hold a value by the rest of some rule."""
+    if row[2].startswith("#") or not (row[4] or row[2] == "a"):
+        return None
+    node = as_node(nodes, row)
+    return rendered(nodes, row) if any(U.matches(node, tuple(t for t in rule if t[0] != "text")) for rule in U.TEXT_RULES) else None
+
 
-    A paragraph begins with a block tag and when the walk leaves the path of the one before; text alone begins none.
-    Paragraphs without text are used again. Skipped tags go with all below them."""
+def skips(row: list, source_type: str | None) -> bool:
+    """Whether a node is left out with all below it."""
+    if row[2] in SKIPPED or row[2] == "#comment":
+        return True
+    return row[2][0] != "#" and any(U.matches(as_node([], row), r) for r in U.skip_rules(source_type))
+
+
+def paragraphs_of(nodes: list[list], source_type: str | None = "") -> tuple[list[tuple], list[int]]:
+    """(text, characters in links, heading, path, document start) of each paragraph, and for each node the number of
+    document starts up to it, 0 in skipped parts.
+
+    A paragraph begins with a block tag, at a document start and when the walk leaves the path of the one before; text
+    alone begins none. Paragraphs without text are used again, with their marks. Skipped tags go with all below them. The
+    source type '' has no rules: no starts, and no parts are skipped but those of SKIPPED."""
+    starts = U.start_rules(source_type) if source_type != "" else []
     out: list[list] = []
-    now: list = [[], 0, False, ""]
-    base, path, skip = 0, [], -1
+    now: list = [[], 0, False, "", False]
+    base, path, skip, count, docs = 0, [], -1, 0, [0] * len(nodes)
 
     def begin(tag_path: str) -> None:
         nonlocal now
         if "".join(now[0]).strip():
             out.append(now)
-            now = [[], 0, False, tag_path]
+            now = [[], 0, False, tag_path, False]
         else:
             now[0], now[3] = [], tag_path
 
-    for pre, end, tag, depth, _attrs, _up, _ua, text in nodes:
+    for row in nodes:
+        pre, end, tag, depth, text = row[0], row[1], row[2], row[3], row[7]
         if pre <= skip:
             continue
-        if tag in SKIPPED or tag == "#comment":
+        if skips(row, source_type):
             skip = end
             continue
         path = path[:depth]
@@ -103,6 +136,7 @@ def paragraphs_of(nodes: list[list]) -> list[tuple[str, int, bool, str]]:
             if text:
                 now[0].append(text)
                 now[1] += len(text.strip()) if "a" in path else 0
+            docs[pre] = count
             continue
         path.append(tag)
         if tag == "br":
@@ -110,9 +144,14 @@ def paragraphs_of(nodes: list[list]) -> list[tuple[str, int, bool, str]]:
         elif tag in BLOCKS:
             begin("/".join(path))
             base = depth
-            now[2] = tag in {"h1", "h2", "h3", "h4", "h5", "h6"}
+            now[2] = tag in HEADINGS
+        if not now[4] and any(U.matches(as_node(nodes, row), r) for r in starts):
+            begin("/".join(path))
+            now[4] = True
+            count += 1
+        docs[pre] = count
     begin("")
-    return [(_joined(t), links, heading, p) for t, links, heading, p in out]
+    return [(_joined(t), links, heading, p, start) for t, links, heading, p, start in out], docs
 
 
 def _joined(texts: list[str]) -> str:
@@ -121,11 +160,15 @@ def _joined(texts: list[str]) -> str:
     return re.sub("\n+", "\n", re.sub(" +", " ", re.sub(r"[\t\r]", " ", "".join(texts)))).strip()
 
 
-def _per_page(make: Callable[[int, str | None], dict[str, list]], schema: pa.Schema) -> Callable:
+def _per_page(make: Callable[..., dict[str, list]], schema: pa.Schema) -> Callable:
+    own = dict(U.REGISTERED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source_type, tables in own.items():
+            U.register_rules(source_type, *tables)
         for batch in batches:
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict(make(page, html), schema=schema)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_pydict(make(*row), schema=schema)
 
     return run
 
@@ -134,24 +177,27 @@ _MAP = pa.map_(pa.string(), pa.string())
 
 
 def html_to_nodes(pages: DataFrame) -> DataFrame:
-    schema = pa.schema([("page_id", pa.int64()), ("pre", pa.int32()), ("subtree_end", pa.int32()), ("tag", pa.string()), ("depth", pa.int32()), ("attrs", _MAP), ("parent_tag", pa.string()), ("parent_attrs", _MAP), ("text", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("pre", pa.int32()), ("subtree_end", pa.int32()), ("tag", pa.string()), ("depth", pa.int32()), ("attrs", _MAP), ("parent_tag", pa.string()), ("parent_attrs", _MAP), ("gp_attrs", _MAP), ("text", pa.string()), ("render_text", pa.string())])
 
     def make(page: int, html: str | None) -> dict[str, list]:
         rows = walked(html)
         flat = lambda d: list(d.items()) if d is not None else None
-        return {"page_id": [page] * len(rows), "pre": [r[0] for r in rows], "subtree_end": [r[1] for r in rows], "tag": [r[2] for r in rows], "depth": [r[3] for r in rows], "attrs": [flat(r[4]) for r in rows], "parent_tag": [r[5] for r in rows], "parent_attrs": [flat(r[6]) for r in rows], "text": [r[7] for r in rows]}
+        return {"page_id": [page] * len(rows), "pre": [r[0] for r in rows], "subtree_end": [r[1] for r in rows], "tag": [r[2] for r in rows], "depth": [r[3] for r in rows], "attrs": [flat(r[4]) for r in rows], "parent_tag": [r[5] for r in rows], "parent_attrs": [flat(r[6]) for r in rows], "gp_attrs": [flat(r[8]) for r in rows], "text": [r[7] for r in rows], "render_text": [render_text(rows, r) for r in rows]}
 
     return pages.select("page_id", "html").mapInArrow(_per_page(make, schema), NODES)
 
 
 def segment_paragraphs(pages: DataFrame) -> DataFrame:
-    schema = pa.schema([("page_id", pa.int64()), ("para_seq", pa.int32()), ("text", pa.string()), ("chars_in_links", pa.int32()), ("is_heading", pa.bool_()), ("tag_path", pa.string())])
+    """Paragraphs of pages (page_id, html and, for document starts and skipped parts by its rules, source_type)."""
+    schema = pa.schema([("page_id", pa.int64()), ("para_seq", pa.int32()), ("text", pa.string()), ("chars_in_links", pa.int32()), ("is_heading", pa.bool_()), ("tag_path", pa.string()), ("doc_start", pa.bool_())])
 
-    def make(page: int, html: str | None) -> dict[str, list]:
-        rows = paragraphs_of(walked(html))
-        return {"page_id": [page] * len(rows), "para_seq": list(range(1, len(rows) + 1)), "text": [r[0] for r in rows], "chars_in_links": [r[1] for r in rows], "is_heading": [r[2] for r in rows], "tag_path": [r[3] for r in rows]}
+    def make(page: int, html: str | None, source_type: str | None) -> dict[str, list]:
+        rows, _ = paragraphs_of(walked(html), source_type)
+        return {"page_id": [page] * len(rows), "para_seq": list(range(1, len(rows) + 1)), "text": [r[0] for r in rows], "chars_in_links": [r[1] for r in rows], "is_heading": [r[2] for r in rows], "tag_path": [r[3] for r in rows], "doc_start": [r[4] for r in rows]}
 
-    return pages.select("page_id", "html").mapInArrow(_per_page(make, schema), PARAGRAPHS)
+    source = F.col("source_type") if "source_type" in pages.columns else F.lit("").alias("source_type")
+    out = pages.select("page_id", "html", source).mapInArrow(_per_page(make, schema), PARAGRAPHS)
+    return out if "source_type" in pages.columns else out.drop("doc_start")
 
 
 def prune_subtrees(nodes: DataFrame, bad: Column) -> DataFrame:
@@ -163,7 +209,7 @@ def prune_subtrees(nodes: DataFrame, bad: Column) -> DataFrame:
 # ---- classes
 
 
-def classify_basic(df: DataFrame, max_link_density=0.2, length_low=70, length_high=200, stop_low=0.3, stop_high=0.32) -> DataFrame:
+def classify_basic(df: DataFrame, max_link_density=0.2, length_low=60, length_high=130, stop_low=0.3, stop_high=0.32) -> DataFrame:
     """Adds cls from link_density, stop_density, text and chars_in_links; thresholds are numbers or columns."""
     n = F.length("text")
     cls = (
@@ -192,14 +238,14 @@ def revise_near_good(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def revise_headings(df: DataFrame, keys: list[str], order: str, cls: str, distance: int = 200) -> DataFrame:
-    """Headings of class `cls` become near-good (if short) or good (if bad) when the next good paragraph is near."""
+    """Headings of class `cls` become good where less than `distance` characters stand before the next good paragraph."""
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("_at", F.coalesce(before, F.lit(0)))
     good = F.first(F.when(F.col("cls") == "good", F.col("_at")), True).over(w.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("_gap", good - F.col("_at") - F.length("text"))
-    near = F.col("is_heading") & (F.col("cls") == cls) & (F.col("_gap") <= distance)
-    return rows.withColumn("cls", F.when(near, "near-good" if cls == "short" else "good").otherwise(F.col("cls"))).drop("_at", "_gap")
+    near = F.col("is_heading") & (F.col("cls") == cls) & (F.col("_gap") < distance)
+    return rows.withColumn("cls", F.when(near, "good").otherwise(F.col("cls"))).drop("_at", "_gap")
 
 
 def number_docs(paragraphs: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 # Lines of documents as paragraphs: those of documents divisible by `x` have some characters in links.
 LINES = "lines as (select doc_id, cast(i as int) as seq, ls[i] as text, cast(case when (doc_id + i) % 5 = 0 then length(ls[i]) // 3 else 0 end as int) as chars_in_links from (select doc_id, string_split(text, chr(10)) as ls, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents))"
 STOPS = f"len(list_filter(string_split(translate(lower(text), '.,;:!?()[]\"''', ''), ' '), lambda w: w <> '' and w in {STOP_SQL})) / greatest(1, len(list_filter(string_split(translate(lower(text), '.,;:!?()[]\"''', ''), ' '), lambda w: w <> '')))"
-BASIC = f"""basic as (select *, case when d > 0.2 then 'bad' when contains(text, '©') then 'bad' when length(text) < 70 then case when chars_in_links > 0 then 'bad' else 'short' end
-    when s > 0.32 then case when length(text) > 200 then 'good' else 'near-good' end when s >= 0.3 then 'near-good' else 'bad' end as cls
+BASIC = f"""basic as (select *, case when d > 0.2 then 'bad' when contains(text, '©') then 'bad' when length(text) < 60 then case when chars_in_links > 0 then 'bad' else 'short' end
+    when s > 0.32 then case when length(text) > 130 then 'good' else 'near-good' end when s >= 0.3 then 'near-good' else 'bad' end as cls
     from (select *, case when length(text) > 0 then chars_in_links / length(text) else 0.0 end as d, {STOPS} as s from lines))"""
 SHORT = """short as (select * replace (case when cls <> 'short' then cls when coalesce(a, '-') || ' ' || coalesce(b, '-') in ('good good', 'good near-good', 'near-good good', 'good -', '- good') then 'good' else 'bad' end as cls)
     from (select *, last_value(case when cls <> 'short' then cls end ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as a,
@@ -90,13 +90,6 @@ def h12_revise_near_good(t):
     return H.revise_near_good(H.revise_short(basic(t), ["doc_id"], "seq"), ["doc_id"], "seq").select("doc_id", "seq", "cls")
 
 
-@query("select doc_id, coalesce(case lang when 'de' then 120 when 'fr' then 100 end, 70) as length_low, cast(coalesce(case lang when 'de' then 0.4 end, 0.2) as double) as max_link_density from documents")
-def h13_settings_for(t):
-    settings = t.spark.createDataFrame([("de", 120, 0.4), ("fr", 100, None)], "lang string, ll int, mld double")
-    rows = t.documents.join(F.broadcast(settings), "lang", "left")  # a row for each source type
-    return rows.select("doc_id", F.coalesce("ll", F.lit(70)).alias("length_low"), F.coalesce("mld", F.lit(0.2)).alias("max_link_density"))
-
-
 @query("select conv_id, turn, cast(seq as bigint) as doc_seq from (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as seq from conversations) where seq > 0")
 def d2_number_docs(t):
     rows = t.conversations.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("para_seq"), (F.col("role") == "user").alias("doc_start"))
@@ -109,12 +102,6 @@ def d3_assemble_text(t):
     return H.assemble_text(rows).select(F.col("page_id").alias("conv_id"), "text")
 
 
-@query("select doc_id from documents where lang in ('en', 'de') or source <> 'src0'")
-def d4_drop_empty_url(t):
-    url = F.when(F.col("source") != "src0", F.col("source"))
-    return t.documents.filter(F.col("lang").isin("en", "de") | (F.coalesce(url, F.lit("")) != "")).select("doc_id")
-
-
 @query("select conv_id, arg_max(text, turn) filter (where role = 'user' and text is not null) as last_user, arg_max(text, turn) filter (where role = 'assistant' and text is not null) as last_assistant from conversations group by conv_id")
 def d5_last_value_metadata(t):
     rules = {"last_user": F.when(F.col("role") == "user", F.col("text")), "last_assistant": F.when(F.col("role") == "assistant", F.col("text"))}
@@ -128,12 +115,6 @@ def d8_parse_date(t):
     return t.orders.select("o_orderkey", X.parse_date(iso).alias("iso"), X.parse_date(named).alias("named"), X.relative_date(ago, ts("2024-01-30")).alias("ago"))
 
 
-@query("select doc_id, source as site_name, case when lang in ('en', 'de') then 'self' else 'https://' || source || '.example' end as real_doc, timestamp '2024-01-30' as date_retr from documents")
-def d12_fill_site_fields(t):
-    page = F.concat(F.lit("https://"), "source", F.lit(".example"))
-    return t.documents.select("doc_id", F.col("source").alias("site_name"), F.when(F.col("lang").isin("en", "de"), "self").otherwise(page).alias("real_doc"), ts("2024-01-30").alias("date_retr"))
-
-
 @query()
 def d13_page_meta(t):
     nodes = H.html_to_nodes(t.pages)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import frontier_queries, text_queries
+from .plans import frontier_queries, page_queries, text_queries
 from .plans.base import QUERIES, SQL
 
 
@@ -16,7 +16,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    assert frontier_queries
+    assert frontier_queries and page_queries
     return dict(QUERIES)
 
 

@@ -146,3 +146,90 @@ def test_charsets(spark):
 def test_suffix_types(spark):
     df = spark.createDataFrame([("1", "2.5", ["1", "2"], "x")], "a_i string, b_f string, c_is array<string>, d string")
     assert dict(S.cast_by_suffix(df).dtypes) == {"a_i": "int", "b_f": "float", "c_is": "array<int>", "d": "string"}
+
+
+def test_rules_as_columns_equal_rules_in_the_walk(spark):
+    """Every rule of every table, on nodes that hold it or nearly do."""
+    from lexloom.operators import rules as U
+
+    rules = U.GENERAL_SKIP + U.BLOG_SKIP + [r for x in U.STARTS.values() for r in x] + [r for t in (U.AUTHORS, U.DATES, U.PERMALINKS) for x in t.values() for r, _ in x] + U.IS_SEARCH + [r for r, _ in U.BURNED_AUTHORS] + [U.BURNED_DATE, U.JSON_LD]
+    html = []
+    for rule in rules:
+        around, own, tag, text = {"parent": {}, "grandparent": {}}, {}, "b", "AM Next schema.org"
+        ptag = "i"
+        for place, kind, value in rule:
+            whose, _, name = place.rpartition(".")
+            value = {"result-+headline": "result-headline", "[Ff]ull[_-]*[Oo]verlay": "Full_overlay"}.get(value, value.replace("+", "").replace("(?i)(notice|cookie)\\S*(notice|cookie)", "Cookie-notice").replace("[pP]erma-?link", "Permalink")) if kind == "like" else value
+            if name == "tag":
+                tag, ptag = (tag, value) if whose else (value, ptag)
+            elif name == "text":
+                text = value
+            else:
+                (around[whose] if whose else own)[name] = f"x {value}\ty" if kind == "word" else value
+        attrs = lambda d: "".join(f' {k}="{v}"' for k, v in d.items())
+        for at in (own, {k: v + "z" for k, v in own.items()}, {k: v.upper() for k, v in own.items()}, {}):
+            html.append(f"<u{attrs(around['grandparent'])}><{ptag}{attrs(around['parent'])}><{tag}{attrs(at)}>{text}</{tag}></{ptag}></u>")
+    page = "<html><body>" + "".join(html) + "</body></html>"
+    df = H.html_to_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")).filter("tag not like '#%'")
+    got = {r["pre"]: list(r["m"]) for r in df.select("pre", F.array(*[U.holds(r) for r in rules]).alias("m")).collect()}
+    nodes = H.walked(page)
+    held = 0
+    for row in nodes:
+        if not row[2].startswith("#"):
+            node = H.as_node(nodes, row)
+            expected = [U.matches(node, r) for r in rules]
+            held += sum(expected)
+            assert got[row[0]] == expected, (row, [rules[i] for i, (a, b) in enumerate(zip(got[row[0]], expected, strict=True)) if a != b])
+    assert held > len(rules) / 2
+
+
+def test_documents_of_a_thread_a_blog_and_a_search_page(spark):
+    from lexloom.operators import documents as D
+
+    forum = """<html><head><title>T</title></head><body><p>before any post</p>
+      <div class="message first" data-author="isaac" id=p1><span class="dateline_timestamp">Sep 20th, 2019 6:35 am</span><a title="Permalink" href="/t#p1">#1</a>
+        <p>It is what it is and that was all there was to it, as they would say of this and of that.</p><div class="modal"><p>It is not there, as this is what was to be left out of it.</p></div></div>
+      <div class="message" data-author="emmy" id=p2><span class="dateline_timestamp">11 months ago</span><p>And so it was with this and with that, or so they say of what it was to be.</p><p>xx yy zz</p></div></body></html>"""
+    blog = """<html><head><meta name="author" content="&lt;b&gt;Ann&lt;/b&gt; Other"><meta property="article:published_time" content="2021-03-04T05:06:07Z">
+      <script type="application/ld+json">{"@context":"https://schema.org","author":"Else","datePublished":"2001-01-01T00:00:00Z"}</script></head>
+      <body><div id="comments"><p>This is what was said of it by all of them, as it was for them to say so.</p></div><p>It is the first of all that there was to say, and so they said that it was this and that which was to be the one of them that was for us all to be.</p></body></html>"""
+    search = '<html><body><div class="card"><a class="card__link" href="/a">A</a></div><div class="card">no link</div><div class="next"><a class="next" href="/2">Next</a></div></body></html>'
+    other = "<html><body><p>It is only what it was, and there is no more to say of it than this and that.</p></body></html>"
+    rows = [(1, "https://f.example/t", forum, "forums"), (2, "https://b.example/p", blog, "blog"), (3, "https://s.example/q", search, "searchpage"), (4, "https://o.example", other, None), (5, "https://n.example", None, "blog"), (6, "https://e.example", "", "forums")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, source_type string")
+    now = F.lit("2024-01-30").cast("timestamp")
+    got = D.extract_documents(pages, now).orderBy("page_id", "doc_seq").collect()
+    short = [(r["page_id"], r["doc_seq"], r["url"], r["real_doc"], r["author"], r["date_post"] and r["date_post"].isoformat(), r["is_search"], r["text"][:12]) for r in got]
+    assert short == [
+        (1, 1, "/t#p1", "https://f.example/t", "isaac", "2019-09-20T06:35:00", False, "It is what i"),
+        (2, 1, "https://b.example/p", "self", "Ann Other", "2021-03-04T05:06:07", False, "It is the fi"),
+        (3, 1, "/a", "https://s.example/q", None, None, False, ""),
+        (3, 3, "/2", "https://s.example/q", None, None, True, ""),
+    ]
+    assert "left out" not in got[0]["text"] and "before any" not in got[0]["text"] and "said of it" not in got[1]["text"]
+    values = D.metadata(pages, now).filter("page_id = 1 and doc_seq = 2").collect()[0]
+    assert values["author"] == "emmy" and values["date_post"].isoformat() == "2023-02-28T00:00:00" and values["doc_url"] is None
+
+
+def test_headings_near_good_paragraphs(spark):
+    rows = [(1, 1, "Title", True, "short"), (1, 2, "x" * 150, False, "bad"), (1, 3, "good text", False, "good"), (2, 1, "Title", True, "short"), (2, 2, "x" * 200, False, "bad"), (2, 3, "good text", False, "good"), (3, 1, "Title", True, "short"), (4, 1, "Title", False, "short"), (4, 2, "good", False, "good")]
+    df = spark.createDataFrame(rows, "k int, i int, text string, is_heading boolean, cls string")
+    got = {(r["k"], r["i"]): r["cls"] for r in H.revise_headings(df, ["k"], "i", "short").collect()}
+    assert got[1, 1] == "good" and got[2, 1] == "short" and got[3, 1] == "short" and got[4, 1] == "short"
+
+
+def test_a_source_type_of_ones_own(spark):
+    from lexloom.operators import documents as D
+    from lexloom.operators import rules as U
+
+    U.register_rules("test", starts=[(("class", "word", "doc"),)], authors=[((("author", "there", ""),), "author")], settings={"length_low": 3.0, "length_high": 10.0, "stop_low": 0.0, "stop_high": 0.0})
+    try:
+        html = "<html><body>Do not mind me<div class=doc author=isaac><p>Hello there it is</p></div><div class=doc><p>and so farewell to all</p><p>that is it</p></div></body></html>"
+        pages = spark.createDataFrame([(1, "u", html, "test")], "page_id long, url string, html string, source_type string")
+        assert D.classified(pages).filter("doc_start").count() == 2
+        texts = H.assemble_text(H.number_docs(D.classified(pages))).orderBy("doc_seq").collect()
+        assert [r["text"] for r in texts] == ["Hello there it is", "and so farewell to all\n\nthat is it"]
+        assert [(r["doc_seq"], r["author"]) for r in D.metadata(pages, F.current_timestamp()).orderBy("doc_seq").collect()] == [(1, "isaac"), (2, None)]
+    finally:
+        for table in (U.STARTS, U.AUTHORS, U.SETTINGS, U.REGISTERED):
+            table.pop("test")
