@@ -203,6 +203,11 @@ def discounts(level: DataFrame) -> DataFrame:
     return level.groupBy("lang").agg(*ones, F.count("*").alias("size")).select("lang", F.array(*cut).alias("d"), "size")
 
 
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df` to be broadcast if it is known to be small, so that rows are not dealt by language."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -220,7 +225,7 @@ def build_model(docs: DataFrame, order: int = 5) -> str:
     weight of a context of k units and 2k + 1 for the probability of an n-gram of k units; hash; value."""
     parts, below = [], None
     for k, level in enumerate(kneser_ney_counts(count_grams(docs, order), order), 1):
-        rows = level.join(discounts(level), "lang").withColumn("context", F.expr(f"left(gram, {k - 1})"))
+        rows = level.join(_few(discounts(level)), "lang").withColumn("context", F.expr(f"left(gram, {k - 1})"))
         cut, after = _discount(F.col("n"), F.col("d")), Window.partitionBy("lang", "context")
         rows = rows.select("lang", "gram", "context", "size", (F.col("n") - cut).alias("own"), F.sum("n").over(after).alias("total"), F.sum(cut).over(after).alias("left"))
         rows = rows.select("lang", "gram", "context", F.expr("substring(gram, 2)").alias("shorter"), "size", (F.col("own") / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("rest"))
