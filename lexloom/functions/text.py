@@ -107,7 +107,7 @@ def strip_markup(text: Column) -> Column:
     """Markdown to plain text: code fences, images, links, headings, lists, quotes, emphasis."""
     for pattern, to in ((r"```[^`]*```", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^ {0,3}#{1,6} +", ""), (r"(?m)^ *(?:[-*+]|[0-9]+\.) +", ""), (r"(?m)^ *> ?", ""), (r"(\*\*|__|\*|`|~~)([^*_`~\n]+)\1", "$2"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def parse_date(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUFFIXES = "gif|jpg|jpeg|png|ico|css|js|zip|gz|bz2|exe|pdf|doc|docx|xls|xlsx|ppt|pptx|mp3|mp4|avi|mov|wmv|swf|svg|woff|ttf|eot|rss|xml|tar|tgz|rar|jar|iso|dmg|apk|wav|ogg|webm|webp|bmp|tif|tiff|eps|ps"
-PRIVATE = r"^[a-z]+://(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|\[?::1)"
+# Suffixes of files that hold no text, and patterns of addresses that are not crawled.
+SUFFIXES = "apk|deb|cab|iso|gif|jpg|png|svg|ico|css|sit|eps|wmf|rar|tar|jar|zip|gz|bz2|rpm|tgz|mov|exe|jpeg|jpe|bmp|js|mpg|mp3|mp4|m4a|ogv|kml|wmv|swf|flv|mkv|m4v|webm|ra|wma|wav|avi|xspf|m3u"
+BYTE = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+PRIVATE = rf"^https?://(localhost|\[::1\]|(127|10)([.]{BYTE}){{3}}|192[.]168([.]{BYTE}){{2}}|172[.](1[6789]|2[0-9]|3[01])([.]{BYTE}){{2}})(:[0-9]+)?(/|$)"
 
 
 def search_url(pointer: Column, words: Column) -> Column:
@@ -20,9 +22,14 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
 
 
-def registered_domain(url: Column) -> Column:
-    """The last two labels of the host."""
-    return F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1)
+# Second-level suffixes under which domains are registered; a parameter, as the public list has thousands.
+PUBLIC_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "com.pl", "co.in", "co.kr", "co.za", "com.ar")
+
+
+def registered_domain(url: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """The last two labels of the host, or three where the last two are a public suffix; an IP address as it is."""
+    two, three = F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1), F.regexp_extract(host(url), r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    return F.when(host(url).rlike(r"^[0-9.]+$"), host(url)).when(two.isin(*suffixes) & (three != ""), three).otherwise(two)
 
 
 def queue_key(url: Column, by: str = "host") -> Column:
@@ -51,7 +58,13 @@ def normalize_url(url: Column) -> Column:
 
 
 def acceptable_url(url: Column, longest: int = 1024, repeats: int = 3) -> Column:
-    """Scheme, file suffix, private ranges, length, repeated path parts."""
+    """Scheme, file suffix (before the end, a question mark or an ampersand), private ranges, length, repeated path parts."""
     parts = F.filter(F.split(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/"), lambda p: p != "")
     repeated = F.exists(parts, lambda p: F.size(F.filter(parts, lambda q: q == p)) >= repeats)
-    return url.rlike("^(?i)https?://") & ~url.rlike(rf"(?i)\.({SUFFIXES})$") & ~F.lower(url).rlike(PRIVATE) & (F.length(url) <= longest) & ~repeated
+    return ~url.rlike("^(file|ftp|mailto):") & ~url.rlike(rf"(?i)[.]({SUFFIXES})([?]|&|$)") & ~url.rlike(PRIVATE) & (F.length(url) <= longest) & ~repeated
+
+
+def filter_urls(frontier: DataFrame, url: str = "url", source: str = "source_url") -> DataFrame:
+    """Links that are acceptable, on the domain of the page they stand on, and not that page itself."""
+    same = registered_domain(F.col(url)) == registered_domain(F.col(source))
+    return frontier.filter(acceptable_url(F.col(url)) & same & (normalize_url(F.col(url)) != F.coalesce(normalize_url(F.col(source)), F.lit(""))))

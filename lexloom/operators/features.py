@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import average_word_length, tokens
 
 REGISTRY: dict[str, Callable[[Column], Column]] = {}
-CONTEXT_REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
+CONTEXT_REGISTRY: dict[str, Callable[[DataFrame, DataFrame, str, str], DataFrame]] = {}
 
 
 def register_feature(name: str, column: Callable[[Column], Column]) -> None:
     REGISTRY[name] = column
 
 
-def register_context_feature(name: str, transform: Callable[[DataFrame], DataFrame]) -> None:
+def register_context_feature(name: str, transform: Callable[[DataFrame, DataFrame, str, str], DataFrame]) -> None:
+    """`transform` gives context, key and a column `name` from periods, their sentences and the names of both columns."""
     CONTEXT_REGISTRY[name] = transform
 
 
@@ -88,10 +89,18 @@ def random_tag(tags: DataFrame, tag: str, seed: str, top: int = 1000) -> DataFra
     return frequent.orderBy(F.md5(F.concat(F.lit(seed), F.col(tag)).cast("binary"))).limit(1)
 
 
-def analyse_contexts(periods: DataFrame, sentences: DataFrame, context: str, key: str, now: Column, least: int = 200) -> DataFrame:
-    """Gate, context features, missing ones filled, date stamped."""
+register_context_feature("average_word_tf_idf_f", lambda rows, sentences, context, key: word_rarity(rows, context, key))
+register_context_feature("sentence_length_deviation_f", lambda rows, sentences, context, key: sentence_length_deviation(sentences, context, key))
+
+
+def analyse_contexts(periods: DataFrame, sentences: DataFrame, context: str, key: str, now: Column, least: int = 200, text: str = "text") -> DataFrame:
+    """Gate, the registered features of contexts, those of single periods where they are missing, and the date stamped.
+    A feature of contexts that is there already is computed anew, unless a period has no new value."""
     rows = context_gate(periods, context, least)
-    out = rows.join(word_rarity(rows, context, key), [context, key], "left").join(sentence_length_deviation(sentences, context, key), [context, key], "left")
+    out = apply_features(rows, F.col(text))
+    for name, feature in CONTEXT_REGISTRY.items():
+        new = feature(rows, sentences, context, key).select(context, key, F.col(name).alias("_new"))
+        out = out.join(new, [context, key], "left").withColumn(name, F.coalesce("_new", F.col(name)) if name in rows.columns else F.col("_new")).drop("_new")
     return out.withColumn("date_class", now)
 
 

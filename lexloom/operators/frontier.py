@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,15 @@ OPEN = ("waiting", "scheduled", "ran")
 
 
 def dedupe_jobs(new: DataFrame, old: DataFrame, keys: list[str], minutes: int = 5) -> DataFrame:
-    """New jobs without an old one of the same keys (nulls alike) that is open or ended less than `minutes` before."""
-    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    recent = F.col("o.status").isin("waiting", "working") | (F.col("o.changed") >= F.col("n.asked") - F.make_interval(mins=F.lit(minutes)))
-    return new.alias("n").join(old.alias("o"), [*same, recent, F.col("o.changed") <= F.col("n.asked")], "left_anti")
+    """New jobs (asked) without an earlier one (changed, status) of the same keys, nulls alike, that is open or ended less
+    than `minutes` before. Both are put in one order of time by key, where running values tell what came before: an owner
+    with many jobs is no join of all with all. What changed at the time of asking is before."""
+    mark = lambda df, at, is_new: df.select(*keys, F.col(at).alias("_at"), F.lit(is_new).alias("_new"), (F.struct("*") if is_new else F.lit(None).cast(new.schema)).alias("_row"), (F.lit(None).cast("timestamp") if is_new else F.col("changed").cast("timestamp")).alias("_ended"), (F.lit(False) if is_new else F.col("status").isin("waiting", "working")).alias("_open"))
+    before = Window.partitionBy(*keys).orderBy("_at", F.col("_new").cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = mark(old, "changed", False).unionByName(mark(new, "asked", True))
+    rows = rows.withColumn("_was_open", F.max("_open").over(before)).withColumn("_last", F.max("_ended").over(before)).filter("_new")
+    recent = F.col("_last") >= F.col("_at").cast("timestamp") - F.make_interval(mins=F.lit(minutes))
+    return rows.filter(~(F.coalesce("_was_open", F.lit(False)) | F.coalesce(recent, F.lit(False)))).select("_row.*")
 
 
 def expand_job(jobs: DataFrame, sites: DataFrame, links: DataFrame, minimum: int) -> DataFrame:
@@ -66,24 +73,51 @@ def requeue(status: Column) -> Column:
     return F.when(status.isin("scheduled", "ran"), "waiting").otherwise(status)
 
 
-def progress(requests: DataFrame, first_yield: float = 10.0, per_site: int = 50) -> DataFrame:
-    """Counts by job in one aggregate, and from them the yield, the estimate and the proportion done.
-
-    requests: job, site, is_search, status. A site is known once it has pages."""
-    page, done, ends = ~F.col("is_search"), F.col("status") == "committed", F.col("status").isin(*OPEN)
-    rows = requests.groupBy("job").agg(
-        F.count_if(page & done).alias("pages_done"), F.count_if(page).alias("pages_known"), F.count_if(~page & done).alias("searches_done"), F.count_if(~page).alias("searches"),
-        F.count_if(~page & ends).alias("searches_open"), F.count_if(ends).alias("open"), F.count_distinct("site").alias("sites"), F.count_distinct(F.when(page, F.col("site"))).alias("sites_known"),
-    )
-    rows = rows.withColumn("yield", F.when(F.col("searches_done") > 0, F.col("pages_done") / F.col("searches_done")).otherwise(first_yield))
-    estimate = (F.col("sites") - F.col("sites_known")) * per_site + 3 * F.col("searches_open") * F.col("yield") + F.col("pages_known") + F.col("searches")
-    done_share = F.when(F.col("estimate") > 0, F.least(F.lit(1.0), (F.col("pages_done") + F.col("searches_done")) / F.col("estimate"))).otherwise(0.0)
-    return rows.withColumn("estimate", estimate).withColumn("proportion", F.when(F.col("open") == 0, 1.0).otherwise(done_share))
+def progress(requests: DataFrame, jobs: DataFrame, now_depth: int = 3, first_yield: float = 10.0, first_thread_yield: float = 7500.0, per_site: int = 50, factor: int = 20) -> DataFrame:
+    """Counts by job in one aggregate, and from them yields, estimates of web and Reddit pages, and the proportion done.
+
+    requests: job, site, kind ('web' or 'reddit'), is_search, status, lead_count; jobs: job, status, websites, subreddits,
+    is_crawl. A web site is known while it has open requests or when all of them ended. Jobs without requests count 0."""
+    search, done, open_, ran = F.col("is_search"), F.col("status") == "committed", F.col("status").isin(*OPEN), F.col("status") == "ran"
+    web, reddit = F.col("kind") == "web", F.col("kind") == "reddit"
+    counted = {
+        "searches_done_web": web & search & done, "searches_done_reddit": reddit & search & done, "pages_done_web": web & ~search & done, "pages_done_reddit": reddit & ~search & done,
+        "pages_known_web": web & ~search, "pages_known_reddit": reddit & ~search, "searches_web": web & search, "searches_ran_reddit": reddit & search & ran,
+        "searches_open": search & open_, "pages_open": ~search & open_, "pages_done": ~search & done, "fails": F.col("status") == "failed",
+    }
+    by_site = requests.groupBy("job", "site").agg(*[F.count_if(c).alias(k) for k, c in counted.items()], F.max("lead_count").alias("depth"), F.bool_or(open_ | F.col("status").isin("committed", "failed")).alias("known"))
+    known = F.count_if(F.col("known") & ~F.coalesce(F.substring("site", 1, 3) == "/r/", F.lit(False))).alias("sites_known")
+    rows = by_site.withColumn("site", F.col("site").cast("string")).groupBy("job").agg(*[F.sum(k).alias(k) for k in counted], F.max("depth").alias("depth"), known)
+    rows = jobs.join(rows, "job", "left").na.fill(0, [*counted, "depth", "sites_known"])
+    per = lambda pages, searches, otherwise: F.when(F.col(searches) > 0, F.col(pages) / F.col(searches)).otherwise(float(otherwise))
+    rows = rows.withColumn("yield_web", per("pages_done_web", "searches_done_web", first_yield)).withColumn("yield_reddit", per("pages_done_reddit", "searches_done_reddit", first_thread_yield))
+    future_web = (F.col("websites") - F.col("sites_known")) * per_site
+    future_reddit = (F.col("subreddits") - F.col("searches_ran_reddit") - F.col("searches_done_reddit")) * F.col("yield_reddit")
+    # A search that is open is taken to bring two more like it.
+    rows = rows.withColumn("estimate_web", future_web + 3 * F.col("searches_open") * F.col("yield_web") + F.col("pages_known_web") + F.col("searches_web"))
+    rows = rows.withColumn("estimate_reddit", future_reddit + F.col("searches_ran_reddit") * F.col("yield_reddit") + F.col("pages_known_reddit")).withColumn("future", future_web + future_reddit)
+    estimate, all_done = F.col("estimate_web") + F.col("estimate_reddit"), F.col("searches_done_web") + F.col("searches_done_reddit") + F.col("pages_done")
+    # A crawl brings `factor` times as many pages at each depth; the share of the depths seen is done.
+    level = lambda d: F.pow(F.lit(float(factor + 1)), d) * factor
+    seen = F.aggregate(F.sequence(F.lit(0), F.greatest(F.least("depth", F.lit(now_depth)).cast("int"), F.lit(1)) - 1), F.lit(0.0), lambda x, d: x + level(d + 1))
+    crawl = F.when(F.col("depth") > 0, seen).otherwise(0.0) / float((factor + 1) ** now_depth)
+    proportion = F.when(F.col("status") == "finished", 1.0).when(F.col("is_crawl"), crawl).when(estimate > 0, all_done / estimate).otherwise(0.0)
+    phase = F.when(F.col("status").isin("waiting", "finished", "terminated", "rejected"), F.col("status")).otherwise("working")
+    return rows.withColumn("phase", phase).withColumn("searches", F.col("searches_done_web") + F.col("searches_done_reddit") + F.col("searches_open")).withColumn("crawls", F.col("pages_done_web") + F.col("pages_done_reddit") + F.col("pages_open")).withColumn("commits", F.col("searches_done_web") + F.col("searches_done_reddit") + F.col("pages_done_web") + F.col("pages_done_reddit")).withColumn("open", F.col("searches_open") + F.col("pages_open")).withColumn("estimate", estimate).withColumn("proportion", proportion)
+
+
+def sites_by_state(requests: DataFrame) -> DataFrame:
+    """Sites of each job: done, with committed or failed requests and none open, or worked, with open ones."""
+    rows = requests.groupBy("job", "site").agg(F.bool_or(F.col("status").isin(*OPEN)).alias("o"), F.bool_or(F.col("status").isin("committed", "failed")).alias("c")).filter("c or o")
+    return rows.select("job", "site", F.when(F.col("o"), "worked").otherwise("done").alias("state"))
 
 
 def sites_done(requests: DataFrame) -> DataFrame:
-    """Sites of each job with committed requests and none open."""
-    return requests.groupBy("job", "site").agg(F.bool_or(F.col("status").isin(*OPEN)).alias("o"), F.bool_or(F.col("status") == "committed").alias("c")).filter("c and not o").select("job", "site")
+    return sites_by_state(requests).filter("state = 'done'").select("job", "site")
+
+
+def sites_worked(requests: DataFrame) -> DataFrame:
+    return sites_by_state(requests).filter("state = 'worked'").select("job", "site")
 
 
 def last_targets(requests: DataFrame, n: int = 5) -> DataFrame:
@@ -106,12 +140,16 @@ def start_next(jobs: DataFrame, capacity: int = 20) -> DataFrame:
     return ranked.crossJoin(F.broadcast(used)).filter(F.col("rank") <= capacity - F.col("used")).drop("used")
 
 
-def politeness_plan(frontier: DataFrame, delay: float = 1.0, longest: float = 30.0, buckets: int | None = None) -> DataFrame:
+def politeness_plan(frontier: DataFrame, delay: float = 1.0, longest: float = 30.0, bucket: int = 10_000) -> DataFrame:
     """Seconds after which each address may be fetched, by queue; robots delays count up to `longest`, beyond it the
-    address is skipped. frontier: url, order, robots_delay."""
-    rows = frontier.withColumn("queue", queue_key(F.col("url"))).filter(F.col("robots_delay").isNull() | (F.col("robots_delay") <= longest))
-    k = F.row_number().over(Window.partitionBy("queue").orderBy("order")) - 1
-    return rows.withColumn("start", k * F.greatest(F.lit(delay), F.coalesce("robots_delay", F.lit(0.0))))
+    address is skipped. frontier: url, order (a number), robots_delay. A queue is ranked in buckets of `bucket` values of
+    order: their sizes are summed up first, so that a hot host is spread over tasks."""
+    rows = frontier.withColumn("queue", queue_key(F.col("url"))).filter(F.col("robots_delay").isNull() | (F.col("robots_delay") <= longest)).withColumn("_b", F.floor(F.col("order") / bucket))
+    sizes = rows.groupBy("queue", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("queue").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select("queue", "_b", before.alias("_before")), ["queue", "_b"])
+    k = F.col("_before") + F.row_number().over(Window.partitionBy("queue", "_b").orderBy("order")) - 1
+    return rows.withColumn("start", k * F.greatest(F.lit(delay), F.coalesce("robots_delay", F.lit(0.0)))).drop("_b", "_before")
 
 
 def robots_filter(frontier: DataFrame, robots: DataFrame) -> DataFrame:
@@ -121,6 +159,14 @@ def robots_filter(frontier: DataFrame, robots: DataFrame) -> DataFrame:
     return rows.groupBy("url", "url_host", "path", "is_search").agg(F.coalesce(verdict, F.lit(True)).alias("allowed")).filter("allowed or is_search").drop("allowed")
 
 
+def sitemap_links(sitemaps: DataFrame, robots: DataFrame) -> DataFrame:
+    """Addresses of site maps that robots rules allow, each once, as frontier rows. sitemaps: host, path, sitemaps (an
+    array of paths on that host); robots as in robots_filter."""
+    rows = sitemaps.select(F.col("host").alias("url_host"), F.explode("sitemaps").alias("path")).dropDuplicates()
+    rows = rows.withColumn("url", F.concat(F.lit("https://"), "url_host", "path")).withColumn("is_search", F.lit(False))
+    return robots_filter(rows, robots).withColumn("is_sitemap", F.lit(True))
+
+
 def fetch_outcome(code: Column, error: Column, waited: Column, longest: float = 300.0) -> Column:
     return (
         F.when(waited > longest, "dropped").when(error == "timeout", "timeout").when(error == "unknown host", "unknown host").when(error.isNotNull(), "error")
@@ -129,7 +175,11 @@ def fetch_outcome(code: Column, error: Column, waited: Column, longest: float =
 
 
 def fetch_metrics(log: DataFrame, every: str = "1 minute") -> DataFrame:
-    return log.groupBy(F.window("ts", every)["start"].alias("start")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value"), 4).alias("sum_value"))
+    """Counters by minute; with a `code` column also how often each status class (2xx to 5xx) occurs, and the rate."""
+    more = [F.count_if(F.floor(F.col("code") / 100) == k).alias(f"n_{k}xx") for k in (2, 3, 4, 5)] if "code" in log.columns else []
+    out = log.groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value"), 4).alias("sum_value"), *more)
+    seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
+    return out.select(F.col("w.start").alias("start"), "n", "mean_value", "sum_value", *([F.col(f"n_{k}xx") for k in (2, 3, 4, 5)] + [F.round(F.col("n") / seconds, 6).alias("per_second")] if more else []))
 
 
 def crawl_estimate(requests: DataFrame, factor: int = 20) -> DataFrame:
@@ -144,6 +194,28 @@ def thread_prune(comments: DataFrame, thread: str, score: str, large: int = 200)
     return comments.join(sizes, thread).filter(F.col(score) >= F.when(F.col("_n") >= large, F.floor(F.col("_n") / large)).otherwise(0)).drop("_n")
 
 
+def lead_count(comments: DataFrame, search: str) -> DataFrame:
+    """Comments that each search brought in. comments: the search's column and n_comments."""
+    return comments.groupBy(search).agg(F.sum("n_comments").cast("long").alias("lead_count"))
+
+
+def thread_to_docs(posts: DataFrame, comments: DataFrame, tags: DataFrame, now: Column, text: Callable[[Column], Column], root: str = "https://reddit.com") -> DataFrame:
+    """Documents of submissions and their comments, with why one failed (null if it did not).
+
+    posts: thread, permalink, text, author, created, subreddit, adult; comments: the same without subreddit and adult.
+    tags: thread, own (the query's), of_site. A submission is its own page, a comment has the submission as its page. A
+    submission without text is no document; a comment without text, or without any after `text`, failed."""
+    site = posts.select("thread", F.col("permalink").alias("page"), F.concat(F.lit("/r/"), "subreddit").alias("site_name"), F.when(F.col("adult"), True).alias("adult_b"))
+    own = posts.filter("text is not null").select("thread", "permalink", "text", "author", "created", F.lit(True).alias("is_post"))
+    rows = own.unionByName(comments.select("thread", "permalink", "text", "author", "created", F.lit(False).alias("is_post"))).join(site, "thread").join(tags, "thread", "left")
+    plain = text(F.col("text"))
+    failed = F.when(F.col("permalink").isNull(), "no permalink").when(~F.col("is_post") & F.col("text").isNull(), "no text body").when(~F.col("is_post") & (plain == ""), "no extractable text")
+    return rows.select(
+        "thread", F.concat(F.lit(root), "permalink").alias("url"), F.when(F.col("is_post"), "self").otherwise(F.concat(F.lit(root), "page")).alias("real_doc"), "author", F.col("created").alias("date_post"),
+        now.alias("date_retr"), "site_name", "adult_b", effective_tags(F.col("own"), F.col("of_site")).alias("tags"), plain.alias("text"), failed.alias("failure_comment"),
+    )
+
+
 def revisit_due(log: DataFrame, now: Column) -> DataFrame:
     """Addresses to fetch again: after a week, after a fetch error in two hours, never after a hard error."""
     last = log.groupBy("url").agg(F.max("ts").alias("ts"), F.max_by("outcome", F.struct("ts", "outcome")).alias("outcome"))

@@ -112,3 +112,20 @@ def site_filter(sites: DataFrame, links: DataFrame, names: list[str], tags: list
     """Sites named and sites of the tags, each once. links: site, tag."""
     named = sites.filter(F.col("site").isin(names)).select("site")
     return named.union(links.filter(F.col("tag").isin(tags)).select("site")).distinct()
+
+
+def find_by_substring(rows: DataFrame, name: str, part: str, page: int, size: int, order: list[str], skip: int = 0) -> DataFrame:
+    """A page of rows whose name holds the part."""
+    return rows.filter(F.col(name).contains(part)).orderBy(*order).offset(skip + page * size).limit(size)
+
+
+def record_query(history: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The history with the latest time of each query; new ones are counted before they meet it."""
+    latest = new.groupBy(*keys).agg(F.max(at).alias(at))
+    return history.unionByName(latest).groupBy(*keys).agg(F.max(at).alias(at))
+
+
+def visible_rules(rules: DataFrame, owner: str, users: DataFrame, public: int = -1) -> DataFrame:
+    """Rules that are public or belong to one of the users (user)."""
+    own = rules.join(users.select(F.col("user").alias("_u")).distinct(), F.col(owner) == F.col("_u"), "left_semi")
+    return rules.filter(F.col(owner) == public).unionByName(own.filter(F.col(owner) != public))

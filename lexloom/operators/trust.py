@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, trust_label
 
 
+def counted_votes(votes: DataFrame, permissions: DataFrame) -> DataFrame:
+    """The first vote of each user who has a permission that is not used: user, link, up."""
+    allowed = permissions.filter("not used").select("user").distinct()
+    first = votes.groupBy("user").agg(F.min_by(F.struct("link", "up"), F.struct("at", "link", "up")).alias("v"))
+    return first.join(allowed, "user", "left_semi").select("user", "v.link", "v.up")
+
+
 def apply_feedback(links: DataFrame, votes: DataFrame, permissions: DataFrame) -> DataFrame:
     """Levels after the votes: +1 or -1 each, only with a permission that is not used, each used once.
 
     links: link, level; votes: link, user, up, at; permissions: user, used. Votes are summed by link before the join."""
-    allowed = permissions.filter("not used").select("user").distinct()
-    first = votes.groupBy("user").agg(F.min_by(F.struct("link", "up"), F.struct("at", "link", "up")).alias("v"))
-    delta = first.join(allowed, "user", "left_semi").groupBy(F.col("v.link").alias("_l")).agg(F.sum(F.when(F.col("v.up"), 1).otherwise(-1)).alias("_d"))
+    delta = counted_votes(votes, permissions).groupBy(F.col("link").alias("_l")).agg(F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("_d"))
     return links.join(delta, F.col("link") == F.col("_l"), "left").withColumn("level", F.col("level") + F.coalesce("_d", F.lit(0))).drop("_l", "_d")
 
 
+def use_permissions(permissions: DataFrame, votes: DataFrame) -> DataFrame:
+    """Permissions after the votes: those of voters are used."""
+    voted = votes.select(F.col("user").alias("_u")).distinct()
+    return permissions.join(voted, F.col("user") == F.col("_u"), "left").withColumn("used", F.col("used") | F.col("_u").isNotNull()).drop("_u")
+
+
 def feedback_candidates(links: DataFrame, votes: DataFrame, minimum: int, per_site: int = 2, per_link: int = 300) -> DataFrame:
     """For each user the first link at the minimum level that is below both limits of votes. links: user, site, link, level."""
     by_site = votes.groupBy("user", "site").agg(F.count("*").alias("n_site"))
@@ -68,11 +79,15 @@ def over_quota(rows: DataFrame, user: str, at: str, now: Column, most: int) -> D
 
 
 def blocked_sites(sites: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """Sites whose name is a dot-separated part of the end or middle of a blocked address: every run of labels of an
-    address is a key, so the join is on equality."""
-    labels = F.split("address", "[.]")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.transform(F.sequence(i, F.size(labels)), lambda j: F.array_join(F.slice(labels, i, j - i + 1), "."))))
-    return sites.join(blocklist.select(F.explode(runs).alias("site")).distinct(), "site", "left_semi")
+    """Sites whose name stands anywhere in a blocked address.
+
+    Every part of an address that is as long as some site's name is a key, so the join is on equality. Lengths of names
+    are few (of hosts 253 at most); names longer than that are compared with whole addresses."""
+    longest = 253
+    lengths = sites.filter(F.length("site").between(1, longest)).select(F.length("site").alias("n")).distinct()
+    starts = F.when(F.length("address") >= F.col("n"), F.sequence(F.lit(1), F.greatest(F.length("address") - F.col("n") + 1, F.lit(1))))
+    parts = blocklist.select("address").distinct().crossJoin(F.broadcast(lengths)).select(F.explode(F.transform(starts, lambda i: F.substring(F.col("address"), i, F.col("n")))).alias("site"))
+    return sites.join(parts.unionByName(blocklist.select(F.col("address").alias("site"))).distinct(), "site", "left_semi")
 
 
 def derive_site(url: Column) -> Column:
@@ -92,3 +107,11 @@ def profane(rows: DataFrame, words: DataFrame, white: DataFrame, key: str) -> Da
     bad = words.join(white, "word", "left_anti")
     said = rows.select(key, F.explode(F.transform(tokens(F.col("text")), lambda t: F.lower(t))).alias("word"))
     return said.join(bad, "word", "left_semi").select(key).distinct()
+
+
+def suggestion_list(suggestions: DataFrame, decisions: DataFrame, user: str, n: int) -> DataFrame:
+    """The newest `n` suggestions of each user, with the decision (null while there is none) and, in `marks`, what was
+    suggested and what moderators noted. suggestions: id, user, changed, suggestion; decisions: id, decision, mod_activity."""
+    rank = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("changed"), "id"))
+    rows = suggestions.withColumn("rank", rank).filter(F.col("rank") <= n).join(decisions, "id", "left")
+    return rows.withColumn("marks", F.map_concat("suggestion", F.coalesce("mod_activity", F.create_map().cast("map<string,string>"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,7 +12,7 @@ from ..operators import frontier as R
 from ..operators import search as Q
 from ..operators import trust as T
 from ..sources import io as S
-from .base import WITH, query, ts
+from .base import REQUESTS, WITH, query, ts
 
 NOW = "1996-06-01 00:00:00"
 
@@ -26,10 +27,11 @@ def s2_decode_content(t):
     return S.decode_content(t.pages.withColumn("content", F.encode("html", "UTF-8"))).select("page_id", "charset", F.length("text").alias("n"))
 
 
-@query("select source, cast(count(*) as bigint) as n_docs from documents group by source")
+@query("select source as site_name, cast(count(*) as bigint) as n_docs, cast(sum(length(text)) as bigint) as n_chars from documents group by source")
 def s3_read_json_docs(t):
-    doc = t.documents.select(F.to_json(F.struct("doc_id", "source")).alias("j")).select(F.from_json("j", "doc_id long, source string").alias("d"))
-    return doc.groupBy("d.source").agg(F.count("*").alias("n_docs"))
+    folder = S.new_folder(t.spark, "json-docs")
+    t.documents.select("text", F.col("source").alias("site_name"), F.array("lang").alias("tags")).write.json(folder)
+    return S.read_json_docs(t.spark, folder).groupBy("site_name").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("select lang, source, '[' || string_agg('{\"doc_id\":' || doc_id || '}', ',' order by doc_id) || ']' as docs from documents group by lang, source")
@@ -59,10 +61,10 @@ def s7_select_fields(t):
 
 @query("""select distinct case when strpos(v, ' ') = 0 then v else split_part(v, ' ', 2) end as address from (
     select case when c_custkey % 3 = 0 then '# note' when c_custkey % 3 = 1 then 'host' || (c_custkey % 40) || '.example' else '0.0.0.0 host' || (c_custkey % 50) || '.example' end as v from customer)
-    where v not like '#%' and case when strpos(v, ' ') = 0 then v else split_part(v, ' ', 2) end not in (select 'host' || s_suppkey || '.example' from supplier where s_suppkey < 5)""")
+    where v not like '#%' and case when strpos(v, ' ') = 0 then v else split_part(v, ' ', 2) end not in (select 'host' || s_nationkey || '.example' from supplier)""")
 def s8_read_blocklist(t):
     lines = t.customer.selectExpr("case when c_custkey % 3 = 0 then '# note' when c_custkey % 3 = 1 then concat('host', c_custkey % 40, '.example') else concat('0.0.0.0 host', c_custkey % 50, '.example') end as value")
-    return S.blocklist(lines, t.supplier.filter("s_suppkey < 5").selectExpr("concat('host', s_suppkey, '.example') as address"))
+    return S.blocklist(lines, t.supplier.selectExpr("concat('host', s_nationkey, '.example') as address").distinct())
 
 
 @query("select cast(o_orderkey as int) as key_i, cast(o_totalprice as double) as price_d, o_orderstatus as status_s from orders")
@@ -70,12 +72,11 @@ def s9_cast_by_suffix(t):
     return S.cast_by_suffix(t.orders.select(F.col("o_orderkey").cast("string").alias("key_i"), F.col("o_totalprice").cast("string").alias("price_d"), F.col("o_orderstatus").alias("status_s")))
 
 
-@query("select o_orderkey as job from orders n where not exists (select 1 from orders o where o.o_custkey = n.o_custkey and o.o_orderpriority = n.o_orderpriority and o.o_orderkey < n.o_orderkey and o.o_orderdate <= n.o_orderdate and (o.o_orderstatus = 'O' or o.o_orderdate >= n.o_orderdate - interval 30 day))")
+@query("select o_orderkey as job from orders n where not exists (select 1 from orders o where o.o_custkey = n.o_custkey and o.o_orderpriority = n.o_orderpriority and o.o_orderdate + interval 1 day <= n.o_orderdate and (o.o_orderstatus = 'O' or o.o_orderdate + interval 1 day >= n.o_orderdate - interval 43200 minute))")
 def f1_dedupe_jobs(t):
     new = t.orders.selectExpr("o_orderkey as job", "o_custkey as owner", "o_orderpriority as phrase", "o_orderdate as asked")
-    old = t.orders.selectExpr("o_orderkey as old_job", "o_custkey as owner", "o_orderpriority as phrase", "o_orderdate as changed", "if(o_orderstatus = 'O', 'working', 'done') as status")
-    joined = new.alias("n").join(old.alias("o"), (F.col("n.owner") == F.col("o.owner")) & (F.col("n.phrase") == F.col("o.phrase")) & (F.col("o.old_job") < F.col("n.job")) & (F.col("o.changed") <= F.col("n.asked")) & ((F.col("o.status") == "working") | (F.col("o.changed") >= F.col("n.asked") - F.expr("interval 30 days"))), "left_anti")
-    return joined.select("job")
+    old = t.orders.selectExpr("o_custkey as owner", "o_orderpriority as phrase", "o_orderdate + interval 1 day as changed", "if(o_orderstatus = 'O', 'working', 'done') as status")
+    return R.dedupe_jobs(new, old, ["owner", "phrase"], 43200).select("job")
 
 
 @query(WITH + """, j as (select o_orderkey as job, o_custkey % 25 as tag, o_custkey % (select max(s_suppkey) from supplier) + 1 as site from orders)
@@ -124,17 +125,29 @@ def f9_normalize_url(t):
     return t.pages.select("page_id", U.normalize_url(F.concat("url", F.lit("?#top"))).alias("url"))
 
 
-@query("select l_orderkey, l_linenumber, l_orderkey % 5 not in (1, 2, 3) as ok from lineitem")
+LINK = """case l_orderkey % 14 when 0 then 'https://site' || l_suppkey || '.example/' || l_partkey when 1 then 'https://a.example/' || l_partkey || '.JPG?w=1' when 2 then 'http://10.0.0.' || l_linenumber || '/x' when 3 then 'https://b.example/x/y/x/y/x'
+    when 4 then 'http://c.example/?id=' || l_partkey when 5 then 'ftp://c.example/' when 6 then 'https://d.example/' || l_partkey || '.pdf' when 7 then 'https://10.example.com/a' when 8 then 'http://172.' || (l_linenumber * 6) || '.0.1:80/'
+    when 9 then 'http://localhost/' when 10 then 'https://e.example/' || repeat('abc/', cast(l_quantity as int) // 20) when 11 then 'https://f.example/x.flv' when 12 then 'https://g.example/' || repeat('long', cast(l_quantity as int) * 6) else 'https://www.c.example/' || l_partkey end"""
+PAGE = "case l_linenumber % 3 when 0 then 'https://c.example/' || l_partkey when 1 then 'https://a.c.example/' else 'https://www.c.example/' || l_partkey || '#top' end"
+
+
+@query(
+    f"""with u as (select l_orderkey, l_linenumber, {LINK} as url, {PAGE} as page from lineitem),
+    v as (select *, list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '') as parts from u)
+    select l_orderkey, l_linenumber, url from v where not regexp_matches(url, '^(file|ftp|mailto):') and not regexp_matches(url, '(?i)[.]({U.SUFFIXES})([?]|&|$)') and not regexp_matches(url, '{U.PRIVATE.replace(chr(92), chr(92))}') and length(url) <= 1024
+    and len(list_filter(parts, lambda p: len(list_filter(parts, lambda q: q = p)) >= 3)) = 0 and regexp_extract(regexp_extract(url, '://([^/:?#]+)', 1), '([^.]+[.][^.]+)$', 1) = 'c.example' and url <> regexp_replace(page, '#.*$', '')"""
+)
 def f10_filter_urls(t):
-    url = F.expr("case l_orderkey % 5 when 0 then concat('https://site', l_suppkey, '.example/', l_partkey) when 1 then concat('https://a.example/', l_partkey, '.PDF') when 2 then concat('http://10.0.0.', l_linenumber, '/x') when 3 then 'https://b.example/x/y/x/y/x' else concat('http://c.example/?id=', l_partkey) end")
-    return t.lineitem.select("l_orderkey", "l_linenumber", U.acceptable_url(url).alias("ok"))
+    rows = t.lineitem.selectExpr("l_orderkey", "l_linenumber", f"{LINK.replace('//', 'SLASHES').replace('int) SLASHES 20', 'int) div 20').replace('SLASHES', '//')} as url", f"{PAGE} as source_url")
+    return U.filter_urls(rows).select("l_orderkey", "l_linenumber", "url")
 
 
-@query(WITH + "select distinct target from requests where target not in (select target from requests where status = 'committed' and (changed < timestamp '1993-01-01' or changed >= timestamp '1998-01-01'))")
+@query("""with index as (select l_suppkey % 7 || '/' || l_partkey as url, l_shipdate as date_post, l_shipdate + to_hours(cast(l_quantity as int) * 24 * 10) as date_retr from lineitem where l_returnflag = 'R')
+    select distinct l_suppkey % 7 || '/' || l_partkey as url from lineitem where l_suppkey % 7 || '/' || l_partkey not in (select url from index where date_post < timestamp '1996-06-01' - interval 365 day or date_retr >= timestamp '1996-06-01' - interval 12 hour)""")
 def f11_skip_indexed(t):
-    index = t.requests.filter("status = 'committed'").select(F.col("target").alias("url"), F.col("changed").alias("date_post"), F.col("changed").alias("date_retr"))
-    old = index.filter((F.col("date_post") < ts("1993-01-01")) | (F.col("date_retr") >= ts("1998-01-01")))
-    return t.requests.select("target").distinct().join(old.select(F.col("url").alias("target")), "target", "left_anti")
+    url = "concat(l_suppkey % 7, '/', l_partkey) as url"
+    index = t.lineitem.filter("l_returnflag = 'R'").selectExpr(url, "l_shipdate as date_post", "l_shipdate + make_interval(0, 0, 0, 0, cast(l_quantity as int) * 240) as date_retr")
+    return R.skip_indexed(t.lineitem.selectExpr(url).distinct(), index, ts(NOW))
 
 
 @query(WITH + "select id, case when row_number() over (partition by job, target order by id, status) > 1 then 'cancelled' else status end as status from requests")
@@ -152,20 +165,41 @@ def f14_requeue(t):
     return t.requests.select("id", R.requeue(F.col("status")).alias("status"))
 
 
-@query(WITH + """, c as (select job, count(*) filter (where not is_search and status = 'committed') pages_done, count(*) filter (where not is_search) pages_known, count(*) filter (where is_search and status = 'committed') searches_done,
-    count(*) filter (where is_search) searches, count(*) filter (where is_search and status in ('waiting', 'scheduled', 'ran')) searches_open, count(*) filter (where status in ('waiting', 'scheduled', 'ran')) opens,
-    count(distinct site) sites, count(distinct case when not is_search then site end) sites_known from requests group by job),
-    y as (select *, case when searches_done > 0 then pages_done / searches_done else 10.0 end as yield from c), e as (select *, (sites - sites_known) * 50 + 3 * searches_open * yield + pages_known + searches as estimate from y)
-    select job, pages_done, searches_done, opens as open, round(estimate, 6) as estimate, round(case when opens = 0 then 1.0 when estimate > 0 then least(1.0, (pages_done + searches_done) / estimate) else 0.0 end, 6) as proportion from e""")
+KINDS = "case when l_suppkey % 4 = 0 then 'reddit' else 'web' end"
+SITES = "case when l_suppkey % 4 = 0 then '/r/s' else 'www.s' end || l_suppkey"
+
+
+@query(
+    f"with r as (select l_orderkey as job, {SITES} as site, {KINDS} as kind, {REQUESTS['is_search']} as is_search, {REQUESTS['status']} as status, l_linenumber % 4 as lead_count from lineitem), "
+    """j as (select o_orderkey as job, case o_orderstatus when 'O' then 'working' when 'F' then 'finished' else 'waiting' end as status, cast(9 as int) as websites, cast(3 as int) as subreddits, o_orderkey % 7 = 0 as is_crawl from orders),
+    c as (select job, count(*) filter (where kind = 'web' and is_search and status = 'committed') sdw, count(*) filter (where kind = 'reddit' and is_search and status = 'committed') sdr, count(*) filter (where kind = 'web' and not is_search and status = 'committed') pdw,
+    count(*) filter (where kind = 'reddit' and not is_search and status = 'committed') pdr, count(*) filter (where kind = 'web' and not is_search) pkw, count(*) filter (where kind = 'reddit' and not is_search) pkr, count(*) filter (where kind = 'web' and is_search) sw,
+    count(*) filter (where kind = 'reddit' and is_search and status = 'ran') srr, count(*) filter (where is_search and status in ('waiting', 'scheduled', 'ran')) so, count(*) filter (where not is_search and status in ('waiting', 'scheduled', 'ran')) po,
+    count(*) filter (where status = 'failed') fails, max(lead_count) as depth, count(distinct site) filter (where kind = 'web' and status in ('waiting', 'scheduled', 'ran', 'committed', 'failed')) known from r group by job),
+    k as (select j.*, coalesce(sdw, 0) sdw, coalesce(sdr, 0) sdr, coalesce(pdw, 0) pdw, coalesce(pdr, 0) pdr, coalesce(pkw, 0) pkw, coalesce(pkr, 0) pkr, coalesce(sw, 0) sw, coalesce(srr, 0) srr, coalesce(so, 0) so, coalesce(po, 0) po, coalesce(fails, 0) fails, coalesce(depth, 0) depth, coalesce(known, 0) known
+    from j left join c on c.job = j.job), y as (select *, case when sdw > 0 then pdw / sdw else 10.0 end yw, case when sdr > 0 then pdr / sdr else 7500.0 end yr from k),
+    e as (select *, (websites - known) * 50 + 3 * so * yw + pkw + sw as ew, (subreddits - srr - sdr) * yr + srr * yr + pkr as er, (websites - known) * 50 + (subreddits - srr - sdr) * yr as future from y)
+    select job, case when status = 'working' then 'working' else status end as phase, cast(sdw + sdr + so as bigint) as searches, cast(pdw + pdr + po as bigint) as crawls, cast(sdw + sdr + pdw + pdr as bigint) as commits, cast(so + po as bigint) as open, cast(fails as bigint) as fails, round(future, 6) as future,
+    round(ew, 6) as estimate_web, round(er, 6) as estimate_reddit, round(case when status = 'finished' then 1.0 when is_crawl then (case when depth >= 1 then 420 else 0 end + case when depth >= 2 then 8820 else 0 end + case when depth >= 3 then 185220 else 0 end) / 9261
+    when ew + er > 0 then (sdw + sdr + pdw + pdr) / (ew + er) else 0.0 end, 6) as proportion from e"""
+)
 def f15_progress(t):
-    return R.progress(t.requests).select("job", "pages_done", "searches_done", "open", F.round("estimate", 6).alias("estimate"), F.round("proportion", 6).alias("proportion"))
+    requests = t.lineitem.selectExpr("l_orderkey as job", f"{SITES} as site", f"{KINDS} as kind", f"{REQUESTS['is_search']} as is_search", f"{REQUESTS['status']} as status", "l_linenumber % 4 as lead_count")
+    jobs = t.orders.selectExpr("o_orderkey as job", "case o_orderstatus when 'O' then 'working' when 'F' then 'finished' else 'waiting' end as status", "9 as websites", "3 as subreddits", "o_orderkey % 7 = 0 as is_crawl")
+    rounded = [F.round(c, 6).alias(c) for c in ("future", "estimate_web", "estimate_reddit", "proportion")]
+    return R.progress(requests, jobs).select("job", "phase", "searches", "crawls", "commits", "open", "fails", *rounded)
 
 
-@query(WITH + "select job, site from requests group by job, site having bool_or(status = 'committed') and not bool_or(status in ('waiting', 'scheduled', 'ran'))")
+@query(WITH + "select job, site from requests group by job, site having bool_or(status in ('committed', 'failed')) and not bool_or(status in ('waiting', 'scheduled', 'ran'))")
 def f16_sites_done(t):
     return R.sites_done(t.requests)
 
 
+@query(WITH + "select distinct job, site from requests where status in ('waiting', 'scheduled', 'ran')")
+def f16_sites_worked(t):
+    return R.sites_worked(t.requests)
+
+
 @query(WITH + "select job, id, rank from (select job, id, cast(row_number() over (partition by job order by changed desc, id) as int) as rank from requests) where rank <= 5")
 def f17_last_targets(t):
     return R.last_targets(t.requests).select("job", "id", "rank")
@@ -188,9 +222,11 @@ def f20_start_next(t):
     return R.start_next(jobs).select("job", "rank")
 
 
-@query("select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host_key, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '([^.]+[.][^.]+)$', 1) as domain_key from pages")
+@query("""with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || case page_id % 3 when 0 then '' when 1 then '.co.uk' else '.com.au' end as host from pages)
+    select page_id, host as host_key, case page_id % 3 when 0 then regexp_extract(host, '([^.]+[.][^.]+)$', 1) else regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) end as domain_key from h""")
 def f21_queue_key(t):
-    return t.pages.select("page_id", U.queue_key(F.col("url")).alias("host_key"), U.queue_key(F.col("url"), "domain").alias("domain_key"))
+    url = F.concat(F.regexp_extract("url", "^([a-z]+://[^/:?#]+)", 1), F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, ".co.uk").otherwise(".com.au"), F.lit("/x?y"))
+    return t.pages.select("page_id", U.queue_key(url).alias("host_key"), U.queue_key(url, "domain").alias("domain_key"))
 
 
 @query("""select id, (row_number() over (partition by queue order by id) - 1) * greatest(1.0, coalesce(d, 0.0)) as start from (
@@ -214,9 +250,10 @@ def f24_fetch_outcome(t):
     return log.select(R.fetch_outcome(F.col("c"), F.col("e"), F.col("w")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("select date_trunc('minute', ts) as start, count(*) as n, round(avg(value), 6) as mean_value, round(sum(value), 4) as sum_value from events group by 1")
+@query("""select date_trunc('minute', ts) as start, count(*) as n, round(avg(value), 6) as mean_value, round(sum(value), 4) as sum_value, count(*) filter (where c // 100 = 2) as n_2xx, count(*) filter (where c // 100 = 3) as n_3xx,
+    count(*) filter (where c // 100 = 4) as n_4xx, count(*) filter (where c // 100 = 5) as n_5xx, round(count(*) / 60, 6) as per_second from (select *, 200 + (event_id % 4) * 101 as c from events) group by 1""")
 def f25_fetch_metrics(t):
-    return R.fetch_metrics(t.events)
+    return R.fetch_metrics(t.events.withColumn("code", 200 + (F.col("event_id") % 4) * 101))
 
 
 @query(WITH + "select job, depth, cast(case depth when 0 then 1 when 1 then 21 when 2 then 421 else 8421 end as bigint) as estimate from (select job, max(lead_count) as depth from requests group by job)")
@@ -229,10 +266,18 @@ def f27_thread_prune(t):
     return R.thread_prune(t.conversations.select("conv_id", "turn", (F.length("text") % 7 - 3).alias("score")), "conv_id", "score", 2).select("conv_id", "turn")
 
 
-@query("select conv_id, turn, 'https://forum.example/' || conv_id || '#' || turn as url, 'https://forum.example/' || conv_id as real_doc, role as author, case when length(text) < 5 then 'short' end as failure_comment from conversations")
+@query("""with f as (select min(turn) as low, conv_id from conversations group by conv_id), c as (select c.*, f.low, turn = low as is_post, conv_id % 9 as sub from conversations c join f using (conv_id))
+    select conv_id as thread, 'https://reddit.com/r/' || sub || '/' || conv_id || case when is_post then '' else '/' || turn end as url, case when is_post then 'self' else 'https://reddit.com/r/' || sub || '/' || conv_id end as real_doc, role as author,
+    timestamp '2020-01-01' + to_days(cast(turn as int)) as date_post, '/r/s' || sub as site_name, case when sub = 0 then true end as adult_b, case when conv_id % 2 = 0 then ['own'] else ['site' || sub] end as tags,
+    case when not is_post and turn % 5 = 3 then 'no text body' when not is_post and turn % 5 = 4 then 'no extractable text' end as failure_comment from c""")
 def f28_thread_to_docs(t):
-    page = F.concat(F.lit("https://forum.example/"), F.col("conv_id"))
-    return t.conversations.select("conv_id", "turn", F.concat(page, F.lit("#"), F.col("turn")).alias("url"), page.alias("real_doc"), F.col("role").alias("author"), F.when(F.length("text") < 5, "short").alias("failure_comment"))
+    rows = t.conversations.withColumn("low", F.min("turn").over(Window.partitionBy("conv_id"))).withColumn("sub", F.col("conv_id") % 9)
+    rows = rows.withColumn("path", F.concat(F.lit("/r/"), "sub", F.lit("/"), "conv_id")).withColumn("created", ts("2020-01-01") + F.make_interval(days=F.col("turn").cast("int")))
+    posts = rows.filter("turn = low").select(F.col("conv_id").alias("thread"), F.col("path").alias("permalink"), "text", F.col("role").alias("author"), "created", F.concat(F.lit("s"), "sub").alias("subreddit"), (F.col("sub") == 0).alias("adult"))
+    said = F.when(F.col("turn") % 5 == 3, F.lit(None)).when(F.col("turn") % 5 == 4, "```x```").otherwise(F.col("text"))
+    comments = rows.filter("turn > low").select(F.col("conv_id").alias("thread"), F.concat("path", F.lit("/"), "turn").alias("permalink"), said.alias("text"), F.col("role").alias("author"), "created")
+    tags = rows.select(F.col("conv_id").alias("thread"), F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("own"))).alias("own"), F.array(F.concat(F.lit("site"), "sub")).alias("of_site")).distinct()
+    return R.thread_to_docs(posts, comments, tags, ts(NOW), X.strip_markup).drop("text", "date_retr")
 
 
 @query("select conv_id, turn from conversations where length(text) < 50 and length(regexp_replace(text, '[\\p{L}_]', '', 'g')) >= 0.65 * length(text)")
@@ -240,20 +285,23 @@ def f29_alpha_gate(t):
     return t.conversations.filter(X.mostly_symbols(F.col("text"))).select("conv_id", "turn")
 
 
-@query()
+@query("select conv_id, turn, 'T ' || turn || chr(10) || chr(10) || 'a link and bold' || chr(10) || 'quoted' || chr(10) || 'item' || chr(10) || 'img' as text from conversations")
 def f30_strip_markup(t):
-    return t.documents.select("doc_id", X.strip_markup(F.concat(F.lit("# Title\n\n* "), "text")).alias("text"))
+    marked = F.concat(F.lit("## T "), "turn", F.lit("\n\n\n\na [link](http://x.example/y) and **bold**  \n> quoted\n* item\n![img](z.png)\n```\ncode\n```"))
+    return t.conversations.select("conv_id", "turn", X.strip_markup(marked).alias("text"))
 
 
-@query("select conv_id, cast(sum(length(text)) as bigint) as lead_count from conversations group by conv_id")
+@query("select source, cast(sum(n_chars % 13) as bigint) as lead_count from documents group by source")
 def f31_lead_count(t):
-    return t.conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("lead_count"))
+    return R.lead_count(t.documents.select("source", (F.col("n_chars") % 13).alias("n_comments")), "source")
 
 
-@query("select distinct 'https://s' || s_nationkey || '.example/sitemap' || x.i || '.xml' as url from supplier, (select 1 as i union all select 2) x where s_suppkey % 4 <> 0")
+@query("""with r as (select s_nationkey as host, '/' || (s_suppkey % 5) as prefix, bool_or(s_acctbal > 5000) as allow from supplier group by all), m as (select distinct s_nationkey as host, '/' || i || '/map.xml' as path from supplier, (select unnest([0, 1, 2, 3, 4]) as i))
+    select 'https://' || m.host || m.path as url, true as is_sitemap from m left join r on r.host = m.host and starts_with(m.path, r.prefix) group by m.host, m.path having coalesce(arg_max(r.allow, length(r.prefix)), true)""")
 def f32_sitemap_links(t):
-    maps = t.supplier.filter("s_suppkey % 4 <> 0").selectExpr("explode(array(concat('https://s', s_nationkey, '.example/sitemap1.xml'), concat('https://s', s_nationkey, '.example/sitemap2.xml'))) as url")
-    return maps.dropDuplicates()
+    robots = t.supplier.groupBy(F.col("s_nationkey").cast("string").alias("host"), F.concat(F.lit("/"), F.col("s_suppkey") % 5).alias("prefix")).agg(F.bool_or(F.col("s_acctbal") > 5000).alias("allow"))
+    maps = t.supplier.select(F.col("s_nationkey").cast("string").alias("host"), F.array(*[F.lit(f"/{i}/map.xml") for i in range(5)]).alias("sitemaps"))
+    return R.sitemap_links(maps, robots).select("url", "is_sitemap")
 
 
 @query("select user_id, due from (select user_id, case o when 'fetched' then m + interval 7 day when 'fetch error' then m + interval 2 hour end as due from (select user_id, max(ts) m, arg_max(o, {'a': ts, 'b': o}) o from (select user_id, ts, case event_id % 3 when 0 then 'fetched' when 1 then 'fetch error' else 'error' end as o from events) group by user_id)) where due <= timestamp '2024-01-30'")
@@ -280,6 +328,13 @@ def t3_apply_feedback(t):
     return T.apply_feedback(t.links.select(F.col("site").alias("link"), "level"), votes, permissions).select(F.col("link").alias("site"), F.col("level").cast("long").alias("level"))
 
 
+@query("select distinct user_id, true as used from events union select 100000 + c_custkey, c_custkey % 2 = 0 from customer")
+def t3_use_permissions(t):
+    votes = t.events.selectExpr("user_id as user", "ts as at", "event_id % 20 as link", "event_type = 'click' as up")
+    permissions = t.events.selectExpr("user_id as user", "user_id % 3 = 0 as used").distinct().unionByName(t.customer.selectExpr("100000 + c_custkey as user", "c_custkey % 2 = 0 as used"))
+    return T.use_permissions(permissions, votes).select(F.col("user").alias("user_id"), "used")
+
+
 @query("""select user_id, site, link, level from (select user_id, site, link, level, row_number() over (partition by user_id order by site, link) k from (
     select u.user_id, s_nationkey as site, s_suppkey as link, cast(floor(s_acctbal / 5) as int) as level from (select distinct user_id from events) u join supplier on s_nationkey % 5 = u.user_id % 5) l
     left join (select user_id as vu, event_id % 25 as vs, count(*) ns from events group by 1, 2) a on vu = user_id and vs = site left join (select event_id % 40 as vl, count(*) nl from events group by 1) b on vl = link
@@ -292,10 +347,10 @@ def t4_feedback_candidates(t):
     return T.feedback_candidates(links, votes, 50).withColumnRenamed("user", "user_id")
 
 
-@query("select distinct user_id, false as used from events where user_id % 3 <> 0 and 20 - (select count(*) from orders where o_orderkey < 10 and o_orderstatus = 'O') >= 10")
+@query("select distinct user_id, false as used from events where user_id % 3 <> 0 and 20000000 - (select count(*) from orders where o_orderstatus = 'O') >= 10")
 def t5_guest_permissions(t):
-    jobs = t.orders.filter("o_orderkey < 10").selectExpr("if(o_orderstatus = 'O', 'working', 'done') as status")
-    return T.guest_permissions(t.events.selectExpr("user_id as user"), t.events.filter("user_id % 3 = 0").selectExpr("user_id as user").distinct(), jobs).withColumnRenamed("user", "user_id")
+    jobs = t.orders.selectExpr("if(o_orderstatus = 'O', 'working', 'done') as status")
+    return T.guest_permissions(t.events.selectExpr("user_id as user"), t.events.filter("user_id % 3 = 0").selectExpr("user_id as user").distinct(), jobs, capacity=20_000_000).withColumnRenamed("user", "user_id")
 
 
 @query(WITH + "select case when level >= 1000 then 'base' when level >= 50 then 'respected' when level >= 0 then 'community' else 'spam' end as label, count(distinct site) as sites from links where tag = 3 group by 1")
@@ -303,11 +358,13 @@ def t6_sites_by_trust(t):
     return T.sites_by_trust(t.links, F.col("tag") == 3)
 
 
-@query("select c_custkey, cast((case when c_nationkey <> c_custkey % 25 then 1 else 0 end) + (case when c_mktsegment <> 'BUILDING' then 1 else 0 end) as int) as n_changed from customer")
+@query("""select c_custkey, cast((case when c_nationkey <> c_custkey % 25 then 1 else 0 end) + (case when c_mktsegment <> 'BUILDING' then 1 else 0 end) as int) as n_changed,
+    case when c_nationkey = c_custkey % 9 then [] else [cast(c_nationkey as varchar)] end as added, case when c_nationkey = c_custkey % 9 then [] else [cast(c_custkey % 9 as varchar)] end as removed from customer""")
 def t7_diff_suggestion(t):
     form = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.col("c_mktsegment"))
     now = F.create_map(F.lit("nation"), (F.col("c_custkey") % 25).cast("string"), F.lit("segment"), F.lit("BUILDING"))
-    return t.customer.select("c_custkey", F.size(T.changed_fields(form, now)).alias("n_changed"))
+    added, removed = T.tag_changes(F.array(F.lit("all"), F.col("c_nationkey").cast("string")), F.array((F.col("c_custkey") % 9).cast("string"), F.lit("all")))
+    return t.customer.select("c_custkey", F.size(T.changed_fields(form, now)).alias("n_changed"), added.alias("added"), removed.alias("removed"))
 
 
 @query("""select c_custkey as suggestion, 'name' as field, c_mktsegment = 'BUILDING' as met from customer join supplier on s_suppkey = c_custkey union all
@@ -317,10 +374,10 @@ def t8_suggestion_relevance(t):
     return T.suggestion_relevance(s, t.supplier.selectExpr("s_suppkey as target", "'BUILDING' as name", "cast(s_nationkey as string) as nation"), ["name", "nation"])
 
 
-@query(WITH + """, w as (select s_suppkey as site, s_suppkey % 25 as tag from supplier where s_suppkey % 3 = 0)
-    select cast(site as bigint) as site, cast(tag as int) as tag, level from links where site % 3 <> 0 or tag = site % 25 union all select site, cast(tag as int), 50 from w where not exists (select 1 from links l where l.site = w.site and l.tag = w.tag)""")
+@query(WITH + """, w as (select s_suppkey as site, s_suppkey % 25 as tag from supplier where s_acctbal > 3000)
+    select cast(site as bigint) as site, cast(tag as int) as tag, level from links where site not in (select site from w) or tag = site % 25 union all select site, cast(tag as int), 50 from w where not exists (select 1 from links l where l.site = w.site and l.tag = w.tag)""")
 def t9_apply_suggestion(t):
-    wanted = t.supplier.filter("s_suppkey % 3 = 0").selectExpr("s_suppkey as site", "array(cast(s_suppkey % 25 as int)) as tags")
+    wanted = t.supplier.filter("s_acctbal > 3000").selectExpr("s_suppkey as site", "array(cast(s_suppkey % 25 as int)) as tags")
     return T.apply_tag_suggestion(t.links, wanted)
 
 
@@ -329,10 +386,10 @@ def t10_daily_quota(t):
     return T.over_quota(t.events, "user_id", "ts", ts("2024-01-20"), 2)
 
 
-@query("select s_suppkey from supplier where exists (select 1 from customer where c_custkey % 7 = 0 and strpos('.www.s' || (c_custkey % 90) || '.example.', '.s' || s_suppkey || '.example.') > 0)")
+@query("select s_suppkey from supplier where exists (select 1 from customer where contains('www.s' || (c_custkey % 90 * 7) || '.example', right('s' || s_suppkey || '.example', 9 + cast(s_suppkey % 4 as int))))")
 def t11_blocked_sites(t):
-    sites = t.supplier.selectExpr("s_suppkey", "concat('s', s_suppkey, '.example') as site")
-    return T.blocked_sites(sites, t.customer.filter("c_custkey % 7 = 0").selectExpr("concat('www.s', c_custkey % 90, '.example') as address")).select("s_suppkey")
+    sites = t.supplier.selectExpr("s_suppkey", "right(concat('s', s_suppkey, '.example'), 9 + cast(s_suppkey % 4 as int)) as site")
+    return T.blocked_sites(sites, t.customer.selectExpr("concat('www.s', c_custkey % 90 * 7, '.example') as address")).select("s_suppkey")
 
 
 @query("select page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www[.]', '') as site, case when page_id % 3 = 0 then 'words missing' when page_id % 3 = 1 then 'other site' end as problem from pages")
@@ -348,10 +405,13 @@ def t13_profanity_flag(t):
     return T.profane(t.documents, words, t.spark.createDataFrame([("the",)], "word string"), "doc_id")
 
 
-@query("select o_orderkey, o_custkey, rank from (select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as rank from orders) where rank <= 30")
+@query("""select o_orderkey, o_custkey, rank, case o_orderstatus when 'O' then 'accepted' when 'F' then 'rejected' end as decision, case when o_orderstatus <> 'P' then cast(o_orderkey % 50 as varchar) end as moderator
+    from (select *, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as rank from orders) where rank <= 30""")
 def t14_suggestion_list(t):
-    rows = R.last_targets(t.orders.selectExpr("o_custkey as job", "o_orderdate as changed", "o_orderkey as id"), 30)
-    return rows.select(F.col("id").alias("o_orderkey"), F.col("job").alias("o_custkey"), "rank")
+    rows = t.orders.selectExpr("o_orderkey as id", "o_custkey as user", "o_orderdate as changed", "map('phrase', o_orderpriority) as suggestion")
+    decisions = t.orders.filter("o_orderstatus <> 'P'").selectExpr("o_orderkey as id", "if(o_orderstatus = 'O', 'accepted', 'rejected') as decision", "map('moderator', cast(o_orderkey % 50 as string)) as mod_activity")
+    found = T.suggestion_list(rows, decisions, "user", 30)
+    return found.select(F.col("id").alias("o_orderkey"), F.col("user").alias("o_custkey"), "rank", "decision", F.try_element_at("marks", F.lit("moderator")).alias("moderator"))
 
 
 @query(WITH + "select o.job, cast(coalesce(n, 0) as bigint) as n from jobs o left join (select job, count(*) n from requests group by job) r on r.job = o.job")
@@ -369,14 +429,17 @@ def q8_site_filter(t):
     return Q.site_filter(t.links, t.links, [1, 2, 3], [4, 5])
 
 
-@query("select n_nationkey, n_name from nation where contains(n_name, 'AN') order by n_name limit 18")
+@query("select n_nationkey as id, n_name as name from nation where contains(n_name, '1') union all select c_custkey, c_name from customer where contains(c_name, '1') order by name, id limit 18 offset 1")
 def q20_find_by_substring(t):
-    return Q.page_of(t.nation.filter(F.col("n_name").contains("AN")).select("n_nationkey", "n_name"), ["n_name"], 0, 18)
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")).unionByName(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    return Q.find_by_substring(names, "name", "1", 0, 18, ["name", "id"], skip=1)
 
 
-@query("select user_id, event_type, max(ts) as last_at from events group by user_id, event_type")
+@query("with e as (select user_id, event_type as phrase, event_id % 3 as level, max(ts) as last_at from events group by all) select user_id, phrase, level, case when phrase = 'view' then greatest(last_at, timestamp '2024-01-15') else last_at end as last_at from e union all select -1, 'old', 0, timestamp '2020-01-01'")
 def q18_record_query(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.max("ts").alias("last_at"))
+    new = t.events.select("user_id", F.col("event_type").alias("phrase"), (F.col("event_id") % 3).alias("level"), F.col("ts").alias("last_at"))
+    history = new.filter("phrase = 'view'").select("user_id", "phrase", "level").distinct().withColumn("last_at", ts("2024-01-15")).unionByName(t.spark.range(1).selectExpr("-1 as user_id", "'old' as phrase", "0 as level").withColumn("last_at", ts("2020-01-01")))
+    return Q.record_query(history, new, ["user_id", "phrase", "level"], "last_at")
 
 
 @query("select event_id, ts from events order by ts desc, event_id limit 30 offset 30")
@@ -384,9 +447,10 @@ def q19_history_page(t):
     return Q.page_of(t.events.select("event_id", "ts"), [F.desc("ts"), "event_id"], 1, 30)
 
 
-@query("select o_orderkey from orders where o_custkey in (-1, 7, 10, 13)")
+@query("select o_orderkey, o_custkey from orders where o_custkey = -1 or o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def q16_visible_rules(t):
-    return t.orders.filter(F.col("o_custkey").isin(-1, 7, 10, 13)).select("o_orderkey")
+    users = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user"))
+    return Q.visible_rules(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", users)
 
 
 @query("select source, n from (select source, count(*) n from documents group by source order by n desc, source limit 10)")

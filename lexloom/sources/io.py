@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +55,17 @@ def upsert(index: DataFrame, updates: DataFrame, key: str, version: str) -> Data
     return rows.withColumn("_k", k).filter("_k = 1").drop("_k", "_u")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_version(df: DataFrame, folder: str) -> str:
     """Writes a table in a folder of its own and returns it: readers of the last version are not disturbed."""
     path = f"{folder}/v-{uuid.uuid4().hex}"
