@@ -42,6 +42,30 @@ def stopword_density(text: Column, stop_words: list[str]) -> Column:
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.array_contains(stop, w))) / F.size(words)).otherwise(0.0)
 
 
+# Endings of English words and what becomes of them, the first that fits; a word keeps three letters at least.
+ENDINGS = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("s", ""))
+
+
+def stemmed(word: Column) -> Column:
+    out = word
+    for end, to in reversed(ENDINGS):
+        out = F.when(word.endswith(end) & (F.length(word) - len(end) + len(to) >= 3), F.concat(F.substring(word, F.lit(1), F.length(word) - len(end)), F.lit(to))).otherwise(out)
+    return out
+
+
+def analysed_text(text: Column, stop_words: list[str], protected: tuple[str, ...] = (), stem: bool = True, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Terms of a text as they are indexed: lower case, without possessive 's and stop words, stemmed but for protected
+    words. With `synonyms`, as for queries, those of a term stand beside it."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+(?:'s)?"), F.lit(0)), lambda w: F.regexp_replace(w, "'s$", ""))
+    kept = F.filter(words, lambda w: ~w.isin(stop_words))
+    if synonyms:
+        table = F.create_map(*[x for w, others in synonyms.items() for x in (F.lit(w), F.array(*map(F.lit, [w, *others])))])
+        kept = F.flatten(F.transform(kept, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w))))
+    if stem:
+        kept = F.transform(kept, lambda w: F.when(w.isin(*protected), w).otherwise(stemmed(w)) if protected else stemmed(w))
+    return kept
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Sorted n-grams of characters; the last one is left out."""
     count = F.length(text) - n

@@ -73,11 +73,17 @@ def requeue(status: Column) -> Column:
     return F.when(status.isin("scheduled", "ran"), "waiting").otherwise(status)
 
 
-def progress(requests: DataFrame, jobs: DataFrame, now_depth: int = 3, first_yield: float = 10.0, first_thread_yield: float = 7500.0, per_site: int = 50, factor: int = 20) -> DataFrame:
+def progress(requests: DataFrame, jobs: DataFrame | None = None, now_depth: int = 3, first_yield: float = 10.0, first_thread_yield: float = 7500.0, per_site: int = 50, factor: int = 20) -> DataFrame:
     """Counts by job in one aggregate, and from them yields, estimates of web and Reddit pages, and the proportion done.
 
     requests: job, site, kind ('web' or 'reddit'), is_search, status, lead_count; jobs: job, status, websites, subreddits,
-    is_crawl. A web site is known while it has open requests or when all of them ended. Jobs without requests count 0."""
+    is_crawl. A web site is known while it has open requests or when all of them ended. Jobs without requests count 0.
+    Without `jobs`, those of the requests are web jobs for the sites there are, finished once nothing is open."""
+    for name, default in (("kind", "web"), ("lead_count", 0)):
+        requests = requests if name in requests.columns else requests.withColumn(name, F.lit(default))
+    if jobs is None:
+        ended = F.when(F.bool_or(F.col("status").isin(*OPEN)), "working").otherwise("finished").alias("status")
+        jobs = requests.groupBy("job").agg(ended, F.count_distinct("site").alias("websites"), F.lit(0).alias("subreddits"), F.lit(False).alias("is_crawl"))
     search, done, open_, ran = F.col("is_search"), F.col("status") == "committed", F.col("status").isin(*OPEN), F.col("status") == "ran"
     web, reddit = F.col("kind") == "web", F.col("kind") == "reddit"
     counted = {

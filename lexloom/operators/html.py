@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import host
 from . import rules as U
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -262,3 +263,15 @@ def assemble_text(paragraphs: DataFrame) -> DataFrame:
 def last_values(nodes: DataFrame, keys: list[str], order: str, rules: dict[str, Column]) -> DataFrame:
     """For each rule the last value that is not null, by document."""
     return nodes.groupBy(*keys).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(k) for k, v in rules.items()])
+
+
+def page_meta(pages: DataFrame) -> DataFrame:
+    """page_id, url, title, description, keywords, canonical and host of pages (page_id, url, html); null where a page has none."""
+    named = lambda name: F.when((F.col("tag") == "meta") & (F.lower(F.col("attrs")["name"]) == name), F.col("attrs")["content"])
+    rules = {
+        "title": F.when((F.col("parent_tag") == "title") & (F.col("tag") == "#text"), F.col("text")), "description": named("description"), "keywords": named("keywords"),
+        "canonical": F.when((F.col("tag") == "link") & (F.lower(F.col("attrs")["rel"]) == "canonical"), F.col("attrs")["href"]),
+    }
+    rows = last_values(html_to_nodes(pages).filter(F.col("tag").isin("meta", "link") | (F.col("parent_tag") == "title")), ["page_id"], "pre", rules)
+    words = F.transform(F.split("keywords", ","), lambda w: F.trim(w))
+    return pages.select("page_id", "url").join(rows, "page_id", "left").withColumn("keywords", words).withColumn("host", host(F.col("url")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, common_count, tokens
-
 # A few very common words by language.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "was", "for", "it", "with", "as", "are", "this", "be"],
@@ -43,40 +46,106 @@ def language_islands(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     return sentences.withColumn("_new", changed).withColumn("lang_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def pack_periods(sentences: DataFrame, key: str = "doc_id", least: int = 30, most: int = 50, shared: int = 15) -> DataFrame:
-    """Greedy periods within each language group: a period takes sentences while it has under `least` words; a short last
+# ---- the same, document by document, up to periods
+
+WORD, SENTENCE, MARKS = re.compile(r"\w+"), re.compile("[^.!?]+[.!?]*"), str.maketrans(".,;!?\n", "      ")
+
+
+def sentences_of(text: str) -> list[str]:
+    return [s for s in (x.strip(" \n\t") for x in SENTENCE.findall(text)) if s]
+
+
+def languages_of(sentences: list[str], stop_words: dict[str, frozenset[str]], default: str = "en") -> list[str]:
+    out, now = [], default
+    for s in sentences:
+        words = s.lower().translate(MARKS).split(" ")
+        n, best = max((sum(w in stop for w in words), lang) for lang, stop in stop_words.items())
+        now = best if n else now
+        out.append(now)
+    return out
+
+
+def grams_of(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 3)}
+
+
+def pack(sentences: list[str], least: int = 30, most: int = 50, shared: int = 15) -> list[tuple[str, int, int]]:
+    """Text, words and sentences of each period. A period takes sentences while it has under `least` words; a short last
     sentence joins it; it also takes a sentence when both together stay under `most` words and share `shared` trigrams,
-    unless that sentence stands just before a short last one."""
-    grouped = sentences.groupBy(key, "lang_group").agg(F.first("language_code").alias("language_code"), F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    words = lambda t: F.size(tokens(t))
-    rows = grouped.withColumn("s", F.transform("s", lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("text"), words(x["sentence"]).alias("n"))))
-    rows = rows.withColumn("last_n", F.element_at("s", -1)["n"]).withColumn("count", F.size("s")).withColumn("s", F.transform("s", lambda x, i: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), x["n"].alias("n"), i.alias("i"))))
-    period = "struct<text:string,n:int,sentences:int>"
-    start = F.array().cast(f"array<{period}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.element_at(acc, -1)
-        last = x["i"] == F.col("count") - 1
-        before_short = (x["i"] == F.col("count") - 2) & (F.col("last_n") < least)
-        alike = (now["n"] + x["n"] < most) & (common_count(char_ngrams(now["text"], 3), char_ngrams(x["text"], 3)) >= shared) & ~before_short
-        join = (F.size(acc) > 0) & ((now["n"] < least) | (last & (x["n"] < least)) | alike)
-        longer = F.struct(F.concat(now["text"], F.lit(" "), x["text"]).alias("text"), (now["n"] + x["n"]).cast("int").alias("n"), (now["sentences"] + 1).cast("int").alias("sentences"))
-        fresh = F.struct(x["text"].alias("text"), x["n"].cast("int").alias("n"), F.lit(1).alias("sentences"))
-        return F.when(F.size(acc) == 0, F.array(fresh)).when(join, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
-
-    packed = rows.withColumn("p", F.aggregate("s", start, lambda a, x: step(a, x).cast(f"array<{period}>")))
-    return packed.select(key, "lang_group", "language_code", F.posexplode("p").alias("at", "p")).select(key, "lang_group", "language_code", "at", F.col("p.text").alias("text"), F.col("p.n").alias("word_length_i"), F.col("p.sentences").alias("sent_length_i"))
-
-
-def to_period_rows(periods: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Numbers within the document, the document's length, location and fields, and the text by language."""
-    w = Window.partitionBy(key)
-    rows = periods.withColumn("period_number_i", F.row_number().over(w.orderBy("lang_group", "at"))).withColumn("parent_document_length_i", F.count("*").over(w).cast("int"))
-    rows = rows.withColumn("text_en", F.when(F.col("language_code") == "en", F.col("text"))).withColumn("text_xx", F.when(F.col("language_code") != "en", F.col("text"))).drop("text", "at")
-    fields = docs.drop("text", "lang")
-    return rows.join(fields, key).withColumn("doc_location", F.concat("url", F.lit("\t"), "period_number_i"))
+    unless that sentence stands just before a short last one. Only the open period is looked at."""
+    words = [len(WORD.findall(s)) for s in sentences]
+    out: list[tuple[str, int, int]] = []
+    parts: list[str] = []
+    n = 0
+    for i, (s, w) in enumerate(zip(sentences, words, strict=True)):
+        joins = n < least or i == len(sentences) - 1 and w < least
+        if parts and not joins and n + w < most and not (i == len(sentences) - 2 and words[-1] < least):
+            joins = len(grams_of(" ".join(parts)) & grams_of(s)) >= shared
+        if parts and not joins:
+            out.append((" ".join(parts), n, len(parts)))
+            parts, n = [], 0
+        parts.append(s)
+        n += w
+    return [*out, (" ".join(parts), n, len(parts))] if parts else out
+
+
+def _periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stop = {lang: frozenset(words) for lang, words in STOP_WORDS.items()}
+    for batch in batches:
+        doc, rows = [], []
+        for k, text in enumerate(batch.column(0).to_pylist()):
+            sentences = sentences_of(text or "")
+            langs = languages_of(sentences, stop)
+            first = len(rows)
+            groups = [list(g) for _, g in itertools.groupby(range(len(langs)), key=langs.__getitem__)]
+            for group, places in enumerate(groups, 1):
+                rows += [(group, langs[places[0]], at, *p) for at, p in enumerate(pack([sentences[i] for i in places]))]
+            doc += [k] * (len(rows) - first)
+            rows[first:] = [(*r, i, len(rows) - first) for i, r in enumerate(rows[first:], 1)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        kept = pa.Table.from_batches([batch]).take(pa.array(doc, pa.int64())).combine_chunks().columns[1:]
+        arrays = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in kept]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[1:], *PERIOD_COLUMNS])
+
+
+PERIOD_COLUMNS = ["lang_group", "language_code", "at", "text", "word_length_i", "sent_length_i", "period_number_i", "parent_document_length_i"]
+PERIOD_TYPES = "lang_group long, language_code string, at int, text string, word_length_i int, sent_length_i int, period_number_i int, parent_document_length_i int"
+
+
+def pack_periods(docs: DataFrame) -> DataFrame:
+    """Periods of documents (text and any other columns, which are kept, but for lang): greedy within each run of
+    sentences of one language. A document is worked on as a whole where it lies; nothing is shuffled."""
+    fields = [c for c in docs.columns if c not in ("text", "lang")]
+    rows = docs.select("text", *fields)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*fields).schema.fields)
+    return rows.mapInArrow(_periods, f"{kept}, {PERIOD_TYPES}" if kept else PERIOD_TYPES)
+
+
+def route_text_field(rows: DataFrame, supported: tuple[str, ...] = ("en",), language: str = "language_code") -> DataFrame:
+    """The text goes to text_<language> of a supported language, else (and without a language) to text_xx."""
+    known = F.coalesce(F.col(language).isin(*supported), F.lit(False))
+    out = rows
+    for lang in supported:
+        out = out.withColumn(f"text_{lang}", F.when(F.col(language) == lang, F.col("text")))
+    return out.withColumn("text_xx", F.when(~known, F.col("text"))).drop("text")
+
+
+def period_text(rows: DataFrame, supported: tuple[str, ...] = ("en",)) -> Column:
+    return F.coalesce(*[F.col(f"text_{lang}") for lang in supported], F.col("text_xx"))
+
+
+def parent_length(periods: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds how many periods the document has; they are counted before they meet the rows again."""
+    counts = periods.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("parent_document_length_i"))
+    return periods.join(counts, F.col(key) == F.col("_k")).drop("_k")
+
+
+def to_period_rows(periods: DataFrame) -> DataFrame:
+    """The location of each period (its document's address and its number), and the text by language."""
+    return route_text_field(periods.drop("at")).withColumn("doc_location", F.concat("url", F.lit("\t"), "period_number_i"))
 
 
 def periods_of(docs: DataFrame) -> DataFrame:
-    """All of this module in turn; docs has doc_id, url and text."""
-    return to_period_rows(pack_periods(language_islands(detect_language(split_sentences(docs)))), docs)
+    """Period rows of documents; docs has doc_id, url, text and others."""
+    return to_period_rows(pack_periods(docs))

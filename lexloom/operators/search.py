@@ -53,6 +53,30 @@ def score(rows: DataFrame, key: str, terms: list[str], fields: tuple[str, ...] =
     return each.groupBy(key, "term").agg(F.max("s").alias("s")).groupBy(key).agg(F.sum("s").alias("score"))
 
 
+def scored(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """`rows` with their score over all rows (null for rows without a term); the same as score(), for few terms.
+
+    One aggregate counts rows and terms, and its single row is broadcast; the score is then an expression, so that rows,
+    with all their columns, are neither shuffled nor joined with one another."""
+    wanted = [t.lower() for t in terms]
+    words = {f: F.transform(tokens(F.col(f)), lambda t: F.lower(t)) for f in fields}
+    counted = rows.withColumn("_tf", F.array(*[F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter(words[f], lambda w: w == t))) for f in fields]))  # noqa: B023
+    counted = counted.withColumn("_len", F.array(*[F.size(words[f]) for f in fields]))
+    each = [(i, j) for i in range(len(fields)) for j in range(len(wanted))]
+    stats = counted.agg(F.count("*").alias("_n"), *[F.count_if(F.col("_tf")[i][j] > 0).alias(f"_df_{i}_{j}") for i, j in each])
+    out = counted.crossJoin(F.broadcast(stats))  # one row
+    idf = lambda i, j: 1 + F.log((F.col("_n") + 1) / (F.col(f"_df_{i}_{j}") + 1))
+    one = lambda i, j: F.when(F.col("_tf")[i][j] > 0, F.sqrt(F.col("_tf")[i][j]) * idf(i, j) * idf(i, j) / F.sqrt(F.col("_len")[i]))
+    best = [F.greatest(*[one(i, j) for i in range(len(fields))]) if len(fields) > 1 else one(0, j) for j in range(len(wanted))]
+    some = best[0].isNotNull()
+    for b in best[1:]:
+        some = some | b.isNotNull()
+    total = F.coalesce(best[0], F.lit(0.0))
+    for b in best[1:]:
+        total = total + F.coalesce(b, F.lit(0.0))
+    return out.withColumn("score", F.when(some, total)).drop("_tf", "_len", "_n", *[f"_df_{i}_{j}" for i, j in each])
+
+
 def rule_filter(df: DataFrame, rules: list[tuple[str, str | float | None, str | float | None]]) -> DataFrame:
     """Closed ranges with open ends; a row without the feature fails any rule on it."""
     for feature, low, high in rules:
@@ -77,7 +101,12 @@ def top_hits(df: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 def field_stats(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, low, high over all rows, in one aggregate; features without values are left out."""
-    one = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+    kinds = dict(df.dtypes)
+    # Dates are written as month/day/year, numbers as they are.
+    shown = lambda c, x: F.date_format(x, "MM/dd/yyyy") if kinds[c] in ("date", "timestamp", "timestamp_ntz") else x.cast("double").cast("string")
+    formatted = any(kinds[c] in ("date", "timestamp", "timestamp_ntz") for c in features)
+    kept = shown if formatted else (lambda c, x: x.cast("double"))
+    one = df.agg(*[kept(c, f(c)).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
     pairs = ", ".join(f"'{c}', lo_{c}, hi_{c}" for c in features)
     return one.selectExpr(f"stack({len(features)}, {pairs}) as (feature, low, high)").filter("low is not null")
 
@@ -88,12 +117,26 @@ def suggest_terms(posts: DataFrame, prefix: str, n: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n_docs"), "term"))).filter(F.col("rank") <= n)
 
 
-def suggest_phrases(rows: DataFrame, word: str, following: int = 7) -> DataFrame:
-    """Distinct phrases: the first match of the word and up to `following` words after it, within punctuation."""
-    found = F.regexp_extract(F.lower("text"), rf"(?:^|[^\p{{L}}])({word}(?: [\p{{L}}\p{{N}}]+){{0,{following}}})", 1)
+def suggest_phrases(rows: DataFrame, words: str | list[str], following: int = 7, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct phrases: the first match of a word of the query that is no stop word (of all, if all are), and up to
+    `following` words after it, within punctuation."""
+    asked = [words] if isinstance(words, str) else [w for w in words if w.lower() not in stop_words] or list(words)
+    word = "|".join(w.lower() for w in asked)
+    found = F.regexp_extract(F.lower("text"), rf"(?:^|[^\p{{L}}])((?:{word})(?: [\p{{L}}\p{{N}}]+){{0,{following}}})", 1)
     return rows.select(found.alias("phrase")).filter("phrase != ''").distinct()
 
 
+def offers_general(rows: DataFrame, phrases: list[str], text: str = "text", few: int = 10) -> DataFrame:
+    """For each query (words joined by AND) its variant with OR, how many rows hold all its words, and whether the variant
+    is offered: the query has several words and fewer than `few` rows hold them. One aggregate counts for all queries."""
+    held = F.array_distinct(F.transform(tokens(F.col(text)), lambda t: F.lower(t)))
+    tests = [F.forall(F.array(*[F.lit(w.lower()) for w in p.split(" AND ")]), lambda w: F.array_contains("_held", w)) for p in phrases]
+    counts = rows.select(held.alias("_held")).agg(F.array(*[F.count_if(F.coalesce(t, F.lit(False))) for t in tests]).alias("n"))
+    each = F.arrays_zip(F.array(*map(F.lit, phrases)).alias("phrase"), F.col("n"))
+    out = counts.select(F.explode(each).alias("x")).select(F.col("x.phrase").alias("phrase"), F.col("x.n").alias("n"))
+    return out.select("phrase", F.replace("phrase", F.lit(" AND "), F.lit(" OR ")).alias("general"), "n", (F.col("phrase").contains(" AND ") & (F.col("n") < few)).alias("offer"))
+
+
 def top_terms(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 

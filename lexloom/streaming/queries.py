@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..operators import documents as D
 from ..operators import features as A
 from ..operators import frontier as R
 from ..operators import html as H
@@ -29,19 +30,20 @@ def _replace(df: DataFrame, out: str, batch: int) -> None:
 
 
 def stream_extract(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Pages to paragraphs to documents to periods. A page is never split over batches. pages: page_id, url, html."""
+    """Pages to paragraphs to documents to periods. A page is never split over batches. pages: page_id, url, html and, for
+    the rules that hold, source_type."""
 
     def each(batch: DataFrame, number: int) -> None:
-        docs = extracted(batch)
-        _replace(P.periods_of(docs), out, number)
+        _replace(P.periods_of(extracted(batch)), out, number)
 
     return _start(pages, each, checkpoint)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """doc_id, url and text of pages, one document a page."""
-    text = H.segment_paragraphs(pages).groupBy("page_id").agg(F.expr("listagg(text, '\n\n') within group (order by para_seq)").alias("text"))
-    return text.join(pages.select("page_id", "url"), "page_id").select(F.col("page_id").alias("doc_id"), "url", "text")
+def extracted(pages: DataFrame, now: Column | None = None) -> DataFrame:
+    """Documents of pages with doc_id (the page's), doc_seq, url, text and metadata; pages are media unless they have a
+    source_type."""
+    typed = pages if "source_type" in pages.columns else pages.withColumn("source_type", F.lit("media"))
+    return D.extract_documents(typed, F.current_timestamp() if now is None else now).withColumnRenamed("page_id", "doc_id")
 
 
 def stream_route(requests: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -63,6 +65,12 @@ def stream_redirects(log: DataFrame, out: str, checkpoint: str, most: int = 5) -
     return _start(log, each, checkpoint)
 
 
+def frontier_with_redirects(frontier: DataFrame, redirects: DataFrame) -> DataFrame:
+    """The frontier (url, hops) and the targets that stream_redirects wrote, each address once, with its fewest hops: what
+    the next fetch reads, so that targets are fed back."""
+    return frontier.select("url", "hops").unionByName(redirects.select("url", "hops")).groupBy("url").agg(F.min("hops").alias("hops"))
+
+
 class JobMonitor(StatefulProcessor):
     """State of one job: open and committed requests; ends when nothing is open, or 24 hours after it began."""
 
@@ -73,7 +81,7 @@ class JobMonitor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", "open long, committed long, began long, status string")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         held = self.state.get() if self.state.exists() else None
         open_, committed, began, status = held if held is not None else (0, 0, None, "working")
         for pdf in rows:
@@ -87,7 +95,7 @@ class JobMonitor(StatefulProcessor):
         self.state.update((open_, committed, began, status))
         yield pd.DataFrame({"job": [key[0]], "status": [status], "open": [open_], "committed": [committed]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         open_, committed, began, status = self.state.get()
         if status == "working":
             self.state.update((open_, committed, began, "terminated"))
@@ -114,9 +122,18 @@ def stream_dedupe_urls(requests: DataFrame, window: str = "12 hours") -> DataFra
     return requests.withWatermark("ts", window).dropDuplicatesWithinWatermark(["url"])
 
 
-def stream_feedback(votes: DataFrame, links: Callable[[], DataFrame], permissions: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Votes as they come, applied to the links of the moment."""
-    return _start(votes, lambda batch, number: write(T.apply_feedback(links(), batch, permissions()), number), checkpoint)
+def stream_feedback(votes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Votes as they come. `folder` holds the state: batch=-1 has the links and permissions of the start (folders links and
+    permissions), and each batch writes both as they are after it, from those before it. A permission that was used stays
+    used, and a batch that runs again starts from the same state, so no vote counts twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        links, permissions = (spark.read.parquet(f"{folder}/{x}/batch={number - 1}") for x in ("links", "permissions"))
+        T.apply_feedback(links, batch, permissions).write.mode("overwrite").parquet(f"{folder}/links/batch={number}")
+        T.use_permissions(permissions, batch).write.mode("overwrite").parquet(f"{folder}/permissions/batch={number}")
+
+    return _start(votes, each, checkpoint)
 
 
 def stream_reanalyse(queries: DataFrame, periods: Callable[[DataFrame], DataFrame], sentences: Callable[[DataFrame], DataFrame], now: Column, out: str, checkpoint: str, least: int = 200) -> StreamingQuery:

@@ -233,3 +233,116 @@ def test_a_source_type_of_ones_own(spark):
     finally:
         for table in (U.STARTS, U.AUTHORS, U.SETTINGS, U.REGISTERED):
             table.pop("test")
+
+
+def plain_periods(sentences):
+    """Periods from the definition, looking at all sentences each time."""
+    import re
+
+    def n_words(text):
+        return len(re.findall(r"\w+", text))
+
+    def grams(text):
+        return {text[i : i + 3] for i in range(len(text) - 3)}
+
+    periods = []
+    for i, s in enumerate(sentences):
+        now = " ".join(periods[-1]) if periods else ""
+        is_last, short = i == len(sentences) - 1, n_words(s) < 30
+        before_short_last = i == len(sentences) - 2 and n_words(sentences[-1]) < 30
+        near = n_words(now) + n_words(s) < 50 and len(grams(now) & grams(s)) >= 15 and not before_short_last
+        if periods and (n_words(now) < 30 or is_last and short or near):
+            periods[-1].append(s)
+        else:
+            periods.append([s])
+    return [" ".join(p) for p in periods]
+
+
+def test_periods_equal_the_operators_one_by_one(spark, sf):
+    """Sentences, languages and islands by the column operators, packed by the plain model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = P.language_islands(P.detect_language(P.split_sentences(docs))).orderBy("doc_id", "pos").collect()
+    expected = []
+    for (doc, group), part in itertools.groupby(rows, key=lambda r: (r["doc_id"], r["lang_group"])):
+        part = list(part)
+        expected += [(doc, group, at, part[0]["language_code"], text) for at, text in enumerate(plain_periods([r["sentence"] for r in part]))]
+    got = P.pack_periods(docs.withColumn("other", F.lit("x"))).orderBy("doc_id", "period_number_i").collect()
+    assert [(r["doc_id"], r["lang_group"], r["at"], r["language_code"], r["text"]) for r in got] == expected
+    counts = {}
+    for r in got:
+        counts.setdefault(r["doc_id"], []).append(r["period_number_i"])
+        assert r["other"] == "x"
+    assert all(v == list(range(1, len(v) + 1)) for v in counts.values()) and all(r["parent_document_length_i"] == len(counts[r["doc_id"]]) for r in got)
+    assert P.pack_periods(spark.createDataFrame([(1, None), (2, ""), (3, " . ! ")], "doc_id long, text string")).count() == 1
+
+
+def test_scores_as_expression_equal_scores_by_postings(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("title", F.substring("text", 1, 60))
+    for fields in (("text",), ("title", "text")):
+        a = {r["doc_id"]: r["score"] for r in Q.score(docs, "doc_id", ["thing", "the"], fields).collect()}
+        b = {r["doc_id"]: r["score"] for r in Q.scored(docs, ["thing", "the"], fields).filter("score is not null").collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_ranked_periods_score_before_they_filter(spark, sf):
+    from lexloom.plans.text_queries import ranked_periods
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en'").withColumn("url", F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id")))
+    rows = P.periods_of(docs).filter("text_en is not null").select("doc_location", F.col("text_en").alias("text"), "word_length_i").collect()
+    words = {r["doc_location"]: [w.lower() for w in __import__("re").findall(r"\w+", r["text"])] for r in rows}
+    idf = {t: 1 + __import__("math").log((len(words) + 1) / (sum(t in w for w in words.values()) + 1)) for t in ("the", "of")}
+    best = []
+    for k, w in words.items():
+        if len(w) >= 10 and all(t in w for t in idf):
+            score = sum(w.count(t) ** 0.5 * idf[t] ** 2 for t in idf) / len(w) ** 0.5
+            best.append((-round(score * (0.001 + sum(map(len, w)) / len(w)), 6), k))
+    assert [(r["doc_location"], r["score"]) for r in ranked_periods(spark, sf).collect()] == [(k, -s) for s, k in sorted(best)[:10]]
+
+
+@pytest.mark.parametrize(("word", "expected"), [("classes", "class"), ("stories", "stori"), ("miss", "miss"), ("seemingly", "seem"), ("walked", "walk"), ("sing", "sing"), ("cats", "cat"), ("as", "as")])
+def test_endings(spark, word, expected):
+    assert one(spark, X.stemmed(F.col("w")), w=word) == expected
+
+
+def test_analysed_text_of_queries(spark):
+    got = one(spark, X.analysed_text(F.col("s"), ["the"], protected=("boots",), synonyms={"coat": ["jacket"]}), s="The dog's Boots and coat, walking")
+    assert list(got) == ["dog", "boots", "and", "coat", "jacket", "walk"]
+
+
+def test_sentiment_turns_round_after_a_negation(spark):
+    from lexloom.operators import features as A
+
+    rows = spark.createDataFrame([(1, "good good bad it"), (2, "not a good day"), (3, "not it is now good"), (4, ""), (5, None)], "k long, text string")
+    got = {r["k"]: tuple(r)[1:] for r in A.sentiment(rows, {"good": 2.0, "bad": -1.0}, ["not"], "k").collect()}
+    assert got == {1: (0.5, 0.25, 0.25, round(3 / 24**0.5, 6)), 2: (0.0, 0.25, 0.75, round(-2 / 19**0.5, 6)), 3: (0.2, 0.0, 0.8, round(2 / 19**0.5, 6))}
+
+
+def test_features_of_contexts(spark):
+    from lexloom.operators import features as A
+
+    periods = spark.createDataFrame([("c", "p1", "a a b", None, 9.0), ("c", "p2", "a c", 7, 9.0), ("d", "p3", "x", None, 9.0)], "context string, key string, text string, word_length_i int, average_word_tf_idf_f double")
+    sentences = spark.createDataFrame([("c", "p1", "aaaa"), ("c", "p1", "bb"), ("c", "p2", "cccccc")], "context string, key string, sentence string")
+    got = {r["key"]: r for r in A.analyse_contexts(periods, sentences, "context", "key", F.lit("2024-01-30").cast("timestamp"), least=2).collect()}
+    assert got.keys() == {"p1", "p2"} and len(got["p1"]) == len(set(got["p1"].asDict()))
+    assert (got["p1"]["word_length_i"], got["p2"]["word_length_i"]) == (3, 7)
+    assert got["p1"]["average_word_tf_idf_f"] == round((1 / 3 + 1 / 3 + 1) / 3, 6) and got["p1"]["sentence_length_deviation_f"] == -1.0 and got["p2"]["sentence_length_deviation_f"] == 2.0
+
+
+@pytest.mark.parametrize(("url", "ok"), [("https://a.example/x.flv", False), ("https://a.example/x.deb", False), ("https://a.example/x.pdf", True), ("https://a.example/x.jpg?w=1", False), ("https://10.example.com/", True), ("http://10.1.2.3/", False), ("mailto:a@b.example", False), ("http://172.16.0.1:80/", False), ("http://172.32.0.1/", True)])
+def test_url_rules(spark, url, ok):
+    assert one(spark, U.acceptable_url(F.col("u")), u=url) is ok
+
+
+def test_sites_with_failures_alone_are_done_and_blocked_parts_block(spark):
+    from lexloom.operators import trust as T
+
+    requests = spark.createDataFrame([(1, "a", "failed"), (1, "b", "failed"), (1, "b", "ran"), (1, "c", "cancelled")], "job long, site string, status string")
+    assert [r["site"] for r in R.sites_done(requests).collect()] == ["a"] and [r["site"] for r in R.sites_worked(requests).collect()] == ["b"]
+    sites = spark.createDataFrame([("ample.com",), ("other.org",), ("",), (None,)], "site string")
+    assert [r["site"] for r in T.blocked_sites(sites, spark.createDataFrame([("www.example.com",), (None,)], "address string")).collect()] == ["ample.com"]
+
+
+def test_a_hot_queue_is_ranked_in_buckets(spark):
+    rows = spark.range(1, 2000, 7).selectExpr("id as order", "'https://hot.example/x' as url", "cast(null as double) as robots_delay")
+    got = R.politeness_plan(rows, bucket=50).orderBy("order").collect()
+    assert [r["start"] for r in got] == [float(k) for k in range(len(got))]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import frontier as R
 from lexloom.operators import periods as P
+from lexloom.operators import trust as T
 from lexloom.streaming import queries as ST
 
 
@@ -55,3 +56,70 @@ def test_redirects_are_bounded(spark):
     stream = spark.readStream.schema("url string, target string, code int, hops int").parquet(f"{folder}/in")
     ST.stream_redirects(stream, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert [(r["url"], r["hops"]) for r in spark.read.parquet(f"{folder}/out").collect()] == [("b", 1)]
+
+
+def test_extracted_documents_are_those_of_a_plain_walk(spark):
+    """A media page is one document of its good paragraphs; an independent count of what must be in it."""
+    good = "It is what it was, and so they said that there is no more to it than this, which is all that was to be said of it by them."
+    html = f"<html><head><title>T</title></head><body><nav><p>{good}</p></nav><p>{good} One.</p><p>{"xx yy zz " * 10}</p><p>{good} Two.</p><footer><p>{good}</p></footer></body></html>"
+    got = ST.extracted(spark.createDataFrame([(1, "https://a.example/", html), (2, "https://b.example/", "<html></html>")], "page_id long, url string, html string")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["url"], r["text"]) for r in got] == [(1, "https://a.example/", f"{good} One.\n\n{good} Two."), (2, "https://b.example/", "")]
+
+
+def test_votes_count_once_over_batches_and_reruns(spark):
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([("l1", 0), ("l2", 5)], "link string, level long").write.parquet(f"{folder}/s/links/batch=-1")
+    spark.createDataFrame([("ann", False), ("bob", False), ("cyd", True)], "user string, used boolean").write.parquet(f"{folder}/s/permissions/batch=-1")
+    schema = "user string, link string, up boolean, at timestamp"
+    first = [("ann", "l1", True), ("ann", "l2", True), ("cyd", "l1", True)]
+    second = [("ann", "l1", True), ("bob", "l2", False)]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame([(*r, None) for r in rows], schema).withColumn("at", F.expr(f"timestamp '2024-01-0{k + 1}'")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        ST.stream_feedback(stream, f"{folder}/s", f"{folder}/cp").awaitTermination()
+    levels = lambda n: {r["link"]: r["level"] for r in spark.read.parquet(f"{folder}/s/links/batch={n}").collect()}
+    assert levels(0) == {"l1": 1, "l2": 5} and levels(1) == {"l1": 1, "l2": 4}
+    assert {r["user"]: r["used"] for r in spark.read.parquet(f"{folder}/s/permissions/batch=1").collect()} == {"ann": True, "bob": True, "cyd": True}
+    # The second batch once more, from the same state.
+    batch = spark.createDataFrame([(*r, None) for r in second], schema)
+    state = [spark.read.parquet(f"{folder}/s/{x}/batch=0") for x in ("links", "permissions")]
+    assert {r["link"]: r["level"] for r in T.apply_feedback(state[0], batch, state[1]).collect()} == levels(1)
+
+
+def test_targets_of_redirects_are_fed_back(spark):
+    frontier = spark.createDataFrame([("a", 0), ("b", 3)], "url string, hops int")
+    redirects = spark.createDataFrame([("b", 1), ("c", 2), ("c", 4)], "url string, hops int")
+    assert {r["url"]: r["hops"] for r in ST.frontier_with_redirects(frontier, redirects).collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_reanalysis_of_queried_contexts(spark):
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([("q1",), ("q2",)], "context_id string").coalesce(1).write.parquet(f"{folder}/in")
+    periods = spark.createDataFrame([("q1", "p1", "a b"), ("q1", "p2", "a"), ("q2", "p3", "x")], "context_id string, doc_location string, text string")
+    sentences = periods.select("context_id", "doc_location", F.col("text").alias("sentence"))
+    of = lambda df: lambda batch: df.join(batch, "context_id", "left_semi")
+    q = ST.stream_reanalyse(spark.readStream.schema("context_id string").parquet(f"{folder}/in"), of(periods), of(sentences), F.expr("timestamp '2024-01-30'"), f"{folder}/out", f"{folder}/cp", least=2)
+    q.processAllAvailable()
+    q.stop()
+    got = {r["doc_location"]: (r["word_length_i"], r["average_word_tf_idf_f"], r["sentence_length_deviation_f"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {"p1": (2, 0.75, 1.0), "p2": (1, 0.5, -1.0)}
+
+
+def test_job_monitor_finishes_and_terminates(spark):
+    folder = tempfile.mkdtemp()
+    schema = "job long, ts timestamp, opened int, committed int"
+    at = lambda hour: f"2024-01-{1 + hour // 24:02d} {hour % 24:02d}:00:00"
+    parts = [[(1, at(0), 1, 0), (1, at(0), 1, 0), (2, at(0), 1, 0)], [(1, at(1), -1, 1), (1, at(1), -1, 0)], [(3, at(60), 1, 0)], [(3, at(61), 1, 0)]]
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = []
+        for part in parts:
+            spark.createDataFrame(part, "job long, t string, opened int, committed int").selectExpr("job", "cast(t as timestamp) as ts", "opened", "committed").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = ST.stream_job_monitor(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+            keep = lambda batch, number: seen.extend((r["job"], r["status"], r["open"], r["committed"]) for r in batch.collect())
+            stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert seen[:2] == [(1, "working", 2, 0), (2, "working", 1, 0)] or seen[:2] == [(2, "working", 1, 0), (1, "working", 2, 0)]
+    assert (1, "finished", 0, 1) in seen and (2, "terminated", 1, 0) in seen and (1, "terminated", 0, 1) not in seen
