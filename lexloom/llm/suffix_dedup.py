@@ -39,7 +39,7 @@ K = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-RUN = 4096
+RUN = 512
 SPANS = "row long, doc_id long, at int, a int, b int, first_doc long, is_first boolean"
 SUFFIXES = "doc_id long, text_hash long, row long, at int, before int, after int, low int, high int, key long, around long"
 
