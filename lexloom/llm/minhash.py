@@ -8,9 +8,10 @@
    own, so rows that repeat a doc_id with other texts stay apart.
 3. Candidates come from the keys. Classes of one key are candidates if `agreeing` or more of their 2*m*r minima have the
    same last byte, which again misses less than 1 in 10,000 pairs at the threshold and leaves out nearly all of half of it.
-   Per key, a partial aggregate finds the smallest class, and all others are held against it. Where some of them are not
-   alike it, the whole group of the key is compared by those bytes, in blocks of bounded size; a task returns no more
-   candidates than join its classes. Components of the candidates are clusters.
+   Per key, a partial aggregate finds whether its classes are in one component of candidates already; if not, those of
+   other components are held against one class of the largest. Where some of them are not alike it, the whole group of the
+   key is compared by those bytes, in blocks of bounded size; a task returns no more candidates than join its classes.
+   Components of the candidates are clusters.
 4. Within a cluster all pairs are compared on full sets, in blocks of bounded size, through an inverted index of the
    block's shingles; a task returns only the links that join two components. Small clusters share blocks. For large
    ones the first round compares within blocks and against the classes that are the centre of most stars; the second
@@ -164,13 +165,13 @@ def _alike(a: str, b: str, least: int) -> Column:
 
 def _grouper(least: int) -> Callable:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of alike classes of one group that join all that are alike; rows of either block are held against all."""
+        """Pairs of alike classes of one group that join all that are alike and do not have one label already."""
         pdf = pdf.drop_duplicates("node")
         node, traces = pdf["node"].to_numpy(), np.array(pdf["traces"].tolist(), np.int8).reshape(len(pdf), -1)
-        root, found = np.arange(len(pdf)), []
+        root, found = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1], []
         for i in range(len(pdf)):
-            close = np.flatnonzero((traces[i] == traces[i + 1 :]).sum(1) >= least) + i + 1
-            for j in close[root[close] != root[i]].tolist():
+            others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            for j in others[(traces[i] == traces[others]).sum(1) >= least].tolist():
                 if root[i] != root[j]:
                     root[root == root[j]] = root[i]
                     found.append((i, j))
@@ -179,27 +180,52 @@ def _grouper(least: int) -> Callable:
     return group
 
 
+def _tested(pairs: DataFrame, classes: DataFrame, least: int, name: str) -> DataFrame:
+    """Pairs (a, b) of classes, and whether they are alike."""
+    traces = lambda c: classes.select(F.col("node").alias(c), F.col("traces").alias(f"{c}_traces"))
+    both = pairs.join(traces("a").hint("merge"), "a").join(traces("b").hint("merge"), "b")
+    return settled(both.select("a", "b", _alike("a_traces", "b_traces", least).alias("alike")), name)
+
+
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, its component and how many nodes that has."""
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    own = found.join(sizes, "component")
+    return classes.select("node").join(own, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.coalesce("n", F.lit(1)).alias("n"))
+
+
 def candidates(classes: DataFrame, least: int, block: int = 2000) -> DataFrame:
-    """Links (a, b) that join all classes which share a key and at least `least` minima. `classes` has node, u, v, traces."""
-    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
-    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
-    stars = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-    met = settled(keys.join(stars, "key").filter("node != centre"), "met")
-    traces = lambda name: classes.select(F.col("node").alias(name), F.col("traces").alias(f"{name}_traces"))
-    pairs = met.groupBy("node", "centre").agg(F.count("*").alias("meets")).join(traces("node").hint("merge"), "node").join(traces("centre").hint("merge"), "centre")
-    pairs = settled(pairs.select("node", "centre", "meets", _alike("node_traces", "centre_traces", least).alias("alike")), "stars")
-    links = pairs.filter("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-
-    # Groups with a class that is not alike their centre; of groups with the same classes one will do.
-    open_ = met.join(pairs.filter("not alike").select("node", "centre"), ["node", "centre"]).groupBy("key").agg(F.first("centre").alias("centre"))
-    rows = met.join(open_.drop("centre"), "key").select("key", "node").unionByName(open_.select("key", F.col("centre").alias("node")))
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("low")).filter("n > 2")
-    once = same.groupBy("n", "s", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).alias("k"))
+    """Links (a, b) that join all classes which share a key and at least `least` minima. `classes` has node, u, v, traces.
+
+    The keys (u_i, v_i) come first: they join most copies, and of all keys only those go on that still hold classes of
+    different components. There, all are held against one of the largest component, but those that have it already."""
+    at_once = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = classes.select("node", F.explode(F.expr("transform(u, (x, i) -> xxhash64(i, x, i, v[i]))")).alias("key"))
+    stars = few.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("key", "b")
+    first = _tested(few.join(stars, "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct(), classes, least, "stars").filter("alike").select("a", "b")
+
+    labelled = settled(classes.select("node", "u", "v").join(_labels(classes, first), "node"), "labels")
+    dealt = labelled.repartition(at_once, "node")  # small tasks: each row becomes m*m
+    keys = dealt.select("node", "label", "n", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
+    mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    met = settled(keys.join(mixed, "key"), "met")
+    centres = met.groupBy("key").agg(F.max(F.struct("n", "label", "node")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.label").alias("b_label"))
+    held = settled(met.join(centres, "key").filter(F.col("label") != F.col("b_label")).select("key", F.col("node").alias("a"), "b"), "held")
+    second = _tested(held.select("a", "b").distinct(), classes, least, "stars-left")
+    links = settled(first.unionByName(second.filter("alike").select("a", "b")), "alike")
+
+    # Keys with a class that is not alike their centre, if they still hold several components; of keys with the same
+    # classes one will do.
+    open_ = held.join(second.filter("not alike").select("a", "b"), ["a", "b"]).select("key").distinct()
+    rows = met.select("key", "node").join(open_, "key").join(_labels(classes, links).select("node", "label"), "node")
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    once = same.groupBy("n", "s", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).alias("k"))
     rows = rows.join(once, "key").withColumn("p", F.pmod(F.xxhash64("node"), "k"))
     # Each block meets each other once: the unit of blocks p and q, the smaller first; alone, block 0 meets itself.
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("k = 1 or p != q")
-    rows = rows.select(F.struct("key", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "node").join(classes.select("node", "traces"), "node")
-    return links.unionByName(settled(rows.groupBy("unit").applyInPandas(_grouper(least), "a long, b long"), "alike"))
+    rows = rows.select(F.struct("key", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "node", "label").join(classes.select("node", "traces"), "node")
+    return links.unionByName(settled(rows.groupBy("unit").applyInPandas(_grouper(least), "a long, b long"), "alike-within"))
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 150_000) -> DataFrame:
