@@ -1,13 +1,15 @@
 """Operator 5: licence scan by a positional index of rare licence words.
 
-Templates are short licence phrases and statements. The words of all templates make up the licence vocabulary, and a
-pass over the corpus counts in how many documents each of these words stands, which gives their IDF. A second pass
-notes the places of licence words in each text. For each template its highest-IDF word in the corpus is the anchor: only
-its places are looked up, each gives the place where the template would begin, and the template's other words are
-looked up by their places relative to that. A phrase needs all its words; a statement needs its key phrases word for
-word, and its other words count, weighted by IDF, for the score.
+Templates are licence phrases, notices and texts. A text falls in segments, between which anything may stand (names, years);
+each segment has key phrases, which must be there word for word. The words of all templates make up the licence vocabulary,
+and a pass over the corpus counts in how many documents each of these words stands, which gives their IDF.
 
-A document's score is the best share of IDF weight found of any template whose key phrases are there, 0 without one.
+The index holds, for each segment, the places of its `RARE` words of the highest IDF among the mandatory ones. A second pass
+notes the places of licence words in each file and looks up those that the index has, rare ones as they are. Each posting says
+where the segment's first mandatory word would be; the postings of a segment are intersected by that, so that only places
+on which all its indexed words agree are left. There all mandatory words are verified, and the other words count for the score. A template
+is found where its segments follow each other. A document's score is the best share of IDF weight that is found of any
+template, 0 without one.
 
 Edge cases: null and word-less texts have no places and score 0; repeated rows give a row each; an empty table gives an
 empty result; other columns are ignored. The IDF of a word in no document is that of one document.
@@ -27,7 +29,8 @@ from .common import LETTERS, WordTable, chunks, held, tables
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Statements, with their label and key phrases. Keys are mandatory and consecutive; all words are compared by place.
+RARE = 3
+# Notices, with their label and key phrases. Keys are mandatory and consecutive; all words are compared by place.
 STATEMENTS = [
     ("released under the mit license", "mit", ["mit license"]),
     ("licensed under the apache license version 2 0", "apache", ["apache license"]),
@@ -49,11 +52,52 @@ STATEMENTS = [
     ("this is free and unencumbered software released into the public domain", "unlicense", ["free and unencumbered software"]),
     ("all rights reserved", "proprietary", ["all rights reserved"]),
 ]
+# Public licence texts by label, in segments with their key phrases; names and conditions of a project may
+# stand between segments.
+TEXTS: list[tuple[str, list[tuple[str, list[str]]]]] = [
+    ("mit", [
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["permission is hereby granted free of charge", "modify merge publish distribute sublicense"]),
+        ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice shall be included"]),
+        ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["provided as is without warranty"]),
+    ]),
+    ("isc", [
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+        ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["author disclaims all warranties"]),
+    ]),
+    ("bsd-2-clause", [
+        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+        ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+        ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ]),
+    ("bsd-3-clause", [
+        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+        ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+        ("may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ]),
+    ("zlib", [
+        ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+        ("the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["must not be misrepresented"]),
+        ("altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ]),
+    ("apache-2.0", [
+        ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["you may not use this file except in compliance with the license"]),
+        ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["unless required by applicable law or agreed to in writing"]),
+    ]),
+    ("gpl", [
+        ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["terms of the gnu general public license as published by the free software foundation"]),
+        ("in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["in the hope that it will be useful"]),
+    ]),
+    ("mpl-2.0", [("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["subject to the terms of the mozilla public license"])]),
+    ("unlicense", [
+        ("this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+        ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free to copy modify publish use compile sell or distribute"]),
+    ]),
+]
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label: string, word: long>>"
 
 
 def template_words() -> dict[str, int]:
-    texts = [*BASE, *(s for s, _, _ in STATEMENTS)]
+    texts = [*BASE, *(s for s, _, _ in STATEMENTS), *(s for _, segments in TEXTS for s, _ in segments)]
     return {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
 
 
@@ -90,76 +134,117 @@ def licence_idf(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + n.get(-1, 0)) / max(1, n.get(i, 0))) for w, i in ids.items()}
 
 
-class Index:
-    """Places of licence words in a chunk of texts, and the look-ups on them."""
+class Segment:
+    """Words of a segment as terms, their IDF weights, and which of them are mandatory."""
 
-    def __init__(self, terms: np.ndarray, starts: np.ndarray):
-        self.terms, self.starts, self.at = terms, starts, {}
-        order = np.flatnonzero(terms >= 0)
-        by_term = order[np.argsort(terms[order], kind="stable")]
-        for group in np.split(by_term, np.flatnonzero(np.diff(terms[by_term])) + 1) if len(by_term) else []:
-            self.at[int(terms[group[0]])] = group
+    def __init__(self, text: str, keys: list[str], ids: dict[str, int], idf: dict[str, float]):
+        words = text.split()
+        at = [next(i for i in range(len(words)) if words[i : i + len(k.split())] == k.split()) for k in keys]
+        self.terms = np.array([ids[w] for w in words])
+        self.weights = np.array([idf[w] + 0.1 for w in words])
+        self.must = np.array(sorted({a + j for a, k in zip(at, keys, strict=True) for j in range(len(k.split()))}))
+        rarest = sorted(self.must.tolist(), key=lambda k: (-idf[words[k]], k))
+        self.rare = sorted(rarest[:RARE])
 
-    def begins(self, words: list[int], anchor: int) -> np.ndarray:
-        """Where the words would begin, by the places of the anchor, within the text that it stands in."""
-        at = self.at.get(words[anchor], np.zeros(0, np.int64))
-        return at - anchor
 
-    def owner(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, "right") - 1
+class Templates:
+    """Templates as lists of segments, and the index from rare words to places in segments."""
 
-    def there(self, begin: np.ndarray, owner: np.ndarray, offset: int, term: int) -> np.ndarray:
-        place = begin + offset
-        inside = (place >= self.starts[owner]) & (place < self.starts[owner + 1])
-        out = np.zeros(len(begin), bool)
-        out[inside] = self.terms[place[inside]] == term
+    def __init__(self, idf: dict[str, float]):
+        ids = template_words()
+        self.segments: list[Segment] = []
+        self.templates: list[tuple[str, list[int]]] = []
+        known: dict[tuple, int] = {}
+
+        def number(text: str, keys: list[str]) -> int:
+            if (text, *keys) not in known:
+                known[(text, *keys)] = len(self.segments)
+                self.segments.append(Segment(text, keys, ids, idf))
+            return known[(text, *keys)]
+
+        self.base = [(label, number(phrase, [phrase])) for phrase, label in BASE.items()]
+        for text, label, keys in STATEMENTS:
+            self.templates.append((label, [number(text, keys)]))
+        for label, segments in TEXTS:
+            self.templates.append((label, [number(text, keys) for text, keys in segments]))
+        # Places are told from the first mandatory word: what stands before it may lie before the text.
+        rows = sorted((int(x.terms[k]), n, k - int(x.must[0])) for n, x in enumerate(self.segments) for k in x.rare)
+        self.posting_terms, self.posting_segments, self.posting_offsets = (np.array(x) for x in zip(*rows, strict=True))
+        self.needed = np.array([len(x.rare) for x in self.segments])
+
+    def find(self, terms: np.ndarray, starts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each segment with places: the texts, where it begins in the row of all words, and the weight found there."""
+        at = np.flatnonzero(np.isin(terms, self.posting_terms))
+        low, high = np.searchsorted(self.posting_terms, terms[at]), np.searchsorted(self.posting_terms, terms[at], "right")
+        n = high - low
+        posting = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(at, n) - self.posting_offsets[posting]
+        # The postings of a segment meet where they agree on the place of its first mandatory word.
+        key, votes = np.unique((self.posting_segments[posting] << 40) + np.maximum(first, -1) + 1, return_counts=True)
+        segment, first = key >> 40, (key & ((1 << 40) - 1)) - 1
+        agreed = (votes == self.needed[segment]) & (first >= 0)
+        segment, first = segment[agreed], first[agreed]
+        out = {}
+        for k in np.unique(segment).tolist():
+            x = self.segments[k]
+            owner = np.searchsorted(starts, first[segment == k], "right") - 1
+            begin_k = first[segment == k] - x.must[0]
+            place = begin_k[:, None] + np.arange(len(x.terms))
+            inside = (place >= starts[owner][:, None]) & (place < starts[owner + 1][:, None])
+            same = inside & (terms[np.clip(place, 0, len(terms) - 1)] == x.terms)
+            good = same[:, x.must].all(1)
+            if good.any():
+                out[k] = owner[good], begin_k[good], (same[good] * x.weights).sum(1)
         return out
 
-    def phrase(self, words: list[int], anchor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Begins of a phrase whose words all stand consecutively, and the texts they are in."""
-        begin = self.begins(words, anchor)
-        owner = self.owner(begin + anchor)
-        good = np.ones(len(begin), bool)
-        for k, w in enumerate(words):
-            good &= self.there(begin, owner, k, w)
-        return begin[good], owner[good]
+
+def best_share(places: list[list[tuple[int, float]]], lengths: list[int], total: float) -> float | None:
+    """The largest share of weight of segments that follow each other; places are sorted begins with weights found."""
+    reached: list[tuple[int, float]] = [(-(1 << 60), 0.0)]  # ends, and the best weight up to each
+    for found, n in zip(places, lengths, strict=True):
+        now, i, best = [], 0, None
+        for begin, weight in found:
+            while i < len(reached) and reached[i][0] <= begin:
+                best = max(best or 0.0, reached[i][1])
+                i += 1
+            if best is not None:
+                now.append((begin + n, best + weight))
+        reached = now
+    return min(1.0, max(w for _, w in reached) / total) if reached else None
 
 
 def _scanner(idf: dict[str, float]) -> Callable:
     ids = template_words()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarest = lambda words: max(range(len(words)), key=lambda k: (idf[words[k]], -k))
-        base = [(label, [ids[w] for w in p.split()], rarest(p.split())) for p, label in BASE.items()]
-        statements = []
-        for text, label, keys in STATEMENTS:
-            words = text.split()
-            offsets = [next(i for i in range(len(words)) if words[i : i + len(k.split())] == k.split()) for k in keys]
-            must = {o + j for o, k in zip(offsets, keys, strict=True) for j in range(len(k.split()))}
-            anchor = max(must, key=lambda k: (idf[words[k]], -k))
-            statements.append((label, [ids[w] for w in words], [idf[w] + 0.1 for w in words], must, anchor))
+        index = Templates(idf)
         for batch, texts in chunks(batches):
             terms, starts = _terms(texts, ids)
-            index = Index(terms, starts)
             n = len(texts)
+            hits = index.find(terms, starts) if len(terms) else {}
             places: list[list] = [[] for _ in range(n)]
             own: list[set[str]] = [set() for _ in range(n)]
             score = np.zeros(n)
-            for label, words, anchor in base:
-                for at, doc in zip(*index.phrase(words, anchor), strict=True):
-                    places[doc].append((label, int(at - starts[doc])))
-            for label, words, weights, must, anchor in statements:
-                begin = index.begins(words, anchor)
-                owner = index.owner(begin + anchor)
-                found, good = np.zeros(len(begin)), np.ones(len(begin), bool)
-                for k, (w, weight) in enumerate(zip(words, weights, strict=True)):
-                    hit = index.there(begin, owner, k, w)
-                    found += weight * hit
-                    if k in must:
-                        good &= hit
-                np.maximum.at(score, owner[good], np.minimum(1, found[good] / sum(weights)))
-                for doc in owner[good].tolist():
-                    own[doc].add(label)
+            for label, k in index.base:
+                if k in hits:
+                    for doc, at, _ in zip(*(x.tolist() for x in hits[k]), strict=True):
+                        places[doc].append((label, at - int(starts[doc])))
+            for label, parts in index.templates:
+                if not all(k in hits for k in parts):
+                    continue
+                by_doc: list[dict[int, list]] = []
+                for k in parts:
+                    of: dict[int, list] = {}
+                    for doc, at, weight in zip(*(x.tolist() for x in hits[k]), strict=True):
+                        of.setdefault(doc, []).append((at, weight))
+                    by_doc.append(of)
+                segments = [index.segments[k] for k in parts]
+                total = float(sum(x.weights.sum() for x in segments))
+                for doc in set(by_doc[0]).intersection(*by_doc[1:]):
+                    share = best_share([sorted(of[doc]) for of in by_doc], [len(x.terms) for x in segments], total)
+                    if share is not None:
+                        own[doc].add(label)
+                        score[doc] = max(score[doc], share)
             firsts = [[w for _, w in x] for x in places]
             names = [{label for label, _ in x} for x in places]
             yield pa.RecordBatch.from_arrays(

@@ -97,3 +97,54 @@ def test_licences_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert rows_of(licenses.op5_licenses(spark, sf), *BASE) == brute_base([tuple(r) for r in docs])
     assert licenses.scan_licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_labels(text, idf):
+    """Labels and score by looking for every segment at every place."""
+    words = letter_words(text)
+
+    def found(segment, keys):
+        want = segment.split()
+        must = set()
+        for k in keys:
+            i = next(i for i in range(len(want)) if want[i : i + len(k.split())] == k.split())
+            must |= set(range(i, i + len(k.split())))
+        for b in range(-len(want), len(words)):
+            if all(0 <= b + j < len(words) and words[b + j] == want[j] for j in must):
+                yield b, b + len(want), sum(idf[w] + 0.1 for j, w in enumerate(want) if 0 <= b + j < len(words) and words[b + j] == w)
+
+    def follow(segments, end):
+        if not segments:
+            return 0.0
+        shares = [w + rest for b, e, w in found(*segments[0]) if b >= end and (rest := follow(segments[1:], e)) is not None]
+        return max(shares, default=None)
+
+    labels, score = set(), 0.0
+    for label, segments in [(label, [(t, keys)]) for t, label, keys in licenses.STATEMENTS] + licenses.TEXTS:
+        weight = follow(segments, -1000)
+        if weight is not None:
+            labels.add(label)
+            score = max(score, weight / sum(idf[w] + 0.1 for t, _ in segments for w in t.split()))
+    return labels, min(1.0, score)
+
+
+def test_labels_and_scores_equal_a_plain_search(spark):
+    rng = random.Random(11)
+    rows = licensed()
+    for n, (_, segments) in enumerate(licenses.TEXTS):
+        whole = [prose(rng, 9), *(x for t, _ in segments for x in (t, prose(rng, 5)))]
+        changed = [" ".join(w if rng.random() < 0.93 else "other" for w in x.split()) for x in whole]
+        for k, parts in enumerate((whole, changed, whole[::-1], whole[:2], [*whole, *changed])):
+            rows.append((3000 + 10 * n + k, ". ".join(parts).capitalize(), *rows[0][2:]))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    idf = licenses.licence_idf(docs)
+    seen = {}
+    for r in licenses.scan_licences(docs).collect():
+        seen.setdefault(r["doc_id"], []).append(r)
+    full = 0
+    for doc, text in {(r[0], r[1]) for r in rows}:
+        labels, score = plain_labels(text, idf)
+        base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(letter_words(text))} "}
+        assert any(r["labels"] == ",".join(sorted(labels | base)) and abs(r["score"] - score) < 1e-9 for r in seen[doc]), (doc, text, labels, score)
+        full += score > 0.99
+    assert full >= len(licenses.TEXTS)
