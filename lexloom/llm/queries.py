@@ -23,5 +23,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{SMALL}'), '{pattern}')"
+
+
+# Sets of shingles, all pairs that share one, links that are close enough, and the smallest id that links lead to.
+OP8 = f"""with recursive w as (select doc_id, {_words('text', '[^\\x20\\x09-\\x0D]+')} as ws from documents),
+    s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g from w),
+    e as (select doc_id, len(g) as n, unnest(g) as x from s), p as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+    l as (select a, b from p where 100 * c >= 85 * (n + m - c)), two as (select a, b from l union all select b, a from l),
+    reach(a, b) as (select doc_id, doc_id from documents union select r.a, t.b from reach r join two t on r.b = t.a), c as (select a, min(b) as component_id from reach group by a)
+    select doc_id, cast(len(g) as bigint) as n_shingles, component_id, component_id = doc_id as kept from s join c on c.a = doc_id"""
+
+# Every window of the benchmark, looked for at every place of every document.
+OP10_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+OP10 = f"""with d as (select doc_id, {_words('text', OP10_WORDS)} as ws from documents), i as (select item_id, {_words('text', OP10_WORDS)} as ws from benchmark where item_id is not null),
+    k as (select item_id, ws, least(10, len(ws)) as n, unnest(generate_series(1, greatest(1, len(ws) - 9))) as k0 from i where len(ws) > 0), p as (select distinct item_id, n, array_to_string(list_slice(ws, k0, k0 + n - 1), ' ') as x from k),
+    z as (select distinct n from p), f as (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as k0 from d, z where len(ws) >= n), h as (select doc_id, k0, f.n, item_id from f join p on p.n = f.n and p.x = array_to_string(list_slice(ws, k0, k0 + f.n - 1), ' ')),
+    q as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(generate_series(k0, k0 + n - 1)) as pos from h) group by doc_id), t as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as items from h group by doc_id)
+    select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(items, []) as items
+    from d left join q using (doc_id) left join t using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express on small tables; the rest are tested in tests/llm."""
+    return {"op8_minhash": OP8, "op10_decontaminate": OP10}
