@@ -2,8 +2,9 @@
 
 Layout. Documents are dealt to shards by ranges of doc_id and sorted within them; the ids of a shard's documents,
 each closed by the end id, run on without gaps and are cut into sequences of `length`. A shard is one Arrow IPC file
-whose record batches hold `ids` (fixed-size list of uint16, or uint32 for vocabularies beyond 65,536) and `mask`
-(fixed-size list of booleans, false on the padding of the last sequence). Buffers are not compressed and every batch
+whose record batches hold `ids` (fixed-size list of uint16, or uint32 for vocabularies beyond 65,536), `mask`
+(fixed-size list of booleans, false on the padding of the last sequence) and `first` (the same, true on the first id of
+each document). Buffers are not compressed and every batch
 has `rows_per_batch` sequences, so a memory-mapped reader gets sequence k without copying: batch k // rows_per_batch,
 row k % rows_per_batch. The index, a Parquet table, says where each document begins.
 
@@ -152,33 +153,38 @@ class ShardFile:
         self.store.create_dir(root, recursive=True)
         self.name = f"shard-{uuid.uuid4().hex}.arrow"
         self.length, self.rows, self.dtype = length, rows, np.dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length)), ("first", pa.list_(pa.bool_(), length))])
         self.out = self.store.open_output_stream(f"{root}/{self.name}")
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.waiting: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = np.zeros(len(ids), bool)
+        first[np.cumsum(sizes) - sizes] = True
         self.waiting.append(ids.astype(self.dtype))
+        self.marks.append(first)
         self.held += len(ids)
         block = self.length * self.rows
         if self.held >= block:
-            rest = np.concatenate(self.waiting)
+            rest, marks = np.concatenate(self.waiting), np.concatenate(self.marks)
             while len(rest) >= block:
-                self.write(rest[:block], block)
-                rest = rest[block:]
-            self.waiting, self.held = [rest], len(rest)
+                self.write(rest[:block], marks[:block], block)
+                rest, marks = rest[block:], marks[block:]
+            self.waiting, self.marks, self.held = [rest], [marks], len(rest)
 
-    def write(self, ids: np.ndarray, real: int) -> None:
+    def write(self, ids: np.ndarray, first: np.ndarray, real: int) -> None:
         mask = np.zeros(len(ids), bool)
         mask[:real] = True
-        parts = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        parts = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask, first)]
         self.file.write_batch(pa.record_batch(parts, schema=self.schema))
 
     def close(self) -> None:
         rest = np.concatenate(self.waiting) if self.waiting else np.zeros(0, self.dtype)
         if len(rest):
-            self.write(np.concatenate([rest, np.zeros(-len(rest) % self.length, self.dtype)]), len(rest))
+            more = -len(rest) % self.length
+            self.write(np.concatenate([rest, np.zeros(more, self.dtype)]), np.concatenate([*self.marks, np.zeros(more, bool)]), len(rest))
         self.file.close()
         self.out.close()
 
@@ -192,7 +198,7 @@ def _writer(path: str, folder: str, length: int, rows: int, end_id: int, dtype:
             if file is None:
                 file = ShardFile(folder, length, rows, dtype)
             ids, n = encoded(table, texts, end_id)
-            file.add(ids)
+            file.add(ids, n)
             start = at + np.cumsum(n) - n
             yield pa.record_batch(
                 [batch.column(0).cast(pa.int64()), pa.array([file.name] * len(n)), pa.array(np.full(len(n), TaskContext.get().partitionId(), np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(start), pa.array(n)],
@@ -227,17 +233,30 @@ def read_sequences(folder: str, file: str) -> pa.RecordBatchFileReader:
     return pa.ipc.open_file(store.open_input_file(f"{root}/{file}"))
 
 
+def document_starts(file: pa.RecordBatchFileReader) -> np.ndarray:
+    """Where the documents of a shard begin, and at last where the last one ends, as marked in the file."""
+    at, out = 0, []
+    for b in range(file.num_record_batches):
+        held = file.get_batch(b)
+        mask, first = (held.column(i).values for i in (1, 2))
+        out.append(np.flatnonzero(first.to_numpy(zero_copy_only=False)) + at)
+        at += mask.true_count
+    return np.concatenate([*out, [at]]).astype(np.int64)
+
+
 def _reader(folder: str) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
         for batch in batches:
             rows = batch.to_pydict()
-            out = []
-            for file_name, start, n in zip(rows["file"], rows["start_in_shard"], rows["n_tokens"], strict=True):
+            begin, size, out = [], [], []
+            for file_name, place in zip(rows["file"], rows["place"], strict=True):
                 if file_name != name:
                     name, file = file_name, read_sequences(folder, file_name)
                     length = file.schema.field("ids").type.list_size
                     block = length * file.get_batch(0).num_rows
+                    starts = document_starts(file)
+                start, n = int(starts[place]), int(starts[place + 1] - starts[place])
                 crc, real = 0, 0
                 while real < n:
                     b, off = divmod(start + real, block)
@@ -247,14 +266,18 @@ def _reader(folder: str) -> Callable:
                         raise ValueError(f"{file_name}: padding inside a document")
                     crc = zlib.crc32(ids.to_numpy().astype("<u4").tobytes(), crc)
                     real += len(ids)
+                begin.append(start)
+                size.append(n)
                 out.append(crc)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
+            known = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "file", "shard", "place")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.int64())], names=[*(x.split()[0] for x in INDEX.split(", ")), "ids_crc32"])
 
     return read
 
 
 def read_documents(index: DataFrame, folder: str) -> DataFrame:
-    """The index with each document's start among all ids, and the checksum of its ids as read from the files.
+    """Each document's start among all ids, its number of ids and their checksum, as read from the files; the index only
+    says which document stands where in which file.
 
     The starts of the shards are sums over one row a shard; documents are not gathered anywhere."""
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
