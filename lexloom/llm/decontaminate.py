@@ -6,9 +6,10 @@ pattern (m: that length), how far the search may move on; unknown blocks let it
 the shift is 0, the bucket of the block gives the patterns that end in it, and all their words are compared. Words are
 numbered by the benchmark's own vocabulary, so any other word ends every pattern.
 
-Tables are broadcast and therefore bounded: a pass takes at most about `max_chars` characters of benchmark text. A larger
-benchmark is searched in several passes over the documents, each with another part of its items (dealt by a hash of
-item_id), and the hits are joined by document; no item and no document is left out. An item must fit a pass alone.
+Spark writes the items in parts (dealt by a hash of item_id) of at most about `max_chars` characters to the shared folder,
+and a worker reads one part at a time and keeps its tables from task to task; nothing goes through the driver. A larger
+benchmark is searched in several passes over the documents, one a part, and the hits are joined by document; no item and
+no document is left out. An item must fit a pass alone.
 
 Edge cases: null and word-less texts have no words and no hits; items without words, or without item_id, match nothing;
 repeated rows of documents give a row each; an empty benchmark gives rows without hits; other columns are ignored.
@@ -21,12 +22,13 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, chunks, settled, tables
+from .common import LETTERS, chunks, held, new_folder, settled, tables
 
 BLOCK = 3
 HITS = "n_words long, n_items long, items array<string>, spans array<struct<a: long, b: long>>"
@@ -92,9 +94,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(shared, window: int) -> Callable:
+def _patterns(part: tuple[str, int], window: int) -> Patterns:
+    """The tables of one part of the items."""
+    folder, k = part
+
+    def make() -> Patterns:
+        store, root = fs.FileSystem.from_uri(folder)
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet") and x.size)
+        rows = ds.dataset(files, filesystem=store, format="parquet").to_table(columns=["item_id", "text"], filter=ds.field("part") == k, use_threads=False).to_pylist() if files else []
+        return Patterns([(r["item_id"], r["text"].encode()) for r in rows], window)
+
+    return held(f"patterns {folder} {k} {window}", make)
+
+
+def _searcher(part: tuple[str, int], window: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value, window)
+        patterns = _patterns(part, window)
         for batch, texts in chunks(batches):
             found = [patterns.search(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -120,14 +135,14 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _passes(benchmark: DataFrame, max_chars: int) -> list:
-    """Broadcasts of the items, each of about `max_chars` characters or fewer; one, perhaps empty, at least."""
-    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+def _passes(benchmark: DataFrame, max_chars: int) -> list[tuple[str, int]]:
+    """The folder of the items and the number of each part, of about `max_chars` characters or fewer; one, perhaps empty, at least."""
+    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 1 if total <= max_chars else 2 * -(-total // max_chars)
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([(r[0], r[1].encode()) for r in dealt.filter(F.col("part") == k).select("item_id", "text").toLocalIterator()]) for k in range(parts)]
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+    items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).write.parquet(folder)
+    return [(folder, k) for k in range(parts)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 2_000_000) -> DataFrame:
@@ -147,9 +162,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return one.mapInArrow(_join, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def _clean(shared, window: int) -> Callable:
+def _clean(part: tuple[str, int], window: int) -> Callable:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value, window)
+        patterns = _patterns(part, window)
         for batch, texts in chunks(batches):
             yield batch.filter(pa.array([not patterns.search(t)[2] for t in texts], pa.bool_()))
 
@@ -157,10 +172,12 @@ def _clean(shared, window: int) -> Callable:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 2_000_000) -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no window of the benchmark occurs."""
-    for shared in _passes(benchmark, max_chars):
-        docs = docs.mapInArrow(_clean(shared, window), docs.schema)
-    return docs
+    """The rows of `docs`, with all their columns, in which no window of the benchmark occurs. Of several passes each works
+    on what the one before has left."""
+    *earlier, last = _passes(benchmark, max_chars)
+    for part in earlier:
+        docs = settled(docs.mapInArrow(_clean(part, window), docs.schema), "documents-left")
+    return docs.mapInArrow(_clean(last, window), docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
