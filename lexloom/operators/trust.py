@@ -29,10 +29,11 @@ def use_permissions(permissions: DataFrame, votes: DataFrame) -> DataFrame:
     return permissions.join(voted, F.col("user") == F.col("_u"), "left").withColumn("used", F.col("used") | F.col("_u").isNotNull()).drop("_u")
 
 
-def feedback_candidates(links: DataFrame, votes: DataFrame, minimum: int, per_site: int = 2, per_link: int = 300) -> DataFrame:
-    """For each user the first link at the minimum level that is below both limits of votes. links: user, site, link, level."""
+def feedback_candidates(links: DataFrame, votes: DataFrame, minimum: int, per_site: int = 2, per_link: int = 300, all_votes: DataFrame | None = None) -> DataFrame:
+    """For each user the first link at the minimum level that is below both limits of votes: those of the user on the site,
+    and those of all on the link (of `all_votes`, if given). links: user, site, link, level, for the sites that a user saw."""
     by_site = votes.groupBy("user", "site").agg(F.count("*").alias("n_site"))
-    by_link = votes.groupBy("link").agg(F.count("*").alias("n_link"))
+    by_link = (votes if all_votes is None else all_votes).groupBy("link").agg(F.count("*").alias("n_link"))
     rows = links.filter(F.col("level") >= minimum).join(by_site, ["user", "site"], "left").join(by_link, "link", "left")
     rows = rows.filter((F.coalesce("n_site", F.lit(0)) < per_site) & (F.coalesce("n_link", F.lit(0)) < per_link))
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("user").orderBy("site", "link"))).filter("_k = 1").select("user", "site", "link", "level")

@@ -34,9 +34,9 @@ def s3_read_json_docs(t):
     return S.read_json_docs(t.spark, folder).groupBy("site_name").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("select lang, source, '[' || string_agg('{\"doc_id\":' || doc_id || '}', ',' order by doc_id) || ']' as docs from documents group by lang, source")
+@query("select lang, source, doc_id // 1000 as part, '[' || string_agg('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}', ',' order by doc_id) || ']' as docs from documents group by all")
 def s4_docs_to_json(t):
-    return S.docs_to_json(t.documents, ["lang", "source"], ["doc_id"])
+    return S.docs_to_json(t.documents, ["lang", "source"], ["doc_id", "n_chars"], F.expr("doc_id div 1000"))
 
 
 @query("""select key, version, value from (select *, row_number() over (partition by key order by version desc, u desc) k from (
@@ -336,15 +336,15 @@ def t3_use_permissions(t):
 
 
 @query("""select user_id, site, link, level from (select user_id, site, link, level, row_number() over (partition by user_id order by site, link) k from (
-    select u.user_id, s_nationkey as site, s_suppkey as link, cast(floor(s_acctbal / 5) as int) as level from (select distinct user_id from events) u join supplier on s_nationkey % 5 = u.user_id % 5) l
-    left join (select user_id as vu, event_id % 25 as vs, count(*) ns from events group by 1, 2) a on vu = user_id and vs = site left join (select event_id % 40 as vl, count(*) nl from events group by 1) b on vl = link
+    select u.user_id, s_nationkey as site, s_suppkey as link, cast(floor(s_acctbal / 5) as int) as level from (select distinct user_id, event_id % 25 as seen from events) u join supplier on s_nationkey = u.seen) l
+    left join (select user_id as vu, event_id % 25 as vs, count(*) ns from events where event_type = 'click' group by 1, 2) a on vu = user_id and vs = site left join (select event_id % 40 as vl, count(*) nl from events group by 1) b on vl = link
     where level >= 50 and coalesce(ns, 0) < 2 and coalesce(nl, 0) < 300) where k = 1""")
 def t4_feedback_candidates(t):
-    users = t.events.select("user_id").distinct()
-    links = t.supplier.selectExpr("s_nationkey as site", "s_suppkey as link", "cast(floor(s_acctbal / 5) as int) as level")
-    links = users.join(links, F.col("user_id") % 5 == F.col("site") % 5).withColumnRenamed("user_id", "user")
-    votes = t.events.selectExpr("user_id as user", "event_id % 25 as site", "event_id % 40 as link")
-    return T.feedback_candidates(links, votes, 50).withColumnRenamed("user", "user_id")
+    seen = t.events.selectExpr("user_id as user", "event_id % 25 as site").distinct()
+    links = t.supplier.selectExpr("cast(s_nationkey as long) as site", "s_suppkey as link", "cast(floor(s_acctbal / 5) as int) as level")
+    votes = t.events.selectExpr("user_id as user", "event_id % 25 as site", "event_id % 40 as link", "event_type = 'click' as voted")
+    found = T.feedback_candidates(seen.join(links, "site"), votes.filter("voted"), 50, all_votes=votes)
+    return found.selectExpr("user as user_id", "cast(site as int) as site", "link", "level")
 
 
 @query("select distinct user_id, false as used from events where user_id % 3 <> 0 and 20000000 - (select count(*) from orders where o_orderstatus = 'O') >= 10")

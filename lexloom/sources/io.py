@@ -43,9 +43,11 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).json(path)
 
 
-def docs_to_json(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """The documents of each key as one JSON list; [] where there are none."""
-    return df.groupBy(*keys).agg(F.to_json(F.coalesce(F.array_sort(F.collect_list(F.struct(*columns))), F.array())).alias("docs"))
+def docs_to_json(df: DataFrame, keys: list[str], columns: list[str], part: Column | None = None) -> DataFrame:
+    """The documents of each key as JSON lists; [] where there are none. `part` splits the documents of a key in lists of
+    their own, so that a hot key is neither one task nor one row."""
+    by = [*keys] if part is None else [*keys, part.alias("part")]
+    return df.groupBy(*by).agg(F.to_json(F.coalesce(F.array_sort(F.collect_list(F.struct(*columns))), F.array())).alias("docs"))
 
 
 def upsert(index: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
