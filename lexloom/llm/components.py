@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-SALTS = 16
+SALTS = 4
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:

@@ -6,12 +6,8 @@
    (1 - (1 - s^r)^m)^2; m is chosen so that at the threshold less than 1 in 10,000 pairs are missed.
 2. Documents with equal sets form a class at once; only one document of a class goes on. Classes have numbers of their
    own, so rows that repeat a doc_id with other texts stay apart.
-3. Candidates come from the keys. Classes of one key are candidates if `agreeing` or more of their 2*m*r minima have the
-   same last byte, which again misses less than 1 in 10,000 pairs at the threshold and leaves out nearly all of half of it.
-   Per key, a partial aggregate finds whether its classes are in one component of candidates already; if not, those of
-   other components are held against one class of the largest. Where some of them are not alike it, the whole group of the
-   key is compared by those bytes, in blocks of bounded size; a task returns no more candidates than join its classes.
-   Components of the candidates are clusters.
+3. Per key, a partial aggregate finds the smallest class, and each other class is linked to it. The components of
+   these stars are clusters: any two classes that share a key are in one cluster.
 4. Within a cluster all pairs are compared on full sets, in blocks of bounded size, through an inverted index of the
    block's shingles; a task returns only the links that join two components. Small clusters share blocks. For large
    ones the first round compares within blocks and against the classes that are the centre of most stars; the second
@@ -33,13 +29,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, WordTable, chunks, gram_hashes, held, mixed, settled, tables, word_hash
 from .components import components
 
-SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>, traces array<tinyint>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>"
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +57,11 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def tables_for(percent: int, r: int = 3, miss: float = 1e-4) -> int:
+def tables_for(percent: int, r: int = 2, miss: float = 1e-4) -> int:
     """The number m of half keys of each kind that keeps misses at the threshold below `miss`."""
     return max(1, math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** r)))
 
 
-def agreeing(percent: int, minima: int, miss: float = 1e-4) -> int:
-    """How many of the minima are equal in all but `miss` of the pairs at the threshold; one at least."""
-    p, below, k = percent / 100, 0.0, 0
-    while below + (here := math.comb(minima, k) * p**k * (1 - p) ** (minima - k)) < miss:
-        below, k = below + here, k + 1
-    return max(1, k)
-
-
 def _sketcher(n: int, r: int, m: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(8).integers(1, 1 << 63, 2 * m * r, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,7 +70,6 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(size)
             d1, d2, half = (np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), 2 * m), np.uint64))
-            trace = np.zeros((len(sets), 2 * m * r), np.int8)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.cumsum(size[full]) - size[full]
@@ -93,10 +80,9 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
                 part = np.zeros((len(full), 2 * m), np.uint64)
                 for k in range(r):
                     part = mixed(part + least[:, k * 2 * m : (k + 1) * 2 * m])
-                half[full], trace[full] = part, (mixed(least) & np.uint64(255)).astype(np.uint8).view(np.int8)
+                half[full] = part
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).ravel()), m).cast(pa.list_(pa.int64())) for x in (half[:, :m], half[:, m:])]
-            lists.append(pa.FixedSizeListArray.from_arrays(pa.array(trace.ravel()), 2 * m * r).cast(pa.list_(pa.int8())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "u", "v", "traces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "u", "v"])
 
     return sketch
 
@@ -159,76 +145,16 @@ def _linker(n: int, percent: int) -> Callable:
     return link
 
 
-def _alike(a: str, b: str, least: int) -> Column:
-    return F.expr(f"size(filter(zip_with({a}, {b}, (i, j) -> i = j), same -> same))") >= least
+def stars(classes: DataFrame) -> DataFrame:
+    """node, centre and how many keys they share, for the smallest class of each key and all others of it. `classes` has
+    node, u and v."""
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
+    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
+    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
+    return settled(keys.join(centres, "key").filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("meets")), "stars")
 
 
-def _grouper(least: int) -> Callable:
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of alike classes of one group that join all that are alike and do not have one label already."""
-        pdf = pdf.drop_duplicates("node")
-        node, traces = pdf["node"].to_numpy(), np.array(pdf["traces"].tolist(), np.int8).reshape(len(pdf), -1)
-        root, found = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1], []
-        for i in range(len(pdf)):
-            others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-            for j in others[(traces[i] == traces[others]).sum(1) >= least].tolist():
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
-                    found.append((i, j))
-        return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]}, dtype="int64")
-
-    return group
-
-
-def _tested(pairs: DataFrame, classes: DataFrame, least: int, name: str) -> DataFrame:
-    """Pairs (a, b) of classes, and whether they are alike."""
-    traces = lambda c: classes.select(F.col("node").alias(c), F.col("traces").alias(f"{c}_traces"))
-    both = pairs.join(traces("a").hint("merge"), "a").join(traces("b").hint("merge"), "b")
-    return settled(both.select("a", "b", _alike("a_traces", "b_traces", least).alias("alike")), name)
-
-
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, its component and how many nodes that has."""
-    found = components(links)
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    own = found.join(sizes, "component")
-    return classes.select("node").join(own, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.coalesce("n", F.lit(1)).alias("n"))
-
-
-def candidates(classes: DataFrame, least: int, block: int = 2000) -> DataFrame:
-    """Links (a, b) that join all classes which share a key and at least `least` minima. `classes` has node, u, v, traces.
-
-    The keys (u_i, v_i) come first: they join most copies, and of all keys only those go on that still hold classes of
-    different components. There, all are held against one of the largest component, but those that have it already."""
-    at_once = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = classes.select("node", F.explode(F.expr("transform(u, (x, i) -> xxhash64(i, x, i, v[i]))")).alias("key"))
-    stars = few.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("key", "b")
-    first = _tested(few.join(stars, "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct(), classes, least, "stars").filter("alike").select("a", "b")
-
-    labelled = settled(classes.select("node", "u", "v").join(_labels(classes, first), "node"), "labels")
-    dealt = labelled.repartition(at_once, "node")  # small tasks: each row becomes m*m
-    keys = dealt.select("node", "label", "n", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
-    mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    met = settled(keys.join(mixed, "key"), "met")
-    centres = met.groupBy("key").agg(F.max(F.struct("n", "label", "node")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.label").alias("b_label"))
-    held = settled(met.join(centres, "key").filter(F.col("label") != F.col("b_label")).select("key", F.col("node").alias("a"), "b"), "held")
-    second = _tested(held.select("a", "b").distinct(), classes, least, "stars-left")
-    links = settled(first.unionByName(second.filter("alike").select("a", "b")), "alike")
-
-    # Keys with a class that is not alike their centre, if they still hold several components; of keys with the same
-    # classes one will do.
-    open_ = held.join(second.filter("not alike").select("a", "b"), ["a", "b"]).select("key").distinct()
-    rows = met.select("key", "node").join(open_, "key").join(_labels(classes, links).select("node", "label"), "node")
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    once = same.groupBy("n", "s", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).alias("k"))
-    rows = rows.join(once, "key").withColumn("p", F.pmod(F.xxhash64("node"), "k"))
-    # Each block meets each other once: the unit of blocks p and q, the smaller first; alone, block 0 meets itself.
-    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("k = 1 or p != q")
-    rows = rows.select(F.struct("key", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "node", "label").join(classes.select("node", "traces"), "node")
-    return links.unionByName(settled(rows.groupBy("unit").applyInPandas(_grouper(least), "a long, b long"), "alike-within"))
-
-
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 150_000) -> DataFrame:
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: int = 150_000) -> DataFrame:
     """doc_id, text_hash, n_shingles and first for each row; first is the doc_id and text_hash of the first row of its
     group, null where there is no set or no doc_id. Links are sets with 100 * common >= percent * union.
 
@@ -237,10 +163,11 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sketch = settled(texts.mapInArrow(_sketcher(n, r, m), SKETCH), "sketch")
     sets = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
-    sets = sets.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v"), F.any_value("traces").alias("traces"))
+    sets = sets.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v"))
     classes = settled(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = candidates(classes.select("node", "u", "v", "traces"), agreeing(percent, 2 * m * r))
-    clusters = settled(components(near).select("node", F.col("component").alias("cluster")).join(classes.select("node", "size", "rep"), "node"), "clusters")
+    near = stars(classes.select("node", "u", "v"))
+    found = components(near.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    clusters = settled(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", "size", "rep"), "node"), "clusters")
 
     # The number of blocks of each cluster; those of one block share units of about a block.
     total = clusters.groupBy("cluster").agg(F.sum("size").alias("shingles")).withColumn("n_blocks", F.ceil(F.col("shingles") / block))
@@ -250,7 +177,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: in
     member = texts.filter("text is not null").join(placed.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["node"])  # rows repeated word for word
     member = settled(member.select("node", "cluster", "component", "size", "n_blocks", "block", "text"), "members")
     large = member.filter("n_blocks > 1")
-    centres = near.select(F.col("b").alias("centre")).join(clusters.select(F.col("node").alias("centre"), "cluster"), "centre").groupBy("cluster", "centre").agg(F.count("*").alias("n"))
+    centres = near.join(clusters.select(F.col("node").alias("centre"), "cluster"), "centre").groupBy("cluster", "centre").agg(F.count("*").alias("n"))
     pivots = centres.groupBy("cluster", F.pmod(F.xxhash64("centre"), F.lit(16)).alias("s")).agg(F.max_by("centre", F.struct("n", "centre")).alias("node")).select("cluster", "node")
     spread = large.drop("block").join(pivots, ["cluster", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     unit = F.when(F.col("n_blocks") > 1, F.col("cluster")).otherwise(-1).alias("owner")
@@ -265,7 +192,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: in
     return sketch.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(node_of, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", own)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 150_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: int = 150_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; see groups()."""
     found = groups(docs, n, percent, r, block).withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
