@@ -263,7 +263,7 @@ SCORE = f"""w as (select doc_id, list_transform({WORDS}, lambda x: lower(x)) as
 
 @query(f"with {SCORE} select doc_id, round(score, 6) as score from scored")
 def q4_score(t):
-    return Q.score(t.documents, "doc_id", ["thing", "that"]).select("doc_id", F.round("score", 6).alias("score"))
+    return Q.scored(t.documents.select("doc_id", "text"), ["thing", "that"]).filter("score is not null").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("select doc_id, cast(2 as int) as n, 'word_length_i' as feature, cast(doc_id as varchar) as low, cast(null as varchar) as high, cast(0.5 as double) as weight from documents")
@@ -284,7 +284,8 @@ def q7_rule_boost(t):
 
 @query(f"with {SCORE} select doc_id, round(score, 6) as score from scored order by scored.score desc, doc_id limit 10")
 def q9_top_hits(t):
-    return Q.top_hits(Q.score(t.documents, "doc_id", ["thing", "that"]), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    hits = Q.scored(t.documents.select("doc_id", "text"), ["thing", "that"]).filter("score is not null")
+    return Q.top_hits(hits, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""with f as (select unnest(['l_quantity', 'l_discount', 'l_tax', 'l_extendedprice', 'l_linenumber']) as feature, unnest([min(l_quantity), min(l_discount), min(l_tax), min(l_extendedprice), cast(min(l_linenumber) as double)]) as low,
