@@ -113,11 +113,17 @@ PERIOD_COLUMNS = ["lang_group", "language_code", "at", "text", "word_length_i",
 PERIOD_TYPES = "lang_group long, language_code string, at int, text string, word_length_i int, sent_length_i int, period_number_i int, parent_document_length_i int"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many partitions as there are cores, if a small table has fewer; large ones stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def pack_periods(docs: DataFrame) -> DataFrame:
     """Periods of documents (text and any other columns, which are kept, but for lang): greedy within each run of
     sentences of one language. A document is worked on as a whole where it lies; nothing is shuffled."""
     fields = [c for c in docs.columns if c not in ("text", "lang")]
-    rows = docs.select("text", *fields)
+    rows = spread(docs.select("text", *fields))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*fields).schema.fields)
     return rows.mapInArrow(_periods, f"{kept}, {PERIOD_TYPES}" if kept else PERIOD_TYPES)
 

@@ -10,6 +10,7 @@ from ..operators import features as A
 from ..operators import html as H
 from ..operators import periods as P
 from ..operators import search as Q
+from ..sources.io import settled
 from .base import QUERIES, Tables, query, ts
 
 STOP = ["the", "of", "and", "to", "in", "is", "that", "was", "for", "it"]
@@ -329,7 +330,8 @@ def ranked_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     those over all English periods; the rule only filters."""
     t = Tables(spark, sf_dir)
     docs = t.documents.filter("lang = 'en'").select("doc_id", F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id")).alias("url"), "source", "text")
-    periods = A.apply_features(P.periods_of(docs).filter(F.col("text_en").isNotNull()).select("doc_location", "text_en", "word_length_i"), F.col("text_en"))
+    periods = settled(P.periods_of(docs).filter(F.col("text_en").isNotNull()).select("doc_location", "text_en", "word_length_i"), "periods")
+    periods = A.apply_features(periods, F.col("text_en"))
     hits = Q.rule_filter(Q.match(Q.scored(periods, ["the", "of"], ("text_en",)), "doc_location", ["the", "of"], text="text_en"), [("word_length_i", 10, None)])
     boosted = hits.withColumn("score", F.round(Q.rule_boost(F.col("score"), {"average_word_length_f": 1.0}), 6))
     return Q.top_hits(boosted, "doc_location").select("doc_location", "word_length_i", "average_word_length_f", "score")

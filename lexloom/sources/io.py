@@ -68,6 +68,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back, so that what follows does not compute it again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_version(df: DataFrame, folder: str) -> str:
     """Writes a table in a folder of its own and returns it: readers of the last version are not disturbed."""
     path = f"{folder}/v-{uuid.uuid4().hex}"
