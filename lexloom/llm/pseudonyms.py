@@ -158,7 +158,7 @@ def pseudonym(m: str, key: str) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str = "lexloom") -> DataFrame:
-    """doc_id, text with pseudonyms, n_found (values of the formats above, valid ones alone) and pseudonyms, for each row.
+    """doc_id, text with pseudonyms, n_found (valid values of the formats above that changed) and pseudonyms, for each row.
 
     `key` is the secret: give each corpus its own."""
     rows = docs.select("doc_id", "text")
