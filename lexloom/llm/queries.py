@@ -10,6 +10,7 @@ from .decontaminate import op10_decontaminate
 from .licenses import op5_licenses
 from .minhash import op8_minhash
 from .mixing import op4_mixing
+from .packing import op13_packing
 from .periodic import op12_periodic
 from .perplexity import op3_perplexity
 from .pseudonyms import op7_pseudonyms
@@ -20,7 +21,7 @@ from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_quality, op3_perplexity, op4_mixing, op5_licenses, op6_token_arrow, op7_pseudonyms, op8_minhash, op9_token_counts, op10_decontaminate, op12_periodic]
+    found = [op1_suffix_dedup, op2_quality, op3_perplexity, op4_mixing, op5_licenses, op6_token_arrow, op7_pseudonyms, op8_minhash, op9_token_counts, op10_decontaminate, op12_periodic, op13_packing]
     return {f.__name__: f for f in found}
 
 

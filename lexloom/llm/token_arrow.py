@@ -123,15 +123,15 @@ def _encode_alone(model: object, pieces: list[str]) -> tuple[np.ndarray, np.ndar
     return _flat(found), np.fromiter(map(len, found), np.int64, len(found))
 
 
-def numbered(table: WordTable, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def numbered(table: WordTable, texts: list[bytes | None], split: Callable[[bytes], list[bytes]] = bytes.split) -> tuple[np.ndarray, np.ndarray]:
     if len(table) > table.limit:
         table.flat, table.flat_size = [], 0
-    return table.numbers([t.split() if t else [] for t in texts])
+    return table.numbers([split(t) if t else [] for t in texts])
 
 
-def encoded(table: WordTable, texts: list[bytes | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in a row, and how many each text has, the end id counted."""
-    words, starts = numbered(table, texts)
+def encoded(table: WordTable, texts: list[bytes | None], end_id: int | None, split: Callable[[bytes], list[bytes]] = bytes.split) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in a row, and how many each text has, the end id counted. `split` makes the table's keys."""
+    words, starts = numbered(table, texts, split)
     if len(table.flat) > 1:
         table.flat = [np.concatenate(table.flat)]
     flat = table.flat[0] if table.flat else np.zeros(0, np.uint32)
