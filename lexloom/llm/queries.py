@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import op11_collocations
 from .decontaminate import op10_decontaminate
 from .licenses import op5_licenses
 from .minhash import op8_minhash
@@ -21,7 +22,7 @@ from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_quality, op3_perplexity, op4_mixing, op5_licenses, op6_token_arrow, op7_pseudonyms, op8_minhash, op9_token_counts, op10_decontaminate, op12_periodic, op13_packing]
+    found = [op1_suffix_dedup, op2_quality, op3_perplexity, op4_mixing, op5_licenses, op6_token_arrow, op7_pseudonyms, op8_minhash, op9_token_counts, op10_decontaminate, op11_collocations, op12_periodic, op13_packing]
     return {f.__name__: f for f in found}
 
 
@@ -50,6 +51,19 @@ OP10 = f"""with d as (select doc_id, {_words('text', OP10_WORDS)} as ws from doc
     from d left join q using (doc_id) left join t using (doc_id)"""
 
 
+# Phrases of each piece by language, their counts, the weakest cut, and what longer phrases leave.
+OP11 = f"""with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from t), z as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang), ks as (select unnest([1, 2, 3]) as k),
+    o as (select lang, k, ws, unnest(generate_series(1, len(ws) - k + 1)) as i from w, ks where len(ws) >= k), g as (select lang, list_slice(ws, i, i + k - 1) as p, k, count(*) as f from o group by all),
+    c as (select * from g where k > 1 and f >= 10), u as (select lang, p, f, k, unnest(generate_series(1, k - 1)) as j0 from c),
+    s as (select u.lang, u.p, u.f, u.j0, x.f as l, y.f as r, (1000000::hugeint * u.f * u.f) // (x.f::hugeint * y.f) as score from u join g x on x.lang = u.lang and x.p = u.p[:u.j0] join g y on y.lang = u.lang and y.p = u.p[u.j0 + 1:]),
+    b as (select lang, p, any_value(f) as a, arg_min(struct_pack(score := score, l := l, r := r), (score, j0)) as cut from s group by lang, p),
+    h as (select c.lang, c.p[j:j + 1] as p, max(c.f) as longer from c, (select unnest([1, 2]) as j) where c.k = 3 group by all),
+    r as (select b.lang, array_to_string(b.p, ' ') as phrase, a, cut.l as l, cut.r as r, cut.score as score from b left join h on h.lang = b.lang and h.p = b.p where h.longer is null or 100 * h.longer < 50 * a),
+    q as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from r)
+    select q.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n, cast(score as bigint) as score from q join z on z.lang = q.lang where rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express on small tables; the rest are tested in tests/llm."""
-    return {"op8_minhash": OP8, "op10_decontaminate": OP10}
+    return {"op8_minhash": OP8, "op10_decontaminate": OP10, "op11_collocations": OP11}
