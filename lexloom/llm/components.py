@@ -26,9 +26,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     now = settled(links.filter("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), name)
     while True:
         after = settled(_stars(_stars(now, True), False), name)
-        # Finished when the stars are flat: no centre hangs on another centre, and each node has one centre.
-        nodes = after.groupBy("a").agg(F.count("*").alias("n"))
-        open_ends = after.select(F.col("b").alias("a")).distinct().join(nodes, "a", "left_semi").limit(1).count()
-        if not open_ends and not nodes.filter("n > 1").limit(1).count():
+        # Finished when the stars are flat: each node has one centre, and no centre hangs on another.
+        ends = after.select("a", F.lit(1).alias("up"), F.lit(0).alias("centre")).unionByName(after.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+        if not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 or up = 1 and centre = 1").limit(1).count():
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = after

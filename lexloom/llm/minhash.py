@@ -3,21 +3,29 @@
 1. A task turns each text into its set of distinct `n`-word shingles (64-bit hashes) and takes minima under 2*m*r hash
    functions. Each r of them form a half key: m half keys u and m half keys v. The keys of the m*m tables are all
    pairs (u_i, v_j), so m*m tables cost 2*m*r minima. Two sets of similarity s meet in some table with probability
-   (1 - (1 - s^r)^m)^2; m is chosen so that at the threshold less than 1 in 10,000 pairs are missed.
+   (1 - (1 - s^r)^m)^2; m is chosen so that at the threshold less than 1 in 10,000 pairs are missed. Eight bits of each
+   minimum are the set's trace: the share of equal bytes of two traces estimates their similarity.
 2. Documents with equal sets form a class at once; only one document of a class goes on. Classes have numbers of their
    own, so rows that repeat a doc_id with other texts stay apart.
-3. Per key, a partial aggregate finds the smallest class, and each other class is linked to it. The components of
-   these stars are clusters: any two classes that share a key are in one cluster.
-4. Within a cluster all pairs are compared on full sets, in blocks of bounded size, through an inverted index of the
-   block's shingles; a task returns only the links that join two components. Small clusters share blocks. For large
-   ones the first round compares within blocks and against the classes that are the centre of most stars; the second
-   compares the remaining pairs of blocks, but none whose classes the first round has already joined in one component.
-   Pairs of classes are never written out and no partner is dropped.
+3. Classes are dealt by their half keys u_i, m rows each. Within a u_i the tables (u_i, v_1), (u_i, v_2), ... are sorted one
+   by one, and classes with equal v_j whose traces differ in at most `SLACK` standard deviations more bytes than those of
+   sets at the threshold become candidates. The byte distance of traces is a metric, so a table is not compared all with
+   all: a pivot removes what is near it, and only what the triangle inequality leaves is compared with those. Of the
+   candidates a spanning forest is given out, so that a half key gives fewer links than it has classes. A u_i of more than
+   `unit` classes is dealt out as pairs of blocks, each in a task of its own.
+4. The components of the candidates are clusters. As candidates are filtered by their traces, texts that only share a
+   template (similarity 0.3) make no cluster, however many they are. Within a cluster pairs are compared on full sets, in
+   blocks of about `block` shingles, through an index of the rarer shingles of each set (two sets over the threshold share one
+   of those), and sets that links have joined already are not compared again. For clusters of several blocks the first round
+   compares within blocks and against the classes that are the pivot of most candidates; the second compares the remaining
+   pairs of blocks, but none whose classes the first round has already joined in one component. Pairs of classes are never
+   written out and no partner is dropped.
 5. Components of the confirmed links give each document's component, its smallest doc_id.
 
 Edge cases: texts with fewer than n words, but not none, are one shingle; texts without words (or null) have no set and
 are linked with nothing; rows that repeat a doc_id are documents of their own with one id; rows without doc_id are kept
-and have no component; an empty table gives an empty result; other columns are ignored.
+and have no component; doc_id is cast to a whole number, a text id that is none is an error; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordTable, chunks, gram_hashes, held, mixed, settled, tables, word_hash
 from .components import components
 
-SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, u array<long>, v array<long>, trace binary"
+SLACK = 5.0
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +66,7 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def tables_for(percent: int, r: int = 2, miss: float = 1e-4) -> int:
+def tables_for(percent: int, r: int = 3, miss: float = 1e-4) -> int:
     """The number m of half keys of each kind that keeps misses at the threshold below `miss`."""
     return max(1, math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** r)))
 
@@ -70,6 +79,7 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(size)
             d1, d2, half = (np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), 2 * m), np.uint64))
+            trace = np.zeros((len(sets), 2 * m * r), np.uint8)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.cumsum(size[full]) - size[full]
@@ -80,56 +90,45 @@ def _sketcher(n: int, r: int, m: int) -> Callable:
                 part = np.zeros((len(full), 2 * m), np.uint64)
                 for k in range(r):
                     part = mixed(part + least[:, k * 2 * m : (k + 1) * 2 * m])
-                half[full] = part
+                half[full], trace[full] = part, (mixed(least) >> np.uint64(56)).astype(np.uint8)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).ravel()), m).cast(pa.list_(pa.int64())) for x in (half[:, :m], half[:, m:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists, pa.array([x.tobytes() for x in trace], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "u", "v", "trace"])
 
     return sketch
 
 
 def links_within(sets: list[np.ndarray], cluster: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs (places in the lists) of similar sets of one cluster; of those, as many as join components or sets that are
-    not joined yet. Compares all pairs that share a shingle, through an index from shingles to sets."""
+    not joined yet. Sets of size n that are similar to another share one of their n - ceil(n * percent / 100) + 1 rarest
+    shingles with it, by any one order; only those are indexed, and what shares one is counted on full sets."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     owner = np.repeat(np.arange(n), size)
-    key = mixed(np.concatenate(sets) + cluster[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if n else np.zeros(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, by_key = key[order], owner[order]
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    begin = np.flatnonzero(first)
-    end = np.r_[begin[1:], len(key)]
-    shared = (end - begin > 1)[group]
-    place = np.empty(len(key), np.int64)
-    place[order] = np.arange(len(key))  # where each entry of each set stands in its posting list
-    bounds = np.r_[0, np.cumsum(size)]
-    root = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    found = []
+    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    key = mixed(flat + cluster[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, number, often = np.unique(key, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, often[number], owner))  # each set's shingles, the rarest first
+    place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+    first = order[place < np.repeat(size - -(-percent * size // 100) + 1, size)]
+    first = first[often[number[first]] > 1]
+    by_shingle = first[np.lexsort((owner[first], number[first]))]
+    shingle, of = number[by_shingle], owner[by_shingle]
+    begin = np.searchsorted(shingle, np.arange(len(often) + 1))
+    bounds = np.searchsorted(owner[first], np.arange(n + 1))  # `first` goes by owner
+    label, found = np.unique(component, return_inverse=True)[1], []
     for i in range(n):
-        mine = place[bounds[i] : bounds[i + 1]]
-        mine = mine[shared[mine]]
+        mine = number[first[bounds[i] : bounds[i + 1]]]
         if not len(mine):
             continue
-        stop = end[group[mine]]
-        count = stop - mine - 1  # the sets behind i in each list
-        total = int(count.sum())
-        if not total:
-            continue
-        ends = np.cumsum(count)
-        others = by_key[np.repeat(mine + 1 - (ends - count), count) + np.arange(total)]
-        common = np.bincount(others, minlength=n)
-        close = np.flatnonzero(100 * common >= percent * (size[i] + size - common))
-        for j in close[(close > i) & (cluster[close] == cluster[i])].tolist():
-            a, b = top(int(component[i])), top(int(component[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
+        near = np.unique(np.concatenate([of[begin[x] : begin[x + 1]] for x in mine.tolist()]))
+        near = near[(near > i) & (cluster[near] == cluster[i]) & (label[near] != label[i])]
+        near = near[(100 * size[near] >= percent * size[i]) & (100 * size[i] >= percent * size[near])]
+        for j in near.tolist():
+            if label[i] == label[j]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (size[i] + size[j] - common):
+                label[label == label[j]] = label[i]
                 found.append((i, j))
     return found
 
@@ -145,27 +144,110 @@ def _linker(n: int, percent: int) -> Callable:
     return link
 
 
-def stars(classes: DataFrame) -> DataFrame:
-    """node, centre and how many keys they share, for the smallest class of each key and all others of it. `classes` has
-    node, u and v."""
-    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # small tasks: each row becomes m*m
-    keys = dealt.select("node", F.explode(F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(i, x, j, y))))")).alias("key"))
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-    return settled(keys.join(centres, "key").filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("meets")), "stars")
+def most_unequal(percent: int, n: int) -> int:
+    """Of n bytes of two traces, how many differ at most for sets at the threshold, but for SLACK standard deviations."""
+    p = 1 - percent / 100
+    return min(n, math.ceil(n * p + SLACK * math.sqrt(n * p * (1 - p))))
+
+
+def forest(unit: np.ndarray, v: np.ndarray, trace: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of places with the same unit, an equal v_j and traces that differ in `far` bytes or
+    fewer. The units come sorted."""
+    core, root, out = far // 2, list(range(len(unit))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def unite(a: int, b: int) -> None:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+
+    for j in range(v.shape[1]):
+        order = np.lexsort((v[:, j], unit))
+        new = np.r_[True, (unit[order[1:]] != unit[order[:-1]]) | (v[order[1:], j] != v[order[:-1], j])]
+        begin = np.flatnonzero(new)
+        if len(begin) == len(order):
+            continue
+        tops = np.fromiter((top(x) for x in order.tolist()), np.int64, len(order))
+        open_runs = np.flatnonzero(np.minimum.reduceat(tops, begin) != np.maximum.reduceat(tops, begin))
+        end = np.r_[begin[1:], len(order)]
+        for k in open_runs.tolist():
+            rest = np.sort(order[begin[k] : end[k]])
+            while len(rest) > 1:
+                pivot = int(rest[0])
+                differ = np.count_nonzero(trace[rest] != trace[pivot], axis=1)
+                for x in rest[differ <= far].tolist():
+                    unite(pivot, x)
+                inner, shell = rest[differ <= core], rest[(differ > far) & (differ <= far + core)]
+                for y in shell.tolist() if len(inner) > 1 else ():
+                    apart = np.count_nonzero(trace[inner] != trace[y], axis=1)
+                    if apart.min() <= far:
+                        unite(int(inner[apart.argmin()]), y)
+                rest = rest[differ > core]
+    return out
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: int = 150_000) -> DataFrame:
+def _seeker(far: int) -> Callable:
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by unit; a unit may go on in the next batch."""
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            unit, node = table.column("unit").to_numpy(), table.column("node").to_numpy()
+            _, group, n = np.unique(unit, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(n[group] > 1)
+            rows = table.select(["v", "trace"]).take(pa.array(several))
+            v, trace = (c.combine_chunks() for c in rows.columns)
+            v = np.asarray(v.flatten()).reshape(len(several), -1) if len(several) else np.zeros((0, 0), np.int64)
+            trace = np.frombuffer(b"".join(trace.to_pylist()), np.uint8).reshape(len(several), -1) if len(several) else np.zeros((0, 0), np.uint8)
+            found = np.array(forest(group[several], v, trace, far), np.int64).reshape(-1, 2)
+            a, b = (node[several[found[:, i]]] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["node", "centre"])
+
+        held_back: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held_back, table]) if held_back is not None else table
+            unit = table.column("unit").to_numpy()
+            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            held_back = table.slice(last)
+            if last:
+                yield pairs(table.slice(0, last))
+        if held_back is not None and held_back.num_rows:
+            yield pairs(held_back)
+
+    return seek
+
+
+def candidates(classes: DataFrame, far: int, unit: int) -> DataFrame:
+    """node and centre: links that join all classes of one cluster. `classes` has node, u, v and trace."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = classes.select("node", F.posexplode("u").alias("i", "x")).select("node", F.xxhash64("i", "x").alias("key"))
+    hot = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > unit).select("key", F.ceil(F.col("n") / unit).cast("int").alias("blocks"))
+    rows = classes.select("node", F.posexplode("u").alias("i", "x"), "v", "trace").withColumn("key", F.xxhash64("i", "x")).drop("i", "x")
+    rows = rows.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+    dealt = rows.select("*", other).select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", "v", "trace")
+    found = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_seeker(far), "node long, centre long")
+    return settled(found.distinct(), "candidates")
+
+
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 3, block: int = 500_000, unit: int = 5_000) -> DataFrame:
     """doc_id, text_hash, n_shingles and first for each row; first is the doc_id and text_hash of the first row of its
     group, null where there is no set or no doc_id. Links are sets with 100 * common >= percent * union.
 
-    `block` bounds the shingles that one comparison task holds (a single longer text may exceed it)."""
+    `block` bounds the shingles that one comparison task holds (a single longer text may exceed it), `unit` the classes of a
+    half key that are looked at together."""
     m = tables_for(percent, r)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sketch = settled(texts.mapInArrow(_sketcher(n, r, m), SKETCH), "sketch")
     sets = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
-    sets = sets.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v"))
+    sets = sets.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("u").alias("u"), F.any_value("v").alias("v"), F.any_value("trace").alias("trace"))
     classes = settled(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = stars(classes.select("node", "u", "v"))
+    near = candidates(classes.select("node", "u", "v", "trace"), most_unequal(percent, 2 * m * r), unit)
     found = components(near.select(F.col("node").alias("a"), F.col("centre").alias("b")))
     clusters = settled(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", "size", "rep"), "node"), "clusters")
 
@@ -192,9 +274,9 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: in
     return sketch.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(node_of, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", own)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, r: int = 2, block: int = 150_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, **sizes) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; see groups()."""
-    found = groups(docs, n, percent, r, block).withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
+    found = groups(docs, n, percent, **sizes).withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from lexloom.llm import minhash
@@ -109,4 +110,54 @@ def test_empty_table(spark):
 def test_recall_of_the_tables_is_as_documented():
     for percent in (80, 85):
         m, s = minhash.tables_for(percent), percent / 100
-        assert 1 - (1 - (1 - s * s) ** m) ** 2 < 1e-4
+        assert 1 - (1 - (1 - s**3) ** m) ** 2 < 1e-4
+
+
+def test_forest_joins_what_is_near_and_no_more():
+    """Against all pairs: the same components of pairs with an equal v_j, in one unit, whose traces are near."""
+    rng = np.random.default_rng(0)
+    for far in (2, 6):
+        base = rng.integers(0, 3, (12, 20), dtype=np.uint8)
+        trace = base[rng.integers(0, 12, 400)]
+        change = rng.random(trace.shape) < 0.12
+        trace = np.where(change, rng.integers(0, 3, trace.shape, dtype=np.uint8), trace)
+        unit, v = np.sort(rng.integers(0, 4, 400)), rng.integers(0, 3, (400, 2))
+        label = {"all": list(range(400)), "forest": list(range(400))}
+
+        def join(kind, a, b, label=label):
+            x, y = label[kind][a], label[kind][b]
+            label[kind] = [x if z == y else z for z in label[kind]]
+
+        for i in range(400):
+            for j in range(i):
+                if unit[i] == unit[j] and (v[i] == v[j]).any() and (trace[i] != trace[j]).sum() <= far:
+                    join("all", i, j)
+        found = minhash.forest(unit, v, trace, far)
+        for a, b in found:
+            assert (trace[a] != trace[b]).sum() <= far
+            join("forest", a, b)
+        classes = [len({(x, y) for x, y in zip(label["all"], label["forest"], strict=True)}), len(set(label["all"])), len(set(label["forest"]))]
+        assert len(set(classes)) == 1 and len(found) == 400 - classes[0]
+
+
+@pytest.mark.parametrize("unit", [7, 40])
+def test_half_keys_of_many_classes_in_blocks(spark, unit):
+    rng = random.Random(unit)
+    base = prose(rng, 120, 9999).split()
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(120)] = f"e{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, unit=unit, block=4000)
+    assert got(found) == sorted(brute(rows, 3, 85), key=repr)
+
+
+def test_templates_make_no_links_to_compare():
+    """Sets that share a template, similarity 0.3: no candidates, and an index of rare shingles that meets none of them."""
+    rng = np.random.default_rng(1)
+    for size in (2000, 8000):
+        shared = rng.integers(0, 1 << 63, 7).astype(np.uint64)
+        sets = [np.unique(np.r_[shared, rng.integers(0, 1 << 63, 8).astype(np.uint64)]) for _ in range(size)]
+        assert minhash.links_within(sets, np.zeros(size, np.int64), np.arange(size), 85) == []
