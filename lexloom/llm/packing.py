@@ -76,8 +76,8 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
         size, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         plain = [i for i, k in enumerate(keys) if k[:1] not in b" \n"]
         odd = [i for i, k in enumerate(keys) if k[:1] in b" \n"]
-        joined = [b" " + b" ".join(keys[i] for i in plain[j : j + 64]) for j in range(0, len(plain), 64)]
-        flat = _flat(model.encode_batch_fast([x.decode() for x in joined], add_special_tokens=False))
+        joined = [(b" " + b" ".join(keys[i] for i in plain[j : j + 64])).decode() for j in range(0, len(plain), 64)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *(_flat(model.encode_batch_fast(joined[j : j + 32], add_special_tokens=False)) for j in range(0, len(joined), 32))])  # few at once, as encodings are large
         first = np.flatnonzero(begins[flat])
         if len(first) != len(plain):
             raise ValueError(f"{path}: a space does not begin one token")
@@ -88,7 +88,7 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
             table.flat_size += len(ids)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 600_000)
+    table = WordTable(describe, 400_000)
     table.flat, table.flat_size = [], 0
     return table, splitter([x.content.encode() for x in model.get_added_tokens_decoder().values()])
 
