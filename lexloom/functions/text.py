@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,10 +113,18 @@ def valid_rules(rules: Column) -> Column:
     return rules.rlike(f"^{RULE}(;{RULE})*;?$")
 
 
+def quoted(term: str) -> str:
+    """A pattern that matches a term as it is written."""
+    return re.sub(r"([^\w ])", r"\\\1", term)
+
+
 def highlight(text: Column, terms: list[str]) -> Column:
-    """Matches of the terms between non-word characters, in any case, are put between **."""
-    pattern = "|".join(terms)
-    return F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({pattern})([^\p{{L}}\p{{N}}_]|$)", "$1**$2**$3")
+    """All matches of the terms that no word character borders, in any case, are put between **; of several at a place the
+    longest. Terms are taken as they are written."""
+    if not terms:
+        return text
+    pattern = "|".join(quoted(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_])({pattern})(?![\p{{L}}\p{{N}}_])", "**$1**")
 
 
 def slugify(name: Column) -> Column:

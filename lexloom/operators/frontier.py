@@ -139,8 +139,9 @@ def job_transitions(jobs: DataFrame, requests: DataFrame, now: Column, hours: in
 
 
 def start_next(jobs: DataFrame, capacity: int = 20) -> DataFrame:
-    """The first waiting jobs that fit beside the working ones (the capacity is a few; the rows beyond it are not sorted)."""
-    used = jobs.agg(F.count_if(F.col("status") == "working").alias("used"))
+    """The first waiting jobs, as many as the capacity exceeds the waiting and working ones (the capacity is a few; the rows
+    beyond it are not sorted). So none starts while more jobs wait and work than the capacity allows."""
+    used = jobs.agg(F.count_if(F.col("status").isin("waiting", "working")).alias("used"))
     first = jobs.filter("status = 'waiting'").orderBy("asked", "job").limit(capacity)
     ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("asked", "job")))
     return ranked.crossJoin(F.broadcast(used)).filter(F.col("rank") <= capacity - F.col("used")).drop("used")

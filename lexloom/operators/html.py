@@ -6,6 +6,7 @@ page at a time. Everything after that is columns and windows by page.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -102,25 +103,49 @@ def skips(row: list, source_type: str | None) -> bool:
     return row[2][0] != "#" and any(U.matches(as_node([], row), r) for r in U.skip_rules(source_type))
 
 
+def cleaned(text: str) -> str:
+    """As functions.text.clean_text, with tabs and returns as spaces."""
+    out = re.sub("\n+", "\n", re.sub(" +", " ", re.sub(r"[\t\r]", " ", text)))
+    return "" if out.strip(" \n") == "" else out
+
+
+class _Paragraph:
+    """What a walk gathers of one paragraph."""
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.links, self.heading, self.start, self.path = 0, False, False, []
+
+    def text(self) -> str:
+        """The texts in a row, with a space between two that have no white space where they meet."""
+        out = ""
+        for i, t in enumerate(self.texts):
+            joins = i == 0 or not t.strip() or self.texts[i - 1][-1:].isspace() or t[:1].isspace()
+            out += t if joins else f" {t}"
+        return cleaned(out)
+
+
 def paragraphs_of(nodes: list[list], source_type: str | None = "") -> tuple[list[tuple], list[int]]:
     """(text, characters in links, heading, path, document start) of each paragraph, and for each node the number of
     document starts up to it, 0 in skipped parts.
 
-    A paragraph begins with a block tag, at a document start and when the walk leaves the path of the one before; text
-    alone begins none. Paragraphs without text are used again, with their marks. Skipped tags go with all below them. The
-    source type '' has no rules: no starts, and no parts are skipped but those of SKIPPED."""
+    A paragraph begins with an element that is a block tag or whose path does not go on from the paragraph's path, and at
+    a document start; text alone begins none. A paragraph without text is used again with the marks that it has. It is a
+    heading if a heading tag is on its path. A link's whole text counts for the paragraph in which the link begins.
+    Skipped tags go with all below them. The source type '' has no rules: no starts, and no parts are skipped but those of
+    SKIPPED."""
     starts = U.start_rules(source_type) if source_type != "" else []
-    out: list[list] = []
-    now: list = [[], 0, False, "", False]
-    base, path, skip, count, docs = 0, [], -1, 0, [0] * len(nodes)
+    out: list[_Paragraph] = []
+    now = _Paragraph()
+    path, skip, count, docs = [], -1, 0, [0] * len(nodes)
 
-    def begin(tag_path: str) -> None:
+    def begin() -> None:
         nonlocal now
-        if "".join(now[0]).strip():
+        if now.text():
             out.append(now)
-            now = [[], 0, False, tag_path, False]
-        else:
-            now[0], now[3] = [], tag_path
+            now = _Paragraph()
+        now.path = list(path)
+        now.heading = now.heading or any(t in HEADINGS for t in path)
 
     for row in nodes:
         pre, end, tag, depth, text = row[0], row[1], row[2], row[3], row[7]
@@ -129,47 +154,41 @@ def paragraphs_of(nodes: list[list], source_type: str | None = "") -> tuple[list
         if skips(row, source_type):
             skip = end
             continue
-        path = path[:depth]
-        if depth < base:
-            begin("/".join(path))
-            base = depth
-        if tag == "#text":
-            if text:
-                now[0].append(text)
-                now[1] += len(text.strip()) if "a" in path else 0
-            docs[pre] = count
-            continue
-        path.append(tag)
-        if tag == "br":
-            now[0].append("\n")
-        elif tag in BLOCKS:
-            begin("/".join(path))
-            base = depth
-            now[2] = tag in HEADINGS
-        if not now[4] and any(U.matches(as_node(nodes, row), r) for r in starts):
-            begin("/".join(path))
-            now[4] = True
-            count += 1
+        del path[depth:]
+        if tag[0] != "#":
+            path.append(tag)
+            if tag in BLOCKS or path[: len(now.path)] != now.path:
+                begin()
+            if not now.start and any(U.matches(as_node(nodes, row), r) for r in starts):
+                begin()
+                now.start = True
+                count += 1
+            if tag == "a":
+                now.links += len(" ".join(rendered(nodes, row).split()))
+            if tag == "br":
+                now.texts.append("\n")
+        elif text:
+            now.texts.append(cleaned(text))
         docs[pre] = count
-    begin("")
-    return [(_joined(t), links, heading, p, start) for t, links, heading, p, start in out], docs
-
-
-def _joined(texts: list[str]) -> str:
-    import re
-
-    return re.sub("\n+", "\n", re.sub(" +", " ", re.sub(r"[\t\r]", " ", "".join(texts)))).strip()
+    begin()
+    return [(p.text().strip(), p.links, p.heading, "/".join(p.path), p.start) for p in out], docs
 
 
-def _per_page(make: Callable[..., dict[str, list]], schema: pa.Schema) -> Callable:
+def _per_page(make: Callable[..., dict[str, list]], schema: pa.Schema, least: int = 4000) -> Callable:
     own = dict(U.REGISTERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source_type, tables in own.items():
             U.register_rules(source_type, *tables)
         for batch in batches:
+            rows: dict[str, list] = {name: [] for name in schema.names}
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pydict(make(*row), schema=schema)
+                for name, values in make(*row).items():
+                    rows[name] += values
+                if len(rows[schema.names[0]]) >= least:
+                    yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                    rows = {name: [] for name in schema.names}
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return run
 

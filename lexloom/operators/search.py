@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import FEATURES, quoted, tokens
 
 
 def postings(rows: DataFrame, key: str, fields: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -78,15 +78,47 @@ def scored(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = ("text",
 
 
 def rule_filter(df: DataFrame, rules: list[tuple[str, str | float | None, str | float | None]]) -> DataFrame:
-    """Closed ranges with open ends; a row without the feature fails any rule on it."""
+    """Closed ranges with open ends (None or *); a row without the feature fails any rule on it. Bounds of dates (features
+    with date in their name, or of a date type) may be month/day/year; bounds of whole-number features (_i) lose their
+    fraction, towards 0."""
+    kinds = dict(df.dtypes)
+
+    def bound(feature: str, v: str | float | None) -> Column | None:
+        if v is None or v == "*":
+            return None
+        if "date" in feature or kinds[feature] in ("date", "timestamp", "timestamp_ntz"):
+            return F.coalesce(F.try_to_timestamp(F.lit(v), F.lit("MM/dd/yyyy")), F.lit(v).try_cast("timestamp")) if isinstance(v, str) else F.lit(v)
+        return F.lit(int(float(v))) if feature.endswith("_i") else F.lit(float(v))
+
     for feature, low, high in rules:
-        c = F.col(feature)
+        c, least, most = F.col(feature), bound(feature, low), bound(feature, high)
         df = df.filter(c.isNotNull())
-        df = df if low is None else df.filter(c >= low)
-        df = df if high is None else df.filter(c <= high)
+        df = df if least is None else df.filter(c >= least)
+        df = df if most is None else df.filter(c <= most)
     return df
 
 
+def parsed(rules: str) -> list[tuple[str, str, str, float]]:
+    """(feature, low, high, weight) of a string of rules, for rule_filter and rule_boost. An unknown code or a rule without
+    four parts is an error, as what it should filter can't be told."""
+    out = []
+    for rule in filter(None, rules.split(";")):
+        code, low, high, weight = rule.split(",")
+        if code not in FEATURES:
+            raise ValueError(f"no feature has the code {code}")
+        try:
+            out.append((FEATURES[code], low, high, float(weight)))
+        except ValueError:
+            out.append((FEATURES[code], low, high, 0.0))
+    return out
+
+
+def apply_rules(df: DataFrame, rules: str, score: str = "score") -> DataFrame:
+    """Rows within the ranges of a string of rules, their score boosted by its weights."""
+    each = parsed(rules)
+    return rule_filter(df, [r[:3] for r in each]).withColumn(score, rule_boost(F.col(score), {f: w for f, _, _, w in each}))
+
+
 def rule_boost(score_: Column, weights: dict[str, float]) -> Column:
     """Score times (0.001 + feature * weight) for each weight that is not 0; a missing feature counts 0."""
     for feature, w in weights.items():
@@ -121,7 +153,7 @@ def suggest_phrases(rows: DataFrame, words: str | list[str], following: int = 7,
     """Distinct phrases: the first match of a word of the query that is no stop word (of all, if all are), and up to
     `following` words after it, within punctuation."""
     asked = [words] if isinstance(words, str) else [w for w in words if w.lower() not in stop_words] or list(words)
-    word = "|".join(w.lower() for w in asked)
+    word = "|".join(quoted(w.lower()) for w in asked)
     found = F.regexp_extract(F.lower("text"), rf"(?:^|[^\p{{L}}])((?:{word})(?: [\p{{L}}\p{{N}}]+){{0,{following}}})", 1)
     return rows.select(found.alias("phrase")).filter("phrase != ''").distinct()
 

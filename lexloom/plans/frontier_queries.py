@@ -115,14 +115,36 @@ def f7_outlinks(t):
     return R.outlinks(t.requests.select("id", "is_search", "lead_count")).select("id", "lead_count", "status")
 
 
-@query("select page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href as link from (select page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)) as href from pages)")
+# `d` has page_id, n, head, path and tail: dot segments go one by one, the first that there is, until none is left.
+DOTS = """dots as (select page_id, n, head, path, tail, 0 as round from d union all select page_id, n, head, case when regexp_matches(path, '/[.](/|$)') then regexp_replace(path, '/[.](/|$)', '/') when regexp_matches(path, '^/[.][.](/|$)') then regexp_replace(path, '^/[.][.](/|$)', '/')
+    else regexp_replace(path, '/[^/]*/[.][.](/|$)', '/') end, tail, round + 1 from dots where regexp_matches(path, '/[.][.]?(/|$)')), flat as (select page_id, n, arg_max(head || path || tail, round) as url from dots group by page_id, n)"""
+# References made of the links on a page, in the ways that pages write them.
+WRITTEN = ["h", "'.' || h || '/.'", "'..' || h || '/../x'", "'../..' || h || '/'", "'?q=' || page_id", "'#x'", "'//other.example/a/..' || h", "'g;x=1/../y?a=../b'", "'/a/./b/..' || h || '#..'", "''"]
+
+
+@query(f"""with recursive h as (select page_id, url, unnest(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) as h from pages), w as (select page_id, regexp_extract(url, '^([a-z]+:)', 1) as scheme, regexp_extract(url, '^[a-z]+:(//[^/?#]+)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path,
+    regexp_extract(url, '([?][^#]*)', 1) as asked, h, unnest([{', '.join(WRITTEN)}]) as href, unnest(generate_series(1, {len(WRITTEN)})) as way from h), k as (select *, row_number() over (partition by page_id, way order by h) as nth, regexp_extract(href, '^([^?#]*)', 1) as p, regexp_extract(href, '([?][^#]*)', 1) as q, regexp_extract(href, '(#.*)$', 1) as f from w),
+    d as (select page_id, way || '-' || nth as n, scheme || case when way = 7 then '//other.example' else host end as head, case when way = 7 then regexp_replace(p, '^//other.example', '') when p = '' then path when p[1] = '/' then p else regexp_replace(path, '[^/]*$', '') || p end as path, case when p = '' and q = '' then asked else q end || f as tail from k),
+    {DOTS} select page_id, n, url as link from flat""")
 def f8_resolve_url(t):
-    return t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("href")).select("page_id", U.resolve_url(F.col("url"), F.col("href")).alias("link"))
+    hrefs = t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("h"))
+    ways = hrefs.select("page_id", "url", "h", F.posexplode(F.expr(f"array({', '.join(WRITTEN)})")).alias("way", "href"))
+    nth = F.row_number().over(Window.partitionBy("page_id", "way").orderBy("h"))
+    return ways.select("page_id", F.concat_ws("-", F.col("way") + 1, nth).alias("n"), U.resolve_url(F.col("url"), F.col("href")).alias("link"))
+
+
+# Addresses of pages, written as they are not in normal form.
+MANGLED = """case page_id % 7 when 0 then url || '?#top' when 1 then replace(replace(url, 'https://', 'HTTPS://Me@A.'), 'http://', 'HTTP://a.B') when 2 then 'http://A.example:80' when 3 then 'https://a.example:443/x/../%7ey/./%2f%c3%A9%?&&b=%41&&c=1?d=2&#f'
+    when 4 then 'https://a.example:8443/a/b/../../../c/.&x=' || page_id when 5 then 'no address ' || page_id else '  ' || url || '??a=1??' end"""
 
 
-@query("select page_id, regexp_replace(url, '#.*$', '') as url from pages")
+@query(f"""with recursive m as (select page_id, trim({MANGLED}) as x from pages), v as (select page_id, lower(regexp_extract(x, '^([A-Za-z]+)://', 1)) as scheme, regexp_extract(x, '^[A-Za-z]+://([^/?#&]+)', 1) as site, regexp_extract(x, '^[A-Za-z]+://[^/?#&]+([^?#&]*)', 1) as path, regexp_extract(regexp_replace(x, '#.*$', ''), '([?&].*)$', 1) as asked from m where regexp_matches(x, '^[A-Za-z]+://[^ ]+$')),
+    e as (select page_id, 0 as n, scheme || '://' || regexp_extract(site, '^(.*@)?', 0) || regexp_replace(lower(regexp_replace(site, '^.*@', '')), case scheme when 'http' then ':80$' else ':443$' end, '') as head, case when path = '' then '/' else path end as path, list_filter(regexp_split_to_array(asked, '[?&]+'), lambda p: p <> '') as ps from v),
+    x as (select page_id, n, head, path, case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end as tail from e),
+    d as (select page_id, n, head, {{0}} as path, {{1}} as tail from x), {DOTS} select pages.page_id, flat.url from pages left join flat on flat.page_id = pages.page_id""".format(*[
+        f"array_to_string(list_transform(string_split({c}, '%'), lambda p, i: case when i = 1 then p when not regexp_matches(p, '^[0-9A-Fa-f]{{2}}') then '%' || p when regexp_matches(p, '^(2[dDeE]|3[0-9]|4[1-9a-fA-F]|5[0-9aAfF]|6[1-9a-fA-F]|7[0-9aAeE])') then chr(cast('0x' || p[1:2] as int)) || p[3:] else '%' || upper(p[1:2]) || p[3:] end), '')" for c in ("path", "tail")]))
 def f9_normalize_url(t):
-    return t.pages.select("page_id", U.normalize_url(F.concat("url", F.lit("?#top"))).alias("url"))
+    return t.pages.select("page_id", U.normalize_url(F.expr(MANGLED)).alias("url"))
 
 
 LINK = """case l_orderkey % 14 when 0 then 'https://site' || l_suppkey || '.example/' || l_partkey when 1 then 'https://a.example/' || l_partkey || '.JPG?w=1' when 2 then 'http://10.0.0.' || l_linenumber || '/x' when 3 then 'https://b.example/x/y/x/y/x'
@@ -216,17 +238,28 @@ def f19_expire(t):
     return t.requests.filter(F.col("status").isin("committed", "failed") & ~R.expired(F.col("changed"), ts(NOW), 30 * 86400)).select("id")
 
 
-@query("select o_orderkey as job, rank from (select o_orderkey, o_orderdate, cast(row_number() over (order by o_orderdate, o_orderkey) as int) as rank from orders where o_orderstatus = 'F') where rank <= 20 - (select count(*) from orders where o_orderkey <= 8 and o_orderstatus = 'O')")
+SUPPLIERS_AS_JOBS = "case when s_acctbal < 0 then 'waiting' when s_acctbal > 9600 then 'working' else 'done' end"
+
+
+@query(f"""with j as (select s_suppkey as job, s_suppkey % 17 as asked, {SUPPLIERS_AS_JOBS} as status from supplier), w as (select job, cast(row_number() over (order by asked, job) as int) as rank from j where status = 'waiting')
+    select job, rank from w where rank <= 20 - (select count(*) from j where status in ('waiting', 'working'))""")
 def f20_start_next(t):
-    jobs = t.orders.selectExpr("o_orderkey as job", "o_orderdate as asked", "case when o_orderstatus = 'F' then 'waiting' when o_orderkey <= 8 and o_orderstatus = 'O' then 'working' else 'done' end as status")
-    return R.start_next(jobs).select("job", "rank")
+    return R.start_next(t.supplier.selectExpr("s_suppkey as job", "s_suppkey % 17 as asked", f"{SUPPLIERS_AS_JOBS} as status")).select("job", "rank")
+
+
+# Rules of a public suffix list, of each kind.
+SUFFIX_RULES = ["com", "net", "org", "uk", "co.uk", "jp", "kyoto.jp", "ide.kyoto.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "com.au", "*.sch.uk"]
+ENDS = ["", ".co.uk", ".com.au", ".ck", ".www.ck", ".kobe.jp", ".city.kobe.jp", ".ide.kyoto.jp", ".x.sch.uk", ".UK", ".unknown"]
 
 
-@query("""with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || case page_id % 3 when 0 then '' when 1 then '.co.uk' else '.com.au' end as host from pages)
-    select page_id, host as host_key, case page_id % 3 when 0 then regexp_extract(host, '([^.]+[.][^.]+)$', 1) else regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) end as domain_key from h""")
+@query(f"""with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || ([{', '.join(map(repr, ENDS))}])[page_id % {len(ENDS)} + 1]) as host from pages), r as (select unnest([{', '.join(map(repr, SUFFIX_RULES))}]) as rule),
+    m as (select host, rule, len(string_split(ltrim(rule, '!'), '.')) - case when rule[1] = '!' then 1 else 0 end as size from (select distinct host from h), r where regexp_matches('.' || host, '[.]' || replace(replace(ltrim(rule, '!'), '.', '[.]'), '*', '[^.]+') || '$')),
+    s as (select host, coalesce(max(size) filter (where rule[1] = '!'), max(size)) + 1 as take from m group by host)
+    select page_id, h.host as host_key, array_to_string(list_slice(string_split(h.host, '.'), -least(coalesce(take, 2), len(string_split(h.host, '.'))), -1), '.') as domain_key from h left join s on s.host = h.host""")
 def f21_queue_key(t):
-    url = F.concat(F.regexp_extract("url", "^([a-z]+://[^/:?#]+)", 1), F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, ".co.uk").otherwise(".com.au"), F.lit("/x?y"))
-    return t.pages.select("page_id", U.queue_key(url).alias("host_key"), U.queue_key(url, "domain").alias("domain_key"))
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("page_id") % len(ENDS) + 1).cast("int"))
+    rows = t.pages.select("page_id", F.concat(F.regexp_extract("url", "^([a-z]+://[^/:?#]+)", 1), end, F.lit("/x?y")).alias("url"))
+    return U.queue_keys(rows, t.spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")).select("page_id", "host_key", "domain_key")
 
 
 @query("""select id, (row_number() over (partition by queue order by id) - 1) * greatest(1.0, coalesce(d, 0.0)) as start from (

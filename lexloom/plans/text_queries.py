@@ -195,7 +195,7 @@ def a1_average_word_length(t):
 LEXICON = [("thing", "NOUN"), ("nation", "NOUN"), ("is", "VERB"), ("was", "VERB"), ("are", "VERB"), ("that", "ADJ"), ("this", "ADJ")]
 
 
-@query(f"""with w as (select doc_id, ws[i] as token, i from (select doc_id, {WORDS} as ws, unnest(generate_series(1, len({WORDS}))) as i from documents)),
+@query(f"""with w as (select doc_id, unnest(ws) as token, generate_subscripts(ws, 1) as i from (select doc_id, {WORDS} as ws from documents)),
     c as (select doc_id, coalesce(case lower(token) {' '.join(f"when '{w}' then '{c}'" for w, c in LEXICON)} end, case when i > 1 and regexp_matches(token, '^\\p{{Lu}}\\p{{Ll}}') then 'PROPN' end) as k from w)
     select doc_id, round(count(*) filter (where k = 'ADJ') / count(*), 6) as adjectives_proportion_f, round(count(*) filter (where k = 'NOUN') / count(*), 6) as nouns_proportion_f, round(count(*) filter (where k = 'PROPN') / count(*), 6) as proper_nouns_proportion_f, round(count(*) filter (where k = 'VERB') / count(*), 6) as verbs_proportion_f from c group by doc_id""")
 def a2_word_class_proportions(t):
@@ -273,9 +273,13 @@ def q5_parse_rules(t):
     return t.documents.select("doc_id", rules.alias("r")).select("doc_id", F.size("r").alias("n"), F.col("r")[0]["feature"].alias("feature"), F.col("r")[0]["low"].alias("low"), F.col("r")[0]["high"].alias("high"), F.col("r")[0]["weight"].alias("weight"))
 
 
-@query("select event_id from events where value is not null and value >= 10 and value <= 50 and user_id is not null and user_id <= 300")
+RULES = "d,01/05/2024,01/25/2024,0;wl,2.9,300.7,0.25;awl,*,150.5,1.5;pos,*,*,0"
+
+
+@query("""select event_id, round(1.0 * (0.001 + user_id * 0.25) * (0.001 + value * 1.5), 4) as score from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-25' and user_id >= 2 and user_id <= 300 and value <= 150.5 and event_type <> 'error' and value is not null""")
 def q6_rule_filter(t):
-    return Q.rule_filter(t.events, [("value", 10, 50), ("user_id", None, 300)]).select("event_id")
+    rows = t.events.selectExpr("event_id", "ts as date_post", "cast(user_id as int) as word_length_i", "value as average_word_length_f", "case when event_type <> 'error' then 1 end as positive_polarity_f", "1.0 as score")
+    return Q.apply_rules(rows, RULES).select("event_id", F.round("score", 4).alias("score"))
 
 
 @query("select event_id, round(1.0 * (0.001 + coalesce(value, 0) * 0.5) * (0.001 + coalesce(user_id, 0) * 2.0), 4) as score from events")
@@ -299,9 +303,9 @@ def q10_field_stats(t):
     return found.select("feature", number("low"), number("high"))
 
 
-@query("select doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}_])(thing|scum)([^\\p{L}\\p{N}_]|$)', '\\1**\\2**\\3', 'g') as text from documents")
+@query("select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda w: case when lower(w) in ('thing', 'that', 'the', 'scum') then '**' || w || '**' else w end), '') as text from documents")
 def q11_highlight(t):
-    return t.documents.select("doc_id", X.highlight(F.col("text"), ["thing", "scum"]).alias("text"))
+    return t.documents.select("doc_id", X.highlight(F.col("text"), ["thing", "that", "scum", "the"]).alias("text"))
 
 
 @query(f"select field, term, n_docs, rank from (select *, cast(row_number() over (partition by field order by n_docs desc, term) as int) as rank from (select 'text' as field, term, count(distinct doc_id) as n_docs from (select doc_id, unnest(list_transform({WORDS}, lambda x: lower(x))) as term from documents) where starts_with(term, 'th') group by term)) where rank <= 10")

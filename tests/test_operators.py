@@ -110,6 +110,163 @@ def test_resolve(spark, href, expected):
     assert one(spark, U.resolve_url(F.col("b"), F.col("h")), b="https://a.example/d/e.html?k=1", h=href) == expected
 
 
+RFC = """g:h g:h|g http://a/b/c/g|./g http://a/b/c/g|g/ http://a/b/c/g/|/g http://a/g|//g http://g|?y http://a/b/c/d;p?y|g?y http://a/b/c/g?y|#s http://a/b/c/d;p?q#s|g#s http://a/b/c/g#s|g?y#s http://a/b/c/g?y#s|;x http://a/b/c/;x|g;x http://a/b/c/g;x|g;x?y#s http://a/b/c/g;x?y#s
+ http://a/b/c/d;p?q|. http://a/b/c/|./ http://a/b/c/|.. http://a/b/|../ http://a/b/|../g http://a/b/g|../.. http://a/|../../ http://a/|../../g http://a/g|../../../g http://a/g|../../../../g http://a/g|/./g http://a/g|/../g http://a/g|g. http://a/b/c/g.|.g http://a/b/c/.g|g.. http://a/b/c/g..|..g http://a/b/c/..g
+./../g http://a/b/g|./g/. http://a/b/c/g/|g/./h http://a/b/c/g/h|g/../h http://a/b/c/h|g;x=1/./y http://a/b/c/g;x=1/y|g;x=1/../y http://a/b/c/y|g?y/./x http://a/b/c/g?y/./x|g?y/../x http://a/b/c/g?y/../x|g#s/./x http://a/b/c/g#s/./x|g#s/../x http://a/b/c/g#s/../x|http:g http:g"""
+
+
+def test_resolve_the_examples_of_the_rfc(spark):
+    cases = [x.rsplit(" ", 1) for x in RFC.replace("\n", "|").split("|")]
+    assert len(cases) == 42
+    rows = spark.createDataFrame([(k, h.strip(), e) for k, (h, e) in enumerate(cases)], "k int, h string, e string")
+    assert [tuple(r) for r in rows.withColumn("got", U.resolve_url(F.lit("http://a/b/c/d;p?q"), F.col("h"))).filter("not (got <=> e)").collect()] == []
+    assert one(spark, U.resolve_url(F.col("b"), F.col("h")), b="http://a", h="g/../h?x") == "http://a/h?x"
+    assert one(spark, U.resolve_url(F.col("b"), F.col("h")), b="http://a.example/b?x=1#f", h="?y=2") == "http://a.example/b?y=2"
+
+
+@pytest.mark.parametrize(("url", "expected"), [
+    ("https://A.example:443/x/../y", "https://a.example/y"), ("HTTP://U:p@A.Example:80", "http://U:p@a.example/"), ("http://a.example:443/", "http://a.example:443/"), ("https://a.example&b=1", "https://a.example/?b=1"), ("https://a.example/b&c=1&d", "https://a.example/b?c=1&d"),
+    ("https://a.example/%7eb%2f%c3%A9%zz%4", "https://a.example/~b%2F%C3%A9%zz%4"), ("https://a.example/?a=%41??b&&c&#d?e", "https://a.example/?a=A&b&c"), ("https://a.example/B?#", "https://a.example/B"), ("no address", None), ("https://a b/", None), ("mailto:x@y", None),
+])
+def test_normal_form(spark, url, expected):
+    assert one(spark, U.normalize_url(F.col("u")), u=url) == expected
+
+
+def test_public_suffixes_with_wildcards_and_exceptions(spark):
+    rules = ["com", "jp", "ac.jp", "kyoto.jp", "ide.kyoto.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "us", "ak.us", "k12.ak.us", "com"]
+    cases = {
+        "com": "com", "example.com": "example.com", "b.a.example.com": "example.com", "jp": "jp", "test.jp": "test.jp", "ac.jp": "ac.jp", "www.test.ac.jp": "test.ac.jp", "kyoto.jp": "kyoto.jp", "ide.kyoto.jp": "ide.kyoto.jp", "a.b.ide.kyoto.jp": "b.ide.kyoto.jp",
+        "c.kobe.jp": "c.kobe.jp", "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp", "ck": "ck", "test.ck": "test.ck", "b.test.ck": "b.test.ck", "a.b.test.ck": "b.test.ck", "www.ck": "www.ck",
+        "www.www.ck": "www.ck", "k12.ak.us": "k12.ak.us", "www.test.k12.ak.us": "test.k12.ak.us", "b.example.unlisted": "example.unlisted", "localhost": "localhost", "10.1.2.3": "10.1.2.3",
+    }
+    table = spark.createDataFrame([(r,) for r in rules], "rule string")
+    rows = spark.createDataFrame([(f"https://{h.upper()}:80/x", h) for h in cases] * 2 + [("no host", None), (None, None)], "url string, h string")
+    got = U.queue_keys(rows, table).collect()
+    assert {r["h"]: r["domain_key"] for r in got if r["h"]} == cases and all(r["host_key"] == r["h"] for r in got if r["h"]) and len(got) == 2 * len(cases) + 2
+    assert [r["domain_key"] for r in got if r["url"] == "no host"] == ["no host"]
+    assert U.queue_keys(rows, table.limit(0)).filter("h = 'a.b.c.kobe.jp'").first()["domain_key"] == "kobe.jp"
+
+
+def test_paragraphs_follow_the_paths_of_elements(spark):
+    pages = {
+        1: ("<div><p>one</p><span>two</span></div>", [("one", False, "div/p"), ("two", False, "div/span")]), 2: ("<div><p>one</p></div>two", [("one two", False, "div/p")]), 3: ("<h1></h1><p>text</p>", [("text", True, "p")]),
+        4: ("<h1><div>inner</div></h1>", [("inner", True, "h1/div")]), 5: ("<p>a<b>b</b> c<i>d</i></p><p>e</p>", [("a b c d", False, "p"), ("e", False, "p")]), 6: ("<div>x<a href='/'>  y  z </a><p>w</p></div>", [("x y z ", False, "div"), ("w", False, "div/p")]),
+    }
+    rows = H.segment_paragraphs(spark.createDataFrame([(k, html) for k, (html, _) in pages.items()], "page_id long, html string")).orderBy("page_id", "para_seq").collect()
+    for k, (_, expected) in pages.items():
+        assert [(r["text"], r["is_heading"], r["tag_path"]) for r in rows if r["page_id"] == k] == [(t.strip(), h, p) for t, h, p in expected]
+    assert next(r["chars_in_links"] for r in rows if r["page_id"] == 6) == 3
+
+
+def second_walk(html):
+    """Paragraphs by another way: a tree of elements and texts, visited by recursion."""
+    import re
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = ("", [])
+            self.stack = [self.root]
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, [])
+            self.stack[-1][1].append(node)
+            if tag not in H.VOID:
+                self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in self.stack]:
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            self.stack[-1][1].append(data)
+
+    tree = Tree()
+    tree.feed(html or "")
+    tree.close()
+    tidy = lambda t: (lambda x: "" if not x.strip(" \n") else x)(re.sub("\n+", "\n", re.sub(" +", " ", t.replace("\t", " ").replace("\r", " "))))
+    everything = lambda n: n if isinstance(n, str) else "".join(map(everything, n[1]))
+    done, now = [], {"path": (), "parts": [], "links": 0, "heading": False}
+
+    def whole(p):
+        text = ""
+        for k, t in enumerate(p["parts"]):
+            gap = k and t.strip() and not p["parts"][k - 1][-1:].isspace() and not t[:1].isspace()
+            text += " " * bool(gap) + t
+        return tidy(text)
+
+    def visit(node, path):
+        nonlocal now
+        if isinstance(node, str):
+            now["parts"].append(tidy(node))
+            return
+        tag, below = node
+        if tag in H.SKIPPED:
+            return
+        path = (*path, tag)
+        if tag in H.BLOCKS or path[: len(now["path"])] != now["path"]:
+            if whole(now):
+                done.append(now)
+                now = {"path": (), "parts": [], "links": 0, "heading": False}
+            now["path"] = path
+            now["heading"] |= any(re.fullmatch("h[1-6]", t) for t in path)
+        if tag == "a":
+            now["links"] += len(" ".join(everything(node).split()))
+        if tag == "br":
+            now["parts"].append("\n")
+        for x in below:
+            visit(x, path)
+
+    for x in tree.root[1]:
+        visit(x, ())
+    if whole(now):
+        done.append(now)
+    return [(k, whole(p).strip(), p["links"], p["heading"], "/".join(p["path"])) for k, p in enumerate(done, 1)]
+
+
+def test_paragraphs_equal_a_second_walk(spark, sf):
+    import random
+
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()]
+    rng = random.Random(2)
+    tags = ["div", "p", "span", "b", "a", "h2", "ul", "li", "em", "footer", "td"]
+    for k in range(300):
+        parts = []
+        for _ in range(rng.randrange(40)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", f"</{tag}>", "x", " y ", "z\n", "  ", "<br>"]))
+        pages.append((10**6 + k, "".join(parts)))
+    got = H.segment_paragraphs(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["page_id"], r["para_seq"])):
+        by.setdefault(r["page_id"], []).append((r["para_seq"], r["text"], r["chars_in_links"], r["is_heading"], r["tag_path"]))
+    for k, html in pages:
+        assert by.get(k, []) == second_walk(html), html[:300]
+
+
+def test_highlight_takes_terms_as_written(spark):
+    for text, terms, expected in (("a thing scum b", ["thing", "scum"], "a **thing** **scum** b"), ("C++ and c, (x.", ["c++", "(x"], "**C++** and c, **(x**."), ("things thing_ Thing", ["thing"], "things thing_ **Thing**"), ("new york", ["new", "new york"], "**new york**"), ("x", [], "x"), ("a$1 b", ["a$1"], "**a$1** b")):
+        assert one(spark, X.highlight(F.col("s"), terms), s=text) == expected
+
+
+def test_rules_become_filters_and_boosts(spark):
+    rows = spark.createDataFrame([(1, "2020-01-02 00:00:00", 5, 1.0, 2.0), (2, "2019-12-31 23:59:59", 5, 1.0, 2.0), (3, "2020-05-01 00:00:00", 6, 1.0, 2.0), (4, None, 5, 1.0, 2.0), (5, "2020-01-02 00:00:00", None, 1.0, 2.0)], "i int, d string, word_length_i int, average_word_length_f double, score double")
+    rows = rows.withColumn("date_post", F.col("d").cast("timestamp"))
+    got = Q.apply_rules(rows, "d,01/02/2020,*,0;wl,*,5.9,0;awl,*,*,3").collect()
+    assert [(r["i"], round(r["score"], 6)) for r in got] == [(1, 2.0 * 3.001)]
+    with pytest.raises(ValueError):
+        Q.apply_rules(rows, "nothing,*,*,0")
+
+
+def test_jobs_start_only_below_the_capacity(spark):
+    jobs = lambda working, waiting: spark.createDataFrame([(i, i, "working") for i in range(working)] + [(100 + i, i, "waiting") for i in range(waiting)], "job int, asked int, status string")
+    assert R.start_next(jobs(18, 5)).count() == 0
+    assert [(r["job"], r["rank"]) for r in R.start_next(jobs(3, 5)).collect()] == [(100 + i, i + 1) for i in range(5)]
+    assert R.start_next(jobs(12, 5)).count() == 3
+
+
 def test_search_url_with_other_numbers_of_words(spark):
     pointer = F.lit("https://a.example/?q=twenty%20cats&x=1")
     for words, expected in ((["one"], "one"), (["a", "b", "c"], "a%20b%20c")):
