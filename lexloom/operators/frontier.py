@@ -2,26 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import queue_key
 
 OPEN = ("waiting", "scheduled", "ran")
 
 
-def dedupe_jobs(new: DataFrame, old: DataFrame, keys: list[str], minutes: int = 5) -> DataFrame:
-    """New jobs (asked) without an earlier one (changed, status) of the same keys, nulls alike, that is open or ended less
-    than `minutes` before. Both are put in one order of time by key, where running values tell what came before: an owner
-    with many jobs is no join of all with all. What changed at the time of asking is before."""
-    mark = lambda df, at, is_new: df.select(*keys, F.col(at).alias("_at"), F.lit(is_new).alias("_new"), (F.struct("*") if is_new else F.lit(None).cast(new.schema)).alias("_row"), (F.lit(None).cast("timestamp") if is_new else F.col("changed").cast("timestamp")).alias("_ended"), (F.lit(False) if is_new else F.col("status").isin("waiting", "working")).alias("_open"))
-    before = Window.partitionBy(*keys).orderBy("_at", F.col("_new").cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = mark(old, "changed", False).unionByName(mark(new, "asked", True))
-    rows = rows.withColumn("_was_open", F.max("_open").over(before)).withColumn("_last", F.max("_ended").over(before)).filter("_new")
-    recent = F.col("_last") >= F.col("_at").cast("timestamp") - F.make_interval(mins=F.lit(minutes))
-    return rows.filter(~(F.coalesce("_was_open", F.lit(False)) | F.coalesce(recent, F.lit(False)))).select("_row.*")
+class _Admission:
+    """What is known of the jobs of one key so far: per kind (crawl or not) whether one is open and when one was last
+    finished, and when any last changed. Times are in microseconds."""
+
+    def __init__(self, minutes: int, others: int):
+        self.wait, self.longer = minutes * 60_000_000, others * 60_000_000
+        self.open, self.finished, self.changed = {False: False, True: False}, {}, None
+
+    def old(self, at: int, status: str | None, crawl: bool) -> None:
+        self.changed = at
+        self.open[crawl] |= status in ("waiting", "working")
+        if status == "finished":
+            self.finished[crawl] = at
+
+    def asks(self, at: int, privileged: bool, crawl: bool) -> bool:
+        if privileged:
+            refused = self.open[crawl] or crawl in self.finished and self.finished[crawl] >= at - self.wait
+        else:
+            refused = self.changed is not None and self.changed >= at - self.longer
+        if not refused:
+            self.open[crawl], self.changed = True, at
+        return not refused
+
+
+def _admitted(n_keys: int, minutes: int, others: int) -> Callable:
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, _Admission(minutes, others)
+        for batch in batches:
+            keep = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_at", "_new", "_status", "_privileged", "_crawl")]
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True)
+            for now, at, new, status, privileged, crawl in zip(keys, *columns, strict=True):
+                if now != key:
+                    key, state = now, _Admission(minutes, others)
+                keep.append(bool(new) and state.asks(at, privileged, crawl))
+                if not new:
+                    state.old(at, status, crawl)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_row"))], names=["_row"]).filter(pa.array(keep, pa.bool_()))
+
+    return admit
+
+
+def dedupe_jobs(new: DataFrame, old: DataFrame, keys: list[str], minutes: int = 5, others: int = 30, order: str | None = None) -> DataFrame:
+    """The new jobs that are admitted. new: keys, asked, and perhaps privileged (else true) and is_crawl (else false); old:
+    keys, changed, status and perhaps is_crawl. Nulls in keys are alike.
+
+    A privileged user's job is refused while one of the same keys and kind waits or works, or was finished in the last
+    `minutes`; another user's while any of the same keys, of whatever status, changed in the last `others` minutes. An
+    admitted job waits from when it was asked, so it stands before those asked after it. What changed at the time of asking
+    is before; jobs asked at one time go by `order`.
+
+    That is a fold in order of time with a small state, so the jobs of a key are sorted in one task and read one after
+    the other; a key with many jobs takes time, but no more memory than others."""
+
+    def flag(df: DataFrame, name: str, default: bool) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    asked = new.select(*keys, micros("asked").alias("_at"), F.lit(1).alias("_new"), F.lit(None).cast("string").alias("_status"), flag(new, "privileged", True).alias("_privileged"), flag(new, "is_crawl", False).alias("_crawl"), (F.col(order) if order else F.xxhash64("*")).alias("_order"), F.struct("*").alias("_row"))
+    known = old.select(*keys, micros("changed").alias("_at"), F.lit(0).alias("_new"), F.col("status").cast("string").alias("_status"), F.lit(False).alias("_privileged"), flag(old, "is_crawl", False).alias("_crawl"), F.lit(None).cast(asked.schema["_order"].dataType).alias("_order"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    rows = asked.unionByName(known.filter("_at is not null")).repartition(*keys).sortWithinPartitions(*keys, "_at", "_new", "_order")
+    return rows.mapInArrow(_admitted(len(keys), minutes, others), T.StructType([T.StructField("_row", asked.schema["_row"].dataType)])).select("_row.*")
 
 
 def expand_job(jobs: DataFrame, sites: DataFrame, links: DataFrame, minimum: int) -> DataFrame:
@@ -73,6 +127,17 @@ def requeue(status: Column) -> Column:
     return F.when(status.isin("scheduled", "ran"), "waiting").otherwise(status)
 
 
+COUNTED = ("searches_done_web", "searches_done_reddit", "pages_done_web", "pages_done_reddit", "pages_known_web", "pages_known_reddit", "searches_web", "searches_ran_reddit", "searches_open", "pages_open", "pages_done", "fails")
+
+
+def counted() -> dict[str, Column]:
+    """Which requests (kind, is_search, status) count for each of COUNTED."""
+    search, done, open_, ran = F.col("is_search"), F.col("status") == "committed", F.col("status").isin(*OPEN), F.col("status") == "ran"
+    web, reddit = F.col("kind") == "web", F.col("kind") == "reddit"
+    tests = (web & search & done, reddit & search & done, web & ~search & done, reddit & ~search & done, web & ~search, reddit & ~search, web & search, reddit & search & ran, search & open_, ~search & open_, ~search & done, F.col("status") == "failed")
+    return dict(zip(COUNTED, tests, strict=True))
+
+
 def progress(requests: DataFrame, jobs: DataFrame | None = None, now_depth: int = 3, first_yield: float = 10.0, first_thread_yield: float = 7500.0, per_site: int = 50, factor: int = 20) -> DataFrame:
     """Counts by job in one aggregate, and from them yields, estimates of web and Reddit pages, and the proportion done.
 
@@ -84,17 +149,15 @@ def progress(requests: DataFrame, jobs: DataFrame | None = None, now_depth: int
     if jobs is None:
         ended = F.when(F.bool_or(F.col("status").isin(*OPEN)), "working").otherwise("finished").alias("status")
         jobs = requests.groupBy("job").agg(ended, F.count_distinct("site").alias("websites"), F.lit(0).alias("subreddits"), F.lit(False).alias("is_crawl"))
-    search, done, open_, ran = F.col("is_search"), F.col("status") == "committed", F.col("status").isin(*OPEN), F.col("status") == "ran"
-    web, reddit = F.col("kind") == "web", F.col("kind") == "reddit"
-    counted = {
-        "searches_done_web": web & search & done, "searches_done_reddit": reddit & search & done, "pages_done_web": web & ~search & done, "pages_done_reddit": reddit & ~search & done,
-        "pages_known_web": web & ~search, "pages_known_reddit": reddit & ~search, "searches_web": web & search, "searches_ran_reddit": reddit & search & ran,
-        "searches_open": search & open_, "pages_open": ~search & open_, "pages_done": ~search & done, "fails": F.col("status") == "failed",
-    }
-    by_site = requests.groupBy("job", "site").agg(*[F.count_if(c).alias(k) for k, c in counted.items()], F.max("lead_count").alias("depth"), F.bool_or(open_ | F.col("status").isin("committed", "failed")).alias("known"))
+    by_site = requests.groupBy("job", "site").agg(*[F.count_if(c).alias(k) for k, c in counted().items()], F.max("lead_count").alias("depth"), F.bool_or(F.col("status").isin(*OPEN, "committed", "failed")).alias("known"))
     known = F.count_if(F.col("known") & ~F.coalesce(F.substring("site", 1, 3) == "/r/", F.lit(False))).alias("sites_known")
-    rows = by_site.withColumn("site", F.col("site").cast("string")).groupBy("job").agg(*[F.sum(k).alias(k) for k in counted], F.max("depth").alias("depth"), known)
-    rows = jobs.join(rows, "job", "left").na.fill(0, [*counted, "depth", "sites_known"])
+    rows = by_site.withColumn("site", F.col("site").cast("string")).groupBy("job").agg(*[F.sum(k).alias(k) for k in COUNTED], F.max("depth").alias("depth"), known)
+    rows = jobs.join(rows, "job", "left").na.fill(0, [*COUNTED, "depth", "sites_known"])
+    return with_progress(rows, now_depth, first_yield, first_thread_yield, per_site, factor)
+
+
+def with_progress(rows: DataFrame, now_depth: int = 3, first_yield: float = 10.0, first_thread_yield: float = 7500.0, per_site: int = 50, factor: int = 20) -> DataFrame:
+    """What progress() adds to the counts of jobs (COUNTED, depth, sites_known, websites, subreddits, is_crawl, status)."""
     per = lambda pages, searches, otherwise: F.when(F.col(searches) > 0, F.col(pages) / F.col(searches)).otherwise(float(otherwise))
     rows = rows.withColumn("yield_web", per("pages_done_web", "searches_done_web", first_yield)).withColumn("yield_reddit", per("pages_done_reddit", "searches_done_reddit", first_thread_yield))
     future_web = (F.col("websites") - F.col("sites_known")) * per_site

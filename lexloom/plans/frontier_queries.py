@@ -12,6 +12,7 @@ from ..operators import frontier as R
 from ..operators import search as Q
 from ..operators import trust as T
 from ..sources import io as S
+from ..sources.index import IndexTable
 from .base import REQUESTS, WITH, query, ts
 
 NOW = "1996-06-01 00:00:00"
@@ -39,19 +40,22 @@ def s4_docs_to_json(t):
     return S.docs_to_json(t.documents, ["lang", "source"], ["doc_id", "n_chars"], F.expr("doc_id div 1000"))
 
 
-@query("""select key, version, value from (select *, row_number() over (partition by key order by version desc, u desc) k from (
-    select l_partkey as key, l_shipdate as version, l_orderkey as value, 0 as u from lineitem where l_linenumber = 1
-    qualify row_number() over (partition by l_partkey, l_shipdate order by l_orderkey) = 1
-    union all select l_partkey, l_shipdate, l_orderkey, 1 from lineitem where l_linenumber = 2
-    qualify row_number() over (partition by l_partkey, l_shipdate order by l_orderkey) = 1)) where k = 1""")
+@query("""with i as (select l_orderkey * 10 + l_linenumber as key, l_shipdate as version, l_partkey as value, 0 as u from lineitem), n as (select o_orderkey * 10 + 1 as key, o_orderdate + interval 60 day as version, o_custkey as value, 1 as u from orders)
+    select key, version, value from (select *, row_number() over (partition by key order by version desc, u desc, value desc) k from (select * from i union all select * from n)) where k = 1""")
 def s5_upsert_index(t):
-    rows = lambda n: t.lineitem.filter(F.col("l_linenumber") == n).groupBy(F.col("l_partkey").alias("key"), F.col("l_shipdate").alias("version")).agg(F.min("l_orderkey").alias("value"))
-    return S.upsert(rows(1), rows(2), "key", "version")
+    index = t.lineitem.selectExpr("l_orderkey * 10 + l_linenumber as key", "cast(l_shipdate as timestamp) as version", "l_partkey as value")
+    updates = t.orders.selectExpr("o_orderkey * 10 + 1 as key", "cast(o_orderdate + interval 60 day as timestamp) as version", "o_custkey as value")
+    table = IndexTable.create(index, S.new_folder(t.spark, "index"), "key", "version", buckets=16)
+    table.upsert(updates)
+    return table.read()
 
 
 @query("select doc_id, source from documents where not (source = 'src3')")
 def s6_delete_by_query(t):
-    return S.delete_where(t.documents.select("doc_id", "source"), F.col("source") == "src3")
+    docs = t.documents.select("doc_id", "source", F.lit(0).alias("version"))
+    table = IndexTable.create(docs, S.new_folder(t.spark, "index"), "doc_id", "version", buckets=16)
+    table.delete_where(F.col("source") == "src3")
+    return table.read().select("doc_id", "source")
 
 
 @query("select doc_id, source from documents where lang = 'en'")
@@ -72,11 +76,22 @@ def s9_cast_by_suffix(t):
     return S.cast_by_suffix(t.orders.select(F.col("o_orderkey").cast("string").alias("key_i"), F.col("o_totalprice").cast("string").alias("price_d"), F.col("o_orderstatus").alias("status_s")))
 
 
-@query("select o_orderkey as job from orders n where not exists (select 1 from orders o where o.o_custkey = n.o_custkey and o.o_orderpriority = n.o_orderpriority and o.o_orderdate + interval 1 day <= n.o_orderdate and (o.o_orderstatus = 'O' or o.o_orderdate + interval 1 day >= n.o_orderdate - interval 43200 minute))")
+ASKS = {"job": "o_orderkey", "phrase": "o_orderpriority", "tag": "o_custkey % 40", "at": "o_orderdate + make_interval(0, 0, 0, 0, 0, cast(o_orderkey % 1440 as int))", "privileged": "o_totalprice > 150000", "crawl": "o_orderkey % 5 = 0"}
+
+
+@query("""with recursive o as (select o_orderkey as job, o_orderpriority as phrase, o_custkey % 40 as tag, o_orderdate + to_minutes(o_orderkey % 1440) as asked, o_totalprice > 150000 as privileged, o_orderkey % 5 = 0 as crawl, o_orderstatus from orders),
+    e as (select *, row_number() over (partition by phrase, tag order by moment, new, job) as k from (select phrase, tag, asked as moment, 1 as new, privileged, crawl, job, null as status from o
+        union all select phrase, tag, asked + interval 1 day, 0, false, crawl, 0, case o_orderstatus when 'O' then 'finished' when 'P' then 'working' else 'failed' end from o)),
+    f as (select phrase, tag, cast(0 as bigint) as k, cast(0 as bigint) as job, false as taken, false as open0, false as open1, cast(null as timestamp) as done0, cast(null as timestamp) as done1, cast(null as timestamp) as last from (select distinct phrase, tag from o)
+        union all select phrase, tag, k, job, taken, open0 or ((taken or st = 'working') and not crawl), open1 or ((taken or st = 'working') and crawl), case when st = 'finished' and not crawl then moment else done0 end, case when st = 'finished' and crawl then moment else done1 end,
+            case when taken or new = 0 then moment else last end from (select e.*, coalesce(e.status, '') as st, open0, open1, done0, done1, last, new = 1 and case when privileged then not (case when crawl then open1 else open0 end) and coalesce(case when crawl then done1 else done0 end < moment - interval 5 day, true)
+                else coalesce(last < moment - interval 30 day, true) end as taken from f join e on e.phrase = f.phrase and e.tag = f.tag and e.k = f.k + 1))
+    select job from f where taken""")
 def f1_dedupe_jobs(t):
-    new = t.orders.selectExpr("o_orderkey as job", "o_custkey as owner", "o_orderpriority as phrase", "o_orderdate as asked")
-    old = t.orders.selectExpr("o_custkey as owner", "o_orderpriority as phrase", "o_orderdate + interval 1 day as changed", "if(o_orderstatus = 'O', 'working', 'done') as status")
-    return R.dedupe_jobs(new, old, ["owner", "phrase"], 43200).select("job")
+    rows = t.orders.selectExpr(*[f"{e} as {c}" for c, e in ASKS.items()], "o_orderstatus")
+    new = rows.selectExpr("job", "phrase", "tag", "at as asked", "privileged", "crawl as is_crawl")
+    old = rows.selectExpr("phrase", "tag", "at + interval 1 day as changed", "case o_orderstatus when 'O' then 'finished' when 'P' then 'working' else 'failed' end as status", "crawl as is_crawl")
+    return R.dedupe_jobs(new, old, ["phrase", "tag"], 5 * 1440, 30 * 1440, "job").select("job")
 
 
 @query(WITH + """, j as (select o_orderkey as job, o_custkey % 25 as tag, o_custkey % (select max(s_suppkey) from supplier) + 1 as site from orders)

@@ -19,6 +19,7 @@ from ..operators import frontier as R
 from ..operators import html as H
 from ..operators import periods as P
 from ..operators import trust as T
+from ..sources.index import IndexTable
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -112,6 +113,98 @@ def stream_job_monitor(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
     return changes.withWatermark("ts", delay).groupBy("job").transformWithStateInPandas(JobMonitor(), "job long, status string, open long, committed long", "Update", "EventTime")
 
 
+SITE = (*R.COUNTED, "known", "depth")
+MONITORED = f"job long, status string, started timestamp, websites int, subreddits int, is_crawl boolean, {', '.join(f'{c} long' for c in R.COUNTED)}, depth int, sites_known long"
+
+
+class JobProgress(StatefulProcessor):
+    """State of one job: its row, its requests as they last were, and counts by site, which a change adds to and takes from.
+    A job begins as the jobs table has it, or else with its first change. It ends when nothing is open, or `seconds` after
+    it began; then the requests and counts are dropped."""
+
+    def __init__(self, seconds: int = 86400):
+        self.seconds = seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, started long, websites int, subreddits int, is_crawl boolean")
+        self.requests = handle.getMapState("requests", "request long", "site string, kind string, is_search boolean, lead_count int, status string")
+        self.sites = handle.getMapState("sites", "site string", ", ".join(f"{c} long" for c in SITE))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        self._begin(row["status"], int(row["started"].timestamp() * 1000), int(row["websites"]), int(row["subreddits"]), bool(row["is_crawl"]))
+
+    def _begin(self, status: str, started: int, websites: int, subreddits: int, is_crawl: bool) -> None:
+        self.job.update((status, started, websites, subreddits, is_crawl))
+        self.handle.registerTimer(started + self.seconds * 1000)
+
+    @staticmethod
+    def _counts(kind: str, is_search: bool, status: str) -> list[int]:
+        """Which of SITE a request counts for, but depth."""
+        open_, done, web, reddit = status in R.OPEN, status == "committed", kind == "web", kind == "reddit"
+        tests = [web and is_search and done, reddit and is_search and done, web and not is_search and done, reddit and not is_search and done, web and not is_search, reddit and not is_search, web and is_search, reddit and is_search and status == "ran"]
+        return [int(x) for x in (*tests, is_search and open_, not is_search and open_, not is_search and done, status == "failed", open_ or status in ("committed", "failed"))]
+
+    def _add(self, site: str, counts: list[int], sign: int, depth: int) -> None:
+        old = self.sites.getValue((site,)) if self.sites.containsKey((site,)) else (0,) * len(SITE)
+        self.sites.updateValue((site,), (*(x + sign * y for x, y in zip(old, counts, strict=False)), max(old[-1], depth)))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            if not self.job.exists():
+                self._begin("working", int(pdf["ts"].min().timestamp() * 1000), pdf["site"].nunique(), 0, False)
+            if self.job.get()[0] == "terminated":
+                continue
+            for r in pdf.sort_values("ts", kind="stable").itertuples():
+                request = (int(r.request),)
+                if self.requests.containsKey(request):
+                    site, kind, is_search, _, status = self.requests.getValue(request)
+                    self._add(site, self._counts(kind, is_search, status), -1, 0)
+                now = (str(r.site), str(r.kind), bool(r.is_search), int(r.lead_count), str(r.status))
+                self.requests.updateValue(request, now)
+                self._add(now[0], self._counts(now[1], now[2], now[4]), 1, now[3])
+        yield from self._told(key, False)
+
+    def _told(self, key, late: bool):
+        total, depth, known = [0] * len(R.COUNTED), 0, 0
+        for (site,), counts in self.sites.iterator():
+            total = [x + y for x, y in zip(total, counts, strict=False)]
+            depth, known = max(depth, counts[-1]), known + (counts[-2] > 0 and not site.startswith("/r/"))
+        status, started, *rest = self.job.get()
+        if status == "working":
+            open_ = total[R.COUNTED.index("searches_open")] + total[R.COUNTED.index("pages_open")]
+            status = "terminated" if late else "finished" if open_ == 0 else status
+            self.job.update((status, started, *rest))
+        values = [key[0], status, pd.Timestamp(started, unit="ms"), *rest, *total, depth, known]
+        yield pd.DataFrame({c.split()[0]: [v] for c, v in zip(MONITORED.split(", "), values, strict=True)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.job.get()[0] == "working":
+            yield from self._told(key, True)
+        self.requests.clear()
+        self.sites.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_job_progress(changes: DataFrame, jobs: DataFrame | None = None, delay: str = "1 hour", seconds: int = 86400, **estimates) -> DataFrame:
+    """The jobs of each batch as they are after it: what progress() and job_transitions() tell of the same changes.
+
+    changes: job, ts, request, site, kind, is_search, lead_count, status, in order of ts by request; jobs, with which the
+    state begins: job, status, started, websites, subreddits, is_crawl. A job without requests tells nothing before its first
+    change. Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass."""
+    begin = jobs.groupBy("job") if jobs is not None else None
+    rows = changes.withWatermark("ts", delay).groupBy("job").transformWithStateInPandas(JobProgress(seconds), MONITORED, "Update", "EventTime", begin)
+    return R.with_progress(rows, **estimates)
+
+
+def stream_index(updates: DataFrame, table: IndexTable, checkpoint: str) -> StreamingQuery:
+    """Batches into a stored index, each once: a batch that runs again finds its number there."""
+    return _start(updates, lambda batch, number: table.upsert(batch, number) and None, checkpoint)
+
+
 def stream_metrics(log: DataFrame, late: str = "10 minutes", every: str = "1 minute") -> DataFrame:
     """Counters by minute; rows later than the watermark are dropped."""
     return R.fetch_metrics(log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), every)

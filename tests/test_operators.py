@@ -503,3 +503,68 @@ def test_a_hot_queue_is_ranked_in_buckets(spark):
     rows = spark.range(1, 2000, 7).selectExpr("id as order", "'https://hot.example/x' as url", "cast(null as double) as robots_delay")
     got = R.politeness_plan(rows, bucket=50).orderBy("order").collect()
     assert [r["start"] for r in got] == [float(k) for k in range(len(got))]
+
+
+def plain_admission(old, new, minutes=5, others=30):
+    """One list of jobs, which an admitted one joins; each that asks looks through all of it."""
+    jobs, out = [dict(j) for j in old], []
+    for j in sorted(new, key=lambda j: (j["asked"], j["job"])):
+        seen = [o for o in jobs if o["key"] == j["key"] and o["changed"] <= j["asked"]]
+        if j["privileged"]:
+            refused = any(o["crawl"] == j["crawl"] and (o["status"] in ("waiting", "working") or o["status"] == "finished" and o["changed"] >= j["asked"] - minutes) for o in seen)
+        else:
+            refused = any(o["changed"] >= j["asked"] - others for o in seen)
+        if not refused:
+            out.append(j["job"])
+            jobs.append({"key": j["key"], "crawl": j["crawl"], "status": "waiting", "changed": j["asked"]})
+    return sorted(out)
+
+
+def test_jobs_are_admitted_by_both_rules(spark):
+    import random
+
+    rng = random.Random(7)
+    old = [{"key": rng.choice("abc"), "crawl": rng.random() < 0.3, "status": rng.choice(["finished", "finished", "failed", "terminated", "working"] if k % 9 == 0 else ["finished", "failed"]), "changed": rng.randrange(600)} for k in range(40)]
+    new = [{"job": k, "key": rng.choice(["a", "b", "c", None]), "crawl": rng.random() < 0.3, "privileged": rng.random() < 0.5, "asked": rng.randrange(600)} for k in range(250)]
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, minute)"
+    olds = spark.createDataFrame([(o["key"], o["crawl"], o["status"], o["changed"]) for o in old], "key string, is_crawl boolean, status string, minute int").selectExpr("key", "is_crawl", "status", f"{at} as changed")
+    news = spark.createDataFrame([(n["job"], n["key"], n["crawl"], n["privileged"], n["asked"]) for n in new], "job int, key string, is_crawl boolean, privileged boolean, minute int").selectExpr("job", "key", "is_crawl", "privileged", f"{at} as asked", "minute as _row_")
+    got = sorted(r["job"] for r in R.dedupe_jobs(news, olds, ["key"], order="job").collect())
+    assert got == plain_admission(old, new) and len(got) > 20
+    assert R.dedupe_jobs(news, olds, ["key"], order="job").columns == news.columns
+    assert R.dedupe_jobs(news.limit(0), olds, ["key"]).count() == 0
+    assert R.dedupe_jobs(news.drop("privileged", "is_crawl").filter("key = 'a'"), olds.limit(0), ["key"]).count() == 1
+
+
+def test_stored_index_rewrites_only_what_it_must(spark, tmp_path):
+    from lexloom.sources.index import IndexTable
+
+    rows = spark.createDataFrame([(i, 1, f"v{i}", "s1" if i % 10 else "s0") for i in range(500)] + [(3, 0, "old", "s1")], "key int, version int, value string, site string")
+    table = IndexTable.create(rows, f"file://{tmp_path}/index", "key", "version", buckets=32)
+    files = lambda: {str(p) for p in tmp_path.rglob("data/**/*.parquet")}
+    before = files()
+    held = lambda df: {r["key"]: r["value"] for r in df.collect()}
+    assert len(before) == 32 and held(table.read()) == {i: f"v{i}" for i in range(500)}
+    first = table.read()
+    updates = spark.createDataFrame([(3, 2, "new", "s1"), (3, 2, "newer", "s1"), (4, 0, "too old", "s1"), (5, 1, "tie", "s1"), (900, 1, "more", "s1")], "key int, version int, value string, site string")
+    touched = table.upsert(updates, batch=0)
+    expected = {i: f"v{i}" for i in range(500)} | {3: "newer", 5: "tie", 900: "more"}
+    after = files()
+    assert held(table.read()) == expected and before < after and len(after - before) == len(touched) <= 4
+    assert table.upsert(updates, batch=0) == [] and files() == after and table.versions() == [0, 1]
+    assert held(first) == {i: f"v{i}" for i in range(500)}  # a reader of the version before
+    gone = table.delete_where(F.col("site") == "s0", batch=1)
+    assert held(table.read()) == {k: v for k, v in expected.items() if k >= 500 or k % 10} and len(files() - after) == len(gone)
+    assert table.delete_where(F.col("site") == "s0") == [] and len(table.versions()) == 4
+    IndexTable(spark, table.folder).vacuum(1)
+    assert held(table.read()) == {k: v for k, v in expected.items() if k >= 500 or k % 10} and table.versions() == [3] and len(files()) < len(after)
+    with pytest.raises(Exception, match="no key"):
+        table.upsert(spark.createDataFrame([(None, 2, "x", "s1")], "key int, version int, value string, site string"))
+    with pytest.raises(RuntimeError):
+        table._commit(3, {}, -1, {})
+    empty = IndexTable.create(rows.limit(0), f"file://{tmp_path}/empty", "key", "version")
+    assert empty.read().count() == 0 and empty.read().schema == rows.schema
+    empty.upsert(rows)
+    assert empty.read().count() == 500
+    empty.delete_where(F.lit(True))
+    assert empty.read().count() == 0

@@ -123,3 +123,60 @@ def test_job_monitor_finishes_and_terminates(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert seen[:2] == [(1, "working", 2, 0), (2, "working", 1, 0)] or seen[:2] == [(2, "working", 1, 0), (1, "working", 2, 0)]
     assert (1, "finished", 0, 1) in seen and (2, "terminated", 1, 0) in seen and (1, "terminated", 0, 1) not in seen
+
+
+def test_job_progress_equals_batch_in_batches_of_any_size(spark):
+    """Changes of some jobs, the last of each job's requests committed at the end; told by stream and by progress()."""
+    import random
+
+    rng = random.Random(4)
+    jobs, changes, n = [], [], 0
+    for job in range(1, 7):
+        jobs.append((job, "working", "2024-01-01 00:00:00", rng.randrange(1, 9), rng.randrange(3), job == 5))
+        requests = [(job * 100 + k, *rng.choice([("www.a", "web"), ("www.b", "web"), ("/r/c", "reddit"), ("www.d", "web")]), rng.random() < 0.3, rng.randrange(4)) for k in range(rng.randrange(3, 25))]
+        steps = [(r, s) for r in requests for s in ("waiting", "scheduled", "ran", rng.choice(["committed", "committed", "failed", "cancelled"]))][: -rng.randrange(1, 3) if job % 2 else None]
+        for r, status in sorted(steps, key=lambda x: (x[1] != "waiting", x[0] == requests[-1] and x[1] not in ("waiting", "scheduled", "ran"))):
+            changes.append((job, n, *r, status))
+            n += 1
+    last = {c[2]: c for c in changes}
+    schema = "job long, second int, request long, site string, kind string, is_search boolean, lead_count int, status string"
+    timed = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, second)")).drop("second")
+    table = spark.createDataFrame(jobs, "job long, status string, t string, websites int, subreddits int, is_crawl boolean").withColumn("started", F.col("t").cast("timestamp")).drop("t")
+    now = F.expr("timestamp '2024-01-01 12:00:00'")
+    moved = R.job_transitions(table, timed(list(last.values())), now).select(*table.columns)
+    columns = ["job", "status", "proportion", "estimate_web", "estimate_reddit", "searches", "crawls", "sites_known", "depth", "fails"]
+    key = lambda rows: sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in columns) for r in rows)
+    expected = key(R.progress(timed(list(last.values())), moved).collect())
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for parts in (1, 4):
+            folder, seen = tempfile.mkdtemp(), {}
+            size = -(-len(changes) // parts)
+            for k in range(0, len(changes), size):
+                timed(changes[k : k + size]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                stream = ST.stream_job_progress(spark.readStream.schema(timed(changes[:1]).schema).parquet(f"{folder}/in"), table)
+                keep = lambda batch, number, seen=seen: seen.update({r["job"]: r for r in batch.collect()})
+                stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+            assert key(seen.values()) == expected
+            timed([(99, 2 * 86400, 1, "www.a", "web", False, 0, "waiting")]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = ST.stream_job_progress(spark.readStream.schema(timed(changes[:1]).schema).parquet(f"{folder}/in"), table)
+            stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+            ended = {r["job"]: r["status"] for r in seen.values()}
+            working = {e[0] for e in expected if e[1] == "working"}
+            assert working and all(ended[j] == ("terminated" if j in working else "finished") for j in range(1, 7)) and ended[99] == "working"
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def test_stream_into_a_stored_index(spark):
+    from lexloom.sources.index import IndexTable
+
+    folder = tempfile.mkdtemp()
+    schema = "key long, version long, value string"
+    table = IndexTable.create(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), f"file://{folder}/index", "key", "version", 4)
+    for part in ([(1, 2, "c")], [(3, 1, "d"), (1, 1, "late")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        ST.stream_index(spark.readStream.schema(schema).parquet(f"{folder}/in"), table, f"{folder}/cp").awaitTermination()
+    assert {r["key"]: r["value"] for r in table.read().collect()} == {1: "c", 2: "b", 3: "d"} and table.versions() == [0, 1, 2]
+    assert table.upsert(spark.createDataFrame([(3, 9, "again")], schema), batch=1) == []
