@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, mixed, new_folder, tables
+from .common import LOWER, chunks, mixed, settled, tables
 
 # Lower-cases A-Z, makes a tab a space and every sign between pieces a full stop, which so is never part of a word.
 PIECES = bytes(0x20 if b == 0x09 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else LOWER[b] for b in range(256))
@@ -40,9 +40,7 @@ GROUPS = "slice long, number binary, id binary, phrases array<struct<id: long, a
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As settled(), compressed better, as these tables are large."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settled(df, name, compression="zstd")
 
 
 def squeezed(x: np.ndarray) -> bytes:

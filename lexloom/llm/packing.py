@@ -88,7 +88,7 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
             table.flat_size += len(ids)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 400_000)
+    table = WordTable(describe, 500_000)
     table.flat, table.flat_size = [], 0
     return table, splitter([x.content.encode() for x in model.get_added_tokens_decoder().values()])
 
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    pieces = settled(texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window), f"doc_id {kind}, {PIECES}"), "pieces")
+    pieces = settled(texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window), f"doc_id {kind}, {PIECES}"), "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
     rests = pieces.filter(F.col("length") < window)
     tasks = settled(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rests-by-task")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
