@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.dates import natural_date
 from . import html as H
 from . import rules as U
 
@@ -85,7 +86,7 @@ def written_date(text: Column, now: Column) -> Column:
     """A date as people write it, counted back from `now` where it is relative; hyphens and 'Updated' are ignored."""
     cleaned = F.trim(F.regexp_replace(F.regexp_replace(text, "Updated", ""), r"(AM|PM).*$", "$1"))
     bare = F.trim(F.regexp_replace(F.regexp_replace(cleaned, "-", ""), r"\s+", " "))
-    return _first_date([cleaned, bare], lambda x: F.coalesce(X.parse_date(x), X.relative_date(x, now)))
+    return _first_date([cleaned, bare], lambda x: F.coalesce(natural_date(x, now), X.relative_date(x, now)))
 
 
 def iso_date(*texts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import queue_key
+from ..sources.io import settled
 
 OPEN = ("waiting", "scheduled", "ran")
 
@@ -222,6 +223,26 @@ def politeness_plan(frontier: DataFrame, delay: float = 1.0, longest: float = 30
     return rows.withColumn("start", k * F.greatest(F.lit(delay), F.coalesce("robots_delay", F.lit(0.0)))).drop("_b", "_before")
 
 
+def in_order(rows: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
+    """Numbers all rows from 1 in one order, without one task for all: they are dealt by ranges of `by` (which should tell
+    every two rows apart) and sorted there, and the sizes of the ranges, one row a range, say where each begins."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = settled(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("_at", 33).alias("_part")  # the number has the range in its upper bits, and the place in it below
+    sizes = held.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return held.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_at")
+
+
+def fetch_order(frontier: DataFrame, delay: float = 1.0, longest: float = 30.0, force: str | None = None) -> DataFrame:
+    """One plan for all queues: rank, by planned start and then by queue, as a fetcher goes round the queues. Rows whose
+    column `force` holds start at once, in front of all, and wait for no robots delay."""
+    rows = frontier.withColumn("_force", F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False))
+    planned = politeness_plan(rows.filter("not _force"), delay, longest)
+    forced = rows.filter("_force").withColumn("queue", queue_key(F.col("url"))).withColumn("start", F.lit(0.0))
+    return in_order(planned.unionByName(forced).withColumn("_late", (~F.col("_force")).cast("int")), ["_late", "start", "queue", "order"]).drop("_late", "_force")
+
+
 def robots_filter(frontier: DataFrame, robots: DataFrame) -> DataFrame:
     """Addresses whose longest matching rule allows them, or that match none; searches pass. robots: host, prefix, allow."""
     rows = frontier.join(robots, (F.col("url_host") == F.col("host")) & F.col("path").startswith(F.col("prefix")), "left")

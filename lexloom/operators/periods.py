@@ -19,10 +19,15 @@ STOP_WORDS = {
 }
 
 
+def sentence_array(text: Column) -> Column:
+    """Sentences: text up to and with its end marks, trimmed, blanks left out."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.regexp_replace(s, r"^[ \n\t]+|[ \n\t]+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
 def split_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos and sentence: text up to and with its end marks, trimmed, blanks left out."""
-    parts = F.transform(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.regexp_replace(s, r"^[ \n\t]+|[ \n\t]+$", ""))
-    return docs.select(key, F.posexplode(F.filter(parts, lambda s: s != "")).alias("pos", "sentence"))
+    """key, pos and sentence; see sentence_array."""
+    return docs.select(key, F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
 
 
 def language_hits(sentence: Column, stop_words: dict[str, list[str]] | None = None) -> dict[str, Column]:

@@ -23,9 +23,25 @@ def s1_read_pages(t):
     return S.read_pages(t.spark, f"{t.sf_dir}/pages.parquet", schema=t.pages.schema)
 
 
-@query("select page_id, 'utf-8' as charset, cast(length(html) as int) as n from pages")
+# Each page in a charset that its bytes alone must tell: its first words stand for the page's language.
+WORDS_IN = {"windows-1252": "Voilà un été très chaud à la forêt, où les garçons français mangent des crêpes", "windows-1251": "Съешь же ещё этих мягких французских булок, да выпей чаю", "koi8-r": "Привет, как дела сегодня вечером, что нового", "iso-8859-2": "Zażółć gęślą jaźń, proszę bardzo, łódź płynie po rzece",
+            "iso-8859-7": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "utf-8": "Größe, ñandú, été", "utf-16le": "Größe und Maß", "utf-16be": "Größe und Maß"}
+KINDS_OF_BYTES = list(WORDS_IN)
+
+
+@query(f"""with k as (select page_id, url, page_id % 8 as way, ([{', '.join(map(repr, KINDS_OF_BYTES))}])[page_id % 8 + 1] as charset from pages) select page_id, charset, '<p>' || ([{', '.join(map(repr, WORDS_IN.values()))}])[way + 1] || ' ' || page_id || '</p>' as text,
+    case when way % 3 = 1 then 'text/plain' when regexp_matches(url, '[.](html?|php|aspx?)$') then 'text/html' else 'text/plain' end as mime from k""")
 def s2_decode_content(t):
-    return S.decode_content(t.pages.withColumn("content", F.encode("html", "UTF-8"))).select("page_id", "charset", F.length("text").alias("n"))
+    way = F.col("page_id") % 8
+    content = None
+    for k, (name, words) in enumerate(WORDS_IN.items()):
+        raw = F.concat(F.lit(bytearray(f"<p>{words} ".encode(name))), F.expr("encode(concat(page_id, '</p>'), 'UTF-8')"))
+        if name.startswith("utf-16"):
+            raw = F.expr(f"encode(concat('<p>{words} ', page_id, '</p>'), '{name.upper()}')")
+        content = F.when(way == k, raw) if content is None else content.when(way == k, raw)
+    rows = S.decode_content(t.pages.select("page_id", "url", content.alias("content")))
+    mime = S.mime_type(F.when(way % 3 == 1, "Text/Plain; x"), F.col("url"), F.col("content"))
+    return rows.select("page_id", "charset", "text", mime.alias("mime"))
 
 
 @query("select source as site_name, cast(count(*) as bigint) as n_docs, cast(sum(length(text)) as bigint) as n_chars from documents group by source")
@@ -277,11 +293,12 @@ def f21_queue_key(t):
     return U.queue_keys(rows, t.spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")).select("page_id", "host_key", "domain_key")
 
 
-@query("""select id, (row_number() over (partition by queue order by id) - 1) * greatest(1.0, coalesce(d, 0.0)) as start from (
-    select l_orderkey * 10 + l_linenumber as id, l_suppkey as queue, case when l_suppkey % 3 = 0 then cast(l_suppkey % 40 as double) end as d from lineitem) where d is null or d <= 30""")
+@query("""with p as (select id, queue, forced, case when forced then 0.0 else (row_number() over (partition by queue, forced order by id) - 1) * greatest(1.0, coalesce(d, 0.0)) end as start from (
+    select l_orderkey * 10 + l_linenumber as id, 's' || l_suppkey || '.example' as queue, l_quantity = 50 as forced, case when l_suppkey % 3 = 0 then cast(l_suppkey % 40 as double) end as d from lineitem) where d is null or d <= 30 or forced)
+    select id, start, row_number() over (order by forced desc, start, queue, id) as rank from p""")
 def f22_politeness_plan(t):
-    rows = t.lineitem.selectExpr("l_orderkey * 10 + l_linenumber as order", "concat('https://s', l_suppkey, '.example/', l_partkey) as url", "if(l_suppkey % 3 = 0, cast(l_suppkey % 40 as double), null) as robots_delay")
-    return R.politeness_plan(rows).select(F.col("order").alias("id"), "start")
+    rows = t.lineitem.selectExpr("l_orderkey * 10 + l_linenumber as order", "concat('https://s', l_suppkey, '.example/', l_partkey) as url", "if(l_suppkey % 3 = 0, cast(l_suppkey % 40 as double), null) as robots_delay", "l_quantity = 50 as forced")
+    return R.fetch_order(rows, force="forced").select(F.col("order").alias("id"), "start", "rank")
 
 
 @query("""select id from (select p.id, p.is_search, coalesce(arg_max(r.allow, length(r.prefix)), true) as allowed from (select l_orderkey * 10 + l_linenumber as id, l_suppkey as host, '/' || (l_partkey % 7) || '/' || l_linenumber as path, l_linenumber = 1 as is_search from lineitem) p

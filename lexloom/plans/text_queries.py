@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.dates import natural_date
 from ..operators import features as A
 from ..operators import html as H
+from ..operators import languages as L
 from ..operators import periods as P
 from ..operators import search as Q
 from ..sources.io import settled
@@ -109,11 +111,23 @@ def d5_last_value_metadata(t):
     return H.last_values(t.conversations, ["conv_id"], "turn", rules)
 
 
-@query("select o_orderkey, strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') as iso, strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') as named, timestamp '2024-01-30' - to_months(cast(o_orderkey % 12 as int)) as ago from orders")
+# Dates as they are written, of an order's date `d`: a pattern for the text, and in the SQL what it must mean before `n`.
+SEEN = "timestamp '2001-09-15 10:30:00'"
+DATES = {
+    "yyyy-MM-dd": "d", "MMM d'th', yyyy": "d", "d MMMM yyyy 'at' 5:07 'pm'": "d + interval 17 hour + interval 7 minute", "EEEE, MMM. d, yyyy": "d", "MM/dd/yy": "d", "MMMM yyyy": "date_trunc('month', d)", "yyyy": "date_trunc('year', d)",
+    "MMMM d": "case when strftime(d, '%m%d') = '0229' then timestamp '2000-02-29' else strptime((case when strftime(d, '%m%d') <= '0915' then '2001' else '2000' end) || strftime(d, '-%m-%d'), '%Y-%m-%d') end",
+    "EEEE": "timestamp '2001-09-15' - to_days(case when (6 - dayofweek(d) + 7) % 7 = 0 then 7 else cast((6 - dayofweek(d) + 7) % 7 as int) end)", "MMMM": "strptime((case when month(d) <= 9 then '2001' else '2000' end) || strftime(d, '-%m-01'), '%Y-%m-%d')",
+}
+AGO = {"%d months ago": "to_months(k)", "%d weeks ago": "to_days(7 * k)", "%d hours ago": "to_hours(k)"}
+
+
+@query(f"""with o as (select o_orderkey, cast(o_orderdate as timestamp) as d, cast(o_orderkey % 12 as int) as k, {SEEN} as n from orders) select o_orderkey, unnest(generate_series(1, {len(DATES) + len(AGO) + 2})) as form,
+    unnest([{', '.join(f'cast({x} as timestamp)' for x in DATES.values())}, {', '.join(f'n - {x}' for x in AGO.values())}, timestamp '2001-09-14 00:00:00' + to_hours(k), null]) as read from o""")
 def d8_parse_date(t):
-    iso, named = F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.date_format("o_orderdate", "MMM d"), F.lit("th, "), F.date_format("o_orderdate", "yyyy"))
-    ago = F.concat((F.col("o_orderkey") % 12).cast("string"), F.lit(" months ago"))
-    return t.orders.select("o_orderkey", X.parse_date(iso).alias("iso"), X.parse_date(named).alias("named"), X.relative_date(ago, ts("2024-01-30")).alias("ago"))
+    d, k = F.col("o_orderdate"), (F.col("o_orderkey") % 12).cast("int")
+    texts = [F.date_format(d, p.replace("5:07", "'5:07'")) for p in DATES] + [F.format_string(a, k) for a in AGO] + [F.format_string("Yesterday %d:00", k), F.format_string("order %d", k)]
+    rows = t.orders.select("o_orderkey", F.posexplode(F.array(*texts)).alias("at", "text"))
+    return rows.select("o_orderkey", (F.col("at") + 1).cast("long").alias("form"), natural_date(F.col("text"), ts("2001-09-15 10:30:00")).alias("read"))
 
 
 @query("""select page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host, list_transform(string_split('a, b' || page_id, ','), lambda x: trim(x)) as keywords, 'about ' || page_id as description, url as canonical from pages""")
@@ -137,9 +151,23 @@ LANGUAGES = f"""{_hits_sql()}, best as (select *, case when greatest(de, en, es,
     langs as (select doc_id, pos, sentence, coalesce(last_value(own ignore nulls) over (partition by doc_id order by pos rows unbounded preceding), 'en') as language_code from best)"""
 
 
-@query(f"with {SENTENCES}, {LANGUAGES} select doc_id, cast(pos as int) as pos, language_code from langs")
+def _trigrams(words: str) -> str:
+    return f"select * exclude (w), ('_' || w || '_') as p, unnest(generate_series(1, length(w))) as i from ({words})"
+
+
+SLOT = "(unicode(p[i]) * 961 + unicode(p[i + 1]) * 31 + unicode(p[i + 2])) % 4096"
+# crc32 of a number as text, bit by bit.
+CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, case when b & 1 = 1 then 3988292384 else 0 end))), 4294967295)"
+
+
+@query(f"""with {SENTENCES}, train as (select lang, count(*) as n, w from (select lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from documents where {CRC} % 3 <> 1) group by lang, w),
+    g as (select lang, {SLOT} as slot, sum(n) as n from ({_trigrams('select lang, n, w from train')}) group by all), z as (select lang, sum(n) + 4096 as total from g group by lang), missing as (select lang, floor(1000 * ln(1 / total) + 0.5)::bigint as least from z),
+    m as (select lang, slot, floor(1000 * ln((n + 1) / total) + 0.5)::bigint - least as more from g join z using (lang) join missing using (lang)), s as (select doc_id, pos, {SLOT} as slot from ({_trigrams("select doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[' || chr(92) || 'p{L}]+')) as w from sent")})),
+    c as (select doc_id, pos, slot, count(*) as n from s group by all), size as (select doc_id, pos, sum(n) as n from c group by all), hit as (select doc_id, pos, lang, sum(c.n * more) as more from c join m using (slot) group by all),
+    score as (select size.doc_id, size.pos, missing.lang, size.n * least + coalesce(more, 0) as score from size cross join missing left join hit on hit.doc_id = size.doc_id and hit.pos = size.pos and hit.lang = missing.lang), best as (select doc_id, pos, arg_max(lang, (score, lang)) as own from score group by all)
+    select sent.doc_id, cast(sent.pos as int) as pos, coalesce(last_value(own ignore nulls) over (partition by sent.doc_id order by sent.pos rows unbounded preceding), 'en') as language_code from sent left join best on best.doc_id = sent.doc_id and best.pos = sent.pos""")
 def p2_detect_language(t):
-    return P.detect_language(P.split_sentences(t.documents)).select("doc_id", "pos", "language_code")
+    return L.sentence_languages(t.documents, L.train_languages(t.documents)).select("doc_id", "pos", "language_code")
 
 
 @query(f"with {SENTENCES}, {LANGUAGES}, isl as (select *, case when language_code = lag(language_code) over (partition by doc_id order by pos) then 0 else 1 end as new from langs) select doc_id, cast(pos as int) as pos, cast(sum(new) over (partition by doc_id order by pos rows unbounded preceding) as bigint) as lang_group from isl")

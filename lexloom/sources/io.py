@@ -19,15 +19,53 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
     return (spark.readStream if streaming else spark.read).format(fmt).schema(schema).load(path)
 
 
+# Charsets of one byte a character that are told from bytes; any other that Python knows works where it is named.
+SINGLE = ("windows-1252", "iso-8859-2", "windows-1251", "koi8-r", "iso-8859-7")
+NAMED = (*SINGLE, "windows-1250", "windows-1253", "windows-1254", "windows-1257", "iso-8859-5", "iso-8859-9", "iso-8859-15", "koi8-u", "macintosh")
+HIGH = "".join(map(chr, range(128, 256)))
+# The sequences of UTF-8, as characters of ISO-8859-1.
+UTF8 = r"[\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+# What speaks for a charset when bytes are read in it, and what against it: letters of its languages and pairs of them;
+# signs within words, changes from small to capital letters, runs of letters with marks, a final sigma within a word.
+FOR = {
+    "windows-1252": ("[a-zA-Z][éèàçêñãõäöüßåøæâîôûëïíóúá]|[éèàçêñãõäöüßåøæâîôûëïíóúáÉÄÖÜÅØ][a-z]", r"[a-z][^\x00-\x7Fà-öø-ÿß][a-z]?|[à-öø-ÿ]{3}"), "iso-8859-2": ("[a-zA-Z][łąężśćńźčšžřěůťďňőűóáíéýúöü]|[łąężśćńźčšžřěůťďňőűŁŚŻČŠŽŘ][a-z]", r"[a-z][ŕĺľ¤¨´˝˘§]|[aeiou]ń[aeiou]|[\x80-\x9F]|[^\x00-\x7F]{3}"),
+    "windows-1251": ("[а-яё][а-яё]", "[а-яё][А-ЯЁ]|[а-яё][^\\x00-\\x7Fа-яёА-ЯЁ]"), "koi8-r": ("[а-яё][а-яё]", "[а-яё][А-ЯЁ]|[а-яё][^\\x00-\\x7Fа-яёА-ЯЁ]"), "iso-8859-7": ("[α-ωά-ώ][α-ωά-ώ]", r"ς[α-ωά-ώ]|[α-ωά-ώ][Α-Ω]|[α-ωά-ώ][^\x00-\x7Fα-ωά-ώΑ-Ω]"),
+}
+
+
+def in_charset(latin: Column, name: str) -> Column:
+    """Text in a charset of one byte a character, from its bytes read as ISO-8859-1."""
+    signs = "".join(bytes([b]).decode(name, "replace") for b in range(128, 256))
+    return F.translate(latin, HIGH, signs)
+
+
+def charset_of(content: Column, most: int = 2048) -> Column:
+    """The charset that the first bytes speak for: UTF-16 by its mark or its zeros, UTF-8 if they are valid in it (a last
+    sequence that is cut off does not count), else that of SINGLE with the best score, the first of equals."""
+    head = F.decode(F.substring(content, 1, most), "ISO-8859-1")
+    whole = F.regexp_replace(head, r"[\xC0-\xFF][\x80-\xBF]{0,2}$", "")
+    best = None
+    for name in SINGLE:
+        good, bad = FOR[name]
+        text = in_charset(head, name)
+        score = F.regexp_count(text, F.lit(good)) - 3 * F.regexp_count(text, F.lit(bad))
+        best = F.struct(score.alias("s"), F.lit(-SINGLE.index(name)).alias("k"), F.lit(name).alias("name")) if best is None else F.greatest(best, F.struct(score.alias("s"), F.lit(-SINGLE.index(name)).alias("k"), F.lit(name).alias("name")))
+    found = F.when(head.startswith("\xff\xfe"), "utf-16le").when(head.startswith("\xfe\xff"), "utf-16be").when(head.rlike(r"(?s)^([^\x00]\x00){4}"), "utf-16le").when(head.rlike(r"(?s)^(\x00[^\x00]){4}"), "utf-16be")
+    return found.when(F.regexp_replace(whole, UTF8, "") == "", "utf-8").otherwise(best["name"])
+
+
 def decode_content(df: DataFrame, content: str = "content", header: str | None = None) -> DataFrame:
-    """Adds charset and text. The charset is the header's, else the one named in the first 2048 bytes, else UTF-8."""
+    """Adds charset and text. The charset is the header's, else the one named in the first 2048 bytes, else the one that
+    those bytes speak for. What a charset has no character for becomes U+FFFD; an unknown charset is read as UTF-8."""
     head = F.decode(F.substring(F.col(content), 1, 2048), "ISO-8859-1")
     named = lambda c: F.lower(F.regexp_extract(c, r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
-    found = F.coalesce(F.nullif(named(F.col(header)), F.lit("")) if header else F.lit(None), F.nullif(named(head), F.lit("")), F.lit("utf-8"))
-    text = F.decode(F.col(content), "UTF-8")
+    found = F.coalesce(F.nullif(named(F.col(header)), F.lit("")) if header else F.lit(None), F.nullif(named(head), F.lit("")), charset_of(F.col(content)))
+    latin, text = F.decode(F.col(content), "ISO-8859-1"), F.decode(F.col(content), "UTF-8")
     for name, java in CHARSETS.items():
         text = F.when(F.col("charset") == name, F.decode(F.col(content), java)).otherwise(text)
-    return df.withColumn("charset", found).withColumn("text", text)
+    for name in NAMED:
+        text = F.when(F.col("charset") == name, in_charset(latin, name)).otherwise(text)
+    return df.withColumn("charset", found).withColumn("text", F.regexp_replace(text, "^\ufeff", ""))
 
 
 def mime_type(header: Column, url: Column, content: Column) -> Column:

@@ -568,3 +568,60 @@ def test_stored_index_rewrites_only_what_it_must(spark, tmp_path):
     assert empty.read().count() == 500
     empty.delete_where(F.lit(True))
     assert empty.read().count() == 0
+
+
+NATURAL = {
+    "Sep 20th, 2019 6:35 am": "2019-09-20 06:35:00", "20 September 2019": "2019-09-20 00:00:00", "20 Sept. 2019": "2019-09-20 00:00:00", "Tuesday": "2020-03-24 00:00:00", "yesterday": "2020-03-30 00:00:00", "Yesterday at 5pm": "2020-03-30 17:00:00", "last Friday": "2020-03-27 00:00:00",
+    "Monday 14:30": "2020-03-30 14:30:00", "March 3": "2020-03-03 00:00:00", "3 March": "2020-03-03 00:00:00", "April 1": "2019-04-01 00:00:00", "Dec 25th at 6:05 p.m.": "2019-12-25 18:05:00", "March 2019": "2019-03-01 00:00:00", "2019": "2019-01-01 00:00:00", "last week": "2020-03-22 00:00:00",
+    "last month": "2020-02-01 00:00:00", "last year": "2019-01-01 00:00:00", "this week": "2020-03-29 00:00:00", "3 hours ago": "2020-03-31 09:00:00", "a week ago": "2020-03-24 12:00:00", "an hour ago": "2020-03-31 11:00:00", "2 fortnights ago": "2020-03-03 12:00:00", "1 month ago": "2020-02-29 12:00:00",
+    "5 mins ago": "2020-03-31 11:55:00", "11:00": "2020-03-31 11:00:00", "1:30 pm": "2020-03-30 13:30:00", "13:75": None, "1/2/2020": "2020-01-02 00:00:00", "25/12/2019": "2019-12-25 00:00:00", "12/31/99": "1999-12-31 00:00:00", "2020-01-10T18:03:00Z": "2020-01-10 18:03:00", "noon": "2020-03-31 12:00:00",
+    "2019/7/4 08:09": "2019-07-04 08:09:00", "Wed, 5 Feb 2020 10:11:12 GMT": "2020-02-05 10:11:12", "Sunday noon": "2020-03-29 12:00:00", "Feb 30 2019": None, "Feb 29": "2020-02-29 00:00:00", "nonsense": None, "": None, "31-Jan-2020": "2020-01-31 00:00:00", "today": "2020-03-31 00:00:00",
+    "day before yesterday": "2020-03-29 00:00:00", "September": "2019-09-01 00:00:00", "Fri Mar 27 2020 23:59": "2020-03-27 23:59:00", "Oct 15, 2018": "2018-10-15 00:00:00", "now": "2020-03-31 12:00:00", "12:00 am": "2020-03-31 00:00:00", "13 pm": None, "may the force": None, None: None,
+}
+
+
+def test_natural_dates_lie_in_the_past(spark):
+    from lexloom.functions.dates import natural_date
+
+    rows = spark.createDataFrame(list(enumerate(NATURAL)), "i int, s string")
+    got = {r["s"]: r["d"] and str(r["d"]) for r in rows.select("s", natural_date(F.col("s"), F.lit("2020-03-31 12:00:00").cast("timestamp")).alias("d")).collect()}
+    assert {k: (v, NATURAL[k]) for k, v in got.items() if v != NATURAL[k]} == {} and len(got) > 45
+
+
+def test_charsets_from_bytes(spark):
+    from lexloom.plans.frontier_queries import WORDS_IN
+
+    more = [("El niño comió piñas en España, señor ¿qué más? ¡Ñandú!", "windows-1252"), ("smörgåsbord på svenska är gott, øl og brød", "windows-1252"), ("Příliš žluťoučký kůň úpěl ďábelské ódy", "iso-8859-2"), ("plain", "utf-8"), ("ñ" * 2000, "utf-8"), ("", "utf-8"), ("Die Größe der Bäume überrascht die Mädchen", "windows-1252")]
+    cases = [(w, c) for c, w in WORDS_IN.items()] + more
+    rows = spark.createDataFrame([(i, bytearray(t.encode(c))) for i, (t, c) in enumerate(cases)] + [(99, None)], "i int, content binary")
+    got = {r["i"]: (r["text"], r["charset"]) for r in S.decode_content(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == cases and got[99][0] is None
+    page = '<meta charset="windows-1253">Αθήνα'.encode("windows-1253")
+    assert S.decode_content(spark.createDataFrame([(bytearray(page),)], "content binary")).first()["text"].endswith("Αθήνα")
+    assert S.decode_content(spark.createDataFrame([(bytearray("é".encode("latin1")), "text/html; charset=ISO-8859-1")], "content binary, h string"), header="h").first()["text"] == "é"
+
+
+def test_trained_languages_on_held_out_documents(spark):
+    from lexloom.operators import languages as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.train_languages(docs)
+    rows = L.sentence_languages(docs.filter(L.held_out(F.col("doc_id"))), model).join(docs.select("doc_id", "lang"), "doc_id")
+    by_sentence = rows.filter(F.length("sentence") >= 20).agg(F.avg((F.col("language_code") == F.col("lang")).cast("double"))).first()[0]
+    top = rows.groupBy("doc_id", "lang").agg(F.mode("language_code").alias("top")).agg(F.avg((F.col("top") == F.col("lang")).cast("double")), F.count("*")).first()
+    assert by_sentence > 0.97 and top[0] > 0.99 and top[1] > 200, (by_sentence, top)
+    small = L.train_languages(spark.createDataFrame([(0, "aa bb", "x"), (2, "cc dd", "y"), (3, None, "y"), (None, "zz", "z"), (4, "qq", None)], "doc_id long, text string, lang string"), 64)
+    assert small.first()["langs"] in (["x", "y"], ["x"], ["y"])
+    edge = spark.createDataFrame([(1, "12. aa bb. 3! dd"), (2, None), (3, ""), (4, "7. 8.")], "doc_id long, text string")
+    got = [(r["doc_id"], r["pos"], r["language_code"]) for r in L.sentence_languages(edge, model, default="none").orderBy("doc_id", "pos").collect()]
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (4, 0), (4, 1)] and got[0][2] == got[4][2] == got[5][2] == "none" and got[2][2] == got[1][2] != "none"
+
+
+def test_global_order_equals_a_window_over_all(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).selectExpr("id as order", "concat('https://', case when id % 3 = 0 then 'hot' else concat('h', id % 50) end, '.example/', id) as url", "if(id % 7 = 0, 3.0D, null) as robots_delay", "id % 400 = 0 as forced")
+    got = R.fetch_order(rows, force="forced")
+    again = got.withColumn("expected", F.row_number().over(Window.orderBy(F.col("forced").desc(), "start", "queue", "order")))
+    assert again.count() == 3000 and again.filter("rank != expected").count() == 0
+    assert R.in_order(rows.limit(0), ["order"]).count() == 0
