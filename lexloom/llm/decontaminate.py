@@ -99,9 +99,9 @@ def _patterns(part: tuple[str, int], window: int) -> Patterns:
     folder, k = part
 
     def make() -> Patterns:
-        store, root = fs.FileSystem.from_uri(folder)
-        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet") and x.size)
-        rows = ds.dataset(files, filesystem=store, format="parquet").to_table(columns=["item_id", "text"], filter=ds.field("part") == k, use_threads=False).to_pylist() if files else []
+        store, root = fs.FileSystem.from_uri(f"{folder}/part={k}")
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".parquet") and x.size)
+        rows = ds.dataset(files, filesystem=store, format="parquet", partitioning=None).to_table(columns=["item_id", "text"], use_threads=False).to_pylist() if files else []
         return Patterns([(r["item_id"], r["text"].encode()) for r in rows], window)
 
     return held(f"patterns {folder} {k} {window}", make)
@@ -141,7 +141,7 @@ def _passes(benchmark: DataFrame, max_chars: int) -> list[tuple[str, int]]:
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 1 if total <= max_chars else 2 * -(-total // max_chars)
     folder = new_folder(benchmark.sparkSession, "benchmark")
-    items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).write.parquet(folder)
+    items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).repartition("part").write.partitionBy("part").parquet(folder)
     return [(folder, k) for k in range(parts)]
 
 

@@ -1,6 +1,6 @@
 """Operator 6: token ids as Arrow files of equal-length sequences; and the tokenising that operator 9 shares.
 
-Layout. Documents are dealt to shards by ranges of doc_id and sorted within them; the ids of a shard's documents,
+Layout. Documents are dealt to shards by ranges of doc_id and sorted within them, rows that repeat a doc_id by text; the ids of a shard's documents,
 each closed by the end id, run on without gaps and are cut into sequences of `length`. A shard is one Arrow IPC file
 whose record batches hold `ids` (fixed-size list of uint16, or uint32 for vocabularies beyond 65,536), `mask`
 (fixed-size list of booleans, false on the padding of the last sequence) and `first` (the same, true on the first id of
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, held, new_folder, tables
+from .common import WordTable, chunks, held, new_folder, settled, tables
 
 SIGNS = ".,;:!?$#%&*"
 INDEX = "doc_id long, file string, shard int, place long, start_in_shard long, n_tokens long"
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     with open(path) as f:
         dtype = "uint16" if max(json.load(f)["model"]["vocab"].values()) < 1 << 16 else "uint32"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     index = rows.mapInArrow(_writer(path, folder, length, rows_per_batch, end_id, dtype), INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
@@ -277,12 +277,12 @@ def _reader(folder: str) -> Callable:
 
 def read_documents(index: DataFrame, folder: str) -> DataFrame:
     """Each document's start among all ids, its number of ids and their checksum, as read from the files; the index only
-    says which document stands where in which file.
+    says which document stands where in which file. What the files say is written once, a short row a document.
 
     The starts of the shards are sums over one row a shard; documents are not gathered anywhere."""
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
+    read = settled(index.mapInArrow(_reader(folder), f"{INDEX}, ids_crc32 long"), "read-documents")
+    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     bases = totals.withColumn("base", F.sum("shard_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    read = index.mapInArrow(_reader(folder), f"{INDEX}, ids_crc32 long")
     return read.join(F.broadcast(bases.select("shard", F.coalesce("base", F.lit(0)).alias("base"))), "shard").select(
         "doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "file", "shard", "start_in_shard"
     )

@@ -77,6 +77,19 @@ def test_query_repeated_rows_and_empty_table(spark, sf, model):
     assert token_arrow.read_documents(token_arrow.write_tokens(spark.createDataFrame([], SCHEMA), folder), folder).count() == 0
 
 
+def test_rows_of_one_id_stand_by_text_and_starts_come_from_the_files(spark, model):
+    rows = [(5, "alpha beta"), (5, "a much longer text than that"), (5, None), (4, "x"), (9, "y z")]
+    expected = [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))]
+    n = [len(model.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in expected]
+    wanted = sorted(((i, sum(n[:k]), n[k]) for k, (i, _) in enumerate(expected)), key=repr)
+    for order in (rows, rows[::-1]):
+        folder = new_folder(spark, "tokens")
+        index = token_arrow.write_tokens(spark.createDataFrame(order, "doc_id long, text string").repartition(4), folder, shards=2)
+        assert rows_of(token_arrow.read_documents(index, folder), "doc_id", "start", "n_tokens") == wanted
+        wrong = index.selectExpr("doc_id", "file", "shard", "place", "start_in_shard + 7 as start_in_shard", "n_tokens * 3 as n_tokens")
+        assert rows_of(token_arrow.read_documents(wrong, folder), "doc_id", "start", "n_tokens") == wanted
+
+
 def test_length_histogram(spark, sf, model):
     texts = [r[1] for r in awkward()]
     lengths = [len(model.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
