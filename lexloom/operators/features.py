@@ -31,16 +31,6 @@ def apply_features(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumns({k: F.coalesce(F.col(k), f(text)) if k in df.columns else f(text) for k, f in REGISTRY.items()})
 
 
-def word_class_proportions(rows: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
-    """Shares of ADJ, NOUN, PROPN and VERB. `rows` has key and text, `lexicon` word and word_class. A capitalised unknown
-    word after the first is a proper noun."""
-    words = rows.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    tagged = words.join(F.broadcast(lexicon), F.lower("token") == F.col("word"), "left") if lexicon.limit(100_001).count() <= 100_000 else words.join(lexicon, F.lower("token") == F.col("word"), "left")
-    tag = F.coalesce("word_class", F.when((F.col("pos") > 0) & F.col("token").rlike(r"^\p{Lu}\p{Ll}"), "PROPN"))
-    share = lambda c: F.round(F.count_if(tag == c) / F.count("*"), 6)
-    return tagged.groupBy(key).agg(share("ADJ").alias("adjectives_proportion_f"), share("NOUN").alias("nouns_proportion_f"), share("PROPN").alias("proper_nouns_proportion_f"), share("VERB").alias("verbs_proportion_f"))
-
-
 def sentiment(rows: DataFrame, valences: dict[str, float], negations: list[str], key: str, c: float = 15.0) -> DataFrame:
     """Shares of positive, negative and neutral tokens and the compound score s / sqrt(s*s + c). A valence turns round
     when a negation stands up to three tokens before it. Tokens are looked up in column expressions; nothing is shuffled."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.dates import natural_date
+from ..operators import analysis as N
+from ..operators import classes as C
 from ..operators import features as A
 from ..operators import html as H
 from ..operators import languages as L
@@ -210,9 +212,21 @@ def p9_route_text_field(t):
     return rows.select("doc_id", "text_en", "text_de", "text_xx", F.length(P.period_text(rows, ("en", "de"))).cast("long").alias("n"))
 
 
-@query(f"select doc_id, list_filter(list_transform(regexp_extract_all(lower(replace(text, ' of ', chr(39) || 's of ')), '[\\p{{L}}\\p{{N}}_]+(?:[' || chr(39) || ']s)?'), lambda x: regexp_replace(x, chr(39) || 's$', '')), lambda w: w not in {STOP_SQL}) as terms from documents")
+def _forms_sql() -> str:
+    cut = lambda end: f"w[:length(w) - {len(end)}]"
+    form = lambda end, to: f"case when {cut(end)}[-1] = {cut(end)}[-2] and regexp_matches({cut(end)}[-1], '\\p{{L}}') then {cut(end)}[:-2] end" if to == "2" else f"{cut(end)} || '{to}'"
+    return "case " + " ".join(f"when ends_with(w, '{end}') then [{', '.join(form(end, to) for to in tos)}]::varchar[]" for end, tos in N.FORMS) + " else []::varchar[] end"
+
+
+@query(f"""with t as (select doc_id, unnest(ws) as raw, generate_subscripts(ws, 1) as position from (select doc_id, regexp_extract_all(replace(text, ' of ', chr(39) || 's of '), '[\\p{{L}}\\p{{N}}_]+(?:[' || chr(39) || '’]s)?') as ws from documents)),
+    k as (select doc_id, position, regexp_replace(lower(raw), '[' || chr(39) || '’]s$', '') as w from t where lower(raw) not in {STOP_SQL}), known as (select distinct lower(f) as f from (select unnest(regexp_extract_all(text, '\\p{{L}}+')) as f from documents)),
+    c as (select w, unnest(fs) as f, generate_subscripts(fs, 1) as n from (select w, {_forms_sql()} as fs from (select distinct w from k where w not in ('this', 'things')))), s as (select w, arg_min(f, n) as stem from c join known using (f) where length(f) >= 3 group by w)
+    select doc_id, list(coalesce(stem, w) order by position) as terms, cast(sum(position) as bigint) as positions from k left join s using (w) group by doc_id""")
 def p10_analysed_text(t):
-    return t.documents.select("doc_id", X.analysed_text(F.replace("text", F.lit(" of "), F.lit("'s of ")), STOP, stem=False).alias("terms"))
+    known = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    rows = N.index_terms(t.documents.select("doc_id", F.replace("text", F.lit(" of "), F.lit("'s of ")).alias("text")), "doc_id", STOP, known, ("this", "things"))
+    each = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("p"))
+    return each.select("doc_id", F.col("p.term").alias("terms"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["position"]).alias("positions"))
 
 
 @query(f"select doc_id, round(list_sum(list_transform({WORDS}, lambda x: length(x))) / len({WORDS}), 6) as average_word_length_f from documents where len({WORDS}) > 0")
@@ -220,14 +234,27 @@ def a1_average_word_length(t):
     return t.documents.select("doc_id", F.round(X.average_word_length(X.tokens(F.col("text"))), 6).alias("average_word_length_f")).filter("average_word_length_f is not null")
 
 
-LEXICON = [("thing", "NOUN"), ("nation", "NOUN"), ("is", "VERB"), ("was", "VERB"), ("are", "VERB"), ("that", "ADJ"), ("this", "ADJ")]
-
-
-@query(f"""with w as (select doc_id, unnest(ws) as token, generate_subscripts(ws, 1) as i from (select doc_id, {WORDS} as ws from documents)),
-    c as (select doc_id, coalesce(case lower(token) {' '.join(f"when '{w}' then '{c}'" for w, c in LEXICON)} end, case when i > 1 and regexp_matches(token, '^\\p{{Lu}}\\p{{Ll}}') then 'PROPN' end) as k from w)
-    select doc_id, round(count(*) filter (where k = 'ADJ') / count(*), 6) as adjectives_proportion_f, round(count(*) filter (where k = 'NOUN') / count(*), 6) as nouns_proportion_f, round(count(*) filter (where k = 'PROPN') / count(*), 6) as proper_nouns_proportion_f, round(count(*) filter (where k = 'VERB') / count(*), 6) as verbs_proportion_f from c group by doc_id""")
+def _viterbi_sql() -> str:
+    """The best path of each sentence, a word a round; rows of a round are the best paths that end in each class."""
+    g, k = C.Grammar(), range(len(C.CLASSES))
+    costs = lambda c: f"[{', '.join(map(str, c))}]"
+    known = " ".join(f"when low in ({', '.join(repr(w) for w, x in g.words.items() if x == c)}) then {costs(c)}" for c in sorted(set(g.words.values())))
+    ends = " ".join(f"when length(low) > {len(e)} and ends_with(low, '{e}') then {costs(g.endings[e])}" for e in sorted(g.endings, key=lambda e: (-len(e), e)))
+    counts = ", ".join(f"n{j} + case when j = {j} then 1 else 0 end as n{j}" for j in k)
+    whole = " + ".join(f"n{j}" for j in k)
+    return f"""with recursive {SENTENCES}, w as (select doc_id, pos, unnest(ws) as token, generate_subscripts(ws, 1) as i, len(ws) as size from (select doc_id, pos, {WORDS.replace('text', 'sentence')} as ws from sent)),
+        e as (select doc_id, pos, i, size, case {known} when i > 1 and regexp_matches(token, '^\\p{{Lu}}\\p{{Ll}}') then {costs(g.capital)} {ends} else {costs(g.other)} end as cost from (select *, lower(token) as low from w)),
+        trans as (select a - 1 as c, b - 1 as j, ([{', '.join(costs(r) for r in g.after)}])[a][b] as t from (select unnest(generate_series(1, {len(k)})) as a), (select unnest(generate_series(1, {len(k)})) as b)),
+        path as (select doc_id, pos, cast(0 as bigint) as i, any_value(size) as size, {C.CLASSES.index(g.first)}::bigint as j, 0::bigint as s, {', '.join(f'0::bigint as n{j}' for j in k)} from e group by doc_id, pos
+            union all select doc_id, pos, i, size, j, s, {counts} from (select p.doc_id, p.pos, e.i, p.size, trans.j::bigint as j, p.s + t + e.cost[trans.j + 1] as s, {', '.join(f'n{j}' for j in k)}, row_number() over (partition by p.doc_id, p.pos, trans.j order by p.s + t desc, p.j) as r
+                from path p join e on e.doc_id = p.doc_id and e.pos = p.pos and e.i = p.i + 1 join trans on trans.c = p.j) where r = 1),
+        best as (select * from path where i = size qualify row_number() over (partition by doc_id, pos order by s desc, j) = 1), z as (select doc_id, {', '.join(f'sum(n{j}) as n{j}' for j in k)} from best group by doc_id)
+        select doc_id, round(n0 / ({whole}), 6) as adjectives_proportion_f, round(n1 / ({whole}), 6) as nouns_proportion_f, round(n2 / ({whole}), 6) as proper_nouns_proportion_f, round(n3 / ({whole}), 6) as verbs_proportion_f from z"""
+
+
+@query(_viterbi_sql())
 def a2_word_class_proportions(t):
-    return A.word_class_proportions(t.documents, t.spark.createDataFrame(LEXICON, "word string, word_class string"), "doc_id")
+    return C.word_class_proportions(t.documents, "doc_id")
 
 
 @query()

@@ -625,3 +625,77 @@ def test_global_order_equals_a_window_over_all(spark):
     again = got.withColumn("expected", F.row_number().over(Window.orderBy(F.col("forced").desc(), "start", "queue", "order")))
     assert again.count() == 3000 and again.filter("rank != expected").count() == 0
     assert R.in_order(rows.limit(0), ["order"]).count() == 0
+
+
+def plain_viterbi(words, g):
+    from lexloom.operators.classes import CLASSES
+
+    def cost(w, i):
+        low = w.lower()
+        if low in g.words:
+            return g.words[low]
+        if i and len(w) > 1 and w[0].isupper() and w[1].islower():
+            return g.capital
+        ends = [e for e in g.endings if low.endswith(e) and len(low) > len(e)]
+        return g.endings[max(ends, key=len)] if ends else g.other
+
+    best = {CLASSES.index(g.first): (0, [])}
+    for i, w in enumerate(words):
+        c, now = cost(w, i), {}
+        for j in range(len(CLASSES)):
+            before = min(best, key=lambda b: (-(best[b][0] + g.after[b][j]), b))
+            now[j] = (best[before][0] + g.after[before][j] + c[j], [*best[before][1], j])
+        best = now
+    return [CLASSES[j] for j in best[min(best, key=lambda b: (-best[b][0], b))][1]]
+
+
+def test_word_classes_equal_a_plain_viterbi_and_recover_a_grammar(spark):
+    import random
+    import re
+
+    from lexloom.operators import classes as C
+
+    g, rng = C.Grammar(), random.Random(3)
+    pools = {"X": ["the", "of", "and", "quickly"], "NOUN": ["darkness", "cat", "houses", "nation"], "ADJ": ["famous", "good", "lovable"], "VERB": ["is", "walking", "jumped"], "PROPN": ["Anna", "Berlin"]}
+    patterns = ["X ADJ NOUN VERB X NOUN", "X NOUN VERB X ADJ NOUN", "X NOUN X PROPN VERB ADJ", "X ADJ ADJ NOUN VERB X PROPN PROPN"]
+    rows, truth = [], {}
+    for k in range(60):
+        tags, sentences = [], []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(patterns).split()
+            tags += p
+            sentences.append(" ".join(rng.choice(pools[t]) for t in p) + rng.choice(".!?"))
+        rows.append((k, " ".join(sentences)))
+        truth[k] = tags
+    rows += [(100 + k, " ".join(rng.choice(["walking", "the", "Xylo", "blorps", "zzz", "GOOD", "a"]) for _ in range(rng.randrange(60)))) for k in range(60)] + [(999, None), (998, ""), (997, "...")]
+    got = {r["k"]: r for r in C.word_class_proportions(spark.createDataFrame(rows, "k int, text string"), "k").collect()}
+    names = {"ADJ": "adjectives", "NOUN": "nouns", "PROPN": "proper_nouns", "VERB": "verbs"}
+    right = total = 0
+    for k, text in rows:
+        tags = [t for s in re.findall("[^.!?]+[.!?]*", text or "") for t in plain_viterbi(re.findall(r"\w+", s), g)]
+        if not tags:
+            assert k not in got
+            continue
+        for c, name in names.items():
+            assert got[k][f"{name}_proportion_f"] == pytest.approx(tags.count(c) / len(tags), abs=1e-6)
+        if k in truth:
+            right += sum(a == b for a, b in zip(tags, truth[k], strict=True))
+            total += len(tags)
+    assert right > 0.95 * total > 0
+
+
+def test_index_and_query_terms(spark):
+    from lexloom.operators import analysis as N
+
+    known = spark.createDataFrame([(w,) for w in ["walk", "Pony", "bake", "stop", "glass", "city", "new", "boot", "walk"]], "word string")
+    rows = spark.createDataFrame([(1, "The dog's Ponies stopped baking, and Boots walked glasses zings"), (2, None), (3, ""), (4, "the THE")], "k int, text string")
+    index = N.index_terms(rows, "k", ["the", "and"], known, ("boots",)).orderBy("position").collect()
+    assert [(r["position"], r["term"]) for r in index] == [(2, "dog"), (3, "pony"), (4, "stop"), (5, "bake"), (7, "boots"), (8, "walk"), (9, "glass"), (10, "zings")]
+    asked = spark.createDataFrame([(1, "hotels in New York City and NY"), (2, "new york"), (3, "York")], "k int, text string")
+    synonyms = {"new york city": ["nyc", "big apple"], "new york": ["ny state"], "ny": ["new york"], "york": ["eboracum"]}
+    got = {}
+    for r in N.query_terms(asked, "k", ["in", "and", "big"], known, synonyms=synonyms).collect():
+        got.setdefault(r["k"], {}).setdefault(r["position"], set()).add(r["term"])
+    assert got == {1: {1: {"hotels"}, 3: {"new", "nyc"}, 4: {"york", "apple"}, 5: {"city"}, 7: {"ny", "new"}, 8: {"york"}}, 2: {1: {"new", "ny"}, 2: {"york", "state"}}, 3: {1: {"york", "eboracum"}}}
+    plain = N.index_terms(rows, "k", ["the"]).filter("position = 3").first()["term"]
+    assert plain == "ponies" and N.index_terms(rows.limit(0), "k", ["the"], known.limit(0)).count() == 0
