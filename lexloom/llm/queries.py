@@ -64,6 +64,20 @@ OP11 = f"""with t as (select coalesce(lang, 'und') as lang, unnest(string_split_
     select q.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n, cast(score as bigint) as score from q join z on z.lang = q.lang where rank <= 2000"""
 
 
+# Texts with loops, pairs of places where the same eight words begin, chains of such pairs on a lag, and no lag whose divisor
+# has a chain around it.
+CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, case when b & 1 = 1 then 3988292384 else 0 end))), 4294967295)"
+OP12 = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, {CRC} as h from documents), n as (select *, len(ws) as n, h // 10 as g from d), a as (select *, case when n > 0 then g % n end as a0 from n),
+    t as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(generate_series(0, n - 1), lambda i: ws[1 + case when i >= a0 then a0 + (i - a0) % (1 + (n - a0) // (3 + g % 8)) else i end]) else ws end as ws from a),
+    g as (select doc_id, n, i, array_to_string(list_slice(ws, i + 1, i + 8), ' ') as x from (select doc_id, n, ws, unnest(generate_series(0, n - 8)) as i from t where n >= 24)),
+    p as (select l.doc_id, r.i as i, r.i - l.i as q from g l join g r on l.doc_id = r.doc_id and l.x = r.x and l.i < r.i and 3 * (r.i - l.i) <= r.n), k as (select *, i - row_number() over (partition by doc_id, q order by i) as chain from p),
+    c as (select doc_id, q, min(i) - q as s, max(i) + 8 - min(i) + q as m from k group by doc_id, q, chain), long as (select * from c where m >= greatest(24, 3 * q)),
+    r as (select * from long x where not exists (select 1 from c y where y.doc_id = x.doc_id and y.q < x.q and x.q % y.q = 0 and y.s <= x.s and y.s + y.m >= x.s + x.m)),
+    z as (select doc_id, count(*) as n_runs, arg_max(struct_pack(s := s, m := m, q := q), (m / q, -s, -q)) as best, string_agg(s || ',' || m || ',' || q || chr(10), '' order by s, q) as lines, list(struct_pack(a := s + q, b := s + m)) as gone from r group by doc_id)
+    select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.m::bigint as length, best.q::bigint as period, (1000 * best.m // best.q)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, n::bigint as n_words,
+        sha256(case when gone is null then array_to_string(ws, ' ') else coalesce(array_to_string(list_filter(ws, lambda w, i: len(list_filter(gone, lambda x: i - 1 >= x.a and i - 1 < x.b)) = 0), ' '), '') end) as collapsed_sha256 from t left join z on z.doc_id = t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express on small tables; the rest are tested in tests/llm."""
-    return {"op8_minhash": OP8, "op10_decontaminate": OP10, "op11_collocations": OP11}
+    return {"op8_minhash": OP8, "op10_decontaminate": OP10, "op11_collocations": OP11, "op12_periodic": OP12}

@@ -3,10 +3,11 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 
-from lexloom.llm import periodic
+from lexloom.llm import periodic, queries
 
 from .fixtures import SCHEMA, WHITE, awkward, prose
 
@@ -98,6 +99,16 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert sorted(got, key=repr) == sorted((expected(r[0], r[1]) for r in rows), key=repr)
 
 
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    rel = con.execute(queries.oracle_sql()["op12_periodic"])
+    names = [x[0] for x in rel.description]
+    rows = [dict(zip(names, r, strict=True)) for r in rel.fetchall()]
+    got = [tuple(r[c] for c in COLUMNS) for r in periodic.op12_periodic(spark, sf).collect()]
+    assert sorted(got, key=repr) == sorted((tuple(r[c] for c in COLUMNS) for r in rows), key=repr) and sum(r["n_runs"] > 0 for r in rows) > 5
+
+
 def test_texts_spans_and_empty_table(spark):
     rows = [(1, "a b  c\n" + "d e f " * 9 + "g"), (2, None), (None, "x " * 30)]
     got = {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in periodic.periodic_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
