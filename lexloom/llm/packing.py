@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, chunks, held, settled, tables
 from .token_arrow import _encode_alone, _flat, encoded, tokenizer_path
 
-PIECES = "task long, start long, length int, ids binary, doc_tokens long, number long"
+PIECES = "task long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, number long"
 PLAN = "length int, low long, high long, each long, begin int, size int, sequence long, place int"
 # White space other than one space or line feed between other characters; UTF-8 of the characters that Unicode says are white.
 ODD = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -88,12 +89,12 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
             table.flat_size += len(ids)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 500_000)
+    table = WordTable(describe, 400_000)
     table.flat, table.flat_size = [], 0
     return table, splitter([x.content.encode() for x in model.get_added_tokens_decoder().values()])
 
 
-def _cutter(path: str, end_id: int, window: int) -> Callable:
+def _cutter(path: str, end_id: int, window: int, with_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -101,21 +102,23 @@ def _cutter(path: str, end_id: int, window: int) -> Callable:
         for batch, texts in chunks(batches):
             ids, n = encoded(table, texts, end_id, split)
             raw, base = memoryview(ids.astype("<u4").tobytes()), 0
-            rows: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "number")}
+            rows: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "crc", "number")}
             for i, size in enumerate(n.tolist()):
                 for start in range(0, size, window):
                     length = min(window, size - start)
                     rows["row"].append(i)
                     rows["start"].append(start)
                     rows["length"].append(length)
-                    rows["ids"].append(raw[4 * (base + start) : 4 * (base + start + length)])
+                    piece = raw[4 * (base + start) : 4 * (base + start + length)]
+                    rows["ids"].append(piece if with_ids or length < window else None)  # rests may be cut
+                    rows["crc"].append(zlib.crc32(piece))
                     rows["number"].append(seen[length])
                     seen[length] += 1
                 base += size
             row = pa.array(rows["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), pa.array([task] * len(row), pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()), pa.array(rows["ids"], pa.binary()), pa.array(n, pa.int64()).take(row), pa.array(rows["number"], pa.int64())],
-                names=["doc_id", "task", "start", "length", "ids", "doc_tokens", "number"],
+                [batch.column(0).take(row), pa.array([task] * len(row), pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()), pa.array(rows["ids"], pa.binary()), pa.array(rows["crc"], pa.int64()), pa.array(n, pa.int64()).take(row), pa.array(rows["number"], pa.int64())],
+                names=["doc_id", "task", "start", "length", "ids", "ids_crc32", "doc_tokens", "number"],
             )
 
     return cut
@@ -232,12 +235,13 @@ def packed(counts: dict[int, int], window: int = 1024, depth: int = 4) -> tuple[
     return supply.plan, supply.sequences
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: int = 0, depth: int = 4) -> DataFrame:
-    """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id and offset for each piece."""
+def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: int = 0, depth: int = 4, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids (little-endian unsigned 32-bit), ids_crc32 (of those), doc_tokens, sequence_id and offset
+    for each piece. Without `with_ids` the ids are left out, and full pieces are checked where they are encoded."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    pieces = settled(texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window), f"doc_id {kind}, {PIECES}"), "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
+    pieces = settled(texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window, with_ids), f"doc_id {kind}, {PIECES}"), "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
     rests = pieces.filter(F.col("length") < window)
     tasks = settled(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rests-by-task")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
@@ -248,13 +252,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     ranked = rests.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("number"))
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(plan["length"])
     slot = (F.col("rank") - F.col("low")) % F.col("each")
+    part = F.expr("substring(ids, 4 * begin + 1, 4 * size)")
     rest = placed.select(
-        "doc_id", (F.col("start") + F.col("begin")).alias("start"), F.col("size").cast("long").alias("length"), F.expr("substring(ids, 4 * begin + 1, 4 * size)").alias("ids"), "doc_tokens",
+        "doc_id", (F.col("start") + F.col("begin")).alias("start"), F.col("size").cast("long").alias("length"), part.alias("ids"), F.crc32(part).alias("ids_crc32"), "doc_tokens",
         (F.col("sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).alias("sequence_id"), (F.col("place") + slot * F.col("size")).alias("offset"),
     )
     # Full pieces need no plan: their numbers follow those of the plan, a range of 2^32 for each task.
-    full = pieces.filter(F.col("length") == window).select("doc_id", "start", F.col("length").cast("long"), "ids", "doc_tokens", (F.lit(sequences) + F.shiftleft("task", 32) + F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return rest.unionByName(full)
+    full = pieces.filter(F.col("length") == window).select("doc_id", "start", F.col("length").cast("long"), "ids", "ids_crc32", "doc_tokens", (F.lit(sequences) + F.shiftleft("task", 32) + F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    both = rest.unionByName(full)
+    return both if with_ids else both.drop("ids")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -265,5 +271,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(tables(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(tables(spark, sf_dir, "documents"), with_ids=False)
