@@ -51,6 +51,28 @@ STATEMENTS = [
     ("eclipse public license version 2 0", "epl-2.0", ["eclipse public license"]),
     ("this is free and unencumbered software released into the public domain", "unlicense", ["free and unencumbered software"]),
     ("all rights reserved", "proprietary", ["all rights reserved"]),
+    ("gnu lesser general public license version 2 1", "lgpl-2.1", ["lesser general public license version 2 1"]),
+    ("gnu lesser general public license version 3", "lgpl-3.0", ["lesser general public license version 3"]),
+    ("gnu affero general public license version 3", "agpl-3.0", ["affero general public license version 3"]),
+    ("gnu free documentation license version 1 3", "gfdl-1.3", ["free documentation license"]),
+    ("eclipse public license version 1 0", "epl-1.0", ["eclipse public license version 1 0"]),
+    ("distributed under the boost software license version 1 0", "bsl-1.0", ["boost software license"]),
+    ("to the extent possible under law the author has waived all copyright cc0 1 0 universal", "cc0-1.0", ["cc0 1 0 universal"]),
+    ("licensed under cc by nd 4 0", "cc-by-nd-4.0", ["cc by nd 4 0"]),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa-4.0", ["cc by nc sa 4 0"]),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd-4.0", ["cc by nc nd 4 0"]),
+    ("creative commons attribution sharealike license", "cc-by-sa", ["creative commons attribution sharealike"]),
+    ("common development and distribution license version 1 0", "cddl-1.0", ["common development and distribution license"]),
+    ("the artistic license 2 0", "artistic-2.0", ["artistic license 2 0"]),
+    ("european union public licence version 1 2", "eupl-1.2", ["european union public licence"]),
+    ("sil open font license version 1 1", "ofl-1.1", ["sil open font license"]),
+    ("open database license version 1 0", "odbl-1.0", ["open database license"]),
+    ("python software foundation license version 2", "psf-2.0", ["python software foundation license"]),
+    ("microsoft public license ms pl", "ms-pl", ["microsoft public license"]),
+    ("academic free license version 3 0", "afl-3.0", ["academic free license"]),
+    ("do what the fuck you want to public license", "wtfpl", ["fuck you want to public license"]),
+    ("released under the zlib license", "zlib", ["zlib license"]),
+    ("business source license 1 1", "busl-1.1", ["business source license"]),
 ]
 # Public licence texts by label, in segments with their key phrases; names and conditions of a project may
 # stand between segments.
@@ -96,8 +118,29 @@ TEXTS: list[tuple[str, list[tuple[str, list[str]]]]] = [
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label: string, word: long>>"
 
 
-def template_words() -> dict[str, int]:
-    texts = [*BASE, *(s for s, _, _ in STATEMENTS), *(s for _, segments in TEXTS for s, _ in segments)]
+Statements = list[tuple[str, str, list[str]]]
+Texts = list[tuple[str, list[tuple[str, list[str]]]]]
+
+
+def licences_of(table: DataFrame, most: int = 50_000) -> tuple[Statements, Texts]:
+    """Templates from a table of segments, for scan_licences: licence (a name of its own), label, segment (a number), text and
+    keys (key phrases of that text). `most` bounds the segments, as each task holds all of them."""
+    rows = table.select("licence", "label", "segment", "text", "keys").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} segments of licences")
+    plain = lambda x: " ".join(x.encode().translate(LETTERS).decode().split())
+    by: dict[tuple[str, str], list] = {}
+    for r in sorted(rows, key=lambda r: (r["licence"], r["label"], r["segment"])):
+        keys = [plain(k) for k in r["keys"]]
+        if not keys or any(not k or f" {k} " not in f" {plain(r['text'])} " for k in keys):
+            raise ValueError(f"{r['licence']}: a segment's key phrases must stand in its text")
+        by.setdefault((r["licence"], r["label"]), []).append((plain(r["text"]), keys))
+    return [], [(label, segments) for (_, label), segments in by.items()]
+
+
+def template_words(licences: tuple[Statements, Texts] | None = None) -> dict[str, int]:
+    statements, whole = licences or (STATEMENTS, TEXTS)
+    texts = [*BASE, *(s for s, _, _ in statements), *(s for _, segments in whole for s, _ in segments)]
     return {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
 
 
@@ -107,7 +150,7 @@ def _vocabulary(ids: dict[str, int]) -> WordTable:
 
 
 def _terms(texts: list[bytes | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    table = held("licences", lambda: _vocabulary(ids))
+    table = held(f"licences {hash(tuple(ids))}", lambda: _vocabulary(ids))
     numbers, starts = table.numbers([t.translate(LETTERS).split() if t else [] for t in texts])
     return (table.term[numbers] if len(numbers) else np.zeros(0, np.int32)), starts
 
@@ -126,9 +169,9 @@ def _counter(ids: dict[str, int]) -> Callable:
     return count
 
 
-def licence_idf(docs: DataFrame) -> dict[str, float]:
+def licence_idf(docs: DataFrame, licences: tuple[Statements, Texts] | None = None) -> dict[str, float]:
     """The IDF of each licence word over all documents. The words are those of the templates, so the result is bounded."""
-    ids = template_words()
+    ids = template_words(licences)
     counted = docs.select("text").mapInArrow(_counter(ids), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = {r["term"]: r["n"] for r in counted.collect()}
     return {w: math.log((1 + n.get(-1, 0)) / max(1, n.get(i, 0))) for w, i in ids.items()}
@@ -150,8 +193,9 @@ class Segment:
 class Templates:
     """Templates as lists of segments, and the index from rare words to places in segments."""
 
-    def __init__(self, idf: dict[str, float]):
-        ids = template_words()
+    def __init__(self, idf: dict[str, float], licences: tuple[Statements, Texts] | None = None):
+        ids = template_words(licences)
+        statements, whole = licences or (STATEMENTS, TEXTS)
         self.segments: list[Segment] = []
         self.templates: list[tuple[str, list[int]]] = []
         known: dict[tuple, int] = {}
@@ -163,9 +207,9 @@ class Templates:
             return known[(text, *keys)]
 
         self.base = [(label, number(phrase, [phrase])) for phrase, label in BASE.items()]
-        for text, label, keys in STATEMENTS:
+        for text, label, keys in statements:
             self.templates.append((label, [number(text, keys)]))
-        for label, segments in TEXTS:
+        for label, segments in whole:
             self.templates.append((label, [number(text, keys) for text, keys in segments]))
         # Places are told from the first mandatory word: what stands before it may lie before the text.
         rows = sorted((int(x.terms[k]), n, k - int(x.must[0])) for n, x in enumerate(self.segments) for k in x.rare)
@@ -213,11 +257,11 @@ def best_share(places: list[list[tuple[int, float]]], lengths: list[int], total:
     return min(1.0, max(w for _, w in reached) / total) if reached else None
 
 
-def _scanner(idf: dict[str, float]) -> Callable:
-    ids = template_words()
+def _scanner(idf: dict[str, float], licences: tuple[Statements, Texts] | None = None) -> Callable:
+    ids = template_words(licences)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Templates(idf)
+        index = Templates(idf, licences)
         for batch, texts in chunks(batches):
             terms, starts = _terms(texts, ids)
             n = len(texts)
@@ -259,10 +303,11 @@ def _scanner(idf: dict[str, float]) -> Callable:
     return scan
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text), see RESULT; `places` are the base phrases with their words' starts."""
+def scan_licences(docs: DataFrame, licences: tuple[Statements, Texts] | None = None) -> DataFrame:
+    """One row for each row of `docs` (doc_id, text), see RESULT; `places` are the base phrases with their words' starts.
+    `licences` are the templates, else STATEMENTS and TEXTS; licences_of reads them from a table."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scanner(licence_idf(docs)), f"doc_id {kind}, {RESULT}")
+    return docs.select("doc_id", "text").mapInArrow(_scanner(licence_idf(docs, licences), licences), f"doc_id {kind}, {RESULT}")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lexloom.llm import decontaminate, licenses
 
 from .fixtures import SCHEMA, awkward, letter_words, prose, rows_of
@@ -148,3 +150,18 @@ def test_labels_and_scores_equal_a_plain_search(spark):
         assert any(r["labels"] == ",".join(sorted(labels | base)) and abs(r["score"] - score) < 1e-9 for r in seen[doc]), (doc, text, labels, score)
         full += score > 0.99
     assert full >= len(licenses.TEXTS)
+
+
+def test_every_notice_is_found_and_licences_come_from_a_table(spark):
+    assert len({label for _, label, _ in licenses.STATEMENTS} | {label for label, _ in licenses.TEXTS}) >= 40
+    rows = [(i, f"Some words. {text.upper()}, more words", label) for i, (text, label, _) in enumerate(licenses.STATEMENTS)]
+    for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect():
+        assert rows[r["doc_id"]][2] in r["labels"].split(",") and r["score"] > 0.99
+    table = spark.createDataFrame([("own", "own-1", 2, "You may not, ever, copy", ["not ever"]), ("own", "own-1", 1, "The Own Licence", ["own licence"]), ("b", "base", 1, "mit license of b", ["license of b"])], "licence string, label string, segment int, text string, keys array<string>")
+    docs = spark.createDataFrame([(1, "the own licence: you may not ever copy"), (2, "you may not ever copy the own licence"), (3, "the MIT license of B"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licences(docs, licenses.licences_of(table)).collect()}
+    assert got == {1: "own-1", 2: "", 3: "base,mit", 4: ""}
+    with pytest.raises(ValueError):
+        licenses.licences_of(table.selectExpr("licence", "label", "segment", "'x' as text", "keys"))
+    with pytest.raises(ValueError):
+        licenses.licences_of(table, most=2)
