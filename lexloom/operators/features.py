@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import average_word_length, tokens
+from ..sources.io import settled
 
 REGISTRY: dict[str, Callable[[Column], Column]] = {}
 CONTEXT_REGISTRY: dict[str, Callable[[DataFrame, DataFrame, str, str], DataFrame]] = {}
@@ -46,9 +47,10 @@ def sentiment(rows: DataFrame, valences: dict[str, float], negations: list[str],
 def word_rarity(rows: DataFrame, context: str, key: str) -> DataFrame:
     """average_word_tf_idf_f: mean over tokens of 1 / occurrences of the token in the context.
 
-    Tokens are counted per row first, then per context: hot tokens are summed before the shuffle, and the join that
-    brings the totals back is one that adaptive execution may split."""
+    Tokens are counted per row first, once, and then per context: hot tokens are summed before the shuffle, and the join
+    that brings the totals back is one that adaptive execution may split."""
     words = rows.select(context, key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(context, key, "token").agg(F.count("*").alias("n"))
+    words = words if rows.isStreaming else settled(words, "word-counts")
     totals = words.groupBy(context, "token").agg(F.sum("n").alias("total"))
     return words.join(totals, [context, "token"]).groupBy(context, key).agg(F.round(F.sum(F.col("n") / F.col("total")) / F.sum("n"), 6).alias("average_word_tf_idf_f"))
 

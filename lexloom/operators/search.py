@@ -59,9 +59,11 @@ def scored(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = ("text",
     One aggregate counts rows and terms, and its single row is broadcast; the score is then an expression, so that rows,
     with all their columns, are neither shuffled nor joined with one another."""
     wanted = [t.lower() for t in terms]
-    words = {f: F.transform(tokens(F.col(f)), lambda t: F.lower(t)) for f in fields}
-    counted = rows.withColumn("_tf", F.array(*[F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter(words[f], lambda w: w == t))) for f in fields]))  # noqa: B023
-    counted = counted.withColumn("_len", F.array(*[F.size(words[f]) for f in fields]))
+    # Words are made once a pass; one fold over them counts all terms.
+    split = rows.withColumn("_w", F.array(*[F.transform(tokens(F.col(f)), lambda t: F.lower(t)) for f in fields]))
+    places = F.array(*map(F.lit, wanted))
+    counts = F.transform("_w", lambda ws: F.transform(places, lambda t: F.size(F.filter(ws, lambda w: w == t))))
+    counted = split.withColumn("_tf", counts).withColumn("_len", F.transform("_w", lambda ws: F.size(ws))).drop("_w")
     each = [(i, j) for i in range(len(fields)) for j in range(len(wanted))]
     stats = counted.agg(F.count("*").alias("_n"), *[F.count_if(F.col("_tf")[i][j] > 0).alias(f"_df_{i}_{j}") for i, j in each])
     out = counted.crossJoin(F.broadcast(stats))  # one row
