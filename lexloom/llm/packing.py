@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, held, settled, tables
+from .common import WordTable, batches_of, chunks, held, settled, tables
 from .token_arrow import _encode_alone, _flat, encoded, tokenizer_path
 
 PIECES = "task long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, number long"
@@ -241,7 +241,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    pieces = settled(texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window, with_ids), f"doc_id {kind}, {PIECES}"), "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
+    with batches_of(spark, 1000):
+        cut = texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window, with_ids), f"doc_id {kind}, {PIECES}")
+        pieces = settled(cut, "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
     rests = pieces.filter(F.col("length") < window)
     tasks = settled(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rests-by-task")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
