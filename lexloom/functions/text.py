@@ -71,7 +71,12 @@ def analysed_text(text: Column, stop_words: list[str], protected: tuple[str, ...
 def char_ngrams(text: Column, n: int) -> Column:
     """Sorted n-grams of characters; the last one is left out."""
     count = F.length(text) - n
-    return F.when(count > 0, F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    def grams(letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
+
+    made = F.transform(F.array(F.split(text, "")), grams)[0]  # letters are split once, so that long texts take linear time
+    return F.when(count > 0, F.array_sort(made)).otherwise(F.array().cast("array<string>"))
 
 
 def common_count(a: Column, b: Column) -> Column:

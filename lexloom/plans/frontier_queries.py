@@ -118,11 +118,11 @@ def f2_expand_job(t):
     return R.expand_job(jobs, t.supplier.selectExpr("s_suppkey as site", "s_nationkey as nation"), t.links, 50)
 
 
-@query("select doc_id, 'https://' || source || '.example/find?q=' || replace(w, ' ', '+') || '&lang=' || lang as url from (select *, array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), 1, 3), ' ') as w from documents)")
+@query("select conv_id, turn, 'https://' || role || '.example/find?q=' || replace(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ', '+') || '&turn=' || turn as url from conversations where regexp_matches(text, '[A-Za-z]')")
 def f3_search_url(t):
-    words = F.slice(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), 1, 3)
-    pointer = F.concat(F.lit("https://"), "source", F.lit(".example/find?q=twenty+cats&lang="), "lang")
-    return t.documents.select("doc_id", U.search_url(pointer, words).alias("url"))
+    words = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")
+    pointer = F.concat(F.lit("https://"), "role", F.lit(".example/find?q=twenty+cats&turn="), "turn")
+    return t.conversations.filter(F.col("text").rlike("[A-Za-z]")).select("conv_id", "turn", U.search_url(pointer, words).alias("url"))
 
 
 @query(WITH + ", b as (select * from requests where status = 'waiting' order by is_search desc, id limit 50) select b.id, b.site, b.is_search, list_sort(list(distinct l.tag)) as tags from b left join links l on l.site = b.site group by all")
@@ -321,7 +321,7 @@ def f25_fetch_metrics(t):
     return R.fetch_metrics(t.events.withColumn("code", 200 + (F.col("event_id") % 4) * 101))
 
 
-@query(WITH + "select job, depth, cast(case depth when 0 then 1 when 1 then 21 when 2 then 421 else 8421 end as bigint) as estimate from (select job, max(lead_count) as depth from requests group by job)")
+@query(WITH + "select job, depth, cast(list_sum(list_transform(generate_series(0, depth), lambda d: pow(20, d))) as bigint) as estimate from (select job, max(lead_count) as depth from requests group by job)")
 def f26_crawl_estimate(t):
     return R.crawl_estimate(t.requests)
 
@@ -412,10 +412,10 @@ def t4_feedback_candidates(t):
     return found.selectExpr("user as user_id", "cast(site as int) as site", "link", "level")
 
 
-@query("select distinct user_id, false as used from events where user_id % 3 <> 0 and 20000000 - (select count(*) from orders where o_orderstatus = 'O') >= 10")
+@query(f"select distinct user_id, false as used from events where user_id % 3 <> 0 and 40 - (select count(*) from supplier where {SUPPLIERS_AS_JOBS} in ('waiting', 'working')) >= 10")
 def t5_guest_permissions(t):
-    jobs = t.orders.selectExpr("if(o_orderstatus = 'O', 'working', 'done') as status")
-    return T.guest_permissions(t.events.selectExpr("user_id as user"), t.events.filter("user_id % 3 = 0").selectExpr("user_id as user").distinct(), jobs, capacity=20_000_000).withColumnRenamed("user", "user_id")
+    jobs = t.supplier.selectExpr(f"{SUPPLIERS_AS_JOBS} as status")
+    return T.guest_permissions(t.events.selectExpr("user_id as user"), t.events.filter("user_id % 3 = 0").selectExpr("user_id as user").distinct(), jobs, capacity=40).withColumnRenamed("user", "user_id")
 
 
 @query(WITH + "select case when level >= 1000 then 'base' when level >= 50 then 'respected' when level >= 0 then 'community' else 'spam' end as label, count(distinct site) as sites from links where tag = 3 group by 1")

@@ -60,9 +60,9 @@ def h5_segment_paragraphs(t):
     return H.segment_paragraphs(t.pages)
 
 
-@query("select page_id, list_contains(string_split('x ad y-' || page_id, ' '), 'ad') as is_ad, list_contains(string_split('post-body p', ' '), 'post') as is_post from pages")
+@query("select doc_id, list_contains(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]'), 'the') as has_the, list_contains(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]'), 'de') as has_de from documents")
 def h6_boundary_match(t):
-    return t.pages.select("page_id", X.boundary_match(F.concat(F.lit("x ad y-"), F.col("page_id")), "ad").alias("is_ad"), X.boundary_match(F.lit("post-body p"), "post").alias("is_post"))
+    return t.documents.select("doc_id", X.boundary_match(F.col("text"), "the").alias("has_the"), X.boundary_match(F.col("text"), "de").alias("has_de"))
 
 
 @query("select doc_id, case when regexp_matches(t, '^[ \\n\\t]*$') then '' else t end as text from (select doc_id, regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\\n+', chr(10), 'g') as t from documents)")
@@ -182,9 +182,9 @@ def p4_pack_periods(t):
     return P.pack_periods(t.documents.select("doc_id", "text"))
 
 
-@query("select doc_id, case when length(l) - 3 > 0 then list_sort(list_transform(generate_series(1, length(l) - 3), lambda i: substring(l, i, 3))) else [] end as grams from (select doc_id, string_split(text, chr(10))[1] as l from documents)")
+@query(f"with {SENTENCES} select doc_id, cast(pos as int) as pos, case when length(sentence) - 3 > 0 then list_sort(list_transform(generate_series(1, length(sentence) - 3), lambda i: substring(sentence, i, 3))) else [] end as grams from sent")
 def p5_char_ngrams(t):
-    return t.documents.select("doc_id", X.char_ngrams(F.get(F.split("text", "\n"), F.lit(0)), 3).alias("grams"))
+    return P.split_sentences(t.documents).select("doc_id", "pos", X.char_ngrams(F.col("sentence"), 3).alias("grams"))
 
 
 @query(f"""with {SENTENCES}, p as (select doc_id, pos, sentence as a, lead(sentence) over (partition by doc_id order by pos) as b from sent)
@@ -296,10 +296,9 @@ def a10_stamp_date_class(t):
     return A.apply_features(t.documents.select("doc_id", "text"), F.col("text")).select("doc_id", "word_length_i", ts("2024-01-30").alias("date_class"))
 
 
-@query("select item_id, replace(p, ' ', ' AND ') as phrase, replace(replace(p, ' ', ' AND '), ' AND ', ' OR ') as general from (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') as p from benchmark)")
+@query("select item_id, case when contains(text, ' AND ') or contains(text, ' OR ') then text else replace(text, ' ', ' AND ') end as phrase, replace(case when contains(text, ' AND ') or contains(text, ' OR ') then text else replace(text, ' ', ' AND ') end, ' AND ', ' OR ') as general from benchmark")
 def q1_default_and(t):
-    rows = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("p"))
-    return rows.select("item_id", X.default_and(F.col("p")).alias("phrase"), X.generalized(F.col("p")).alias("general"))
+    return t.benchmark.select("item_id", X.default_and(F.col("text")).alias("phrase"), X.generalized(F.col("text")).alias("general"))
 
 
 @query("""select p as phrase, replace(p, ' AND ', ' OR ') as general, n, len(string_split(p, ' AND ')) > 1 and n < 10 as offer from (select p, (select count(*) from (select list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) as ws from documents)
