@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, batches_of, chunks, held, settled, tables
+from .common import WordTable, chunks, held, settled, tables
 from .token_arrow import _encode_alone, _flat, encoded, tokenizer_path
 
 PIECES = "task long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, number long"
@@ -89,7 +89,7 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
             table.flat_size += len(ids)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 400_000)
+    table = WordTable(describe, 800_000)
     table.flat, table.flat_size = [], 0
     return table, splitter([x.content.encode() for x in model.get_added_tokens_decoder().values()])
 
@@ -101,7 +101,7 @@ def _cutter(path: str, end_id: int, window: int, with_ids: bool) -> Callable:
         (table, split), seen, task = byte_table(path), defaultdict(int), TaskContext.get().partitionId()
         for batch, texts in chunks(batches):
             ids, n = encoded(table, texts, end_id, split)
-            raw, base = memoryview(ids.astype("<u4").tobytes()), 0
+            raw, base = ids.astype("<u4").tobytes(), 0  # Arrow would keep slices of a memoryview for ever
             rows: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids", "crc", "number")}
             for i, size in enumerate(n.tolist()):
                 for start in range(0, size, window):
@@ -241,9 +241,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    with batches_of(spark, 1000):
-        cut = texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window, with_ids), f"doc_id {kind}, {PIECES}")
-        pieces = settled(cut, "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
+    cut = texts.mapInArrow(_cutter(path or tokenizer_path("byte_bpe_50k.json"), end_id, window, with_ids), f"doc_id {kind}, {PIECES}")
+    pieces = settled(cut, "pieces", **{"parquet.block.size": str(8 << 20)})  # writers hold a block each
     rests = pieces.filter(F.col("length") < window)
     tasks = settled(rests.groupBy("length", "task").agg(F.count("*").alias("n")), "rests-by-task")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
@@ -273,4 +272,5 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(tables(spark, sf_dir, "documents"), with_ids=False)
+    pieces = pack(tables(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
