@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions.dates import natural_date
 from . import html as H
 from . import rules as U
+from .frontier import effective_tags
 
 # The words that make a paragraph look like prose.
 STOP_WORDS = """a about above across after afterwards again against all almost alone along already also although always am among amongst amount an and another any anyhow anyone anything anyway anywhere are around as at
@@ -121,9 +122,12 @@ def classified(pages: DataFrame, stop_words: list[str] | None = None, headings:
 
 def fill_site_fields(docs: DataFrame, now: Column, whole_page: Column, page_url: str = "page_url") -> DataFrame:
     """url and real_doc: a document that is its page (media, blog) has the page's address and 'self', others have their
-    own address, taken from the page where it is a fragment, and the page as real_doc; date_retr is `now`."""
+    own address, taken from the page where it is a fragment, and the page as real_doc; date_retr is `now`. With columns
+    own_tags (of the request) and site_tags also tags: the request's if it has any, else the site's."""
     url = F.when(whole_page, F.col(page_url)).when(F.col("doc_url").startswith("#"), F.concat(F.col(page_url), "doc_url")).otherwise(F.col("doc_url"))
-    return docs.withColumn("url", url).withColumn("real_doc", F.when(whole_page, "self").otherwise(F.col(page_url))).withColumn("date_retr", now)
+    filled = docs.withColumn("url", url).withColumn("real_doc", F.when(whole_page, "self").otherwise(F.col(page_url))).withColumn("date_retr", now)
+    tagged = {"own_tags", "site_tags"} <= set(docs.columns)
+    return filled.withColumn("tags", effective_tags(F.col("own_tags"), F.col("site_tags"))).drop("own_tags", "site_tags") if tagged else filled
 
 
 def drop_empty_url(docs: DataFrame, whole_page: Column) -> DataFrame:

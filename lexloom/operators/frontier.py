@@ -86,6 +86,11 @@ def expand_job(jobs: DataFrame, sites: DataFrame, links: DataFrame, minimum: int
     return named.union(tagged).distinct().join(sites, "site")
 
 
+def job_counts(expanded: DataFrame) -> DataFrame:
+    """job, websites and subreddits: how many sites of each kind a job has requests for. expanded: job, site, kind."""
+    return expanded.groupBy("job").agg(F.count_if(F.col("kind") != "reddit").alias("websites"), F.count_if(F.col("kind") == "reddit").alias("subreddits"))
+
+
 def next_batch(requests: DataFrame, tags: DataFrame, n: int = 50) -> DataFrame:
     """The next waiting requests, searches first, with the tags of their sites. Only these n rows meet the tags."""
     batch = requests.filter("status = 'waiting'").orderBy(F.desc("is_search"), "id").limit(n)
@@ -266,11 +271,22 @@ def fetch_outcome(code: Column, error: Column, waited: Column, longest: float =
 
 
 def fetch_metrics(log: DataFrame, every: str = "1 minute") -> DataFrame:
-    """Counters by minute; with a `code` column also how often each status class (2xx to 5xx) occurs, and the rate."""
-    more = [F.count_if(F.floor(F.col("code") / 100) == k).alias(f"n_{k}xx") for k in (2, 3, 4, 5)] if "code" in log.columns else []
-    out = log.groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value"), 4).alias("sum_value"), *more)
+    """Counters by minute. With a `code` column also how often each status class (2xx to 5xx) occurs, and the rate; with
+    fetch_ms and queued_ms their means, and with bytes their sum and rate."""
+    has = lambda c: c in log.columns
     seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
-    return out.select(F.col("w.start").alias("start"), "n", "mean_value", "sum_value", *([F.col(f"n_{k}xx") for k in (2, 3, 4, 5)] + [F.round(F.col("n") / seconds, 6).alias("per_second")] if more else []))
+    sums = {"n": F.count("*"), "mean_value": F.round(F.avg("value"), 6), "sum_value": F.round(F.sum("value"), 4)}
+    sums |= {f"n_{k}xx": F.count_if(F.floor(F.col("code") / 100) == k) for k in (2, 3, 4, 5)} if has("code") else {}
+    means = {f"mean_{c}": F.round(F.avg(c), 6) for c in ("fetch_ms", "queued_ms") if has(c)}
+    size = {"sum_bytes": F.sum("bytes").cast("long")} if has("bytes") else {}
+    out = log.groupBy(F.window("ts", every).alias("w")).agg(*[v.alias(k) for k, v in (sums | means | size).items()])
+    rate = lambda c, name: F.round(F.col(c) / seconds, 6).alias(name)
+    return out.select(F.col("w.start").alias("start"), *sums, *([rate("n", "per_second")] if has("code") else []), *means, *size, *([rate("sum_bytes", "bytes_per_second")] if size else []))
+
+
+def fetch_codes(log: DataFrame, every: str = "1 minute") -> DataFrame:
+    """start, code and n: how often each status code occurs in each minute."""
+    return log.groupBy(F.window("ts", every).alias("w"), F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "code", "n")
 
 
 def crawl_estimate(requests: DataFrame, factor: int = 20) -> DataFrame:

@@ -118,6 +118,14 @@ def f2_expand_job(t):
     return R.expand_job(jobs, t.supplier.selectExpr("s_suppkey as site", "s_nationkey as nation"), t.links, 50)
 
 
+@query(WITH + """, j as (select o_orderkey as job, o_custkey % 25 as tag, o_custkey % (select max(s_suppkey) from supplier) + 1 as site from orders), x as (select job, site from j union select job, l.site from j join links l on l.tag = j.tag and l.level >= 50)
+    select job, count(*) filter (where s_acctbal >= 2000) as websites, count(*) filter (where s_acctbal < 2000) as subreddits from x join supplier on s_suppkey = x.site group by job""")
+def f2_job_counts(t):
+    top = t.supplier.agg(F.max("s_suppkey").alias("m"))
+    jobs = t.orders.crossJoin(F.broadcast(top)).selectExpr("o_orderkey as job", "array(cast(o_custkey % 25 as int)) as tags", "array(o_custkey % m + 1) as sites")
+    return R.job_counts(R.expand_job(jobs, t.supplier.selectExpr("s_suppkey as site", "if(s_acctbal < 2000, 'reddit', 'web') as kind"), t.links, 50))
+
+
 @query("select conv_id, turn, 'https://' || role || '.example/find?q=' || replace(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ', '+') || '&turn=' || turn as url from conversations where regexp_matches(text, '[A-Za-z]')")
 def f3_search_url(t):
     words = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")
@@ -315,10 +323,18 @@ def f24_fetch_outcome(t):
     return log.select(R.fetch_outcome(F.col("c"), F.col("e"), F.col("w")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("""select date_trunc('minute', ts) as start, count(*) as n, round(avg(value), 6) as mean_value, round(sum(value), 4) as sum_value, count(*) filter (where c // 100 = 2) as n_2xx, count(*) filter (where c // 100 = 3) as n_3xx,
-    count(*) filter (where c // 100 = 4) as n_4xx, count(*) filter (where c // 100 = 5) as n_5xx, round(count(*) / 60, 6) as per_second from (select *, 200 + (event_id % 4) * 101 as c from events) group by 1""")
+FETCHES = {"code": "200 + (event_id % 4) * 101 + event_id % 3", "fetch_ms": "value * 10", "queued_ms": "event_id % 977", "bytes": "length(props)"}
+
+
+@query(f"""with e as (select ts, value, {', '.join(f'{x} as {c}' for c, x in FETCHES.items())} from events) select date_trunc('minute', ts) as start, count(*) as n, round(avg(value), 6) as mean_value, round(sum(value), 4) as sum_value, count(*) filter (where code // 100 = 2) as n_2xx, count(*) filter (where code // 100 = 3) as n_3xx,
+    count(*) filter (where code // 100 = 4) as n_4xx, count(*) filter (where code // 100 = 5) as n_5xx, round(count(*) / 60, 6) as per_second, round(avg(fetch_ms), 6) as mean_fetch_ms, round(avg(queued_ms), 6) as mean_queued_ms, cast(sum(bytes) as bigint) as sum_bytes, round(sum(bytes) / 60, 6) as bytes_per_second from e group by 1""")
 def f25_fetch_metrics(t):
-    return R.fetch_metrics(t.events.withColumn("code", 200 + (F.col("event_id") % 4) * 101))
+    return R.fetch_metrics(t.events.selectExpr("ts", "value", *[f"{x} as {c}" for c, x in FETCHES.items()]))
+
+
+@query(f"select date_trunc('minute', ts) as start, cast({FETCHES['code']} as bigint) as code, count(*) as n from events group by all")
+def f25_fetch_codes(t):
+    return R.fetch_codes(t.events.selectExpr("ts", f"{FETCHES['code']} as code"))
 
 
 @query(WITH + "select job, depth, cast(list_sum(list_transform(generate_series(0, depth), lambda d: pow(20, d))) as bigint) as estimate from (select job, max(lead_count) as depth from requests group by job)")

@@ -116,14 +116,16 @@ def d11_burned_meta(t):
 
 
 @query(f"""with r as (select *, 'https://site.example/' || o_orderkey as page_url, o_orderkey % 2 = 0 as whole, case when o_orderkey % 3 = 0 then '#c' || o_custkey else 'https://other.example/' || o_custkey end as doc_url from orders)
-    select o_orderkey, o_orderstatus as site_name, case when whole then page_url when doc_url like '#%' then page_url || doc_url else doc_url end as url, case when whole then 'self' else page_url end as real_doc, timestamp '{NOW}' as date_retr from r""")
+    select o_orderkey, o_orderstatus as site_name, case when whole then page_url when doc_url like '#%' then page_url || doc_url else doc_url end as url, case when whole then 'self' else page_url end as real_doc, timestamp '{NOW}' as date_retr,
+    case when o_totalprice > 100000 then [o_orderpriority, 'asked'] else [o_orderstatus] end as tags from r""")
 def d12_fill_site_fields(t):
     page = F.concat(F.lit("https://site.example/"), "o_orderkey")
     own = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("#c"), "o_custkey")).otherwise(F.concat(F.lit("https://other.example/"), "o_custkey"))
     docs = t.orders.select("o_orderkey", own.alias("doc_url"))
-    requests = t.orders.select(F.col("o_orderkey").alias("request"), page.alias("page_url"), F.col("o_orderstatus").alias("site_name"), (F.col("o_orderkey") % 2 == 0).alias("whole"))
+    asked = F.when(F.col("o_totalprice") > 100000, F.array("o_orderpriority", F.lit("asked"))).otherwise(F.array().cast("array<string>"))
+    requests = t.orders.select(F.col("o_orderkey").alias("request"), page.alias("page_url"), F.col("o_orderstatus").alias("site_name"), (F.col("o_orderkey") % 2 == 0).alias("whole"), asked.alias("own_tags"), F.array("o_orderstatus").alias("site_tags"))
     filled = D.fill_site_fields(docs.join(requests, F.col("o_orderkey") == F.col("request")), ts(NOW), F.col("whole"))
-    return filled.select("o_orderkey", "site_name", "url", "real_doc", "date_retr")
+    return filled.select("o_orderkey", "site_name", "url", "real_doc", "date_retr", "tags")
 
 
 @query()

@@ -699,3 +699,22 @@ def test_index_and_query_terms(spark):
     assert got == {1: {1: {"hotels"}, 3: {"new", "nyc"}, 4: {"york", "apple"}, 5: {"city"}, 7: {"ny", "new"}, 8: {"york"}}, 2: {1: {"new", "ny"}, 2: {"york", "state"}}, 3: {1: {"york", "eboracum"}}}
     plain = N.index_terms(rows, "k", ["the"]).filter("position = 3").first()["term"]
     assert plain == "ponies" and N.index_terms(rows.limit(0), "k", ["the"], known.limit(0)).count() == 0
+
+
+def test_sentiment_equals_a_plain_count(spark):
+    import random
+
+    from lexloom.operators import features as A
+
+    rng, valences, negations = random.Random(1), {"good": 2.0, "bad": -1.5, "Odd": 9.0}, ["not", "no"]
+    rows = [(k, " ".join(rng.choice(["good", "Bad", "not", "no", "x", "GOOD", "odd"]) for _ in range(rng.randrange(1, 30)))) for k in range(80)] + [(900, None), (901, ""), (902, "?!")]
+    got = {r["k"]: r for r in A.sentiment(spark.createDataFrame(rows, "k int, text string"), valences, negations, "k").collect()}
+    for k, text in rows:
+        words = [w.lower() for w in (text or "").split()] if k < 900 else []
+        values = [valences.get(w, 0.0) * (-1 if any(x in negations for x in words[max(0, i - 3) : i]) else 1) for i, w in enumerate(words)]
+        if not words:
+            assert k not in got
+            continue
+        s = sum(values)
+        expected = (sum(v > 0 for v in values) / len(values), sum(v < 0 for v in values) / len(values), sum(v == 0 for v in values) / len(values), s / (s * s + 15) ** 0.5)
+        assert all(abs(got[k][c] - e) < 2e-6 for c, e in zip(("positive_polarity_f", "negative_polarity_f", "neutral_polarity_f", "compound_polarity_f"), expected, strict=True))
