@@ -89,7 +89,7 @@ def _new_table(path: str) -> tuple[WordTable, Callable[[bytes], list[bytes]]]:
             table.flat_size += len(ids)
         return {"size": size, "at": at}
 
-    table = WordTable(describe, 800_000)
+    table = WordTable(describe, 1_300_000)
     table.flat, table.flat_size = [], 0
     return table, splitter([x.content.encode() for x in model.get_added_tokens_decoder().values()])
 

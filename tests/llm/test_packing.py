@@ -18,7 +18,7 @@ def model():
     return Tokenizer.from_file(PATH)
 
 
-SPACES = ["a  b", "a   b", " a", "  a", "a ", "a  ", "a \nb", "a\n b", "a\n\n b", "a\nb", "a\n\nb", "\na", "a\n", "a  b", "a  \nb", "a 　b", "a   b", "\t a\r\n b", " ", "\n", "it's 's I'LL 'll\n'tis", "a<|endoftext|> b", "a\n <|endoftext|>", "a  <|endoftext|>  b", "\x00 \x00a", "\x1c a \x1d b", "“q” – ‘r’ … x y", "Ġ aĠb"]
+SPACES = ["a  b", "a   b", " a", "  a", "a ", "a  ", "a \nb", "a\n b", "a\n\n b", "a\nb", "a\n\nb", "\na", "a\n", "a  b", "a  \nb", "a 　b", "a   b", "\t a\r\n b", " ", "\n", "it's 's I'LL 'll\n'tis", "a<|endoftext|> b", "a\n <|endoftext|>", "a  <|endoftext|>  b", "\x00 \x00a", "\x1c a \x1d b", "“q” – ‘r’ … x y", "Ġ aĠb", "end. end end, (end) end.) x.. é! é̈. 12; ½, …. a'. a's, a-b- .", "it's! it' 's. 'tis, ²) ²"]
 
 
 def test_ids_equal_the_library_on_whole_texts(model):
@@ -26,6 +26,8 @@ def test_ids_equal_the_library_on_whole_texts(model):
     texts = [r[1] for r in awkward() if r[1]] + SPACES
     texts += ["".join(rng.choice(["a", "b'", " ", "\n", " ", "12", "é", "!", "\t", "　", "'s"]) for _ in range(30)) for _ in range(300)]
     table, split = packing._new_table(PATH)
+    for t in texts[::3]:  # words that are known when others with signs come
+        token_arrow.encoded(table, [t.encode()], None, split)
     ids, n = token_arrow.encoded(table, [t.encode() for t in texts], None, split)
     for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
         assert part.tolist() == model.encode(t, add_special_tokens=False).ids, t
