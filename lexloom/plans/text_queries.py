@@ -257,9 +257,13 @@ def a2_word_class_proportions(t):
     return C.word_class_proportions(t.documents, "doc_id")
 
 
-@query()
+VALENCES, NEGATIONS = {"that": 1.0, "thing": 2.0, "scum": -3.0, "trash": -2.0, "stupid": -2.5}, ["not", "no", "the"]
+
+
+@query(f"""with w as (select doc_id, list_transform({WORDS}, lambda x: lower(x)) as ws from documents), v as (select doc_id, list_transform(ws, lambda x, i: case x {' '.join(f"when '{w}' then {v}" for w, v in VALENCES.items())} else 0.0 end::double * case when len(list_filter(ws[greatest(i - 3, 1):i - 1], lambda n: n in ('not', 'no', 'the'))) > 0 then -1 else 1 end) as vs from w where len(ws) > 0),
+    s as (select *, list_sum(vs) as s, len(vs) as n from v) select doc_id, round(len(list_filter(vs, lambda x: x > 0)) / n, 6) as positive_polarity_f, round(len(list_filter(vs, lambda x: x < 0)) / n, 6) as negative_polarity_f, round(len(list_filter(vs, lambda x: x = 0)) / n, 6) as neutral_polarity_f, round(s / sqrt(s * s + 15), 6) as compound_polarity_f from s""")
 def a3_sentiment(t):
-    return A.sentiment(t.documents, {"that": 1.0, "thing": 2.0, "scum": -3.0, "trash": -2.0, "stupid": -2.5}, ["not", "no", "the"], "doc_id")
+    return A.sentiment(t.documents, VALENCES, NEGATIONS, "doc_id")
 
 
 @query(f"""with w as (select source, doc_id, unnest({WORDS}) as token from documents), c as (select source, token, count(*) as total from w group by all)
