@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import registry
 from lexloom.functions import text as X
 from lexloom.functions import urls as U
 from lexloom.operators import frontier as R
@@ -267,6 +268,18 @@ def test_jobs_start_only_below_the_capacity(spark):
     assert R.start_next(jobs(12, 5)).count() == 3
 
 
+def test_all_jobs_that_fit_start(spark, sf):
+    rows = [(i, i * 37 % 101, "working" if i % 3 == 0 else "waiting") for i in range(900)]
+    waiting = sorted((asked, i) for i, asked, s in rows if s == "waiting")
+    jobs = spark.createDataFrame(rows, "job int, asked int, status string")
+    for capacity in (1350, F.expr("count(*) * 3 div 2")):
+        assert [(r["job"], r["rank"]) for r in R.start_next(jobs, capacity).collect()] == [(i, k) for k, (_, i) in enumerate(waiting[:450], 1)]
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    states = [r["o_orderstatus"] for r in orders.collect()]
+    found = registry.queries()["f20_start_next"](spark, sf)
+    assert found.count() == len(states) * 5 // 6 - states.count("P") - states.count("O") > 100
+
+
 def test_search_url_with_other_numbers_of_words(spark):
     pointer = F.lit("https://a.example/?q=twenty%20cats&x=1")
     for words, expected in ((["one"], "one"), (["a", "b", "c"], "a%20b%20c")):
