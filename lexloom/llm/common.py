@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -41,6 +43,18 @@ def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, tables are sent to Python in batches of so many rows at most: less memory on both sides for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -114,6 +128,13 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _HELD[name]
 
 
+def let_go() -> None:
+    """Drops what `held` keeps, for tasks that need the memory and no table."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()  # tables and what describes their words may refer to each other
+
+
 def word_hash(words: list[bytes]) -> dict[str, np.ndarray]:
     return {"hash": np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))}
 

@@ -34,12 +34,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, held, mixed, new_folder, settled, sums, tables, word_hash
+from .common import WordTable, batches_of, chunks, gram_hashes, held, let_go, mixed, new_folder, settled, sums, tables, word_hash
 
 SYMBOLS = b"#*$%&|<>"
 STEP = 0.001  # of the histogram of log perplexity
 MARK = 32  # the unit between words, before the first and after the last
 COUNTED = "lang string, gram string, n long"
+ROWS = 1000  # of a batch of texts, of which a worker and the JVM hold a copy each
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,6 +155,7 @@ class Counter:
 
 def _count(order: int, most: int = 1_500_000) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # the models of an earlier run
         counters: dict[str | None, Counter] = {}
         for _, texts, langs in _by_language(batches):
             for lang in set(langs):
@@ -174,7 +176,8 @@ def count_grams(docs: DataFrame, order: int = 5) -> DataFrame:
     """lang, gram, n: how often each n-gram is the longest one of a place. '' is no language, '=x' is language x."""
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang")
     rows = docs.filter("text is not null").select(lang, "text").mapInArrow(_count(order), COUNTED)
-    return settled(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    with batches_of(docs.sparkSession, ROWS):
+        return settled(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
 def kneser_ney_counts(longest: DataFrame, order: int) -> list[DataFrame]:
@@ -428,7 +431,8 @@ def quality_rules(docs: DataFrame, order: int = 5, spreads: float = 3.0) -> Data
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     model = build_model(docs, order)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = settled(docs.mapInArrow(_scorer(model, order), f"doc_id {kind}, {SCORED}"), "scored")
+    with batches_of(spark, ROWS):
+        scored = settled(docs.mapInArrow(_scorer(model, order), f"doc_id {kind}, {SCORED}"), "scored")
     limits = spark.createDataFrame(bands(scored, spreads), "l string, band_low double, band_high double")
     out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False)))

@@ -1,11 +1,14 @@
+import gc
 import math
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexloom.llm import perplexity, quality
+from lexloom.llm import common, perplexity, quality
 
 from .fixtures import SCHEMA, WHITE, awkward, rows_of, words_of
 
@@ -129,6 +132,50 @@ def test_perplexity_bands_and_kept_equal_brute_force(spark, sf):
             assert found[i]["kept"] == (not found[i]["base_failed"] and low <= value[i] <= high)
 
 
+def test_counting_lets_go_of_models_of_an_earlier_run():
+    empty = perplexity.Model.__new__(perplexity.Model)
+    empty.order, empty.levels = 5, {i: (np.zeros(0, np.int64), np.zeros(0)) for i in range(12)}
+    scorer = perplexity.Scorer(empty)
+    common.held("perplexity of an earlier run", dict)["=en"] = scorer
+    gone = weakref.ref(scorer)
+    gc.collect()
+    gc.disable()
+    try:
+        del scorer
+        batch = pa.record_batch([pa.array(["=en"]), pa.array(["a few words"])], names=["lang", "text"])
+        assert sum(b.num_rows for b in perplexity._count(5)(iter([batch]))) > 0
+        assert gone() is None
+    finally:
+        gc.enable()
+        common.let_go()
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    def checked(make):
+        def made(*args):
+            work = make(*args)
+
+            def run(batches):
+                def small():
+                    for b in batches:
+                        if b.num_rows > 1000:
+                            raise ValueError("a large batch")
+                        yield b
+
+                return work(small())
+
+            return run
+
+        return made
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("_count", "_scorer"):
+        monkeypatch.setattr(perplexity, name, checked(getattr(perplexity, name)))
+    docs = spark.range(2500).selectExpr("id as doc_id", "'en' as lang", "concat('one of many short texts: ', id) as text").coalesce(1)
+    assert perplexity.quality_rules(docs).count() == 2500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_shuffled_words_score_worse(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("red fox ran far and saw ten old men sit".split()[(i + k) % 10] for k in range(60)), "en") for i in range(30)]
