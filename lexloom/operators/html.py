@@ -285,7 +285,8 @@ def last_values(nodes: DataFrame, keys: list[str], order: str, rules: dict[str,
 
 
 def page_meta(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, description, keywords, canonical and host of pages (page_id, url, html); null where a page has none."""
+    """title, description, keywords, canonical and host of pages (page_id, url, html), null where a page has none, beside
+    the columns of pages but html."""
     named = lambda name: F.when((F.col("tag") == "meta") & (F.lower(F.col("attrs")["name"]) == name), F.col("attrs")["content"])
     rules = {
         "title": F.when((F.col("parent_tag") == "title") & (F.col("tag") == "#text"), F.col("text")), "description": named("description"), "keywords": named("keywords"),
@@ -293,4 +294,4 @@ def page_meta(pages: DataFrame) -> DataFrame:
     }
     rows = last_values(html_to_nodes(pages).filter(F.col("tag").isin("meta", "link") | (F.col("parent_tag") == "title")), ["page_id"], "pre", rules)
     words = F.transform(F.split("keywords", ","), lambda w: F.trim(w))
-    return pages.select("page_id", "url").join(rows, "page_id", "left").withColumn("keywords", words).withColumn("host", host(F.col("url")))
+    return pages.drop("html").join(rows, "page_id", "left").withColumn("keywords", words).withColumn("host", host(F.col("url")))
