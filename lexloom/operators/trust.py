@@ -29,14 +29,18 @@ def use_permissions(permissions: DataFrame, votes: DataFrame) -> DataFrame:
     return permissions.join(voted, F.col("user") == F.col("_u"), "left").withColumn("used", F.col("used") | F.col("_u").isNotNull()).drop("_u")
 
 
-def feedback_candidates(links: DataFrame, votes: DataFrame, minimum: int, per_site: int = 2, per_link: int = 300, all_votes: DataFrame | None = None) -> DataFrame:
-    """For each user the first link at the minimum level that is below both limits of votes: those of the user on the site,
-    and those of all on the link (of `all_votes`, if given). links: user, site, link, level, for the sites that a user saw."""
+def feedback_candidates(seen: DataFrame, links: DataFrame, votes: DataFrame, minimum: int, per_site: int = 2, per_link: int = 300, all_votes: DataFrame | None = None) -> DataFrame:
+    """For each user the first link at the minimum level, of the sites seen, that is below both limits of votes: those of
+    the user on the site, and those of all on the link (of `all_votes`, if given). seen: user, site; links: site, link, level.
+
+    What bars a link holds for all users, and what bars a site for all its links, so users meet the first link of a site only."""
     by_site = votes.groupBy("user", "site").agg(F.count("*").alias("n_site"))
     by_link = (votes if all_votes is None else all_votes).groupBy("link").agg(F.count("*").alias("n_link"))
-    rows = links.filter(F.col("level") >= minimum).join(by_site, ["user", "site"], "left").join(by_link, "link", "left")
-    rows = rows.filter((F.coalesce("n_site", F.lit(0)) < per_site) & (F.coalesce("n_link", F.lit(0)) < per_link))
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("user").orderBy("site", "link"))).filter("_k = 1").select("user", "site", "link", "level")
+    open_links = links.filter(F.col("level") >= minimum).join(by_link, "link", "left").filter(F.coalesce("n_link", F.lit(0)) < per_link)
+    first = open_links.groupBy("site").agg(F.min(F.struct("link", "level")).alias("_first"))
+    open_sites = seen.join(by_site, ["user", "site"], "left").filter(F.coalesce("n_site", F.lit(0)) < per_site)
+    found = open_sites.join(first, "site").groupBy("user").agg(F.min(F.struct("site", "_first.link", "_first.level")).alias("_v"))
+    return found.select("user", "_v.site", "_v.link", "_v.level")
 
 
 def guest_permissions(guests: DataFrame, permissions: DataFrame, jobs: DataFrame, capacity: int = 20, spare: int = 10) -> DataFrame:

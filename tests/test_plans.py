@@ -1,5 +1,7 @@
 """Queries on made tables that the given ones do not show, against their SQL."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -22,9 +24,38 @@ def same(spark, folder, name, **tables):
     return got
 
 
+def most_rows(df):
+    """Runs a query; the most rows that any part of its plan puts out."""
+    df.collect()
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        inner = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
+        plans += [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
+
+
+def suppliers(n, nations=25, seed=1):
+    r = random.Random(seed)
+    return pa.table({"s_suppkey": pa.array(range(n), pa.int64()), "s_nationkey": pa.array([r.randrange(nations) for _ in range(n)], pa.int32()), "s_acctbal": pa.array([r.choice([-50.0, 249.9, 250.0, 1999.0, 2000.0, 9000.0]) for _ in range(n)], pa.float64())})
+
+
 def test_page_meta_of_titles_with_other_references(spark, tmp_path):
     titles = ["a &amp; b &lt;i&gt;", "cut off &amp", "&quot;said&quot;", "&amp;lt; &copy &#65; & &&", "", None]
     html = [f"<!DOCTYPE html><html><head><title>{t}</title></head><body>&quot;x</body></html>" if t is not None else "<p>no title</p>" for t in titles] + [None]
     url = [f'http://a.example/{i}?a=1&b="&amp;' for i in range(len(html) - 1)] + [None]
     got = same(spark, tmp_path, "d13_page_meta", pages=pa.table({"page_id": pa.array(range(len(html)), pa.int64()), "url": pa.array(url, pa.string()), "html": pa.array(html, pa.string())}))
     assert {r["page_id"]: r["title"] for r in got} == {0: "a & b <i>", 1: "cut off &amp", 2: "&quot;said&quot;", 3: "&lt; &copy &#65; & &&", 4: "", 5: "", 6: None}
+
+
+def test_feedback_candidates_do_not_join_users_with_all_links(spark, tmp_path):
+    r = random.Random(2)
+    n, users = 12_000, 300
+    kinds = [r.choice(["click", "view"]) for _ in range(n)]
+    events = pa.table({"event_id": pa.array([r.randrange(10**6) for _ in range(n)], pa.int64()), "user_id": pa.array([r.choice([None, *range(users)]) for _ in range(n)], pa.int64()), "event_type": kinds})
+    got = same(spark, tmp_path, "t4_feedback_candidates", events=events, supplier=suppliers(2_000))
+    assert len(got) > users * 0.9
+    assert most_rows(registry.queries()["t4_feedback_candidates"](spark, str(tmp_path))) <= n
