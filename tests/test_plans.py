@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lexloom import registry
+from lexloom.operators import frontier as R
 
 from .test_oracle import plain
 
@@ -24,8 +25,8 @@ def same(spark, folder, name, **tables):
     return got
 
 
-def most_rows(df):
-    """Runs a query; the most rows that any part of its plan puts out."""
+def most_rows(df, parts=""):
+    """Runs a query; the most rows that any part of its plan puts out, of the parts named so."""
     df.collect()
     most, plans = 0, [df._jdf.queryExecution().executedPlan()]
     while plans:
@@ -33,8 +34,9 @@ def most_rows(df):
         kind = p.getClass().getSimpleName()
         inner = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
         plans += [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
-        if p.metrics().contains("numOutputRows"):
-            most = max(most, p.metrics().apply("numOutputRows").value())
+        for name in ("numOutputRows", "shuffleRecordsWritten"):
+            if kind.startswith(parts) and p.metrics().contains(name):
+                most = max(most, p.metrics().apply(name).value())
     return most
 
 
@@ -59,3 +61,26 @@ def test_feedback_candidates_do_not_join_users_with_all_links(spark, tmp_path):
     got = same(spark, tmp_path, "t4_feedback_candidates", events=events, supplier=suppliers(2_000))
     assert len(got) > users * 0.9
     assert most_rows(registry.queries()["t4_feedback_candidates"](spark, str(tmp_path))) <= n
+
+
+def orders(n, seed=3):
+    r = random.Random(seed)
+    return pa.table({"o_orderkey": pa.array([r.choice([None, *range(n)]) if k % 50 == 0 else k for k in range(n)], pa.int64()), "o_custkey": pa.array([r.choice([None, *range(3 * n)]) for _ in range(n)], pa.int64())})
+
+
+def test_jobs_expand_without_shuffling_their_sites(spark, tmp_path):
+    got = same(spark, tmp_path, "f2_expand_job", orders=orders(200), supplier=suppliers(1_000), lineitem=pa.table({"l_orderkey": [1]}))
+    assert len(got) > 3_000
+    assert most_rows(registry.queries()["f2_expand_job"](spark, str(tmp_path)), "ShuffleExchange") <= 1_000
+
+
+def test_jobs_with_several_tags_ask_each_site_once(spark):
+    r = random.Random(4)
+    some = lambda values, most: r.choice([None, *[r.choices(values, k=r.randrange(most)) for _ in range(9)]])
+    jobs = [(r.randrange(30) or None, some([None, *range(6)], 5), some([None, *range(45)], 6)) for _ in range(60)]
+    sites = [(s, "reddit" if s % 3 == 0 else "web") for s in range(40)]
+    links = [(r.randrange(45), r.choice([None, *range(6)]), r.choice([10, 50, 90])) for _ in range(120)]
+    want = {(j, s) for j, tags, named in jobs for s, _ in sites if s in (named or []) or any(x == s and level >= 50 and t is not None and t in (tags or []) for x, t, level in links)}
+    frames = spark.createDataFrame(jobs, "job int, tags array<int>, sites array<int>"), spark.createDataFrame(sites, "site int, kind string"), spark.createDataFrame(links, "site int, tag int, level int")
+    got = [(x.job, x.site) for x in R.expand_job(*frames, 50).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
