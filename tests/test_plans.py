@@ -74,6 +74,11 @@ def test_jobs_expand_without_shuffling_their_sites(spark, tmp_path):
     assert most_rows(registry.queries()["f2_expand_job"](spark, str(tmp_path)), "ShuffleExchange") <= 1_000
 
 
+def test_jobs_count_sites_by_sets_of_tags(spark, tmp_path):
+    same(spark, tmp_path, "f2_job_counts", orders=orders(1_000), supplier=suppliers(500), lineitem=pa.table({"l_orderkey": [1]}))
+    assert most_rows(registry.queries()["f2_job_counts"](spark, str(tmp_path))) <= 3_000
+
+
 def test_jobs_with_several_tags_ask_each_site_once(spark):
     r = random.Random(4)
     some = lambda values, most: r.choice([None, *[r.choices(values, k=r.randrange(most)) for _ in range(9)]])
@@ -84,3 +89,5 @@ def test_jobs_with_several_tags_ask_each_site_once(spark):
     frames = spark.createDataFrame(jobs, "job int, tags array<int>, sites array<int>"), spark.createDataFrame(sites, "site int, kind string"), spark.createDataFrame(links, "site int, tag int, level int")
     got = [(x.job, x.site) for x in R.expand_job(*frames, 50).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    counts = {x.job: (x.websites, x.subreddits) for x in R.job_counts(*frames, 50).collect()}
+    assert counts == {j: (sum(a == j and s % 3 > 0 for a, s in want), sum(a == j and s % 3 == 0 for a, s in want)) for j in {a for a, _ in want}}
