@@ -41,16 +41,21 @@ def natural_date(text: Column, now: Column) -> Column:
 
 
 def _read(s: Column, now: Column) -> Column:
-    part = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
-    whole, hour = part(s, CLOCK, 1), part(s, HOUR, 1)
-    timed = (whole != "") | (hour != "")
-    half = F.when(whole != "", part(s, CLOCK, 4)).otherwise(part(s, HOUR, 2))
-    h = F.coalesce(F.nullif(whole, F.lit("")), hour).try_cast("int")
-    minute, second = F.coalesce(part(s, CLOCK, 2).try_cast("int"), F.lit(0)), F.coalesce(part(s, CLOCK, 3).try_cast("int"), F.lit(0))
-    valid = F.when(half != "", h.between(1, 12)).otherwise(h <= 23) & (minute <= 59) & (second <= 59)
-    seconds = F.when(~timed, 0).when(valid, (F.when(half == "", h).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))) * 3600 + minute * 60 + second)
-    date = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(s, CLOCK, ""), HOUR, "")), rf"^{DAY} (?=[0-9a-z])", "")
-    return F.transform(F.array(F.struct(date.alias("date"), seconds.alias("seconds"), timed.alias("timed"))), lambda x: _resolved(x["date"], x["seconds"], x["timed"], now))[0]
+    part = lambda pattern, k, has: F.when(s.contains(has), F.regexp_extract(s, pattern, k)).otherwise("")
+    whole, hour = part(CLOCK, 1, ":"), part(HOUR, 1, "m")
+    half = F.coalesce(F.nullif(part(CLOCK, 4, ":"), F.lit("")), F.when(whole == "", part(HOUR, 2, "m")), F.lit(""))
+    rest = F.when(s.contains(":"), F.regexp_replace(s, CLOCK, "")).otherwise(s)
+    date = F.regexp_replace(F.trim(F.when(s.contains("m"), F.regexp_replace(rest, HOUR, "")).otherwise(rest)), rf"^{DAY} (?=[0-9a-z])", "")
+    parts = F.struct(date.alias("date"), F.coalesce(F.nullif(whole, F.lit("")), hour).alias("hour"), part(CLOCK, 2, ":").alias("minute"), part(CLOCK, 3, ":").alias("second"), half.alias("half"))
+
+    def timed(x: Column) -> Column:
+        h, half = x["hour"].try_cast("int"), x["half"]
+        minute, second = F.coalesce(x["minute"].try_cast("int"), F.lit(0)), F.coalesce(x["second"].try_cast("int"), F.lit(0))
+        valid = F.when(half != "", h.between(1, 12)).otherwise(h <= 23) & (minute <= 59) & (second <= 59)
+        seconds = F.when(x["hour"] == "", 0).when(valid, (F.when(half == "", h).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))) * 3600 + minute * 60 + second)
+        return F.struct(x["date"].alias("date"), seconds.alias("seconds"), (x["hour"] != "").alias("timed"))
+
+    return F.transform(F.transform(F.array(parts), timed), lambda x: _resolved(x["date"], x["seconds"], x["timed"], now))[0]
 
 
 def _resolved(date: Column, seconds: Column, timed: Column, now: Column) -> Column:
@@ -92,10 +97,11 @@ def _resolved(date: Column, seconds: Column, timed: Column, now: Column) -> Colu
         .when(date.rlike(span) & ~timed, F.when(part(date, span, 1) == "this", unit).otherwise(unit - before))
         .when((date == "") & timed, F.when(today + F.make_interval(secs=seconds.cast("double")) <= now, today).otherwise(back(F.lit(1))))
     )
-    counted = F.when(date == "now", now)
+    counted = F.lit(None).cast("timestamp")
     for name, what in UNITS.items():
         times = 2 if what.startswith("2 ") else 1
         field = {"year": "years", "month": "months", "week": "weeks", "day": "days", "hour": "hours", "minute": "mins"}.get(what.split(" ")[-1])
         step = F.make_interval(**{field: n * times}) if field else F.make_interval(secs=n.cast("double"))
-        counted = counted.when(date.rlike(ago) & (part(date, ago, 2) == name) & ~timed, now - step)
+        counted = F.when(part(date, ago, 2) == name, now - step).otherwise(counted)
+    counted = F.when(date == "now", now).when(date.contains(" ago") & ~timed, counted)
     return F.coalesce(counted, day + F.make_interval(secs=seconds.cast("double")))

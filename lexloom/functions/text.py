@@ -152,9 +152,18 @@ def strip_markup(text: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """A timestamp from the formats seen in posts, or null: ISO, `Oct 15, 2018`, `Sep 20th, 2019 6:35 am`."""
     plain = F.regexp_replace(F.trim(text), r"([0-9])(st|nd|rd|th)\b", "$1")
-    formats = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM d, yyyy h:mm a", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy")
     upper = F.regexp_replace(F.regexp_replace(plain, r" am$", " AM"), r" pm$", " PM")
-    return F.coalesce(*[F.try_to_timestamp(upper, F.lit(f)) for f in formats])
+
+    def read(s: Column) -> Column:
+        digit, letter, clock = s.rlike("^[-+0-9]"), s.rlike("^[A-Za-z]"), s.contains(":")
+        # Each format with what any text that it reads must have, as a format that fails costs much more than a look.
+        formats = {
+            "yyyy-MM-dd'T'HH:mm:ss'Z'": digit & clock & s.contains("-"), "yyyy-MM-dd HH:mm:ss": digit & clock & s.contains("-"), "yyyy-MM-dd": digit & ~clock & s.contains("-"), "MMM d, yyyy h:mm a": letter & clock & s.contains(","), "MMM d, yyyy": letter & ~clock & s.contains(","),
+            "MMMM d, yyyy": letter & ~clock & s.contains(","), "d MMM yyyy": digit & ~clock & s.contains(" "), "MM/dd/yyyy": digit & s.contains("/"),
+        }
+        return F.coalesce(*[F.when(may, F.try_to_timestamp(s, F.lit(f))) for f, may in formats.items()])
+
+    return F.transform(F.array(upper), read)[0]  # bound by a function, as it stands in many places
 
 
 def relative_date(text: Column, now: Column) -> Column:

@@ -1,5 +1,6 @@
 """Queries on made tables that the given ones do not show, against their SQL."""
 
+import datetime
 import random
 
 import duckdb
@@ -91,3 +92,11 @@ def test_jobs_with_several_tags_ask_each_site_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
     counts = {x.job: (x.websites, x.subreddits) for x in R.job_counts(*frames, 50).collect()}
     assert counts == {j: (sum(a == j and s % 3 > 0 for a, s in want), sum(a == j and s % 3 == 0 for a, s in want)) for j in {a for a, _ in want}}
+
+
+def test_dates_are_read_once_for_each_day(spark, tmp_path):
+    r = random.Random(6)
+    days = [None, *[datetime.datetime(1992, 1, 1) + datetime.timedelta(days=r.randrange(3_500)) for _ in range(15)], datetime.datetime(1996, 2, 29), datetime.datetime(2000, 2, 29)]
+    rows = pa.table({"o_orderkey": pa.array([None, *range(1_000)], pa.int64()), "o_orderdate": pa.array([r.choice(days) for _ in range(1_001)], pa.timestamp("us"))})
+    assert len(same(spark, tmp_path, "d8_parse_date", orders=rows)) == 15 * 1_001
+    assert 13 <= most_rows(registry.queries()["d8_parse_date"](spark, str(tmp_path)), "HashAggregate") <= len(days)
