@@ -6,7 +6,9 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,54 @@ def grams_of(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 3)}
 
 
+def shared_grams(sentences: list[str]) -> np.ndarray:
+    """For each sentence but the last how many of grams_of the next one has too.
+
+    A gram is a number by the characters that occur, and with the number of its sentence one key; equal keys, after those
+    of the next sentence are moved by one sentence, are shared. Where keys would pass 64 bits, halves are counted."""
+    n, size = len(sentences), np.fromiter(map(len, sentences), np.int64, len(sentences))
+    letters = np.frombuffer("".join(sentences).encode("utf-32-le"), np.uint32)
+    if len(letters) < 4:
+        return np.zeros(max(n - 1, 0), np.int32)
+    seen = np.zeros(0x110000, bool)
+    seen[letters] = True
+    kinds = int(seen.sum())
+    if (n + 1) * kinds**3 >= 1 << 63:
+        return np.concatenate([shared_grams(sentences[: n // 2 + 1]), shared_grams(sentences[n // 2 :])])
+    code = np.cumsum(seen)[letters] - 1
+    keys = np.repeat(np.arange(n) * kinds**3, size)
+    keys[:-2] += (code[:-2] * kinds + code[1:-1]) * kinds + code[2:]
+    keys = keys[np.repeat(np.cumsum(size), size) - np.arange(len(letters)) > 3]
+    keys.sort()
+    keys = keys[np.diff(keys, prepend=-1) != 0]
+    both = np.concatenate([keys, keys + kinds**3])
+    both.sort(kind="stable")
+    return np.bincount(both[1:][both[1:] == both[:-1]] // kinds**3, minlength=n + 1)[1:n].astype(np.int32)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        many = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(many)), many)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        sentences, start = batch.column(1).flatten(), 0
+        so_far = np.cumsum(pc.utf8_length(sentences).to_numpy())
+        while start < len(doc) - 1:
+            stop = max(int(np.searchsorted(so_far, so_far[start] + chars)), start + 2)
+            common = shared_grams(sentences[start:stop].to_pylist())
+            rows = np.arange(start, start + len(common))
+            rows = rows[doc[rows] == doc[rows + 1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[rows])), pa.array(pos[rows], pa.int32()), pa.array(common[rows - start])], names=[batch.schema.names[0], "pos", "common"])
+            start += len(common)
+
+
+def shared_with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos and common: how many different trigrams a sentence shares with the next one of its document. A document is
+    worked on where it lies; nothing is shuffled."""
+    rows = spread(docs.select(key, "text")).select(key, sentence_array(F.col("text")).alias("sentences"))
+    return rows.mapInArrow(_shared, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, common int")
+
+
 def pack(sentences: list[str], least: int = 30, most: int = 50, shared: int = 15) -> list[tuple[str, int, int]]:
     """Text, words and sentences of each period. A period takes sentences while it has under `least` words; a short last
     sentence joins it; it also takes a sentence when both together stay under `most` words and share `shared` trigrams,

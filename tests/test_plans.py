@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from itertools import pairwise
 
 import duckdb
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pyarrow.parquet as pq
 
 from lexloom import registry
 from lexloom.operators import frontier as R
+from lexloom.operators import periods as P
 
 from .test_oracle import plain
 
@@ -100,3 +102,20 @@ def test_dates_are_read_once_for_each_day(spark, tmp_path):
     rows = pa.table({"o_orderkey": pa.array([None, *range(1_000)], pa.int64()), "o_orderdate": pa.array([r.choice(days) for _ in range(1_001)], pa.timestamp("us"))})
     assert len(same(spark, tmp_path, "d8_parse_date", orders=rows)) == 15 * 1_001
     assert 13 <= most_rows(registry.queries()["d8_parse_date"](spark, str(tmp_path)), "HashAggregate") <= len(days)
+
+
+def test_shared_grams_as_sets_have_them():
+    r = random.Random(7)
+    texts = ["".join(r.choices("ab \n😀é́", k=r.choice([0, 1, 3, 4, 5, 30]))) for _ in range(3_000)]
+    for sentences in ([], [""], ["abcd"], ["", ""], ["abcd", "abcde"], texts, [*texts, "".join(map(chr, range(0x10000, 0x10000 + 150_000))), *texts[::-1]]):
+        assert P.shared_grams(sentences).tolist() == [len(P.grams_of(a) & P.grams_of(b)) for a, b in pairwise(sentences)]
+
+
+def test_sentences_meet_the_next_one_without_a_shuffle(spark, tmp_path):
+    r = random.Random(8)
+    texts = [None, "", " . ", "One. One.", *["".join(r.choices(["the ", "a", "😀", "\n", ". ", "! ", "été "], k=r.randrange(300))) for _ in range(60)]]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    assert len(same(spark, tmp_path, "p6_common_count", documents=docs)) > 1_000
+    assert most_rows(registry.queries()["p6_common_count"](spark, str(tmp_path)), "ShuffleExchange") <= len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([["abcd", "abcde", "bcdef"], None, ["abcd"], ["abcd", "abcd"]])], names=["doc_id", "sentences"])
+    assert [row for chars in (1, 9) for out in P._shared(iter([batch]), chars) for row in out.to_pylist()] == 2 * [{"doc_id": 5, "pos": 0, "common": 1}, {"doc_id": 5, "pos": 1, "common": 1}, {"doc_id": 8, "pos": 0, "common": 1}]
